@@ -10,7 +10,10 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _counter = itertools.count()
@@ -59,6 +62,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(jobs: list[Callable[[], object]]) -> list[object]:
+    """Run independent jobs at the same time, so that their small stages share the executors."""
+    target = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(target(job)) for job in jobs]]
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Remove every staged table of this application; results read from them become unreadable."""
     root = _roots.pop(spark.sparkContext.applicationId, None)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidegraph.model import ASSERTIONS
 from tidegraph.plans.view import Graph
 from tidegraph.session import stage
+from tidegraph.sources.inventory import shaped
 
 YEAR = 365 * 86400.0
 NOW = 959817600.0         # 2000-06-01
@@ -204,3 +205,39 @@ def event_log(spark: SparkSession, folder: str) -> DataFrame:
         F.array(_key("type:", "event_type")).alias("evidence"), F.when(provenance == 1, 1).otherwise(0).alias("inferred_depth"),
         F.when(provenance == 1, F.lit(604800.0)).alias("ttl"),
     )
+
+
+def observations(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw observations of the same things, with natural keys of several kinds and some faulty rows."""
+    lineitem = read(spark, folder, "lineitem")
+    nation = read(spark, folder, "nation")
+    region = read(spark, folder, "region")
+    supplier = read(spark, folder, "supplier")
+    balance = F.col("s_acctbal")
+    keys = {
+        "mac": F.when(balance >= 8000, _key("02:", "s_suppkey")).otherwise(""), "cloud_id": F.when(balance < 1000, _key("i-", "s_suppkey")),
+        "hostname": F.when(balance < 9500, F.col("s_name")), "ip": _key("10.0.0.", "s_suppkey"),
+    }
+    host = {f"host_{k}": v for k, v in keys.items()}
+    at = F.lit(EARLIER)
+    zones = shaped(region.where(F.col("r_name") != "AFRICA"), kind="zone", source="atlas", name=F.col("r_name"), observed_at=at, evidence=F.array(_key("atlas:", "r_regionkey")))
+    located = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    assets = shaped(located, kind="asset", source="scan", zone=F.col("r_name"), observed_at=at, evidence=F.array(_key("scan:", "s_suppkey"), F.lit("scan:all")),
+                    attributes_json=F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))), **keys)
+    served = order_hosts(lineitem).join(read(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("host") == F.col("s_suppkey"))
+    rank = F.col("o_orderpriority")
+    services = shaped(
+        served, kind="service", source="probe", observed_at=seconds("o_orderdate"), port=F.when(rank == "1-URGENT", F.col("o_orderkey").cast("int")).when(rank == "2-HIGH", 0),
+        product_signature=F.when(rank == "3-MEDIUM", _key("app-", "o_orderkey")),
+        metadata_json=F.when(rank == "5-LOW", F.to_json(F.struct(F.col("o_orderkey").alias("order")))),
+        evidence=F.when(F.col("o_totalprice") >= 2000, F.array(_key("probe:", "o_orderkey"))), attributes_json=F.to_json(F.struct(F.col("o_orderstatus").alias("status"))), **host)
+    identities = shaped(
+        read(spark, folder, "customer"), kind="identity", source="directory", observed_at=at, principal=F.when(F.col("c_acctbal") >= 0, F.col("c_name")).otherwise(""),
+        email=F.when(F.col("c_acctbal") < 9000, F.concat(F.lit("c"), "c_custkey", F.lit("@example.com"))), identity_type="user", evidence=F.array(_key("segment:", "c_mktsegment")),
+        member_of=F.array(F.lower("c_mktsegment"), _key("nation-", "c_nationkey")), provenance=F.when(F.col("c_acctbal") < 0, 0))
+    placed = read(spark, folder, "part").join(part_hosts(lineitem), F.col("p_partkey") == F.col("l_partkey"), "left").join(supplier, F.col("host") == F.col("s_suppkey"), "left")
+    stores = shaped(
+        placed, kind="datastore", source="catalog", observed_at=at, cloud_id=F.when(F.col("p_size") >= 25, _key("vol-", "p_partkey")), name=F.concat_ws("-", "p_name", "p_partkey"),
+        evidence=F.array(_key("brand:", "p_brand")), confidence=F.when(F.col("p_size") == 50, 1.2).when(F.col("p_size") < 10, 0.7),
+        valid_to=F.when(F.col("p_size") == 49, F.lit(EARLIER - 1.0)), attributes_json=F.to_json(F.struct(F.col("p_type").alias("kind"))), **host)
+    return zones.unionByName(assets).unionByName(services).unionByName(identities).unionByName(stores)
