@@ -937,8 +937,8 @@ def edge_changes(spark, folder):
 
 @query("i04_compliance_changes")
 def compliance_changes(spark, folder):
-    """Against the time before any order, when no identity depended on anything."""
-    before, after = _stored(spark, folder, "long_pair", lambda: tuple(open_views(graph(spark, folder), [100.0, NOW])))
+    """Against the time before anything was observed."""
+    before, after = _stored(spark, folder, "long_pair", lambda: tuple(open_views(graph(spark, folder), [-1.0, NOW])))
     return ch.compliance_changes(before, after).select("type", "target_id", "framework", "old_score", "new_score")
 
 
