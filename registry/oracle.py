@@ -112,7 +112,7 @@ UNION ALL SELECT n.id, 'INTERNET_FACING_SERVICE', least(h.hconf, n.conf), h.infe
 UNION ALL SELECT n.id, 'EXPOSED_DATASTORE', n.conf, coalesce(h.inferred, false) FROM ln@ n LEFT JOIN host@ h ON h.id = n.id LEFT JOIN inz@ z ON z.id = n.id
   WHERE n.type = 'DATASTORE' AND (h.id IS NOT NULL OR z.id IS NOT NULL OR n.public_flag)"""
 PIECES["ef@"] = """
-SELECT id, ft, round_even(conf, 6)::DOUBLE AS conf, CASE WHEN conf >= 0.8 AND NOT inferred THEN 'VERIFIED' WHEN conf >= 0.5 THEN 'PARTIALLY_VERIFIED' ELSE 'THEORETICAL' END AS vs FROM (
+SELECT id, ft, format('{:.6f}', conf)::DOUBLE AS conf, CASE WHEN conf >= 0.8 AND NOT inferred THEN 'VERIFIED' WHEN conf >= 0.5 THEN 'PARTIALLY_VERIFIED' ELSE 'THEORETICAL' END AS vs FROM (
   SELECT * FROM base@
   UNION ALL SELECT e.id, 'ZONE_BOUNDARY_CROSSING', e.conf, false FROM le@ e WHERE e.type IN ('CONNECTS_TO', 'DEPENDS_ON') AND (e.src IN (SELECT id FROM inz@)) <> (e.dst IN (SELECT id FROM inz@))
   UNION ALL SELECT n.id, 'HIGH_CONNECTIVITY_EXPOSED', n.conf, false FROM ln@ n JOIN deg@ d ON d.id = n.id WHERE d.degree >= 3 AND n.id IN (SELECT id FROM base@))"""
@@ -193,10 +193,17 @@ PIECES["eval"] = "SELECT *, row_number() OVER (PARTITION BY context, target ORDE
 PIECES["disc"] = """
 SELECT 'e' || lpad(event_id::VARCHAR, 9, '0') AS id, CASE event_type WHEN 'signup' THEN 'IDENTITY_FOUND' WHEN 'error' THEN 'SERVICE_DETECTED' WHEN 'view' THEN 'ASSET_DISCOVERED' ELSE 'RELATIONSHIP_OBSERVED' END AS event_type,
   epoch(ts) AS timestamp, event_type AS source, (event_id % 100) / 100.0::DOUBLE AS confidence, 'ev:' || event_id AS evidence, 'c_' || user_id AS a1, 's_' || floor(value)::INTEGER AS a2, props FROM events"""
+# simple paths of at most six edges from the last supplier
+PIECES["walk@"] = """
+SELECT dst, [src, dst] AS nodes, [id] AS path, conf AS weakest FROM le@ WHERE src = (SELECT max(src) FROM le@ WHERE type = 'IN_ZONE')
+UNION ALL SELECT e.dst, list_append(w.nodes, e.dst), list_append(w.path, e.id), least(w.weakest, e.conf) FROM walk@ w JOIN le@ e ON e.src = w.dst WHERE len(w.path) < 6 AND NOT list_contains(w.nodes, e.dst)"""
 PIECES["und@"] = "SELECT src AS a, dst AS b FROM le@ UNION SELECT dst, src FROM le@"
 
 
 
+_LOOPS = ("pairs", "walk")
+
+
 def sql(text: str, t: float | None = NOW, times: dict[str, float] | None = None) -> str:
     """Prefix ``text`` with the pieces it names. ``x@`` is a piece at time ``t``; ``x@1`` one at ``times["1"]``."""
     done: dict[str, str] = {}
@@ -227,8 +234,8 @@ def sql(text: str, t: float | None = NOW, times: dict[str, float] | None = None)
         body = add(text, "", t)
     if not done:
         return body
-    with_recursive = "RECURSIVE " if any(n.startswith("pairs") for n in done) else ""
-    ctes = ", ".join(f"{n} AS {'' if n.startswith('pairs') else 'MATERIALIZED '}({b})" for n, b in done.items())
+    with_recursive = "RECURSIVE " if any(n.startswith(_LOOPS) for n in done) else ""
+    ctes = ", ".join(f"{n} AS {'' if n.startswith(_LOOPS) else 'MATERIALIZED '}({b})" for n, b in done.items())
     return f"WITH {with_recursive}{ctes} {body}"
 
 

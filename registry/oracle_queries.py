@@ -30,7 +30,8 @@ _q("a01_csv_row_counts", f"SELECT count(*) FILTER (hostname IS NOT NULL OR ip IS
 def _export(*selects: str) -> str:
     """Union of (kind, source, cloud_id, host_cloud_id, iam_id, port, product_signature, evidence, attributes, metadata)."""
     names = "kind, source, cloud_id, host_cloud_id, iam_id, port, product_signature, evidence, attributes, metadata"
-    return f"SELECT * FROM ({' UNION ALL '.join(selects)}) t({names})"
+    texts = ", ".join(f"{n}::VARCHAR AS {n}" for n in ("cloud_id", "host_cloud_id", "iam_id", "product_signature"))
+    return f"SELECT * REPLACE ({texts}) FROM ({' UNION ALL '.join(selects)}) t({names})"
 
 
 _q("a02_aws_export", _export(
@@ -229,15 +230,9 @@ _q("e07_blast_counts", """SELECT id, coalesce(t, 0) AS total_impacted, coalesce(
 SELECT root AS id, count(*) AS t, count(*) FILTER (type = 'ASSET') AS a, count(*) FILTER (type = 'SERVICE') AS s, count(*) FILTER (type = 'DATASTORE') AS d, count(*) FILTER (type = 'IDENTITY') AS i,
 count(*) FILTER (type IN ('ZONE', 'CREDENTIAL')) AS u FROM pairs@ p JOIN (SELECT id AS nid, type FROM ln@) l ON l.nid = p.node GROUP BY 1) USING (id)""")
 _q("e07_blast_radius", "SELECT l.id, l.type, l.name FROM pairs@ p JOIN ln@ l ON l.id = p.node WHERE p.root = 's_5'")
-_STEPS = ["SELECT src, dst, [src, dst] AS nodes, [id] AS path, conf AS weakest FROM le@"]
-for _k in (2, 3):
-    _joins = " ".join(f"JOIN le@ e{i} ON e{i}.src = e{i - 1}.dst" for i in range(2, _k + 1))
-    _ids = ", ".join(f"e{i}.id" for i in range(1, _k + 1))
-    _ns = ", ".join(f"e{i}.dst" for i in range(1, _k + 1))
-    _STEPS.append(f"SELECT e1.src, e{_k}.dst, [e1.src, {_ns}], [{_ids}], least({', '.join(f'e{i}.conf' for i in range(1, _k + 1))}) FROM le@ e1 {_joins} WHERE e1.src = (SELECT max(src) FROM le@ WHERE type = 'IN_ZONE') AND e{_k}.dst = (SELECT max(dst) FROM le@ WHERE type = 'DEPENDS_ON')")
-_q("e08_shortest_path", f"""SELECT src AS source, dst AS target, array_to_string(nodes, ',') AS nodes, array_to_string(path, ',') AS edges, len(path)::INTEGER AS distance,
-CASE WHEN weakest < 0.5 THEN 'LOW' WHEN weakest < 0.8 THEN 'MEDIUM' WHEN weakest < 0.95 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, floor(weakest * 100)::INTEGER AS score FROM ({' UNION ALL '.join(_STEPS)})
-WHERE src = (SELECT max(src) FROM le@ WHERE type = 'IN_ZONE') AND dst = (SELECT max(dst) FROM le@ WHERE type = 'DEPENDS_ON') ORDER BY len(path), path LIMIT 1""")
+_q("e08_shortest_path", """SELECT nodes[1] AS source, dst AS target, array_to_string(nodes, ',') AS nodes, array_to_string(path, ',') AS edges, len(path)::INTEGER AS distance,
+CASE WHEN weakest < 0.5 THEN 'LOW' WHEN weakest < 0.8 THEN 'MEDIUM' WHEN weakest < 0.95 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, floor(weakest * 100)::INTEGER AS score FROM walk@
+WHERE dst = (SELECT max(dst) FROM le@ WHERE type = 'DEPENDS_ON') ORDER BY len(path), path LIMIT 1""")
 _q("e09_all_paths", """SELECT 'c_2' AS source, nodes[len(nodes)] AS target, array_to_string(nodes, ',') AS nodes, array_to_string(path, ',') AS edges, len(path)::INTEGER AS distance FROM (
 SELECT [src, dst] AS nodes, [id] AS path FROM le@ WHERE src = 'c_2'
 UNION ALL SELECT [a.src, a.dst, b.dst], [a.id, b.id] FROM le@ a JOIN le@ b ON b.src = a.dst WHERE a.src = 'c_2' AND b.dst NOT IN (a.src, a.dst)
@@ -280,9 +275,9 @@ UNION ALL SELECT 'internet_reachable_services', id, name, port::VARCHAR FROM ln@
 
 # --- G ---------------------------------------------------------------------------
 _q("g01_exposure_magnitude", "SELECT id AS entity_id, max(conf) AS exposure FROM ef@ GROUP BY 1")
-_q("g02_criticality", """SELECT id AS entity_id, crit AS score, round_even(0.3::DOUBLE * f1, 6)::DOUBLE AS business_importance, round_even(0.25::DOUBLE * f2, 6)::DOUBLE AS dependency_centrality, round_even(0.2::DOUBLE * f3, 6)::DOUBLE AS exposure,
-round_even(0.15::DOUBLE * f4, 6)::DOUBLE AS connectivity, round_even(0.1::DOUBLE * f5, 6)::DOUBLE AS change_frequency FROM sc@""")
-_q("g03_risk", "SELECT id AS entity_id, risk AS score, band AS category, round_even(conf, 6)::DOUBLE AS confidence, round_even(f3, 6)::DOUBLE AS exposure_score, crit AS criticality_score, round_even(lift, 6)::DOUBLE AS change_multiplier FROM sc@")
+_q("g02_criticality", """SELECT id AS entity_id, crit AS score, format('{:.6f}', 0.3::DOUBLE * f1)::DOUBLE AS business_importance, format('{:.6f}', 0.25::DOUBLE * f2)::DOUBLE AS dependency_centrality, format('{:.6f}', 0.2::DOUBLE * f3)::DOUBLE AS exposure,
+format('{:.6f}', 0.15::DOUBLE * f4)::DOUBLE AS connectivity, format('{:.6f}', 0.1::DOUBLE * f5)::DOUBLE AS change_frequency FROM sc@""")
+_q("g03_risk", "SELECT id AS entity_id, risk AS score, band AS category, format('{:.6f}', conf)::DOUBLE AS confidence, format('{:.6f}', f3)::DOUBLE AS exposure_score, crit AS criticality_score, format('{:.6f}', lift)::DOUBLE AS change_multiplier FROM sc@")
 QUERIES["g03_risk_evidence"] = _with(_RESTS, f"""SELECT DISTINCT entity_id, ref FROM (SELECT entity_id, k, tid FROM ({_ON}) UNION ALL SELECT id, 'node', id FROM ln@) o JOIN {_REFS} v ON v.kind = o.k AND v.target = o.tid
 WHERE entity_id IN (SELECT id FROM ln@)""")
 _q("g05_risk_of_node", "SELECT id AS entity_id, risk AS score, band AS category FROM sc@ WHERE id = 's_5' UNION ALL SELECT 'nobody', 0, 'LOW'")

@@ -28,6 +28,23 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def round6(x: Column) -> Column:
+    """Six decimals, half to even, decided on the exact binary value.
+
+    ``bround`` decides on the shortest decimal text, which can lie on the other side of a tie. Only a
+    product that is exactly a half needs a closer look: the sign of its rounding error tells the side.
+    """
+    million = F.lit(1e6)
+    product = x * million
+    spread = x * F.lit(134217729.0)  # 2^27 + 1 splits x into two halves whose products are exact
+    high = spread - (spread - x)
+    error = (high * million - product) + (x - high) * million
+    below = F.floor(product).cast("double")
+    half = product - below == 0.5
+    nearest = F.when(half & (error > 0.0), below + 1.0).when(half & (error < 0.0), below).otherwise(F.rint(product))
+    return nearest / million
+
+
 def provenance_name(rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in PROVENANCE_NAMES]), rank + 1)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegraph.functions.bands import validation_state
+from tidegraph.functions.bands import round6, validation_state
 from tidegraph.functions.ids import finding_id
 from tidegraph.plans.view import View
 
@@ -125,7 +125,7 @@ def _raw_findings(view: View) -> DataFrame:
 def _finish(view: View, raw: DataFrame) -> DataFrame:
     return raw.select(
         finding_id("exposure", F.col("entity_id"), view.context, view.as_of, F.col("finding_type")).alias("finding_id"),
-        "entity_id", "finding_type", F.bround("raw", 6).alias("confidence"),
+        "entity_id", "finding_type", round6(F.col("raw")).alias("confidence"),
         validation_state(F.col("raw"), F.col("inferred")).alias("validation_state"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegraph.functions.bands import clamp, risk_band
+from tidegraph.functions.bands import clamp, risk_band, round6
 from tidegraph.functions.ids import finding_id
 from tidegraph.operators.exposure import exposure_evidence, exposure_findings, exposure_magnitude
 from tidegraph.operators.topology import dependency_counts
@@ -75,8 +75,8 @@ def criticality(view: View) -> DataFrame:
     breakdown = F.create_map(*[
         x for name, factor in _factors().items() for x in (
             F.lit(name),
-            F.struct(F.bround(factor, 6).alias("value"), F.lit(WEIGHTS[name]).alias("weight"),
-                     F.bround(F.lit(WEIGHTS[name]) * factor, 6).alias("contribution")),
+            F.struct(round6(factor).alias("value"), F.lit(WEIGHTS[name]).alias("weight"),
+                     round6(F.lit(WEIGHTS[name]) * factor).alias("contribution")),
         )
     ])
     return scores(view).select(
@@ -90,8 +90,8 @@ def risk(view: View) -> DataFrame:
     return scores(view).select(
         finding_id("risk", F.col("id"), view.context, view.as_of).alias("finding_id"),
         F.col("id").alias("entity_id"), F.col("risk").alias("score"), F.col("risk_category").alias("category"),
-        F.bround("confidence", 6).alias("confidence"), F.bround("exposure", 6).alias("exposure_score"),
-        F.col("criticality").alias("criticality_score"), F.bround("change_multiplier", 6).alias("change_multiplier"),
+        round6(F.col("confidence")).alias("confidence"), round6(F.col("exposure")).alias("exposure_score"),
+        F.col("criticality").alias("criticality_score"), round6(F.col("change_multiplier")).alias("change_multiplier"),
     )
 
 
