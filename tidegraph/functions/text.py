@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # Tried in this order, the first category with a match wins -----
@@ -22,11 +24,18 @@ INTENT_PATTERNS = {
 # --------------------------------------------------------------------------
 
 
+def _matches(folded: Column, pattern: str) -> Column:
+    """A pattern is plain words with ``.*`` between them: all words have to be there before their order is looked at."""
+    words = pattern.split(".*")
+    there = reduce(Column.__and__, [F.contains(folded, F.lit(w)) for w in words])
+    return there if len(words) == 1 else there & folded.rlike(pattern)
+
+
 def intent(text: Column) -> Column:
     """Category of a question text, UNKNOWN where no pattern matches."""
     folded = F.lower(text)
     out = None
     for category, patterns in INTENT_PATTERNS.items():
-        hit = folded.rlike("|".join(f"(?:{p})" for p in patterns))
+        hit = reduce(Column.__or__, [_matches(folded, p) for p in patterns])
         out = F.when(hit, category) if out is None else out.when(hit, category)
     return out.otherwise("UNKNOWN")

@@ -26,22 +26,32 @@ SCHEMA_VERSION = 1
 DAY = 86400.0
 # --------------------------------------------------------------------------
 
-NODES = T.StructType.fromDDL("id string, type string, key_json string")
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    """Schema of a "name type, name type" text; made without a session, unlike ``StructType.fromDDL``."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(","))])
+
+
+NODES = _schema("id string, type string, key_json string")
 
-EDGES = T.StructType.fromDDL("id string, type string, src string, dst string, context string")
+EDGES = _schema("id string, type string, src string, dst string, context string")
 
-ASSERTIONS = T.StructType.fromDDL(
+ASSERTIONS = _schema(
     "id string, target_kind string, target_id string, value_json string, provenance int, "
     "confidence double, source string, context string, valid_from double, valid_to double, "
     "observed_at double, evidence array<string>, inferred_depth int, ttl double"
 )
 
-EVENTS = T.StructType.fromDDL(
+EVENTS = _schema(
     "id string, event_type string, timestamp double, source string, confidence double, "
     "evidence array<string>, affected_entities array<string>, metadata_json string"
 )
 
-OBSERVATIONS = T.StructType.fromDDL(
+OBSERVATIONS = _schema(
     "kind string, source string, evidence array<string>, observed_at double, confidence double, "
     "provenance int, context string, valid_from double, valid_to double, attributes_json string, "
     "mac string, cloud_id string, hostname string, ip string, zone string, port int, "
@@ -50,7 +60,7 @@ OBSERVATIONS = T.StructType.fromDDL(
     "host_cloud_id string, host_hostname string, host_ip string"
 )
 
-SNAPSHOT_META = T.StructType.fromDDL(
+SNAPSHOT_META = _schema(
     "name string, created_at double, node_count bigint, edge_count bigint, assertion_count bigint, "
     "content_hash string, schema_version int"
 )

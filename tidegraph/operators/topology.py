@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidegraph.functions.bands import path_severity
 from tidegraph.functions.ids import finding_id
 from tidegraph.model import DEPENDENCY_TYPES
-from tidegraph.plans.components import reach_counts
+from tidegraph.plans.components import cyclic_components, reach_counts
 from tidegraph.plans.expand import Links, Seen, both_ways, closure, levels, make_links
 from tidegraph.plans.view import View
 from tidegraph.session import stage
@@ -181,7 +181,14 @@ def blast_radius(view: View, node_id: str) -> DataFrame:
     return reached.join(view.attributes().select("id", "type", "name"), "id").select("id", "type", "name", "depth")
 
 
-def blast_counts(view: View, roots: DataFrame | None = None, pair_bound: int | None = None) -> DataFrame:
+def cycles(view: View) -> DataFrame | None:
+    """(node, component) of the nodes on a dependency cycle, once per view."""
+    if "cycles" not in view._kept:
+        view._kept["cycles"] = cyclic_components(_dependent_links(view))
+    return view._kept["cycles"]
+
+
+def blast_counts(view: View, roots: DataFrame | None = None) -> DataFrame:
     """Exact size of the blast radius per root (column ``id``; all live nodes by default), in total
     and per kind; zones and credentials count as UNKNOWN."""
     kind = F.col("type")
@@ -191,8 +198,7 @@ def blast_counts(view: View, roots: DataFrame | None = None, pair_bound: int | N
         F.when(kind.isin(*COUNTED_KINDS), 0).otherwise(1).alias("unknown"),
     )
     starts = (view.nodes if roots is None else roots).select(F.col("id").alias("node"))
-    extra = {} if pair_bound is None else {"pair_bound": pair_bound}
-    counts = reach_counts(_dependent_links(view), weights, starts, **extra).withColumnRenamed("node", "id")
+    counts = reach_counts(_dependent_links(view), weights, starts, cycles(view)).withColumnRenamed("node", "id")
     return starts.withColumnRenamed("node", "id").join(counts, "id", "left").na.fill(0)
 
 

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.plans.expand import Links, Seen, closure, make_links
-from tidegraph.session import stage
+from tidegraph.plans.expand import Seen, closure, make_links, reached, union
+from tidegraph.session import stage, together
 
-PAIR_BOUND = 1500  # nodes; up to here the cyclic part is solved by its pair closure (2.25 million rows)
 
+def core(links: DataFrame, enough: float = 1.0) -> DataFrame:
+    """Links that can lie on a cycle: peel nodes without a predecessor or without a successor.
 
-def core(links: DataFrame) -> DataFrame:
-    """Links that can lie on a cycle: peel nodes without a predecessor or without a successor."""
+    Peeling ends when a round keeps everything, or at least the share ``enough``; what is kept too much
+    does not matter for components, it only makes their search look at more links.
+    """
     rows = links.select("node", "next").where(F.col("node") != F.col("next"))
     before = None
     while True:
@@ -23,16 +25,24 @@ def core(links: DataFrame) -> DataFrame:
         left = rows.select(F.col("node").alias("next")).distinct()
         rows = stage(rows.join(entered, "node", "left_semi").join(left, "next", "left_semi"), "core")
         now = rows.count()
-        if now == 0 or now == before:
+        if now == 0 or (before is not None and now >= before * enough):
             return rows.select("node", "next")
         before = now
 
 
-def _by_pairs(links: DataFrame) -> DataFrame:
-    """Components of a small cyclic part: mutual reachability."""
-    pairs = closure(links.select(F.col("node").alias("root")).distinct(), make_links(links)).select("root", "node")
-    mutual = pairs.join(pairs.select(F.col("node").alias("root"), F.col("root").alias("node")), ["root", "node"])
-    return mutual.groupBy(F.col("root").alias("node")).agg(F.min("node").alias("component"))
+def turned(links: DataFrame) -> DataFrame:
+    return links.select(F.col("next").alias("node"), F.col("node").alias("next"))
+
+
+def _around_busiest(links: DataFrame) -> DataFrame:
+    """(node, component) of the component of the busiest node, usually by far the largest one."""
+    ends = links.select("node", F.lit(1).alias("o"), F.lit(0).alias("i")).union(links.select("next", F.lit(0), F.lit(1)))
+    busy = ends.groupBy("node").agg((F.sum("o") * F.sum("i")).alias("weight"))
+    pivot = busy.agg(F.max_by("node", F.struct("weight", "node")).alias("node"))
+    pivot = stage(pivot, "pivot")
+    after, before = together([lambda: reached(pivot, make_links(links)), lambda: reached(pivot, make_links(turned(links)))])
+    name = pivot.first()["node"]  # one id
+    return after.join(before, "node", "left_semi").select("node", F.lit(name).alias("component"))
 
 
 def _largest_ancestor(links: DataFrame) -> DataFrame:
@@ -57,55 +67,49 @@ def _largest_ancestor(links: DataFrame) -> DataFrame:
         changed = better
 
 
-def _by_coloring(links: DataFrame) -> DataFrame:
-    """Components of any cyclic part: color by largest ancestor, then walk back inside each color."""
-    parts = []
-    rest = links
+def _by_color(links: DataFrame) -> DataFrame:
+    """(node, component) of at least one component per color: color by largest ancestor, then walk back inside each color."""
+    colors = _largest_ancestor(links)
+    inside = (
+        links.join(colors, "node")
+        .join(colors.select(F.col("node").alias("next"), F.col("color").alias("next_color")), "next")
+        .where(F.col("color") == F.col("next_color"))
+    )
+    back = make_links(turned(inside))
+    frontier = stage(colors.where(F.col("node") == F.col("color")), "roots")
+    seen = Seen(["node"])
+    while seen.add(frontier):
+        found = back.expand(frontier).select(F.col("next").alias("node"), "color").distinct()
+        frontier = stage(seen.without(found), "back")
+    return seen.all().withColumnRenamed("color", "component")
+
+
+def cyclic_components(links: DataFrame) -> DataFrame | None:
+    """(node, component) of every node on a cycle of two or more nodes; None if there is none."""
+    rest, parts = core(links, enough=0.9), []
     while not rest.isEmpty():
-        colors = _largest_ancestor(rest)
-        inside = (
-            rest.join(colors, "node")
-            .join(colors.select(F.col("node").alias("next"), F.col("color").alias("next_color")), "next")
-            .where(F.col("color") == F.col("next_color"))
-        )
-        back = make_links(inside.select(F.col("next").alias("node"), F.col("node").alias("next")))
-        frontier = stage(colors.where(F.col("node") == F.col("color")), "roots")
-        seen = Seen(["node"])
-        while not frontier.isEmpty():
-            seen.add(frontier)
-            found = back.expand(frontier).select(F.col("next").alias("node"), "color").distinct()
-            frontier = stage(seen.without(found), "back")
-        done = stage(seen.all(), "component")
-        parts.append(done.withColumnRenamed("color", "component"))
+        find = _by_color if parts else _around_busiest
+        done = stage(find(rest), "component")
+        parts.append(done)
         rest = core(
             rest.join(done.select("node"), "node", "left_anti")
             .join(done.select(F.col("node").alias("next")), "next", "left_anti")
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def cyclic_components(links: DataFrame, pair_bound: int = PAIR_BOUND) -> DataFrame | None:
-    """(node, component) of every node on a cycle of two or more nodes; None if there is none."""
-    cyclic = core(links)
-    if cyclic.isEmpty():
+    if not parts:
         return None
-    small = cyclic.select("node").distinct().count() <= pair_bound
-    found = _by_pairs(cyclic) if small else _by_coloring(cyclic)
+    found = union(parts)
     several = found.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     return stage(found.join(several.select("component"), "component", "left_semi").select("node", "component"), "cyclic")
 
 
-def reach_counts(links: DataFrame, weights: DataFrame, roots: DataFrame, pair_bound: int = PAIR_BOUND) -> DataFrame:
+def reach_counts(links: DataFrame, weights: DataFrame, roots: DataFrame, components: DataFrame | None) -> DataFrame:
     """Number of nodes each root reaches over one or more links, per weight column.
 
     ``links``: distinct (node, next); ``weights``: node and numeric columns (a 1 and kind flags);
-    ``roots``: one column ``node``. Roots that reach nothing are left out.
+    ``roots``: one column ``node``; ``components``: of ``cyclic_components(links)``. Roots that reach
+    nothing are left out.
     """
     names = [c for c in weights.columns if c != "node"]
-    components = cyclic_components(links, pair_bound)
     loops = links.where(F.col("node") == F.col("next")).select("node")
     if components is None:
         flat, tagged, wanted = links, weights, roots.select("node", F.col("node").alias("component"))

@@ -18,6 +18,7 @@ from tidegraph.session import stage
 SPLIT_SHARE = 2048      # a node with more than 1/2048 of all links is split: at most 2048 such nodes
 SPLIT_ROWS = 200_000    # ... but never below this many links
 MERGE_EVERY = 12        # rounds after which the seen tables are rewritten as one
+TAIL = 8                # a round is small when it found less than an eighth of everything seen
 
 
 @dataclass
@@ -70,14 +71,28 @@ class Seen:
     def __init__(self, keys: list[str]):
         self.keys = keys
         self.parts: list[DataFrame] = []
+        self.size = 0
+        self.last = 0
 
-    def add(self, rows: DataFrame) -> None:
+    def add(self, rows: DataFrame) -> int:
+        self.last = rows.count()
+        self.size += self.last
         self.parts.append(rows)
         if len(self.parts) > MERGE_EVERY:
             self.parts = [stage(union(self.parts), "seen")]
+        return self.last
 
     def without(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.all().select(*self.keys), self.keys, "left_anti")
+        """Rows not seen yet.
+
+        After a small round the candidates are few: they are staged, and only the seen rows among them
+        take part, so that a long tail of small rounds does not shuffle everything seen again.
+        """
+        seen = self.all().select(*self.keys)
+        if self.last * TAIL < self.size:
+            rows = stage(rows, "candidates")
+            seen = seen.join(rows.select(*self.keys), self.keys, "left_semi")
+        return rows.join(seen, self.keys, "left_anti")
 
     def all(self) -> DataFrame:
         return union(self.parts)
@@ -98,18 +113,28 @@ def levels(start: DataFrame, links: Links, depth: int | None = None, enough: int
     frontier = stage(start.select("node").distinct().withColumn("depth", F.lit(0)), "level")
     seen = Seen(["node"])
     seen.add(frontier)
-    known, level = frontier.count(), 0
+    level = 0
     while depth is None or level < depth:
-        if enough is not None and known >= enough:
+        if enough is not None and seen.size >= enough:
             break
         level += 1
         found = links.expand(frontier.select("node")).select(F.col("next").alias("node")).distinct()
         frontier = stage(seen.without(found).withColumn("depth", F.lit(level)), "level")
-        fresh = frontier.count()
-        if fresh == 0:
+        if seen.add(frontier) == 0:
             break
-        seen.add(frontier)
-        known += fresh
+    return seen.all()
+
+
+def reached(start: DataFrame, links: Links, hops: int = 2) -> DataFrame:
+    """Nodes reachable from the start nodes (column ``node``), those included; several hops per round."""
+    frontier = stage(start.select("node").distinct(), "reached")
+    seen = Seen(["node"])
+    while seen.add(frontier):
+        steps, step = [], frontier
+        for _ in range(hops):
+            step = links.expand(step.select("node")).select(F.col("next").alias("node")).distinct()
+            steps.append(step)
+        frontier = stage(seen.without(union(steps).distinct()), "reached")
     return seen.all()
 
 
@@ -127,7 +152,6 @@ def closure(roots: DataFrame, links: Links, depth: int | None = None) -> DataFra
         if seen.parts:
             found = seen.without(found)
         frontier = stage(found.withColumn("depth", F.lit(level)), "pairs")
-        if seen.parts and frontier.isEmpty():
+        if seen.add(frontier) == 0:
             break
-        seen.add(frontier)
     return seen.all()
