@@ -188,10 +188,16 @@ def assertions_from(rows: DataFrame, kind: str, target: Column, value_json: Colu
     return shaped.select(content_id("assert", payload).alias("id"), "*")
 
 
+def assert_nodes(nodes: DataFrame, facts: DataFrame) -> DataFrame:
+    """Assertions about registered nodes. ``facts`` has ``node``, ``value_json`` and the fact columns."""
+    own = facts.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
+    return assertions_from(own, "node", F.col("node"), canonical_json(F.col("value_json")))
+
+
 def assert_edges(edges: DataFrame, facts: DataFrame) -> DataFrame:
-    """Assertions about registered edges; the context is the edge's own. ``facts`` has ``edge`` and the fact columns."""
+    """Assertions about registered edges, in the edge's own context. ``facts`` has ``edge``, ``value_json`` and the fact columns."""
     own = facts.drop("context").join(edges.select(F.col("id").alias("edge"), "context"), "edge")
-    return assertions_from(own, "edge", F.col("edge"), F.col("value_json"))
+    return assertions_from(own, "edge", F.col("edge"), canonical_json(F.col("value_json")))
 
 
 def _once(df: DataFrame, dedup: Callable[[Column], Column] | None) -> DataFrame:

@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegraph.model import ASSERTIONS, EDGES, NODES, SCHEMA_VERSION, SNAPSHOT_META
+from tidegraph.functions.ids import canonical_json
+from tidegraph.model import ASSERTIONS, EDGES, NODES, PROVENANCE_NAMES, SCHEMA_VERSION, SNAPSHOT_META
 from tidegraph.plans.view import Graph
 from tidegraph.session import stage
 from tidegraph.sources import files
@@ -41,16 +42,20 @@ def read_graph_json(spark: SparkSession, path: str) -> Graph:
         "valid_from:double,valid_to:double,observed_at:double,evidence:array<string>,inferred_depth:int,ttl:double>>",
     ])
     pages = spark.read.schema(arrays).json(path)
-    nodes = pages.select(F.inline("nodes")).withColumnRenamed("key", "key_json")
-    rank = F.array_position(F.array(*[F.lit(x) for x in ("UNKNOWN", "INFERRED", "VERIFIED", "OBSERVED")]), F.col("provenance")) - 1
-    log = pages.select(F.inline("assertions")).withColumnRenamed("value", "value_json").withColumn("provenance", rank)
+    nodes = pages.select(F.inline("nodes")).select("id", "type", canonical_json(F.col("key")).alias("key_json"))
+    rank = F.array_position(F.array(*[F.lit(x) for x in PROVENANCE_NAMES]), F.col("provenance")) - 1
+    log = pages.select(F.inline("assertions")).withColumn("value_json", canonical_json(F.col("value"))).withColumn("provenance", rank)
     return Graph(_typed(nodes, "nodes"), _typed(pages.select(F.inline("edges")), "edges"), _typed(log, "assertions"))
 
 
 def _write(graph: Graph, path: str, mode: str) -> None:
+    """The log is laid out by context and time, so that a read as of a time skips the row groups after it."""
     for name in TABLES:
-        writer = _typed(getattr(graph, name), name).write.mode(mode)
-        (writer.partitionBy("context") if name == "assertions" else writer).parquet(f"{path}/{name}")
+        rows = _typed(getattr(graph, name), name)
+        if name == "assertions":
+            rows.repartitionByRange("context", "valid_from", "id").sortWithinPartitions("context", "valid_from").write.mode(mode).partitionBy("context").parquet(f"{path}/{name}")
+        else:
+            rows.write.mode(mode).parquet(f"{path}/{name}")
 
 
 def write_graph(graph: Graph, path: str) -> str:
