@@ -8,6 +8,7 @@ from tidegraph.functions.bands import ladder
 from tidegraph.operators.scoring import scores
 from tidegraph.operators.topology import dependency_counts
 from tidegraph.plans.view import View
+from tidegraph.session import together
 
 # Fixed values -------------------------------------------------------------
 ENVIRONMENT_TAGS = {
@@ -126,6 +127,8 @@ def business_criticality(view: View) -> DataFrame:
 def assessment(view: View) -> DataFrame:
     """All classifications and scores of a live node in one row; the rules read this table."""
     def build() -> DataFrame:
+        together([view.attributes, view.degrees, view.dependencies])
+        together([lambda: scores(view), lambda: sensitivity(view), lambda: ownership(view)])
         degree, down = F.col("degree"), F.col("downstream")
         internet = F.col("internet_asset") | F.col("internet_service")
         # (condition, points, reason), first match of each group

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegraph.functions.bands import round6, validation_state
 from tidegraph.functions.ids import finding_id
 from tidegraph.plans.view import View
+from tidegraph.session import together
 
 # Fixed values -------------------------------------------------------------
 PUBLIC_ZONE_WORDS = ("internet", "public", "dmz")
@@ -80,7 +81,10 @@ def _hosted(view: View, node_type: str) -> DataFrame:
 
 def exposure_findings(view: View) -> DataFrame:
     """finding_id, entity_id, finding_type, confidence, validation_state; one row per entity and type."""
-    return view.keep("exposure_findings", lambda: _finish(view, _raw_findings(view)))
+    def build() -> DataFrame:
+        together([view.attributes, view.degrees])
+        return _finish(view, _raw_findings(view))
+    return view.keep("exposure_findings", build)
 
 
 def _row(entity: Column | str, finding_type: str, confidence: Column | str, inferred: Column) -> list[Column]:

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegraph.functions.bands import ladder, severity_rank
 from tidegraph.model import DAY
 from tidegraph.operators.classify import assessment
-from tidegraph.operators.topology import blast_counts
+from tidegraph.operators.topology import blast_counts, cycles
 from tidegraph.plans.view import View
+from tidegraph.session import together
 
 # Fixed values -------------------------------------------------------------
 PRIORITY_STEPS = [(80, "CRITICAL"), (50, "HIGH"), (25, "MEDIUM")]
@@ -81,6 +82,7 @@ def recommendations(view: View) -> DataFrame:
     The rules run first; the exact blast radius is computed only for the nodes one of them names.
     """
     def build() -> DataFrame:
+        together([lambda: assessment(view), lambda: cycles(view)])
         exposed_store = F.col("exposed_store")
         unowned = F.col("business_level").isin("High", "Critical") & ~F.col("owned")
         risky = (F.col("type") == "IDENTITY") & (F.col("risk") > 70)

@@ -9,6 +9,7 @@ from tidegraph.functions.ids import finding_id
 from tidegraph.operators.exposure import exposure_evidence, exposure_findings, exposure_magnitude
 from tidegraph.operators.topology import dependency_counts
 from tidegraph.plans.view import View
+from tidegraph.session import together
 
 # Fixed values -------------------------------------------------------------
 WEIGHTS = {
@@ -53,6 +54,7 @@ def _factors() -> dict[str, Column]:
 def scores(view: View) -> DataFrame:
     """Criticality and risk of every live node in one row; staged, as most rules read it."""
     def build() -> DataFrame:
+        together([lambda: exposure_findings(view), lambda: dependency_counts(view), view.degrees])
         factors = _factors()
         total = None
         for name, factor in factors.items():

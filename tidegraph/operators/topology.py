@@ -183,9 +183,7 @@ def blast_radius(view: View, node_id: str) -> DataFrame:
 
 def cycles(view: View) -> DataFrame | None:
     """(node, component) of the nodes on a dependency cycle, once per view."""
-    if "cycles" not in view._kept:
-        view._kept["cycles"] = cyclic_components(_dependent_links(view))
-    return view._kept["cycles"]
+    return view.once("cycles", lambda: cyclic_components(_dependent_links(view)))
 
 
 def blast_counts(view: View, roots: DataFrame | None = None) -> DataFrame:
@@ -212,9 +210,7 @@ def connected_to(view: View, node_id: str, depth: int = 1) -> DataFrame:
 
 
 def view_undirected(view: View) -> Links:
-    if "_undirected" not in view._kept:
-        view._kept["_undirected"] = make_links(both_ways(view.edges))
-    return view._kept["_undirected"]
+    return view.once("undirected", lambda: make_links(both_ways(view.edges)))
 
 
 def subgraph(view: View, center: str, depth: int = 1, limit: int = 100) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,8 @@ from tidegraph.session import stage
 SPLIT_SHARE = 2048      # a node with more than 1/2048 of all links is split: at most 2048 such nodes
 SPLIT_ROWS = 200_000    # ... but never below this many links
 MERGE_EVERY = 12        # rounds after which the seen tables are rewritten as one
-TAIL = 8                # a round is small when it found less than an eighth of everything seen
+TAIL = 8                # a round is a tail round when it found less than an eighth of everything seen
+SMALL = 50_000          # rows that are not worth an extra stage
 
 
 @dataclass
@@ -27,6 +28,7 @@ class Links:
 
     rows: DataFrame
     hubs: DataFrame | None
+    size: int
 
     def expand(self, frontier: DataFrame, on: str = "node") -> DataFrame:
         """Join frontier rows (column ``on``) with their links."""
@@ -45,20 +47,20 @@ def make_links(rows: DataFrame, split_rows: int = SPLIT_ROWS) -> Links:
     total = rows.count()
     bound = max(split_rows, total // SPLIT_SHARE)
     if total <= bound:
-        return Links(rows, None)
+        return Links(rows, None, total)
     hubs = (
         rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > bound)
         .select("node", F.ceil(F.col("n") / bound).cast("int").alias("_slices"))
     )
     hubs = stage(hubs, "hubs")
     if hubs.isEmpty():
-        return Links(rows, None)
+        return Links(rows, None, total)
     cut = (
         rows.join(F.broadcast(hubs), "node", "left")
         .withColumn("_slice", F.pmod(F.xxhash64("next"), F.coalesce(F.col("_slices"), F.lit(1))).cast("int"))
         .drop("_slices")
     )
-    return Links(stage(cut, "sliced_links"), hubs)
+    return Links(stage(cut, "sliced_links"), hubs, total)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -85,11 +87,11 @@ class Seen:
     def without(self, rows: DataFrame) -> DataFrame:
         """Rows not seen yet.
 
-        After a small round the candidates are few: they are staged, and only the seen rows among them
-        take part, so that a long tail of small rounds does not shuffle everything seen again.
+        In a tail round the candidates are few: they are staged, and only the seen rows among them
+        take part, so that a long tail of rounds does not shuffle everything seen again.
         """
         seen = self.all().select(*self.keys)
-        if self.last * TAIL < self.size:
+        if self.size > SMALL and self.last * TAIL < self.size:
             rows = stage(rows, "candidates")
             seen = seen.join(rows.select(*self.keys), self.keys, "left_semi")
         return rows.join(seen, self.keys, "left_anti")
@@ -125,14 +127,17 @@ def levels(start: DataFrame, links: Links, depth: int | None = None, enough: int
     return seen.all()
 
 
-def reached(start: DataFrame, links: Links, hops: int = 2) -> DataFrame:
-    """Nodes reachable from the start nodes (column ``node``), those included; several hops per round."""
+def reached(start: DataFrame, links: Links) -> DataFrame:
+    """Nodes reachable from the start nodes (column ``node``), those included.
+
+    Two steps per round where all links together are few, as a round then costs more than its rows.
+    """
     frontier = stage(start.select("node").distinct(), "reached")
     seen = Seen(["node"])
     while seen.add(frontier):
         steps, step = [], frontier
-        for _ in range(hops):
-            step = links.expand(step.select("node")).select(F.col("next").alias("node")).distinct()
+        for _ in range(2 if links.size <= SMALL else 1):
+            step = links.expand(step.select("node")).select(F.col("next").alias("node"))
             steps.append(step)
         frontier = stage(seen.without(union(steps).distinct()), "reached")
     return seen.all()

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from threading import Lock
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, functions as F
 
 from tidegraph.functions import attributes as A
 from tidegraph.model import DEFAULT_CONTEXT, DEPENDENCY_TYPES, INFERRED, UNKNOWN
 from tidegraph.plans.resolve import evidence, moment, resolve_many
-from tidegraph.session import stage
+from tidegraph.session import stage, together
+
+T = TypeVar("T")
 
 
 @dataclass
@@ -35,13 +39,19 @@ class View:
     nodes: DataFrame
     edges: DataFrame
     log: DataFrame
-    _kept: dict[str, DataFrame] = field(default_factory=dict)
+    _kept: dict[str, object] = field(default_factory=dict)
+    _locks: dict[str, Lock] = field(default_factory=dict)
+
+    def once(self, name: str, make: Callable[[], T]) -> T:
+        """The result of ``make``, made on first use; operators may ask from several threads."""
+        with self._locks.setdefault(name, Lock()):
+            if name not in self._kept:
+                self._kept[name] = make()
+            return self._kept[name]
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A derived table several operators read: computed and staged on first use."""
-        if name not in self._kept:
-            self._kept[name] = stage(build(), name)
-        return self._kept[name]
+        return self.once(name, lambda: stage(build(), name))
 
     def of_type(self, *types: str) -> DataFrame:
         return self.nodes.where(F.col("type").isin(*types))
@@ -135,19 +145,20 @@ def open_views(graph: Graph, times: list[float | None], context: str | None = No
     context = context or DEFAULT_CONTEXT
     resolved = resolve_many(graph.assertions, times, context)
     states = stage(resolved, "states")
-    out = []
-    for n, t in enumerate(times):
-        nodes = stage(graph.nodes.join(_states(states, n, "node"), "id"), "live_nodes")
-        alive = nodes.select("id")
-        edges = (
-            graph.edges.drop("context").join(_states(states, n, "edge"), "id")
-            .join(alive.withColumnRenamed("id", "src"), "src", "left_semi")
-            .join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi")
-            .select("id", "type", "src", "dst", "value_json", "provenance", "confidence", "source",
-                    "valid_from", "valid_to", "winner", "contributors", "changes")
-        )
-        out.append(View(context, moment(t), nodes, stage(edges, "live_edges"), graph.assertions))
-    return out
+    return together([lambda n=n, t=t: _view(graph, states, n, moment(t), context) for n, t in enumerate(times)])
+
+
+def _view(graph: Graph, states: DataFrame, n: int, as_of: float, context: str) -> View:
+    nodes = stage(graph.nodes.join(_states(states, n, "node"), "id"), "live_nodes")
+    alive = nodes.select("id")
+    edges = (
+        graph.edges.drop("context").join(_states(states, n, "edge"), "id")
+        .join(alive.withColumnRenamed("id", "src"), "src", "left_semi")
+        .join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        .select("id", "type", "src", "dst", "value_json", "provenance", "confidence", "source",
+                "valid_from", "valid_to", "winner", "contributors", "changes")
+    )
+    return View(context, as_of, nodes, stage(edges, "live_edges"), graph.assertions)
 
 
 def open_view(graph: Graph, as_of: float | None = None, context: str | None = None) -> View:
