@@ -106,7 +106,7 @@ def impact_paths(view: View, roots: DataFrame | None = None) -> DataFrame:
     ``roots`` has one column ``id``; all live nodes by default. Depth 1 is directly affected.
     """
     starts = (view.nodes if roots is None else roots).select(F.col("id").alias("root"))
-    pairs = closure(starts, make_links(_dependent_links(view)), IMPACT_DEPTH)
+    pairs = closure(starts, _dependent_links(view), IMPACT_DEPTH)
     return pairs.where(F.col("root") != F.col("node")).select(
         F.col("root").alias("entity_id"), F.col("node").alias("affected_id"), "depth"
     )
@@ -177,7 +177,7 @@ def impact_scores(view: View) -> DataFrame:
 def blast_radius(view: View, node_id: str) -> DataFrame:
     """Everything downstream of one live node: id, type, name. On a cycle the node counts itself."""
     start = view.nodes.where(F.col("id") == node_id).select(F.col("id").alias("root"))
-    reached = closure(start, make_links(_dependent_links(view))).select(F.col("node").alias("id"), "depth")
+    reached = closure(start, _dependent_links(view)).select(F.col("node").alias("id"), "depth")
     return reached.join(view.attributes().select("id", "type", "name"), "id").select("id", "type", "name", "depth")
 
 
@@ -188,14 +188,22 @@ def cycles(view: View) -> DataFrame | None:
 
 def blast_counts(view: View, roots: DataFrame | None = None) -> DataFrame:
     """Exact size of the blast radius per root (column ``id``; all live nodes by default), in total
-    and per kind; zones and credentials count as UNKNOWN."""
+    and per kind; zones and credentials count as UNKNOWN. The table of all nodes is kept."""
+    if roots is None:
+        return view.keep("blast", lambda: _blast(view, view.nodes))
+    if view.has("blast"):
+        return blast_counts(view).join(roots.select("id"), "id", "left_semi")
+    return _blast(view, roots)
+
+
+def _blast(view: View, roots: DataFrame) -> DataFrame:
     kind = F.col("type")
     weights = view.nodes.select(
         F.col("id").alias("node"), F.lit(1).alias("total_impacted"),
         *[F.when(kind == k, 1).otherwise(0).alias(k.lower()) for k in COUNTED_KINDS],
         F.when(kind.isin(*COUNTED_KINDS), 0).otherwise(1).alias("unknown"),
     )
-    starts = (view.nodes if roots is None else roots).select(F.col("id").alias("node"))
+    starts = roots.select(F.col("id").alias("node"))
     counts = reach_counts(_dependent_links(view), weights, starts, cycles(view)).withColumnRenamed("node", "id")
     return starts.withColumnRenamed("node", "id").join(counts, "id", "left").na.fill(0)
 

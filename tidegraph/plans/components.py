@@ -128,7 +128,7 @@ def reach_counts(links: DataFrame, weights: DataFrame, roots: DataFrame, compone
         own = components.select("component").union(loops.select(F.col("node").alias("component"))).distinct()
     flat = flat.where(F.col("node") != F.col("next"))
     wanted = stage(wanted, "wanted")
-    pairs = closure(wanted.select(F.col("component").alias("root")).distinct(), make_links(flat)).select("root", "node")
+    pairs = closure(wanted.select(F.col("component").alias("root")).distinct(), flat).select("root", "node")
     itself = own.join(wanted.select("component").distinct(), "component", "left_semi").select(
         F.col("component").alias("root"), F.col("component").alias("node")
     )

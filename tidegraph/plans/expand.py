@@ -143,20 +143,30 @@ def reached(start: DataFrame, links: Links) -> DataFrame:
     return seen.all()
 
 
-def closure(roots: DataFrame, links: Links, depth: int | None = None) -> DataFrame:
+def with_ends(links: DataFrame) -> DataFrame:
+    """Links with ``open``: the next node has links of its own. Rows that end need not be expanded."""
+    starts = links.select(F.col("node").alias("next")).distinct().withColumn("open", F.lit(True))
+    return links.join(starts, "next", "left").select("node", "next", F.coalesce("open", F.lit(False)).alias("open"))
+
+
+def closure(roots: DataFrame, links: DataFrame, depth: int | None = None) -> DataFrame:
     """Reachable pairs (``root``, ``node``, ``depth``) over one or more links, all roots at once.
 
-    A root on a cycle reaches itself. ``roots`` has one column, ``root``.
+    A root on a cycle reaches itself. ``roots`` has one column, ``root``; ``links`` are (node, next).
     """
+    ways = make_links(with_ends(links))
     frontier = roots.select("root", F.col("root").alias("node"))
     seen = Seen(["root", "node"])
     level = 0
     while depth is None or level < depth:
         level += 1
-        found = links.expand(frontier.select("root", "node")).select("root", F.col("next").alias("node")).distinct()
+        found = ways.expand(frontier).select("root", F.col("next").alias("node"), "open").distinct()
         if seen.parts:
             found = seen.without(found)
-        frontier = stage(found.withColumn("depth", F.lit(level)), "pairs")
-        if seen.add(frontier) == 0:
+        fresh = stage(found.withColumn("depth", F.lit(level)), "pairs")
+        if seen.add(fresh) == 0:
             break
-    return seen.all()
+        frontier = fresh.where("open").select("root", "node")
+        if frontier.isEmpty():
+            break
+    return seen.all().drop("open")

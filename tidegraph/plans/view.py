@@ -53,6 +53,9 @@ class View:
         """A derived table several operators read: computed and staged on first use."""
         return self.once(name, lambda: stage(build(), name))
 
+    def has(self, name: str) -> bool:
+        return name in self._kept
+
     def of_type(self, *types: str) -> DataFrame:
         return self.nodes.where(F.col("type").isin(*types))
 
@@ -143,16 +146,15 @@ def _states(log: DataFrame, n: int, kind: str) -> DataFrame:
 def open_views(graph: Graph, times: list[float | None], context: str | None = None) -> list[View]:
     """Views at several times; the log is read and resolved once for all of them."""
     context = context or DEFAULT_CONTEXT
-    resolved = resolve_many(graph.assertions, times, context)
-    states = stage(resolved, "states")
-    return together([lambda n=n, t=t: _view(graph, states, n, moment(t), context) for n, t in enumerate(times)])
+    states = stage(resolve_many(graph.assertions, times, context), "states")
+    return together([lambda n=n, t=t: _view(graph, states, states, n, moment(t), context) for n, t in enumerate(times)])
 
 
-def _view(graph: Graph, states: DataFrame, n: int, as_of: float, context: str) -> View:
-    nodes = stage(graph.nodes.join(_states(states, n, "node"), "id"), "live_nodes")
+def _view(graph: Graph, node_states: DataFrame, edge_states: DataFrame, n: int, as_of: float, context: str) -> View:
+    nodes = stage(graph.nodes.join(_states(node_states, n, "node"), "id"), "live_nodes")
     alive = nodes.select("id")
     edges = (
-        graph.edges.drop("context").join(_states(states, n, "edge"), "id")
+        graph.edges.drop("context").join(_states(edge_states, n, "edge"), "id")
         .join(alive.withColumnRenamed("id", "src"), "src", "left_semi")
         .join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi")
         .select("id", "type", "src", "dst", "value_json", "provenance", "confidence", "source",
@@ -162,5 +164,10 @@ def _view(graph: Graph, states: DataFrame, n: int, as_of: float, context: str) -
 
 
 def open_view(graph: Graph, as_of: float | None = None, context: str | None = None) -> View:
-    """The view at one time; ``as_of=None`` is the latest state."""
-    return open_views(graph, [as_of], context)[0]
+    """The view at one time; ``as_of=None`` is the latest state.
+
+    Node and edge assertions are disjoint parts of the log, so each is resolved where it is joined.
+    """
+    context = context or DEFAULT_CONTEXT
+    parts = [resolve_many(graph.assertions.where(F.col("target_kind") == kind), [as_of], context) for kind in ("node", "edge")]
+    return _view(graph, *parts, 0, moment(as_of), context)

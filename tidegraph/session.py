@@ -24,6 +24,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even where that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # dictionary-coded ids are several times larger in memory than in Parquet: do not take them for small
+    "spark.sql.sources.fileCompressionFactor": "5.0",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
 }

@@ -49,11 +49,11 @@ def read_graph_json(spark: SparkSession, path: str) -> Graph:
 
 
 def _write(graph: Graph, path: str, mode: str) -> None:
-    """The log is laid out by context and time, so that a read as of a time skips the row groups after it."""
+    """The log is laid out by context, kind and time, so that a read as of a time skips the row groups after it."""
     for name in TABLES:
         rows = _typed(getattr(graph, name), name)
         if name == "assertions":
-            rows.repartitionByRange("context", "valid_from", "id").sortWithinPartitions("context", "valid_from").write.mode(mode).partitionBy("context").parquet(f"{path}/{name}")
+            rows.repartitionByRange("context", "target_kind", "valid_from", "id").sortWithinPartitions("context", "target_kind", "valid_from").write.mode(mode).partitionBy("context").parquet(f"{path}/{name}")
         else:
             rows.write.mode(mode).parquet(f"{path}/{name}")
 
