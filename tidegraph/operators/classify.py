@@ -32,6 +32,23 @@ SENSITIVITY_TAGS = {
 RESTRICTED_STORE_NAMES = ["customer", "user", "account", "billing", "payment"]
 INTERNAL_STORE_NAMES = ["log", "metrics", "telemetry"]
 SENSITIVE_SERVICE_NAMES = ["payment", "auth", "login"]
+TAG_EVIDENCE = "Explicit tag: %s"
+RESTRICTED_EVIDENCE = "Name implies sensitive data: %s"
+INTERNAL_EVIDENCE = "Name implies internal data: %s"
+STORE_EVIDENCE = "Datastores default to Confidential"
+SERVICE_EVIDENCE = "Service name implies sensitive handling: %s"
+INHERITED_EVIDENCE = "Connects to %s datastore (%s)"
+DEFAULT_EVIDENCE = "Default service classification"
+REASONS = {
+    "hub": "High connectivity (degree: %s)",
+    "busy": "Moderate connectivity (degree: %s)",
+    "needed": "High downstream dependency (%s assets depend on this)",
+    "used": "Provides services to %s downstream assets",
+    "internet": "Internet accessible",
+    "store": "Externally exposed datastore",
+    "restricted": "Processes or stores Restricted data",
+    "confidential": "Processes or stores Confidential data",
+}
 LEVELS = [(80, "Critical"), (50, "High"), (25, "Medium")]
 ROLES = ("team", "technical", "business")
 BUSY_KINDS = ("LoadBalancer", "BlobStorage")
@@ -68,14 +85,14 @@ def _own_sensitivity() -> Column:
     store, service = F.col("type") == "DATASTORE", F.col("type") == "SERVICE"
     out = None
     for level, tags in SENSITIVITY_TAGS.items():
-        verdict = _verdict(level, 1.0, "tag", F.concat(F.lit("Explicit tag: "), "sensitivity_tag"))
+        verdict = _verdict(level, 1.0, "tag", F.format_string(TAG_EVIDENCE, "sensitivity_tag"))
         hit = F.col("sensitivity_tag").isin(tags)
         out = F.when(hit, verdict) if out is None else out.when(hit, verdict)
     return (
-        out.when(store & _names(RESTRICTED_STORE_NAMES), _verdict("Restricted", 0.8, "name", F.concat(F.lit("Name implies sensitive data: "), "folded_name")))
-        .when(store & _names(INTERNAL_STORE_NAMES), _verdict("Internal", 0.7, "name", F.concat(F.lit("Name implies internal data: "), "folded_name")))
-        .when(store, _verdict("Confidential", 0.5, "type", F.lit("Datastores default to Confidential")))
-        .when(service & _names(SENSITIVE_SERVICE_NAMES), _verdict("Confidential", 0.7, "name", F.concat(F.lit("Service name implies sensitive handling: "), "folded_name")))
+        out.when(store & _names(RESTRICTED_STORE_NAMES), _verdict("Restricted", 0.8, "name", F.format_string(RESTRICTED_EVIDENCE, "folded_name")))
+        .when(store & _names(INTERNAL_STORE_NAMES), _verdict("Internal", 0.7, "name", F.format_string(INTERNAL_EVIDENCE, "folded_name")))
+        .when(store, _verdict("Confidential", 0.5, "type", F.lit(STORE_EVIDENCE)))
+        .when(service & _names(SENSITIVE_SERVICE_NAMES), _verdict("Confidential", 0.7, "name", F.format_string(SERVICE_EVIDENCE, "folded_name")))
         .when(~service, _verdict("Unknown", 0.0, "none", F.lit(None).cast("string")))
     )
 
@@ -98,9 +115,9 @@ def sensitivity(view: View) -> DataFrame:
         )
         inherited = F.struct(
             F.col("s.level").alias("level"), (F.col("s.confidence") * 0.9).alias("confidence"), F.lit("downstream").alias("evidence_kind"),
-            F.concat(F.lit("Connects to "), "s.level", F.lit(" datastore ("), "s.consumer", F.lit(")")).alias("evidence"),
+            F.format_string(INHERITED_EVIDENCE, "s.level", "s.consumer").alias("evidence"),
         )
-        default = _verdict("Internal", 0.4, "default", F.lit("Default service classification"))
+        default = _verdict("Internal", 0.4, "default", F.lit(DEFAULT_EVIDENCE))
         final = F.coalesce("v", F.when(F.col("s").isNotNull(), inherited), default)
         return own.join(passed, "id", "left").select("id", final.alias("f")).select("id", "f.*")
     return view.keep("sensitivity", build)
@@ -133,14 +150,14 @@ def assessment(view: View) -> DataFrame:
         internet = F.col("internet_asset") | F.col("internet_service")
         # (condition, points, reason), first match of each group
         groups = [
-            [(degree > 10, 20, F.concat(F.lit("High connectivity (degree: "), degree, F.lit(")"))),
-             (degree > 3, 10, F.concat(F.lit("Moderate connectivity (degree: "), degree, F.lit(")")))],
-            [(down > 5, 30, F.concat(F.lit("High downstream dependency ("), down, F.lit(" assets depend on this)"))),
-             (down > 0, 15, F.concat(F.lit("Provides services to "), down, F.lit(" downstream assets")))],
-            [(internet, 25, F.lit("Internet accessible"))],
-            [(F.col("exposed_store"), 40, F.lit("Externally exposed datastore"))],
-            [(F.col("sensitivity") == "Restricted", 40, F.lit("Processes or stores Restricted data")),
-             (F.col("sensitivity") == "Confidential", 25, F.lit("Processes or stores Confidential data"))],
+            [(degree > 10, 20, F.format_string(REASONS["hub"], degree)),
+             (degree > 3, 10, F.format_string(REASONS["busy"], degree))],
+            [(down > 5, 30, F.format_string(REASONS["needed"], down)),
+             (down > 0, 15, F.format_string(REASONS["used"], down))],
+            [(internet, 25, F.lit(REASONS["internet"]))],
+            [(F.col("exposed_store"), 40, F.lit(REASONS["store"]))],
+            [(F.col("sensitivity") == "Restricted", 40, F.lit(REASONS["restricted"])),
+             (F.col("sensitivity") == "Confidential", 25, F.lit(REASONS["confidential"]))],
         ]
         points, reasons = F.lit(0), []
         for group in groups:

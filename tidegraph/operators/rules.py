@@ -16,6 +16,16 @@ PRIORITY_STEPS = [(80, "CRITICAL"), (50, "HIGH"), (25, "MEDIUM")]
 EXPOSED_TITLE = "Exposed Database Detected"
 UNOWNED_TITLE = "Critical Asset Missing Ownership"
 IDENTITY_TITLE = "High Risk Identity Detected"
+EXPOSED_DESCRIPTION = "Database %s is internet reachable."
+EXPOSED_REASONS = ["Contains %s data", "Publicly accessible over the network", "Affects %s downstream dependencies"]
+UNOWNED_DESCRIPTION = "Highly critical asset %s lacks Team, Technical, or Business ownership."
+UNOWNED_REASONS = [
+    "Criticality score is %s",
+    "No direct or inherited ownership tags found",
+    "Incident response will be delayed without clear owners",
+]
+IDENTITY_DESCRIPTION = "Identity %s possesses excessive privileges or high risk score."
+IDENTITY_REASONS = ["Base risk score of %s", "Capable of impacting %s resources"]
 EXPOSED_ACTIONS = [
     "Restrict inbound traffic to trusted networks only",
     "Move the database into a private subnet",
@@ -26,6 +36,13 @@ UNOWNED_ACTIONS = [
     "Update the connected microservices to inherit ownership",
 ]
 IDENTITY_ACTIONS = ["Review current IAM policies", "Apply principle of least privilege", "Ensure MFA is enforced"]
+GAPS = [
+    # short name, title, action, category
+    ("own", "Unowned Asset Detected", "Assign Technical or Team Owner", "OWNERSHIP_GAP"),
+    ("env", "Unclassified Asset", "Tag with valid environment (Prod, Staging, Dev)", "CLASSIFICATION_GAP"),
+    ("sens", "Sensitive Data Missing Business Owner", "Assign Business Owner accountable for data", "ACCOUNTABILITY_GAP"),
+]
+FAILURE_REASON = "Failed due to %s risk: %s"
 FRAMEWORKS = ["CIS", "NIST", "ISO 27001", "SOC 2", "PCI DSS"]
 CONTROLS = [
     # framework, control id, title
@@ -51,6 +68,7 @@ REASONING = {
     "EXPOSURE": ("Rule Matched: Exposed Asset Detection", "Asset is internet reachable without restrictive boundaries."),
     "DATA_PROTECTION": ("Rule Matched: Sensitive Data Protection", "Asset contains sensitive data and lacks strict access controls."),
 }
+REASONING_NOTE = "Deterministic rule evaluation matched critical threshold."
 DEFAULT_REASONING = ("Rule Matched: General Best Practices", "Asset flagged by intelligence engine.")
 NEW_DAYS, DORMANT_DAYS = 1, 30
 # --------------------------------------------------------------------------
@@ -69,10 +87,16 @@ def _texts(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _rule(condition: Column, number: int, short: str, category: str, title: str, description: Column, reasons: list[Column], actions: list[str]) -> Column:
+def _filled(templates: list[str], *values: str) -> list[Column]:
+    """Texts with ``%s`` replaced by the columns, in order; texts without a mark stay as they are."""
+    left = list(values)
+    return [F.format_string(t, left.pop(0)) if "%s" in t else F.lit(t) for t in templates]
+
+
+def _rule(condition: Column, number: int, short: str, category: str, title: str, description: str, reasons: list[Column], actions: list[str]) -> Column:
     return F.when(condition, F.struct(
         F.lit(number).alias("rule"), F.concat(F.lit(f"rec-{short}-"), "id").alias("id"), F.lit(category).alias("category"), F.lit(title).alias("title"),
-        description.alias("description"), F.array(*reasons).alias("reasons"), _texts(actions).alias("actions"),
+        F.format_string(description, "name").alias("description"), F.array(*reasons).alias("reasons"), _texts(actions).alias("actions"),
     ))
 
 
@@ -90,16 +114,13 @@ def recommendations(view: View) -> DataFrame:
         blast = blast_counts(view, named.select("id")).select("id", "total_impacted")
         full = named.join(blast, "id")
         exposed = F.col("internet_asset") | F.col("internet_service") | exposed_store
-        reach = F.col("total_impacted")
+        reach = "total_impacted"
         rules = F.array_compact(F.array(
-            _rule(exposed_store, 1, "exp-db", "EXPOSURE", EXPOSED_TITLE, F.format_string("Database %s is internet reachable.", "name"),
-                  [F.format_string("Contains %s data", "sensitivity"), F.lit("Publicly accessible over the network"), F.format_string("Affects %s downstream dependencies", reach)], EXPOSED_ACTIONS),
-            _rule(unowned, 2, "own", "CRITICAL_ASSET", UNOWNED_TITLE, F.format_string("Highly critical asset %s lacks Team, Technical, or Business ownership.", "name"),
-                  [F.format_string("Criticality score is %s", "business_score"), F.lit("No direct or inherited ownership tags found"), F.lit("Incident response will be delayed without clear owners")], UNOWNED_ACTIONS),
-            _rule(risky, 3, "id", "IDENTITY", IDENTITY_TITLE, F.format_string("Identity %s possesses excessive privileges or high risk score.", "name"),
-                  [F.format_string("Base risk score of %s", "risk"), F.format_string("Capable of impacting %s resources", reach)], IDENTITY_ACTIONS),
+            _rule(exposed_store, 1, "exp-db", "EXPOSURE", EXPOSED_TITLE, EXPOSED_DESCRIPTION, _filled(EXPOSED_REASONS, "sensitivity", reach), EXPOSED_ACTIONS),
+            _rule(unowned, 2, "own", "CRITICAL_ASSET", UNOWNED_TITLE, UNOWNED_DESCRIPTION, _filled(UNOWNED_REASONS, "business_score"), UNOWNED_ACTIONS),
+            _rule(risky, 3, "id", "IDENTITY", IDENTITY_TITLE, IDENTITY_DESCRIPTION, _filled(IDENTITY_REASONS, "risk", reach), IDENTITY_ACTIONS),
         ))
-        severity = priority(F.col("risk"), exposed, F.col("business_score"), F.col("sensitivity"), reach)
+        severity = priority(F.col("risk"), exposed, F.col("business_score"), F.col("sensitivity"), F.col(reach))
         return full.select(F.col("id").alias("node_id"), severity.alias("severity"), F.explode(rules).alias("r")).select(
             "r.id", "severity", "r.category", "r.title", "r.description", "r.reasons", "r.actions", F.array("node_id").alias("affected_nodes"), "node_id", "r.rule"
         )
@@ -120,20 +141,17 @@ def recommendation_by_id(view: View, rec_id: str) -> DataFrame:
 
 def governance(view: View) -> DataFrame:
     """Ownership, classification and accountability gaps."""
-    def gap(condition: Column, number: int, short: str, title: str, severity: Column, action: str, category: str) -> Column:
-        return F.when(condition, F.struct(
+    unowned = ~F.col("owned") & F.col("type").isin("ASSET", "DATASTORE", "SERVICE")
+    unclassified = (F.col("environment") == "Unknown") & F.col("type").isin("ASSET", "DATASTORE")
+    unaccounted = F.col("sensitivity").isin("Restricted", "Confidential") & F.col("business").isNull()
+    severities = [F.when(F.col("environment") == "Production", "HIGH").otherwise("MEDIUM"), F.lit("MEDIUM"), F.lit("CRITICAL")]
+    gaps = F.array_compact(F.array(*[
+        F.when(condition, F.struct(
             F.lit(number).alias("rule"), F.concat(F.lit(f"gov-{short}-"), "id").alias("id"), F.lit(title).alias("title"), severity.alias("severity"),
             F.lit(action).alias("action"), F.lit(category).alias("category"),
         ))
-
-    gaps = F.array_compact(F.array(
-        gap(~F.col("owned") & F.col("type").isin("ASSET", "DATASTORE", "SERVICE"), 1, "own", "Unowned Asset Detected",
-            F.when(F.col("environment") == "Production", "HIGH").otherwise("MEDIUM"), "Assign Technical or Team Owner", "OWNERSHIP_GAP"),
-        gap((F.col("environment") == "Unknown") & F.col("type").isin("ASSET", "DATASTORE"), 2, "env", "Unclassified Asset", F.lit("MEDIUM"),
-            "Tag with valid environment (Prod, Staging, Dev)", "CLASSIFICATION_GAP"),
-        gap(F.col("sensitivity").isin("Restricted", "Confidential") & F.col("business").isNull(), 3, "sens", "Sensitive Data Missing Business Owner",
-            F.lit("CRITICAL"), "Assign Business Owner accountable for data", "ACCOUNTABILITY_GAP"),
-    ))
+        for number, (condition, severity, (short, title, action, category)) in enumerate(zip([unowned, unclassified, unaccounted], severities, GAPS), 1)
+    ]))
     rows = assessment(view).select(F.col("id").alias("target_id"), F.col("name").alias("target_name"), F.explode(gaps).alias("g"))
     return rows.select("g.id", "g.title", "g.severity", "g.action", "target_id", "target_name", "g.category", "g.rule")
 
@@ -154,7 +172,7 @@ def control_failures(view: View) -> DataFrame:
     hits = recs.join(F.broadcast(mapping), "category").where(F.contains("title", "fragment"))
     return hits.join(F.broadcast(_catalogue(view)), "control_id").select(
         "framework", "control_id", "control_title", "recommendation_id", "node_id", "rule", "severity", "title",
-        F.format_string("Failed due to %s risk: %s", "severity", "title").alias("reason"), F.col("affected_nodes").alias("evidence_nodes"),
+        F.format_string(FAILURE_REASON, "severity", "title").alias("reason"), F.col("affected_nodes").alias("evidence_nodes"),
     )
 
 
@@ -232,6 +250,6 @@ def reasoning(recs: DataFrame) -> DataFrame:
         F.transform("affected_nodes", lambda n: F.struct(n.alias("node_id"), text.alias("description"))),
     )
     return recs.select(
-        F.col("id").alias("target_id"), F.lit("RECOMMENDATION").alias("type"), F.lit("Deterministic rule evaluation matched critical threshold.").alias("reasoning"),
+        F.col("id").alias("target_id"), F.lit("RECOMMENDATION").alias("type"), F.lit(REASONING_NOTE).alias("reasoning"),
         F.concat(F.lit("Reasoning for "), "title").alias("description"), steps.alias("steps"),
     )

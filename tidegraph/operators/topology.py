@@ -8,7 +8,7 @@ from tidegraph.functions.bands import path_severity
 from tidegraph.functions.ids import finding_id
 from tidegraph.model import DEPENDENCY_TYPES
 from tidegraph.plans.components import cyclic_components, reach_counts
-from tidegraph.plans.expand import Links, Seen, both_ways, closure, levels, make_links
+from tidegraph.plans.expand import Links, Seen, both_ways, closure, levels, make_links, reached
 from tidegraph.plans.view import View
 from tidegraph.session import stage
 
@@ -176,9 +176,10 @@ def impact_scores(view: View) -> DataFrame:
 
 def blast_radius(view: View, node_id: str) -> DataFrame:
     """Everything downstream of one live node: id, type, name. On a cycle the node counts itself."""
-    start = view.nodes.where(F.col("id") == node_id).select(F.col("id").alias("root"))
-    reached = closure(start, _dependent_links(view)).select(F.col("node").alias("id"), "depth")
-    return reached.join(view.attributes().select("id", "type", "name"), "id").select("id", "type", "name", "depth")
+    links = _dependent_links(view)
+    first = links.where(F.col("node") == node_id).select(F.col("next").alias("node"))
+    found = reached(first, make_links(links)).select(F.col("node").alias("id"))
+    return view.attributes().select("id", "type", "name").join(found, "id", "left_semi")
 
 
 def cycles(view: View) -> DataFrame | None:
