@@ -1038,7 +1038,7 @@ def streaming_winners(spark, folder):
 def streaming_states(spark, folder):
     """Finite validity too: touched targets are resolved again from the log."""
     log, out = scratch(spark, "log"), scratch(spark, "states")
-    sg.keep_states(_assertion_stream(spark, folder), log, out, scratch(spark, "state"), as_of=MID).awaitTermination()
+    sg.keep_states(_assertion_stream(spark, folder), log, out, scratch(spark, "state"), as_of=MID, buckets=4).awaitTermination()
     return sg.current_states(spark, out).select("context", "target_id", "winner", "provenance", "contributors")
 
 

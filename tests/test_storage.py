@@ -200,5 +200,5 @@ def test_expired_winner_gives_way(spark, tmp_path):
     for t, winner in ((5.0, "a0000"), (15.0, "a0001")):
         base = str(tmp_path / str(t))
         stream = spark.readStream.schema(log.schema).parquet(source)
-        sg.keep_states(stream, f"{base}/log", f"{base}/states", f"{base}/state", as_of=t).awaitTermination()
+        sg.keep_states(stream, f"{base}/log", f"{base}/states", f"{base}/state", as_of=t, buckets=4).awaitTermination()
         assert rows(sg.current_states(spark, f"{base}/states"), "winner") == [(winner,)]
