@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegraph.llm import decontaminate, packing, simhash
-from tidegraph.llm.common import table
+from tidegraph.llm import decontaminate, packing, simhash, token_counts, token_shards
+from tidegraph.llm.common import own_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +19,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op3_perfect_hash_shards(spark, folder):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    store = token_shards.write(table(spark, folder, "documents"), own_folder(spark, "token_shards"), path, end_id=1)
+    return token_shards.read(spark, store).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op5_simhash_groups(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"), width=4, half=2)
@@ -32,6 +39,11 @@ def op7_minimum_bin_slack(spark, folder):
     return packing.packed(pieces, 1024).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op9_rank_synchronous_counts(spark, folder):
+    return token_counts.with_token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op10_benchmark_windows(spark, folder):
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10)
