@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegraph.llm import decontaminate, packing, simhash, token_counts, token_shards
+from tidegraph.llm import decontaminate, packing, secret_scan, simhash, token_counts, token_shards
 from tidegraph.llm.common import own_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,13 @@ def op7_minimum_bin_slack(spark, folder):
     return packing.packed(pieces, 1024).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op8_markov_secrets(spark, folder):
+    found = secret_scan.secrets(table(spark, folder, "documents"), ["doc_id"])
+    counts = [secret_scan.of_kind("base", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listed("base").cast("binary"), 256).alias("base_sha256"), secret_scan.listed("spans").alias("spans"))
+
+
 @query
 def op9_rank_synchronous_counts(spark, folder):
     return token_counts.with_token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
