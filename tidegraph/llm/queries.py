@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegraph.llm import decontaminate, packing, secret_scan, simhash, token_counts, token_shards
+from tidegraph.llm import decontaminate, packing, secret_scan, simhash, token_counts, token_shards, warc
 from tidegraph.llm.common import own_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,21 @@ def op5_simhash_groups(spark, folder):
     return found.select("doc_id", simhash.hex_of("fingerprint").alias("fingerprint"), "component_id")
 
 
+@query
+def op6_warc_salvage(spark, folder):
+    found = warc.archived(spark, table(spark, folder, "pages"), own_folder(spark, "warc")).where(F.col("reason").isNull())
+    return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+
+
+ORACLE["op6_warc_salvage"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, payload_bytes, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest, payload_bytes)
+"""
+
+
 @query
 def op7_minimum_bin_slack(spark, folder):
     docs = table(spark, folder, "documents")
