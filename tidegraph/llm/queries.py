@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegraph.llm import decontaminate, packing, secret_scan, simhash, token_counts, token_shards, warc
+from tidegraph.llm import decontaminate, embedding_dedup, packing, secret_scan, simhash, token_counts, token_shards, warc
 from tidegraph.llm.common import own_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,23 @@ def op3_perfect_hash_shards(spark, folder):
     return token_shards.read(spark, store).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op4_collision_counting(spark, folder):
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"), cosine=0.93)
+
+
+ORACLE["op4_collision_counting"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) = len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+walk(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT w.vec_id, l.b FROM walk w JOIN links l ON w.other = l.a),
+component AS (SELECT vec_id, min(other) AS component_id FROM walk GROUP BY vec_id),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM component LEFT JOIN degree USING (vec_id)
+"""
+
+
 @query
 def op5_simhash_groups(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"), width=4, half=2)
