@@ -11,13 +11,16 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from itertools import islice
+from re import Pattern
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+from tidegraph.llm.tokenization import BYTE_LEVEL, PLAIN, byte_characters, plain_pattern
+
+_ANY, _OF_PLAIN = regex.compile(BYTE_LEVEL), plain_pattern(BYTE_LEVEL)
 #: Distinct pre-tokens a worker remembers; symbols merged in one array; pre-tokens of a long text looked at once.
 KEPT, SYMBOLS, AT_ONCE = 600_000, 1 << 20, 200_000
 _NONE = np.iinfo(np.int32).max
@@ -31,11 +34,8 @@ def merges(path: str) -> "Merges":
     return _tables[path]
 
 
-def _byte_characters() -> dict[str, int]:
-    """Byte of each character that stands for one in byte-level vocabularies: printable ones stand for themselves."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+def _split(text: str) -> Pattern:
+    return _OF_PLAIN if PLAIN.fullmatch(text) else _ANY
 
 
 class Merges:
@@ -53,7 +53,7 @@ class Merges:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         vocabulary = model["vocab"]
         self.first = np.zeros(256, np.int64)
-        for c, b in _byte_characters().items():
+        for b, c in enumerate(byte_characters()):
             self.first[b] = vocabulary[c]
         self.size = max(vocabulary.values()) + 1
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -140,9 +140,9 @@ class Merges:
     def pieces(self, text: str) -> Iterator[list[str]]:
         """Pre-tokens of a text, at most ``AT_ONCE`` at once."""
         if len(text) <= AT_ONCE:
-            yield _SPLIT.findall(text)
+            yield _split(text).findall(text)
             return
-        found = _SPLIT.finditer(text)
+        found = _split(text).finditer(text)
         while part := [m.group() for m in islice(found, AT_ONCE)]:
             yield part
 
@@ -161,7 +161,7 @@ class Merges:
         fresh: set[str] = set()
         for k, text in enumerate(texts):
             if text and len(text) <= AT_ONCE and not (self.special and self.special.search(text)):
-                short[k] = _SPLIT.findall(text)
+                short[k] = _split(text).findall(text)
                 fresh.update(short[k])
         self.learn(fresh)
         return [self._known(short.pop(k)) if k in short else self.count(text) for k, text in enumerate(texts)]

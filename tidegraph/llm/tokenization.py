@@ -1,8 +1,7 @@
 """Exact ids of a tokenizers file, with each worker encoding a distinct pre-token only once.
 
 A tokenizer without merges across pre-tokens gives a text the ids of its pre-tokens, one after the other. The library
-encodes the pre-tokens that a worker has not seen yet, in batches; all others come from a table of bounded
-size. That holds where the split into pre-tokens is certain: texts with rarer characters (where Unicode tables of two
+encodes the pre-tokens that a worker has not seen yet; all others come from a table of bounded size. That holds where the split into pre-tokens is certain: texts with rarer characters (where Unicode tables of two
 libraries could differ) or with a special token's string go to the library whole.
 """
 
@@ -10,20 +9,51 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import struct
+import unicodedata
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import regex
 
-#: Characters on which normalization, case and character classes are beyond doubt.
-_PLAIN = regex.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞₠-₿]*")
-_SPACES = regex.compile("[\t\n\r ]+")
-_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters on which normalization, case and character classes are beyond doubt, as ranges.
+_RANGES = [(0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF)]
+_SPACES = re.compile("[\t\n\r ]+")
+#: Pre-tokens of byte-level tokenizers.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT, AT_ONCE = 600_000, 200_000
 _encoders: dict[str, "Encoder"] = {}
 
 
+def _class(codes: list[int]) -> str:
+    """Inside of a character class."""
+    edges = [k for k in range(len(codes)) if k == 0 or codes[k] != codes[k - 1] + 1]
+    return "".join(rf"\u{codes[a]:04x}-\u{codes[z - 1]:04x}" for a, z in zip(edges, [*edges[1:], len(codes)]))
+
+
+_CODES = [c for a, z in _RANGES for c in range(a, z + 1)]
+PLAIN = re.compile(f"[{_class(_CODES)}]*")
+
+
+def plain_pattern(pattern: str) -> re.Pattern:
+    r"""``pattern`` for texts of plain characters only: \p{L} and \p{N} are spelt out, which the faster library needs.
+
+    Both classes must stand within brackets or are put there.
+    """
+    for kind in "LN":
+        inside = _class([c for c in _CODES if unicodedata.category(chr(c))[0] == kind])
+        pattern = re.sub(rf"\[(\^?[^\]]*)\\p\{{{kind}\}}", lambda m: f"[{m[1]}{inside}", pattern).replace(rf"\p{{{kind}}}", f"[{inside}]")
+    return re.compile(pattern)
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones stand for themselves."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 def encoder(path: str) -> "Encoder":
     """One per worker and file."""
     if path not in _encoders:
@@ -44,19 +74,20 @@ class Encoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pattern, self.fold = self._split(spec)
         self.table: dict[str, bytes] = {}
+        self.shown = dict(enumerate(byte_characters()))
 
     @staticmethod
-    def _split(spec: dict) -> tuple[regex.Pattern | None, bool]:
+    def _split(spec: dict) -> tuple[re.Pattern | None, bool]:
         """The pattern of pre-tokens, and whether texts are lower-cased with single spaces first; None if neither form is known."""
         before, split = spec["normalizer"], spec["pre_tokenizer"] or {}
         if before is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]:
-            return regex.compile(_BYTE_LEVEL), False
+            return plain_pattern(BYTE_LEVEL), False
         parts = split.get("pretokenizers", [])
         if before and [n["type"] for n in before.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"]:
             replace = before["normalizers"][1]
             first, second = parts
             if replace["pattern"] == {"Regex": r"\s+"} and replace["content"] == " " and first["behavior"] == "Removed" and first["invert"] and not second["use_regex"] and not second["add_prefix_space"]:
-                return regex.compile(first["pattern"]["Regex"]), True
+                return plain_pattern(first["pattern"]["Regex"]), True
         return None, False
 
     @property
@@ -66,7 +97,7 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         """All ids as little-endian unsigned 32-bit integers."""
         text = text or ""
-        if self.pattern is None or any(s in text for s in self.special) or not _PLAIN.fullmatch(text):
+        if self.pattern is None or any(s in text for s in self.special) or not PLAIN.fullmatch(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.fold:
             text = _SPACES.sub(" ", text).lower()
@@ -88,8 +119,8 @@ class Encoder:
         if len(self.table) + len(fresh) > self.kept:
             self.table.clear()
             fresh = list(set(parts))
-        for k in range(0, len(fresh), 4096):
-            some = fresh[k:k + 4096]
-            for part, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.table[part] = np.array(found.ids, "<u4").tobytes()
+        model, shown = self.library.model, self.shown
+        for part in fresh:  # both tokenizers spell the bytes of a pre-token as characters before their model sees it
+            ids = [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(shown))]
+            self.table[part] = struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.table.__getitem__, parts))
