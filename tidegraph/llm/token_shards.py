@@ -158,7 +158,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
                 continue
             if out is None:
                 store.create_dir(path, recursive=True)
-                out = store.open_output_stream(f"{path}/{name}.bin")
+                out = store.open_output_stream(f"{path}/{name}.bin", compression=None)
             null.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
             keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
             for text in batch.column(1).to_pylist():
@@ -170,7 +170,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
         out.close()
         offset = np.concatenate([[0], np.cumsum(length)]).astype("<i8")
         index = Index.build(np.concatenate(keys), np.concatenate(null), offset)
-        with store.open_output_stream(f"{path}/{name}.idx") as f:
+        with store.open_output_stream(f"{path}/{name}.idx", compression=None) as f:
             f.write(index.to_bytes())
         real = index.keys[~index.null]
         row = (part, name, codes.id_type, len(length), int(offset[-1]), int(real[0]) if len(real) else None, int(real[-1]) if len(real) else None)
