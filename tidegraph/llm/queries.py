@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegraph.llm import decontaminate, embedding_dedup, packing, secret_scan, simhash, token_counts, token_shards, warc
+from tidegraph.llm import decontaminate, embedding_dedup, language, packing, secret_scan, simhash, token_counts, token_shards, warc
 from tidegraph.llm.common import own_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_string_kernel_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language.learn(docs.where(~held_out).select("text", "lang"))
+    return language.identified(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op3_perfect_hash_shards(spark, folder):
     path = public_tokenizers.path("word_bpe_49k.json")
