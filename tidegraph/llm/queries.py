@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegraph.llm import decontaminate, embedding_dedup, language, packing, secret_scan, simhash, token_counts, token_shards, warc
+from tidegraph.llm import decontaminate, embedding_dedup, language, packing, secret_scan, simhash, token_counts, token_shards, toxicity, warc
 from tidegraph.llm.common import own_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_ordinal_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.learn_from(docs, table(spark, folder, "labels"))
+    return toxicity.scored(docs, model, ["doc_id"])
+
+
 @query
 def op2_string_kernel_language(spark, folder):
     docs = table(spark, folder, "documents")
