@@ -32,6 +32,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def own_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``."""
     return f"{staging_root(spark)}/{next(_counter):06d}_{name}"

@@ -278,3 +278,10 @@ def contamination(
         current = current.mapInArrow(lambda b, block=block, last=last: _join(block, last, b), f"{narrow}, n_words bigint, n_hit bigint" if last else wide)
         block = following
     return current.select(F.col("id").alias(id_column), "n_words", "n_hit", "items", "spans", *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows without a hit, with all columns as they are."""
+    names = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    found = contamination(documents.toDF(*names.values()), benchmark, window, names[id_column], names[text_column], keep=tuple(n for c, n in names.items() if c != id_column))
+    return found.where(F.col("n_hit") == 0).select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -131,6 +131,18 @@ def secrets(documents: DataFrame, keep: list[str], text_column: str = "text", ra
     return rows.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
+def without_secrets(documents: DataFrame, text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """All rows, with secrets in their text replaced; where that changes a text, ``length_column``, if there is one, is its new length.
+
+    Other columns stay as they are.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    found = secrets(documents.toDF(*names.values()), list(names.values()), names[text_column])
+    text = redacted(F.col(names[text_column]), F.col("spans"))
+    new = {text_column: text, length_column: F.when(F.size("spans") > 0, F.length(text)).otherwise(F.col(names.get(length_column, names[text_column]))) if length_column in names else None}
+    return found.select(*[(new[c] if c in new else F.col(n)).cast(documents.schema[c].dataType).alias(c) for c, n in names.items()])
+
+
 def listed(spans: str) -> Column:
     """kind:start:end, comma-joined."""
     kinds = F.array(*[F.lit(k) for k in KINDS])

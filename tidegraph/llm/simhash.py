@@ -8,6 +8,9 @@ where they meet. The prefix grows with the number of distinct fingerprints, so a
 
 All members of one variant lie within the radius of each other, so links between neighbours in the sorted variants
 suffice: a group of a million near copies gives a chain, not 10^12 pairs. Every link is checked by its distance.
+
+``near_duplicates`` links by the distance of one fingerprint. ``similar_groups`` links by the similarity of shingle sets: it
+finds candidates in several shorter fingerprints, in the same way, and verifies them exactly.
 """
 
 from __future__ import annotations
@@ -18,9 +21,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tidegraph.llm.common import local_roots, staged_at
+from tidegraph.llm.common import drop_folder, free_name, local_roots, staged_at
 from tidegraph.llm.components import connected
 
 SEED = 42
@@ -45,11 +48,18 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 def fingerprint(text: str | None, width: int) -> int:
     """64 bits; a bit is set if it is set in more than half of the shingle hashes. No words: 0."""
     hashes = shingle_hashes(text, width)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 14):
-        part = hashes[k:k + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+    return int.from_bytes(np.packbits(2 * _ones(hashes[:, None]) > len(hashes)).tobytes(), "big", signed=True)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """Rows (of 64 bits a column) in which each bit is set, the highest bit of the first column first."""
+    total = np.zeros(64 * hashes.shape[1], np.int64)
+    for k in range(0, len(hashes), 250 * 64):
+        bits = np.unpackbits(hashes[k:k + 250 * 64].astype(">u8").view(np.uint8), axis=1)
+        whole = len(bits) // 250 * 250  # sums of up to 255 bits fit a byte
+        total += bits[:whole].reshape(-1, 250, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        total += bits[whole:].sum(axis=0, dtype=np.int64)
+    return total
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, width: int = 5) -> DataFrame:
@@ -80,8 +90,8 @@ def _binomial(n: int, k: int) -> int:
     return out
 
 
-def _meetings(values: np.ndarray, rows: np.ndarray, used: np.ndarray, bits: int, half: int, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that share a variant of the lowest ``bits`` bits, next to each other in sorted order.
+def _meetings(values: np.ndarray, rows: np.ndarray, used: np.ndarray, bits: int, half: int, at_once: int, ahead: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that share a variant of the lowest ``bits`` bits: each row with the ``ahead`` next ones of the variant.
 
     ``used``: flips already spent on the bits above. Variants are made in slices by their next bit, so that at most about
     ``at_once`` are in memory.
@@ -92,7 +102,7 @@ def _meetings(values: np.ndarray, rows: np.ndarray, used: np.ndarray, bits: int,
         for bit in (0, 1):
             spent = used + (top ^ bit)
             keep = spent <= half
-            yield from _meetings(values[keep], rows[keep], spent[keep], bits - 1, half, at_once)
+            yield from _meetings(values[keep], rows[keep], spent[keep], bits - 1, half, at_once, ahead)
         return
     low = np.uint64((1 << bits) - 1)
     made, owners = [], []
@@ -104,10 +114,16 @@ def _meetings(values: np.ndarray, rows: np.ndarray, used: np.ndarray, bits: int,
     variants, owner = np.concatenate(made), np.concatenate(owners)
     order = np.argsort(variants)
     variants, owner = variants[order], owner[order]
-    same = np.flatnonzero(variants[1:] == variants[:-1])
-    if len(same):
-        pairs = np.unique(np.sort(np.stack([owner[same], owner[same + 1]], axis=1), axis=1), axis=0)
-        yield pairs[:, 0], pairs[:, 1]
+    same = variants[1:] == variants[:-1]
+    met = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same])) if len(order) else order
+    variants, owner = variants[met], owner[met]
+    order = np.lexsort((owner, variants))
+    variants, owner = variants[order], owner[order]
+    for step in range(1, ahead + 1):
+        same = np.flatnonzero(variants[step:] == variants[:-step])
+        if len(same):
+            pairs = np.unique(owner[same] * np.int64(rows.max() + 1) + owner[same + step])
+            yield pairs // (rows.max() + 1), pairs % (rows.max() + 1)
 
 
 def links(fingerprints: DataFrame, column: str, half: int = 2, per_task: int = PER_TASK, at_once: int = AT_ONCE) -> DataFrame:
@@ -169,3 +185,163 @@ def near_duplicates(documents: DataFrame, width: int = 5, half: int = 2, id_colu
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = named.select("value", "component").join(least, "component").select("value", "component_id")
     return rows.join(ids, "value").select(F.col("id").alias(id_column), F.col("value").alias("fingerprint"), "component_id")
+
+
+#: Independent fingerprints of a text for the search by similarity, and the bits of each.
+TABLES, BITS = 12, 40
+#: Members of a variant that each member is compared with, in the order of the texts' least shingle.
+AHEAD = 3
+
+
+def signature(shingles: np.ndarray, tables: int = TABLES, bits: int = BITS) -> list[int]:
+    """``tables`` fingerprints of ``bits`` bits of a set of shingle hashes."""
+    columns = -(-tables * bits // 64)
+    seeds = np.arange(1, columns + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = shingles[:, None] ^ seeds[None, :]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    set_ = 2 * _ones(h ^ (h >> np.uint64(31))) > len(shingles)
+    weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+    return (set_[:tables * bits].reshape(tables, bits) @ weights).tolist()
+
+
+def overlap(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sorted sets of 32-bit hashes; two empty sets are equal."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if not len(x) and not len(y):
+        return 1.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def _candidates(nodes: DataFrame, half: int, at_once: int) -> DataFrame:
+    """Distinct (a, b) of nodes, a < b, with a fingerprint within ``2 * half`` bits of each other; ``nodes``: node, signature."""
+    prefix_bits = min(16, max(4, int(np.ceil(np.log2(max(1, nodes.count() * _ball_size(BITS, half) / (4 * PER_TASK)))))))
+    rest = BITS - prefix_bits
+    masks = [(int(m), int(bin(int(m)).count("1"))) for m in _ball(prefix_bits, half)]
+    reach = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(u).alias("used")) for m, u in masks])
+    visits = (
+        nodes.select("node", F.posexplode("signature").alias("part", "value")).select("node", "part", "value", F.explode(reach).alias("r"))
+        .select("node", "part", F.shiftrightunsigned("value", rest).bitwiseXOR(F.col("r.mask")).alias("prefix"), "value", F.col("r.used").cast("byte").alias("used"))
+    )
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        node, values = pdf["node"].to_numpy(np.int64), pdf["value"].to_numpy(np.int64).view(np.uint64)
+        used, rows = pdf["used"].to_numpy(np.int64), np.arange(len(pdf))
+        codes, fresh, kept = np.zeros(0, np.int64), [], 0
+        for x, y in _meetings(values, rows, used, rest, half, at_once, AHEAD):
+            near = np.bitwise_count(values[x] ^ values[y]) <= 2 * half
+            fresh.append(x[near] * len(rows) + y[near])
+            kept += len(x)
+            if kept > at_once:
+                codes, fresh, kept = np.unique(np.concatenate([codes, *fresh])), [], 0
+        codes = np.unique(np.concatenate([codes, *fresh]))
+        return pd.DataFrame({"a": node[codes // len(rows)], "b": node[codes % len(rows)]})
+
+    return visits.groupBy("part", "prefix").applyInPandas(meet, "a long, b long").distinct()
+
+
+def similar_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5, half: int = 2, text_column: str = "text", at_once: int = AT_ONCE) -> DataFrame:
+    """(digest, component) of every distinct text, digest its SHA-256; texts linked, over others too, share a component.
+
+    A link is a Jaccard similarity of at least ``similarity`` of the sets of ``width``-word shingles (fewer words: all of them
+    are one shingle), verified exactly. Candidates are pairs that agree within ``2 * half`` bits in one of ``TABLES``
+    independent fingerprints of ``BITS`` bits, so a pair of similarity 0.8 is found with a probability of about 0.97 and one
+    of 0.85 with 0.999; in a variant that more than ``AHEAD`` texts share, each is compared with the next ones, in an order that has
+    near copies side by side. Of the candidates, each round verifies the most promising few of every text and
+    drops those that lie within a component by then. Null is the empty text. An empty table gives no rows.
+    """
+    spark = documents.sparkSession
+    folders: list[str] = []
+
+    def hold(df: DataFrame, name: str) -> DataFrame:
+        stored, path = staged_at(spark, df, name)
+        folders.append(path)
+        return stored
+
+    text = F.coalesce(F.col(text_column), F.lit(""))
+
+    @F.pandas_udf("signature array<long>, shingles binary, lead long")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            hashes = np.unique(shingle_hashes(t, width))
+            out.append((signature(hashes), np.unique(hashes.astype("<u4")).tobytes(), int(hashes[0].view(np.int64)) if len(hashes) else 0))
+        return pd.DataFrame(out, columns=["signature", "shingles", "lead"])
+
+    rows = documents.select(F.sha2(text.cast("binary"), 256).alias("digest"), made(text).alias("m")).select("digest", "m.signature", "m.shingles", "m.lead")
+    rows = hold(rows, "signatures")
+    single = rows.groupBy("digest").agg(F.first("signature").alias("signature"), F.first("lead").alias("lead"))
+    # numbers in the order of the least shingle, which near copies mostly share
+    numbered = single.repartitionByRange("lead", "digest").sortWithinPartitions("lead", "digest").withColumn("node", F.monotonically_increasing_id())
+    nodes = hold(numbered.select("node", "digest", "signature"), "texts")
+    pairs = hold(_candidates(nodes.select("node", "signature"), half, at_once), "candidates")
+
+    # the fingerprints' distance over all tables says which candidates are promising; far ones cannot have the similarity
+    side = nodes.select("node", "signature")
+    placed = pairs.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b")
+    distance = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
+    edges = hold(placed.select("a", "b", distance.alias("distance")).where(F.col("distance") <= _farthest(similarity)), "edges")
+    sets = hold(_sets(rows, nodes, edges), "sets")
+
+    @F.pandas_udf("double")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([overlap(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    groups, most, proved = None, 1, None
+    while not edges.isEmpty():
+        ends = edges.select("a", "b", "distance", F.col("a").alias("end")).union(edges.select("a", "b", "distance", F.col("b").alias("end")))
+        first = Window.partitionBy("end").orderBy("distance", "a", "b")
+        tried = ends.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).select("a", "b").distinct()
+        checked = tried.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b").select("a", "b", alike("p", "q").alias("jaccard"))
+        checked = hold(checked, "checked")
+        good = checked.where(F.col("jaccard") >= similarity).select("a", "b")
+        proved = good if proved is None else proved.union(good)
+        groups = hold(connected(proved), "groups")
+        of = lambda name, out: groups.select(F.col("node").alias(name), F.col("component").alias(out))
+        rest = edges.join(checked.select("a", "b"), ["a", "b"], "left_anti").join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
+        rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "distance")
+        edges = hold(rest, "edges")
+        most *= 8
+    found = nodes.select("digest", F.col("node").alias("component"))
+    if groups is not None:
+        found = nodes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    found, _ = staged_at(spark, found, "near_copies")
+    for path in folders:
+        drop_folder(spark, path)
+    return found
+
+
+def _farthest(similarity: float) -> int:
+    """Distance over all tables that a pair of this similarity exceeds with a probability below 1e-4."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    n = TABLES * BITS
+    return int(n * p + 4 * np.sqrt(n * p * (1 - p)))
+
+
+def _sets(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, shingles) of all texts that have a candidate."""
+    some = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    wanted = nodes.select("node", "digest").join(some, "node")
+    return rows.select("digest", "shingles").join(wanted, "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def without_near_copies(documents: DataFrame, similarity: float = 0.8, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``documents`` that stay if of each group of near copies one does: that with the smallest id, null last.
+
+    Of rows that repeat this id, the one with the smallest digest stays, once. Null texts are copies of the empty text. Columns
+    stay as they are.
+    """
+    spark = documents.sparkSession
+    groups = similar_groups(documents, similarity, width, text_column=text_column)
+    digest = F.sha2(F.coalesce(F.col(text_column), F.lit("")).cast("binary"), 256)
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("digest").alias("digest"))
+    first = documents.select(F.col(id_column).alias("id"), digest.alias("digest")).groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"))).alias("f"))
+    kept = first.join(groups, "digest").select("component", F.col("f.id").alias("id"), "digest").groupBy("component").agg(F.min(order).alias("f"))
+    # the id is part of the key, so copies of one text do not meet in a task
+    key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    names = [free_name(documents, "digest"), free_name(documents, "key")]
+    kept, _ = staged_at(spark, kept.select(F.col("f.digest").alias(names[0]), key(F.col("f.id")).alias(names[1])), "kept")
+    marked = documents.withColumns({names[0]: digest, names[1]: key(F.col(id_column))})
+    return marked.join(kept, names).dropDuplicates(names).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidegraph.llm.common import free_name
 from tidegraph.llm.simhash import shingle_hashes
 
 PER_CLASS, FEATURES, GRADES, STEPS, DECAY = 2000, 300, 4, 400, 1e-3
@@ -207,6 +208,14 @@ def learn_from(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id
     return learn(sample_of(documents, labels, id_column, text_column, label_column, per_class))
 
 
+def _judged(model: Model):
+    @F.pandas_udf("severity double, grade int")
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        above = model.above(np.array([model.score(t) for t in texts]))
+        return pd.DataFrame({"severity": above.sum(axis=1), "grade": (above >= 0.5).sum(axis=1).astype(np.int32)})
+    return judged
+
+
 def scored(documents: DataFrame, model: Model, keep: list[str], text_column: str = "text") -> DataFrame:
     """The kept columns with severity, grade and toxic of every row.
 
@@ -214,12 +223,12 @@ def scored(documents: DataFrame, model: Model, keep: list[str], text_column: str
     over zero. Null and empty texts have no features and score as such. Repeated rows are kept, an empty table gives
     no rows, and columns that are not in ``keep`` are not looked at.
     """
-    rows = documents.select(F.struct(*keep).alias("kept"), F.col(text_column).alias("text"))
+    found = documents.select(F.struct(*keep).alias("kept"), _judged(model)(F.col(text_column)).alias("found"))
+    return found.select("kept.*", "found.severity", "found.grade", (F.col("found.grade") > 0).alias("toxic"))
 
-    @F.pandas_udf("severity double, grade int")
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        above = model.above(np.array([model.score(t) for t in texts]))
-        return pd.DataFrame({"severity": above.sum(axis=1), "grade": (above >= 0.5).sum(axis=1).astype(np.int32)})
 
-    found = rows.select("kept", judged("text").alias("found"))
-    return found.select("kept.*", "found.severity", "found.grade", (F.col("found.grade") > 0).alias("toxic"))
+def without_toxic(documents: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The rows whose grade is 0, with all columns as they are."""
+    name = free_name(documents, "found")
+    found = documents.withColumn(name, _judged(model)(F.col(text_column)))
+    return found.where(F.col(f"{name}.grade") == 0).drop(name)
