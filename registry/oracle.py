@@ -171,8 +171,8 @@ SELECT *, CASE WHEN points >= 80 THEN 'CRITICAL' WHEN points >= 50 THEN 'HIGH' W
   UNION ALL SELECT 'rec-id-' || id, 3, 'IDENTITY', 'High Risk Identity Detected', 'Identity ' || name || ' possesses excessive privileges or high risk score.',
     'Base risk score of ' || risk || '; Capable of impacting ' || blast || ' resources', 3, 'Review current IAM policies', id, points, team FROM pri@ WHERE type = 'IDENTITY' AND risk > 70)"""
 PIECES["ctl"] = """
-SELECT * FROM (VALUES ('PCI DSS', '1.2', 'Restrict connections to untrusted networks', [1]), ('PCI DSS', '7.1', 'Limit access to system components', [2, 3]), ('SOC 2', 'CC6.1', 'Logical Access Security', [2, 3]),
-  ('SOC 2', 'CC6.6', 'External Threats', [1]), ('NIST', 'PR.AC-3', 'Remote Access is Managed', [1]), ('NIST', 'PR.AC-4', 'Access Permissions', [3])) t(framework, control_id, control_title, rules)"""
+SELECT * FROM (VALUES ('PCI DSS', '1.2', 'Restrict connections to untrusted networks', 'Build firewall and router configurations that restrict connections between untrusted networks and any system components in the CDE.', [1]), ('PCI DSS', '7.1', 'Limit access to system components', 'Limit access to system components and cardholder data to only those individuals whose job requires such access.', [2, 3]), ('SOC 2', 'CC6.1', 'Logical Access Security', 'The entity implements logical access security software, infrastructure, and architectures over protected information assets to protect them from security events.', [2, 3]),
+  ('SOC 2', 'CC6.6', 'External Threats', 'The entity implements logical access security measures to protect against threats from sources outside its boundaries.', [1]), ('NIST', 'PR.AC-3', 'Remote Access is Managed', 'Remote access is managed.', [1]), ('NIST', 'PR.AC-4', 'Access Permissions', 'Access permissions and authorizations are managed, incorporating the principles of least privilege and separation of duties.', [3])) t(framework, control_id, control_title, control_description, rules)"""
 PIECES["fail@"] = """
 SELECT c.framework, c.control_id, c.control_title, r.rid, r.rule, r.rank, r.severity, r.node_id, 'Failed due to ' || r.severity || ' risk: ' || r.title AS reason
 FROM ctl c JOIN recs@ r ON list_contains(c.rules, r.rule)"""

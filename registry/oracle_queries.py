@@ -24,7 +24,7 @@ SELECT 'zone' AS kind, NULL AS hostname, NULL AS ip, NULL AS host_hostname, NULL
 UNION ALL SELECT 'asset', hostname, ip, NULL, NULL, NULL, NULL, 'csv:asset:' || coalesce(hostname, ip), CASE WHEN owner IS NULL THEN '{{}}' ELSE '{{"owner":"' || owner || '"}}' END, '' FROM rows_
 UNION ALL SELECT 'service', NULL, NULL, hostname, ip, NULL, port, 'csv:service:' || coalesce(hostname, ip) || ':' || port, '', '{{"name":"' || service || '"}}' FROM rows_ WHERE service IS NOT NULL AND port IS NOT NULL)
 SELECT kind, 'csv' AS source, hostname, ip, host_hostname, host_ip, name, port, evidence, attributes, metadata, {NOW}::DOUBLE AS observed_at, 'default' AS context FROM obs""")
-_q("a01_csv_row_counts", f"SELECT count(*) FILTER (hostname IS NOT NULL OR ip IS NOT NULL) AS parsed_rows, count(*) FILTER (hostname IS NULL AND ip IS NULL) AS skipped_rows FROM ({_CSV})")
+_q("a01_csv_row_counts", f"SELECT count(*) FILTER (hostname IS NOT NULL OR ip IS NOT NULL) AS parsed_rows, count(*) FILTER (hostname IS NULL AND ip IS NULL) AS skipped_rows, count(*) FILTER ((hostname IS NOT NULL OR ip IS NOT NULL) AND service IS NOT NULL AND port IS NULL) AS skipped_services FROM ({_CSV})")
 
 
 def _export(*selects: str) -> str:
@@ -173,33 +173,37 @@ _q("c18_edge_trace", f"""SELECT DISTINCT l.id, l.src AS source, l.dst AS target,
 FROM le@ l JOIN valid@ v ON v.kind = 'edge' AND v.target = l.id WHERE l.id = (SELECT min(id) FROM le@ WHERE type = 'DEPENDS_ON')""")
 
 # --- D ---------------------------------------------------------------------------
-_CAP = "ORDER BY id LIMIT 1000"
-_q("d01_scan_by_kind", f"SELECT id, type, conf AS confidence FROM ln@ WHERE type = 'DATASTORE' {_CAP}")
-_q("d02_typed_equality", f"SELECT id, conf AS confidence FROM ln@ WHERE type = 'SERVICE' AND port = 443 {_CAP}")
-_q("d03_comparisons", f"SELECT id FROM ln@ WHERE type = 'IDENTITY' AND importance >= 0.25 AND importance < 0.5 AND conf > 0.5 {_CAP}")
-_q("d04_in_list", "SELECT id, conf AS confidence FROM ln@ WHERE type = 'SERVICE' AND port IN (80, 3306) ORDER BY port, id LIMIT 1000")
-_q("d05_contains", f"SELECT id FROM ln@ WHERE type = 'DATASTORE' AND (contains(lower(name), 'red') OR contains(id, '77')) {_CAP}")
-_q("d07_left_to_right", f"SELECT id FROM ln@ WHERE type = 'SERVICE' AND port IN (443, 80) AND contains(name, '-prod') {_CAP}")
-_q("d08_flag", f"SELECT id FROM ln@ WHERE type = 'ASSET' AND winner LIKE 'a%' AND id IN (SELECT 's_' || s_suppkey FROM supplier WHERE s_acctbal >= 9000) {_CAP}")
+_q("d01_scan_by_kind", f"SELECT id, type, conf AS confidence FROM ln@ WHERE type = 'DATASTORE'")
+_q("d02_typed_equality", f"SELECT id, conf AS confidence FROM ln@ WHERE type = 'SERVICE' AND port = 443")
+_q("d03_comparisons", f"SELECT id FROM ln@ WHERE type = 'IDENTITY' AND importance >= 0.25 AND importance < 0.5 AND conf > 0.5")
+_q("d04_in_list", "SELECT id, conf AS confidence FROM ln@ WHERE type = 'SERVICE' AND port IN (80, 3306) ")
+_q("d05_contains", f"SELECT id FROM ln@ WHERE type = 'DATASTORE' AND (contains(lower(name), 'red') OR contains(id, '77'))")
+_q("d07_left_to_right", f"SELECT id FROM ln@ WHERE type = 'SERVICE' AND port IN (443, 80) AND contains(name, '-prod')")
+_q("d08_flag", f"SELECT id FROM ln@ WHERE type = 'ASSET' AND winner LIKE 'a%' AND id IN (SELECT 's_' || s_suppkey FROM supplier WHERE s_acctbal >= 9000)")
 _NEAR = """(SELECT id, min(depth) AS depth FROM (
   SELECT b AS id, 1 AS depth FROM und@ WHERE a = 'c_2'
   UNION ALL SELECT v.b, 2 FROM und@ u JOIN und@ v ON v.a = u.b WHERE u.a = 'c_2'
   UNION ALL SELECT w.b, 3 FROM und@ u JOIN und@ v ON v.a = u.b JOIN und@ w ON w.a = v.b WHERE u.a = 'c_2') WHERE id <> 'c_2' GROUP BY 1)"""
 _q("d09_connected_to", f"SELECT id, depth FROM {_NEAR}")
-_q("d09_find_connected", f"SELECT id FROM ln@ WHERE type = 'DATASTORE' AND id IN (SELECT id FROM {_NEAR} WHERE depth <= 2) {_CAP}")
+_q("d09_find_connected", f"SELECT id FROM ln@ WHERE type = 'DATASTORE' AND id IN (SELECT id FROM {_NEAR} WHERE depth <= 2)")
 _q("d10_sorted", "SELECT id FROM ln@ WHERE type = 'ASSET' ORDER BY importance DESC, id LIMIT 25")
 _q("d13_list_nodes", f"SELECT id, {PROV} AS provenance, vf AS valid_from FROM ln@ WHERE type = 'SERVICE' ORDER BY id LIMIT 300 OFFSET 200")
 _q("d13_list_edges", f"SELECT id, src, dst, {PROV} AS provenance FROM le@ WHERE type = 'HOSTS' ORDER BY id OFFSET 50")
 _q("d14_node_detail", "SELECT 's_5' AS target_id, l.type, l.key_json, l.winner, l.n AS contributors, a.id, a.prov AS provenance, a.vf AS valid_from FROM asr a JOIN ln@ l ON l.id = a.target WHERE a.kind = 'node' AND a.target = 's_5'")
+_q("d13_list_totals", "SELECT 'nodes' AS listed, count(*) AS total FROM ln@ WHERE type = 'SERVICE' UNION ALL SELECT 'edges', count(*) FROM le@ WHERE type = 'HOSTS'")
+_q("d14_edge_detail", """SELECT l.id AS target_id, l.type, l.src, l.dst, l.winner, l.n AS contributors, a.id, a.prov AS provenance, a.vf AS valid_from FROM asr a JOIN le@ l ON l.id = a.target
+WHERE a.kind = 'edge' AND a.target = (SELECT min(id) FROM le@ WHERE type = 'DEPENDS_ON')""")
+_q("d15_resolved_evidence", "SELECT DISTINCT v.kind AS target_kind, v.target AS id, unnest(v.ev) AS ref FROM valid@ v WHERE (v.kind = 'node' AND v.target IN (SELECT id FROM ln@)) OR (v.kind = 'edge' AND v.target IN (SELECT id FROM le@))")
 _q("d15_resolved_graph", f"SELECT 'node' AS target_kind, id, type, NULL AS src, NULL AS dst, conf AS confidence, {PROV} AS provenance FROM ln@ UNION ALL SELECT 'edge', id, type, src, dst, conf, {PROV} FROM le@")
 _q("d16_search_graph", """SELECT 'node' AS target_kind, id, type, conf AS confidence FROM ln@ WHERE type = 'DATASTORE' AND id IN (SELECT 'p_' || p_partkey FROM part WHERE p_type = 'PROMO')""")
 _HIT = "contains(lower(source), 'license') OR contains(lower(lang), 'license') OR contains(lower(text), 'license')"
-_q("d17_search_texts", f"SELECT 'd_' || doc_id AS id, 'ASSET' AS type FROM documents WHERE {_HIT} ORDER BY id LIMIT 20")
+_q("d17_search_texts", f"SELECT 'd_' || doc_id AS id, 'ASSET' AS type FROM documents WHERE {_HIT}")
+_q("d17_search_first", f"SELECT 'd_' || doc_id AS id, 'ASSET' AS type FROM documents WHERE {_HIT} ORDER BY id LIMIT 20")
 _q("d17_search_count", f"SELECT count(*) AS count FROM documents WHERE {_HIT}")
-_SEARCH = """SELECT 'assets' AS section, id, name AS label, CASE WHEN NOT contains(id, '{0}') THEN CASE WHEN contains(lower(name), '{0}') THEN 'name' END END AS match_field FROM ln@
+_SEARCH = """SELECT 'assets' AS section, id, name AS label, CASE WHEN NOT contains(id, '{0}') THEN CASE WHEN contains(lower(name), '{0}') THEN 'name' END END AS match_field, type FROM ln@
 WHERE contains(id, '{0}') OR contains(lower(name), '{0}')
-UNION ALL SELECT 'recommendations', rid, title, NULL FROM recs@ WHERE contains(lower(title), '{0}') OR contains(lower(description), '{0}')
-UNION ALL SELECT 'compliance', control_id, control_title, NULL FROM ffail@ WHERE contains(lower(control_title), '{0}') OR contains(lower(control_id), '{0}')"""
+UNION ALL SELECT 'recommendations', rid, title, NULL, NULL FROM recs@ WHERE contains(lower(title), '{0}') OR contains(lower(description), '{0}')
+UNION ALL SELECT 'compliance', control_id, control_title, NULL, NULL FROM ffail@ WHERE contains(lower(control_title), '{0}') OR contains(lower(control_id), '{0}')"""
 _q("d18_search_everything", _SEARCH.format("red"))
 _q("d18_search_compliance", _SEARCH.format("access"))
 _q("d19_inventory", "SELECT id, name, type, environment, level AS criticality, score AS criticality_score FROM asm@ WHERE type IN ('ASSET', 'DATASTORE', 'SERVICE', 'IDENTITY')")
@@ -295,7 +299,7 @@ _q("h03_top_recommendations", "SELECT rid AS id, severity, title FROM recs@ ORDE
 _q("h03_recommendation_by_id", "SELECT rid AS id, severity, title FROM recs@ WHERE rid = 'rec-exp-db-p_5'")
 _q("h04_governance", "SELECT id, title, severity, action, target_id, target_name, category FROM gov@")
 _q("h05_control_failures", "SELECT framework, control_id, rid AS recommendation_id, severity, reason FROM fail@")
-_q("h06_control_status", "SELECT c.framework, c.control_id, c.control_title, f.rid IS NULL AS passed, f.rid AS recommendation_id, f.reason, f.node_id AS evidence_nodes FROM ctl c LEFT JOIN ffail@ f ON f.control_id = c.control_id")
+_q("h06_control_status", "SELECT c.framework, c.control_id, c.control_title, c.control_description, f.rid IS NULL AS passed, f.rid AS recommendation_id, f.reason, f.node_id AS evidence_nodes FROM ctl c LEFT JOIN ffail@ f ON f.control_id = c.control_id")
 _q("h06_compliance", "SELECT framework, controls, passed, failed, score FROM comp@")
 _q("h06_overall_compliance", "SELECT (sum(score) // 5)::INTEGER AS overall_score FROM comp@")
 _q("h07_team_members", "SELECT coalesce(team, 'Unassigned') AS team, id FROM own@")
@@ -337,7 +341,8 @@ SELECT *, (sum(total_risk) FILTER (label = 'current') OVER () - sum(total_risk)
 _q("j01_executive", """SELECT count(*) AS total_nodes, count(*) FILTER (type = 'ASSET') AS total_assets, count(*) FILTER (band IN ('HIGH', 'CRITICAL')) AS high_risk_count, count(*) AS critical_assets,
 (SELECT count(*) FROM ef@) AS exposures_detected FROM sc@""")
 _RISK = "SELECT id AS entity_id, risk AS risk_score, band AS category FROM sc@"
-_q("j01_top_risks", f"{_RISK} ORDER BY id LIMIT 10")
+_q("j01_top_risks", _RISK)
+_q("j01_top_ten", f"{_RISK} ORDER BY id LIMIT 10")
 _q("j02_technical_risks", _RISK)
 _q("j02_technical_nodes", "SELECT id, type, key_json FROM ln@")
 _q("j03_asset_inventory", "SELECT id, type, environment FROM asm@ WHERE type IN ('ASSET', 'DATASTORE', 'SERVICE')")

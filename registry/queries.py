@@ -103,10 +103,15 @@ def _csv_rows(spark: SparkSession, folder: str) -> DataFrame:
             F.when(F.col("c_acctbal") < 5000, F.concat(F.lit("10.0."), "c_nationkey", F.lit("."), "c_custkey")).alias("IP "),
             F.when(F.col("c_acctbal") < 9000, F.lower("c_mktsegment")).alias("Zone"),
             F.when(F.col("c_acctbal") > 2000, "http").alias("service"),
-            F.when(F.col("c_nationkey") < 20, F.concat(F.lit("80"), "c_nationkey")).otherwise("n/a").alias("PORT"),
+            F.when(F.col("c_nationkey") < 20, F.concat(F.lit("80"), "c_nationkey")).when(F.col("c_nationkey") == 24, "99999999999").otherwise("n/a").alias("PORT"),
             F.when(F.col("c_nationkey") >= 5, F.col("c_mktsegment")).alias("owner"),
         )
-        rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        def put(part: DataFrame) -> None:
+            part.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+        low = F.col("owner").isNull()
+        put(rows.where(low))
+        put(rows.where(~low).select("PORT", "owner", F.lit("x").alias("note"), " HostName", "service", "Zone", F.col("IP ").alias(" ip")))
         return iv.read_csv(spark, path)
     return _stored(spark, folder, "csv", make)
 
@@ -581,12 +586,22 @@ def sorted_entities(spark, folder):
 
 @query("d13_list_nodes")
 def list_nodes(spark, folder):
-    return qy.list_nodes(view(spark, folder), "service", offset=200, limit=300).select("id", "provenance", "valid_from")
+    page, _ = qy.list_nodes(view(spark, folder), "service", offset=200, limit=300)
+    return page.select("id", "provenance", "valid_from")
+
+
+@query("d13_list_totals")
+def list_totals(spark, folder):
+    """Numbers of services and of hosting edges beside their pages."""
+    v = view(spark, folder)
+    nodes, edges = qy.list_nodes(v, "service", limit=10)[1], qy.list_edges(v, "HOSTS", limit=10)[1]
+    return nodes.select(F.lit("nodes").alias("listed"), "total").unionByName(edges.select(F.lit("edges").alias("listed"), "total"))
 
 
 @query("d13_list_edges")
 def list_edges(spark, folder):
-    return qy.list_edges(view(spark, folder), "HOSTS", offset=50).select("id", "src", "dst", "provenance")
+    page, _ = qy.list_edges(view(spark, folder), "HOSTS", offset=50)
+    return page.select("id", "src", "dst", "provenance")
 
 
 @query("d14_node_detail")
@@ -596,6 +611,20 @@ def node_detail(spark, folder):
         "target_id", "type", "key_json", "winner", "contributors", "id", "provenance", "valid_from")
 
 
+@query("d14_edge_detail")
+def edge_detail(spark, folder):
+    g = graph(spark, folder)
+    one = view(spark, folder).links("DEPENDS_ON").agg(F.min("id").alias("id")).first()["id"]
+    identity, state, log = qy.edge_detail(g, one, as_of=NOW)
+    return log.join(identity.select(F.col("id").alias("target_id"), "type", "src", "dst"), "target_id").join(state.select("target_id", "winner", "contributors"), "target_id").select(
+        "target_id", "type", "src", "dst", "winner", "contributors", "id", "provenance", "valid_from")
+
+
+@query("d15_resolved_evidence")
+def resolved_evidence(spark, folder):
+    return qy.resolved_evidence(view(spark, folder))
+
+
 @query("d15_resolved_graph")
 def resolved_graph(spark, folder):
     return qy.resolved_graph(view(spark, folder)).select("target_kind", "id", "type", "src", "dst", "confidence", "provenance")
@@ -622,7 +651,13 @@ def _document_view(spark: SparkSession, folder: str) -> View:
 
 @query("d17_search_texts")
 def search_texts(spark, folder):
-    first, _ = qy.search_values(_document_view(spark, folder), "License")
+    hits, _ = qy.search_values(_document_view(spark, folder), "License")
+    return hits.select("id", "type")
+
+
+@query("d17_search_first")
+def search_first(spark, folder):
+    first, _ = qy.search_values(_document_view(spark, folder), "License", limit=20)
     return first.select("id", "type")
 
 
@@ -867,7 +902,7 @@ def control_failures(spark, folder):
 
 @query("h06_control_status")
 def control_status(spark, folder):
-    return ru.control_status(view(spark, folder)).select("framework", "control_id", "control_title", "passed", "recommendation_id", "reason", joined("evidence_nodes").alias("evidence_nodes"))
+    return ru.control_status(view(spark, folder)).select("framework", "control_id", "control_title", "control_description", "passed", "recommendation_id", "reason", joined("evidence_nodes").alias("evidence_nodes"))
 
 
 @query("h06_compliance")
@@ -968,6 +1003,11 @@ for _name, _make in {
     query(_name)(lambda spark, folder, make=_make: make(view(spark, folder)))
 
 
+@query("j01_top_ten")
+def top_ten(spark, folder):
+    return rp.executive_top_risks(view(spark, folder), limit=10)
+
+
 @query("j02_technical_nodes")
 def technical_nodes(spark, folder):
     return rp.technical(view(spark, folder)).select("id", "type", "key_json")
@@ -977,17 +1017,22 @@ def technical_nodes(spark, folder):
 
 @query("k01_event_ingestion")
 def event_ingestion(spark, folder):
-    """The JSON-lines log, with repeated events, as a stream into a table."""
+    """The JSON-lines log, with repeated events, as a stream into a table; a second stream sees every event again."""
     target = scratch(spark, "ingested")
-    sg.ingest_events(sg.event_stream(spark, _event_files(spark, folder)), target, scratch(spark, "state"), lateness="60 days").awaitTermination()
+    for _ in range(2):
+        sg.ingest_events(sg.event_stream(spark, _event_files(spark, folder)), target, scratch(spark, "state")).awaitTermination()
     return spark.read.schema(EVENTS).parquet(target).select("id", "event_type", "timestamp")
 
 
 @query("k01_exact_ingestion")
 def exact_ingestion(spark, folder):
-    target = scratch(spark, "ingested")
-    for _ in range(2):  # the second stream sees every event again
-        sg.ingest_events_exactly(sg.event_stream(spark, _event_files(spark, folder)), target, scratch(spark, "state")).awaitTermination()
+    """The latest half of the log first, then the whole of it: events far older than those before, and late copies."""
+    source, target, state = scratch(spark, "late"), scratch(spark, "ingested"), scratch(spark, "state")
+    log = spark.read.text(_event_files(spark, folder))
+    late = F.coalesce(F.get_json_object("value", "$.timestamp").try_cast("double") >= MID, F.lit(False))
+    for part in (log.where(late), log):
+        part.coalesce(1).write.mode("append").text(source)
+        sg.ingest_events(sg.event_stream(spark, source), target, state).awaitTermination()
     return spark.read.schema(EVENTS).parquet(target).select("id", "event_type", "timestamp")
 
 
@@ -1007,10 +1052,10 @@ def graph_growth(spark, folder):
 def monitoring_cycle(spark, folder):
     """Two ticks, each compared with the one before."""
     ticks, out = scratch(spark, "ticks"), scratch(spark, "alerts")
-    times = table(spark, folder, "region").agg(F.min("r_regionkey").alias("k"))
-    for at in (EARLIER, NOW):
-        times.select(F.lit(at).alias("at")).coalesce(1).write.mode("append").parquet(ticks)
-    rows = spark.readStream.schema("at double").option("maxFilesPerTrigger", 1).parquet(ticks)
+    days = table(spark, folder, "orders").select(st.seconds("o_orderdate").alias("at"))
+    # the last order day before either time, in one batch
+    days.agg(*[F.max(F.when(F.col("at") <= t, F.col("at"))).alias(f"t{i}") for i, t in enumerate((EARLIER, NOW))]).select(F.explode(F.array("t0", "t1")).alias("at")).coalesce(1).write.parquet(ticks)
+    rows = spark.readStream.schema("at double").parquet(ticks)
     sg.monitor(rows, _stored_graph(spark, folder), out, scratch(spark, "state"), start=EARLIER - YEAR).awaitTermination()
     return spark.read.parquet(f"{out}/alerts").groupBy("timestamp", "severity", "title").agg(F.count("*").alias("n"))
 
@@ -1055,7 +1100,9 @@ def event_retention(spark, folder):
     kept = qu.apply_event_retention(spark, path, archive, qu.DAYS_7, MID + 10 * 86400.0)
     old = spark.read.text(kept.archive_path).select(F.lit("archived").alias("part"), F.get_json_object("value", "$.source").alias("source"))
     new = spark.read.text(path).select(F.lit("kept").alias("part"), F.get_json_object("value", "$.source").alias("source"))
-    return old.unionByName(new).groupBy("part", "source").agg(F.count("*").alias("n"))
+    again = qu.apply_event_retention(spark, path, archive, qu.DAYS_7, MID + 10 * 86400.0)  # changes nothing
+    counts = old.unionByName(new).groupBy("part", "source").agg(F.count("*").alias("n"))
+    return counts.where(F.lit(again.archived == 0 and again.remaining == kept.remaining))
 
 
 @query("l02_snapshot_retention")

@@ -158,7 +158,7 @@ def test_sort_limit_and_connection(shop):
     assert order(order_by="risk", limit=1) == ["a2"]
     assert order(connected="a1", depth=2) == ["a2"]
     assert order(connected="s1") == ["a1", "a2"]
-    for bad in (dict(limit=-1), dict(depth=6, connected="a1")):
+    for bad in (dict(limit=-1), dict(depth=0, connected="a1")):
         with pytest.raises(ValueError):
             order(**bad)
 
@@ -171,7 +171,9 @@ def test_search(shop):
     first, total = qy.search_values(shop, "inter")
     assert [r.id for r in first.collect()] == ["a1", "a2"] and total.collect()[0]["count"] == 2
     assert rows(qy.search_everything(shop, "intern"), "id", "match_field") == [("a1", "exposure"), ("a2", "exposure")]
-    assert qy.search_everything(shop, "i").count() == 0
+    assert rows(qy.search_everything(shop, "intern"), "id", "type") == [("a1", "ASSET"), ("a2", "ASSET")]
+    assert qy.search_everything(shop, "i", least=2).count() == 0 and qy.search_everything(shop, "i").count() > 0
+    assert [r.id for r in qy.search_values(shop, "inter", limit=1)[0].collect()] == ["a1"]
 
 
 def test_detail_and_trace(spark, shop):

@@ -87,7 +87,21 @@ def test_csv(spark, tmp_path):
     got = iv.csv_observations(raw, 5.0)
     assert sorted((r.kind, r.evidence[0]) for r in got.collect()) == [
         ("asset", "csv:asset:host1"), ("asset", "csv:asset:host2"), ("service", "csv:service:host1:80"), ("zone", "csv:zone:zone1")]
-    assert iv.csv_counts(raw).collect()[0].asDict() == {"parsed_rows": 2, "skipped_rows": 1}
+    assert iv.csv_counts(raw).collect()[0].asDict() == {"parsed_rows": 2, "skipped_rows": 1, "skipped_services": 1}
+
+
+def test_csv_files_with_headers_of_their_own(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.csv").write_text("hostname,ip,zone,service,port,owner\nh1,10.0.0.1,dmz,web,80,bob\n")
+    (folder / "b.csv").write_text("\ufeffOwner,port,service,extra,zone,IP,Hostname\n\"al, ice\",99999999999,db,x,,10.0.0.2,h2\nzoe,443,web\n")
+    (folder / "c.csv").write_text("\n\nip\n10.0.0.3\nip\n")
+    raw = iv.read_csv(spark, str(folder))
+    assert sorted(map(tuple, raw.collect()), key=str) == sorted([
+        ("h1", "10.0.0.1", "dmz", "web", "80", "bob"), ("h2", "10.0.0.2", None, "db", "99999999999", "al, ice"), (None, None, None, "web", "443", "zoe"),
+        (None, "10.0.0.3", None, None, None, None)], key=str)
+    assert [r.port for r in iv.csv_observations(raw, 1.0).where("kind = 'service'").collect()] == [80]
+    assert iv.csv_counts(raw).collect()[0].asDict() == {"parsed_rows": 3, "skipped_rows": 1, "skipped_services": 1}
 
 
 def events_of(spark, times, prefix="e"):
@@ -115,6 +129,30 @@ def test_retention(spark, tmp_path):
     assert (kept.archived, kept.remaining) == (1, 2)
     assert [r.id for r in el.read_events(spark, path).collect()] == ["e9000000"]
     assert [r.id for r in el.read_events(spark, kept.archive_path).collect()] == ["e100"]
+    again = qu.apply_event_retention(spark, path, str(tmp_path / "old"), qu.DAYS_7, 9_000_000.0)
+    assert (again.archived, again.remaining) == (0, 2)
+
+
+def test_retention_loses_no_line(spark, tmp_path, monkeypatch):
+    """A line appended between reading and swapping stays; an interrupted swap is completed by the next run."""
+    path, old = str(tmp_path / "log"), str(tmp_path / "old")
+    el.append_events(spark, path, events_of(spark, [100, 200, 9_000_000]))
+    swap, calls = qu._swap, []
+
+    def late(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            el.append_events(spark, path, events_of(spark, [300]))
+            raise RuntimeError("driver lost")
+        swap(*args)
+    monkeypatch.setattr(qu, "_swap", late)
+    with pytest.raises(RuntimeError):
+        qu.apply_event_retention(spark, path, old, qu.DAYS_7, 9_000_000.0)
+    monkeypatch.setattr(qu, "_swap", swap)
+    kept = qu.apply_event_retention(spark, path, old, qu.DAYS_7, 9_000_000.0)
+    assert (kept.archived, kept.remaining) == (1, 1)
+    assert sorted(r.id for r in el.read_events(spark, path).collect()) == ["e9000000"]
+    assert sorted(r.id for r in spark.read.schema(el.STORED).option("recursiveFileLookup", True).json(old).collect()) == ["e100", "e200", "e300"]
 
 
 def test_event_issues(spark):
@@ -169,13 +207,38 @@ def test_streamed_log_equals_batch(spark, tmp_path):
     lines = [r.value for r in el.to_lines(events_of(spark, range(100, 130))).collect()]
     (source / "1.json").write_text("\n".join(lines[:20]))
     (source / "2.json").write_text("\n".join(lines[10:] + ["{broken"]))
-    for name, run in (("a", sg.ingest_events), ("b", sg.ingest_events_exactly)):
-        out, state = str(tmp_path / name), str(tmp_path / f"{name}-state")
-        run(sg.event_stream(spark, str(source)), out, state).awaitTermination()
-        run(sg.event_stream(spark, str(source)), out, state).awaitTermination()
+    out = str(tmp_path / "a")
+    for state in ("s", "s", "other"):
+        sg.ingest_events(sg.event_stream(spark, str(source)), out, str(tmp_path / state)).awaitTermination()
         assert spark.read.parquet(out).count() == 30
 
 
+def test_late_events_are_kept(spark, tmp_path):
+    """Far older than all before, with late copies, over several runs of one query."""
+    source = tmp_path / "in"
+    source.mkdir()
+    lines = [r.value for r in el.to_lines(events_of(spark, range(0, 60 * 86400, 86400))).collect()]
+    for k, part in enumerate((lines[50:], lines[:2] + lines[55:], lines[1:51])):
+        (source / f"{k}.json").write_text("\n".join(part))
+        sg.ingest_events(sg.event_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "s")).awaitTermination()
+    got = spark.read.schema(EVENTS).parquet(str(tmp_path / "out"))
+    assert got.count() == 60 and got.select("id").distinct().count() == 60
+
+
+def test_staged_tables_do_not_pile_up(spark, tmp_path):
+    from tidegraph.session import staging_root
+    from tidegraph.sources import files
+    source = tmp_path / "in"
+    source.mkdir()
+    lines = [r.value for r in el.to_lines(events_of(spark, range(100, 130))).collect()]
+    for k, line in enumerate(lines):
+        (source / f"{k}.json").write_text(line)
+    stream = spark.readStream.schema(el.STORED).option("maxFilesPerTrigger", 1).json(str(source)).withColumnRenamed("metadata", "metadata_json")
+    before = len(files.folders(spark, staging_root(spark)))
+    sg.ingest_events(stream, str(tmp_path / "out"), str(tmp_path / "s")).awaitTermination()
+    assert len(files.folders(spark, staging_root(spark))) == before and spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
 def test_streamed_growth_equals_one_build(spark, tmp_path):
     source = str(tmp_path / "obs")
     for row in FIVE + [observation("asset", hostname="")]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegraph.model import DAY, SCHEMA_VERSION
 from tidegraph.plans.view import Graph
-from tidegraph.session import stage
+from tidegraph.session import stage, unstage
 from tidegraph.sources import files
 from tidegraph.sources.graph_tables import TABLES, content_digest, list_snapshots, read_graph, snapshot_metadata, write_graph
 
@@ -38,22 +39,46 @@ def retention_counts(lines: DataFrame, policy: int, now: float) -> DataFrame:
 
 
 def apply_event_retention(spark: SparkSession, path: str, archive: str, policy: int, now: float) -> Retained:
-    """Move expired lines of the log at ``path`` to ``archive``; nothing is moved under FOREVER."""
-    if not files.exists(spark, path):
+    """Move expired lines of the log at ``path`` to ``archive``; nothing is moved under FOREVER.
+
+    Only the files there at the start are read and replaced: what is appended meanwhile stays as it is. The expired lines of
+    these files go to a folder named by their names, so a repeated run writes it anew. The kept lines are complete in a
+    folder beside the log, with a list of the files they replace, before the first of those goes; a run that finds such a
+    list first completes it.
+    """
+    folder = path.rstrip("/")
+    side = f"{folder}.kept"
+    _swap(spark, folder, side)
+    old = files.data_files(spark, folder)
+    if not old:
         return Retained(0, 0, None)
-    marked = stage(expired(spark.read.text(path), policy, now), "retention")
+    marked = stage(expired(spark.read.text([f"{folder}/{n}" for n in old]), policy, now), "retention")
     counts = marked.agg(F.count_if("expired").alias("a"), F.count_if(~F.col("expired")).alias("r")).first()
     if counts["a"] == 0:
+        unstage(marked)
         return Retained(0, counts["r"], None)
-    target = f"{archive}/events_{int(now - policy * DAY)}"
-    marked.where("expired").select("value").write.mode("append").text(target)
-    kept = f"{path}.kept"  # the new log is complete before the old one goes
-    marked.where(~F.col("expired")).select("value").write.mode("overwrite").text(kept)
-    files.delete(spark, path)
-    files.move(spark, kept, path)
+    run = hashlib.sha256("\n".join(old).encode()).hexdigest()[:16]
+    target = f"{archive}/events_{int(now - policy * DAY)}/run_{run}"
+    marked.where("expired").select("value").write.mode("overwrite").text(target)
+    marked.where(~F.col("expired")).select("value").write.mode("overwrite").text(side)
+    files.write_small(spark, f"{side}/_replaces", old)
+    _swap(spark, folder, side)
+    unstage(marked)
     return Retained(counts["a"], counts["r"], target)
 
 
+def _swap(spark: SparkSession, folder: str, side: str) -> None:
+    """Replace the listed files of ``folder`` by those beside it, if they are complete; can be repeated at any point."""
+    if not files.exists(spark, f"{side}/_replaces"):
+        files.delete(spark, side)
+        return
+    for name in files.read_small(spark, f"{side}/_replaces"):  # as many lines as the log had files
+        files.delete(spark, f"{folder}/{name}")
+    for name in files.data_files(spark, side):
+        files.move(spark, f"{side}/{name}", f"{folder}/{name}")
+    files.delete(spark, side)
+
+
 def apply_snapshot_retention(spark: SparkSession, root: str, policy: int, now: float) -> Retained:
     """Move snapshots created before the cutoff to ``snapshots/archive``."""
     known = list_snapshots(spark, root)

@@ -17,10 +17,6 @@ from tidegraph.plans.view import Graph, View
 
 # Fixed values -------------------------------------------------------------
 KINDS = {"ASSETS": "ASSET", "SERVICES": "SERVICE", "IDENTITIES": "IDENTITY", "DATASTORES": "DATASTORE", "ZONES": "ZONE"}
-MAX_RESULTS = 1000
-MAX_DEPTH = 5
-SEARCH_RESULTS = 20
-MIN_SEARCH_LENGTH = 2
 # --------------------------------------------------------------------------
 
 Value = str | int | float | bool
@@ -130,11 +126,11 @@ def find_entities(
 ) -> DataFrame:
     """Live nodes of a kind that satisfy the conditions: id, type, value_json, confidence.
 
-    ``connected`` keeps nodes within ``depth`` (at most 5) undirected steps of a node. At most 1000 rows
-    are returned, by id unless ``order_by`` names a field (numbers before texts, missing last).
+    ``connected`` keeps nodes within ``depth`` undirected steps of a node. All rows are returned, or the first ``limit``, by
+    id unless ``order_by`` names a field (numbers before texts, missing last).
     """
-    if depth > MAX_DEPTH or depth < 1:
-        raise ValueError(f"depth must be 1 to {MAX_DEPTH}")
+    if depth < 1:
+        raise ValueError("depth must be >= 1")
     if limit is not None and limit < 0:
         raise ValueError("limit must be >= 0")
     rows = view.of_type(KINDS[kind.upper()]).select("id", "type", "value_json", "confidence")
@@ -150,7 +146,8 @@ def find_entities(
         number, text = field.number(), field.text()
         text = F.when(number.isNull(), text)
         order = ([number.desc_nulls_last(), text.desc_nulls_last()] if descending else [number.asc_nulls_last(), text.asc_nulls_last()]) + order
-    return rows.orderBy(*order).limit(min(MAX_RESULTS, MAX_RESULTS if limit is None else limit)).select("id", "type", "value_json", "confidence")
+    rows = rows.orderBy(*order)
+    return (rows if limit is None else rows.limit(limit)).select("id", "type", "value_json", "confidence")
 
 
 def _bag_of(fields: list[str]) -> Column:
@@ -190,18 +187,20 @@ def _known(kind: str | None, allowed: tuple[str, ...]) -> str | None:
     return None if kind is None else kind.upper()
 
 
-def list_nodes(view: View, node_type: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+def list_nodes(view: View, node_type: str | None = None, offset: int = 0, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """One page of the live nodes by id, and the number of all of them."""
     kind = _known(node_type, NODE_TYPES)
     rows = view.nodes if kind is None else view.of_type(kind)
     rows = rows.select("id", "type", "value_json", "confidence", provenance_name(F.col("provenance")).alias("provenance"), "valid_from")
-    return page(rows, [F.col("id").asc()], offset, limit)
+    return page(rows, [F.col("id").asc()], offset, limit), rows.agg(F.count("*").alias("total"))
 
 
-def list_edges(view: View, edge_type: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+def list_edges(view: View, edge_type: str | None = None, offset: int = 0, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """One page of the live edges by id, and the number of all of them."""
     kind = _known(edge_type, EDGE_TYPES)
     rows = view.edges if kind is None else view.links(kind)
     rows = rows.select("id", "type", "src", "dst", F.lit(view.context).alias("context"), "confidence", provenance_name(F.col("provenance")).alias("provenance"), "valid_from")
-    return page(rows, [F.col("id").asc()], offset, limit)
+    return page(rows, [F.col("id").asc()], offset, limit), rows.agg(F.count("*").alias("total"))
 
 
 def node_detail(graph: Graph, node_id: str, context: str = "default", as_of: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -233,6 +232,13 @@ def resolved_graph(view: View) -> DataFrame:
     return nodes.unionByName(edges)
 
 
+def resolved_evidence(view: View) -> DataFrame:
+    """Evidence of all live nodes and edges, one row per reference: (target_kind, id, ref)."""
+    live = view.nodes.select(F.lit("node").alias("target_kind"), "id").unionByName(view.edges.select(F.lit("edge").alias("target_kind"), "id"))
+    refs = view.evidence().select("target_kind", F.col("target_id").alias("id"), "ref")
+    return refs.join(live, ["target_kind", "id"], "left_semi")
+
+
 def _top_level(value_json: str) -> Column:
     """Keys and values (as text) of a JSON object."""
     pairs = F.from_json(value_json, "map<string,string>")
@@ -255,18 +261,18 @@ def search_graph(view: View, query: str) -> DataFrame:
     return nodes.select(F.lit("node").alias("target_kind"), "id", "type", "confidence").unionByName(edges.select(F.lit("edge").alias("target_kind"), "id", "type", "confidence"))
 
 
-def search_values(view: View, query: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes with the text in the id or anywhere in the value: the first 20 by id, and the number of all."""
+def search_values(view: View, query: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes with the text in the id or anywhere in the value: all of them or the first ``limit`` by id, and their number."""
     needle = F.lit(query.lower())
     hits = view.nodes.where(F.contains(F.lower("value_json"), needle) | F.contains(F.lower("id"), needle)).select("id", "type", "value_json")
-    return hits.orderBy("id").limit(SEARCH_RESULTS), hits.agg(F.count("*").alias("count"))
+    return hits if limit is None else hits.orderBy("id").limit(limit), hits.agg(F.count("*").alias("count"))
 
 
-def search_everything(view: View, query: str) -> DataFrame:
-    """Assets, recommendations and compliance entries that contain the text: (section, id, label, match_field).
+def search_everything(view: View, query: str, least: int = 1) -> DataFrame:
+    """Assets, recommendations and compliance entries that contain the text: (section, id, label, match_field, type).
 
-    An asset matches by its id (no match_field) or else by its first attribute that does, in stored order.
-    Texts shorter than two characters find nothing.
+    An asset matches by its id (no match_field) or else by its first attribute that does, in stored order; only assets have
+    a type. Texts shorter than ``least`` characters find nothing.
     """
     from tidegraph.operators.rules import compliance, control_status, recommendations
     needle = F.lit(query.lower())
@@ -279,10 +285,11 @@ def search_everything(view: View, query: str) -> DataFrame:
     field = F.when(~has("id"), F.get(texts, F.lit(0))["key"])
     named = view.attributes().select("id", "name")
     nodes = view.nodes.withColumn("match_field", field).where(has("id") | F.col("match_field").isNotNull()).join(named, "id").select(
-        F.lit("assets").alias("section"), "id", F.col("name").alias("label"), "match_field")
-    recs = recommendations(view).where(has("title") | has("description")).select(F.lit("recommendations").alias("section"), "id", F.col("title").alias("label"), F.lit(None).cast("string").alias("match_field"))
-    scores = compliance(view).where(has("framework")).select(F.lit("compliance").alias("section"), F.col("framework").alias("id"), F.col("score").cast("string").alias("label"), F.lit(None).cast("string").alias("match_field"))
+        F.lit("assets").alias("section"), "id", F.col("name").alias("label"), "match_field", "type")
+    none = [F.lit(None).cast("string").alias(c) for c in ("match_field", "type")]
+    recs = recommendations(view).where(has("title") | has("description")).select(F.lit("recommendations").alias("section"), "id", F.col("title").alias("label"), *none)
+    scores = compliance(view).where(has("framework")).select(F.lit("compliance").alias("section"), F.col("framework").alias("id"), F.col("score").cast("string").alias("label"), *none)
     failed = control_status(view).where(~F.col("passed") & ~has("framework") & (has("control_title") | has("control_id"))).select(
-        F.lit("compliance").alias("section"), F.col("control_id").alias("id"), F.col("control_title").alias("label"), F.lit(None).cast("string").alias("match_field"))
+        F.lit("compliance").alias("section"), F.col("control_id").alias("id"), F.col("control_title").alias("label"), *none)
     out = nodes.unionByName(recs).unionByName(scores).unionByName(failed)
-    return out if len(query.strip()) >= MIN_SEARCH_LENGTH else out.where(F.lit(False))
+    return out if len(query.strip()) >= least else out.where(F.lit(False))

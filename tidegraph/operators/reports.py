@@ -10,10 +10,6 @@ from tidegraph.operators.rules import compliance, control_failures, control_stat
 from tidegraph.operators.scoring import scores
 from tidegraph.plans.view import View
 
-# Fixed values -------------------------------------------------------------
-TOP_RISKS = 10
-# --------------------------------------------------------------------------
-
 
 def executive(view: View) -> DataFrame:
     """total_nodes, total_assets, high_risk_count, critical_assets (every scored node), exposures_detected."""
@@ -26,9 +22,10 @@ def executive(view: View) -> DataFrame:
                        F.col("node").alias("critical_assets"), F.col("exposure").alias("exposures_detected"))
 
 
-def executive_top_risks(view: View) -> DataFrame:
-    """The first ten risk findings in entity order."""
-    return risks(view).orderBy("entity_id").limit(TOP_RISKS)
+def executive_top_risks(view: View, limit: int | None = None) -> DataFrame:
+    """The risk findings in entity order: all of them, or the first ``limit``."""
+    rows = risks(view).orderBy("entity_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def risks(view: View) -> DataFrame:

@@ -45,13 +45,18 @@ GAPS = [
 FAILURE_REASON = "Failed due to %s risk: %s"
 FRAMEWORKS = ["CIS", "NIST", "ISO 27001", "SOC 2", "PCI DSS"]
 CONTROLS = [
-    # framework, control id, title
-    ("PCI DSS", "1.2", "Restrict connections to untrusted networks"),
-    ("PCI DSS", "7.1", "Limit access to system components"),
-    ("SOC 2", "CC6.1", "Logical Access Security"),
-    ("SOC 2", "CC6.6", "External Threats"),
-    ("NIST", "PR.AC-3", "Remote Access is Managed"),
-    ("NIST", "PR.AC-4", "Access Permissions"),
+    # framework, control id, title, description
+    ("PCI DSS", "1.2", "Restrict connections to untrusted networks",
+     "Build firewall and router configurations that restrict connections between untrusted networks and any system components in the CDE."),
+    ("PCI DSS", "7.1", "Limit access to system components",
+     "Limit access to system components and cardholder data to only those individuals whose job requires such access."),
+    ("SOC 2", "CC6.1", "Logical Access Security",
+     "The entity implements logical access security software, infrastructure, and architectures over protected information assets to protect them from security events."),
+    ("SOC 2", "CC6.6", "External Threats",
+     "The entity implements logical access security measures to protect against threats from sources outside its boundaries."),
+    ("NIST", "PR.AC-3", "Remote Access is Managed", "Remote access is managed."),
+    ("NIST", "PR.AC-4", "Access Permissions",
+     "Access permissions and authorizations are managed, incorporating the principles of least privilege and separation of duties."),
 ]
 CONTROL_MAP = [
     # category, title fragment, control id
@@ -161,7 +166,7 @@ def governance_order() -> list[Column]:
 
 
 def _catalogue(view: View) -> DataFrame:
-    return view.log.sparkSession.createDataFrame(CONTROLS, "framework string, control_id string, control_title string")
+    return view.log.sparkSession.createDataFrame(CONTROLS, "framework string, control_id string, control_title string, control_description string")
 
 
 def control_failures(view: View) -> DataFrame:
@@ -171,7 +176,7 @@ def control_failures(view: View) -> DataFrame:
     recs = recommendations(view).withColumnRenamed("id", "recommendation_id")
     hits = recs.join(F.broadcast(mapping), "category").where(F.contains("title", "fragment"))
     return hits.join(F.broadcast(_catalogue(view)), "control_id").select(
-        "framework", "control_id", "control_title", "recommendation_id", "node_id", "rule", "severity", "title",
+        "framework", "control_id", "control_title", "control_description", "recommendation_id", "node_id", "rule", "severity", "title",
         F.format_string(FAILURE_REASON, "severity", "title").alias("reason"), F.col("affected_nodes").alias("evidence_nodes"),
     )
 
@@ -182,7 +187,7 @@ def control_status(view: View) -> DataFrame:
         F.struct("recommendation_id", "reason", "evidence_nodes"), F.struct(-severity_rank(F.col("severity")), F.col("node_id"), F.col("rule"))
     ).alias("f"))
     return F.broadcast(_catalogue(view)).join(first, "control_id", "left").select(
-        "framework", "control_id", "control_title", F.col("f").isNull().alias("passed"), "f.recommendation_id", "f.reason", "f.evidence_nodes"
+        "framework", "control_id", "control_title", "control_description", F.col("f").isNull().alias("passed"), "f.recommendation_id", "f.reason", "f.evidence_nodes"
     )
 
 

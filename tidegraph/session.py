@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _counter = itertools.count()
 _roots: dict[str, str] = {}
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -61,7 +62,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{next(_counter):06d}_{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _paths[id(stored)] = stored, path
+    return stored
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more; what is no staged table is passed over, and so is a repetition."""
+    for df in tables:
+        held = _paths.pop(id(df), None)
+        if held is not None:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(held[1])
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def together(jobs: list[Callable[[], object]]) -> list[object]:
@@ -77,3 +89,5 @@ def drop_staged(spark: SparkSession) -> None:
     if root is not None:
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for key in [k for k, (_, p) in _paths.items() if p.startswith(root)]:
+            del _paths[key]

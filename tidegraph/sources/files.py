@@ -23,6 +23,30 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory())
 
 
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the data files directly below a path, sorted; markers and hidden files are left out."""
+    fs, where = _fs(spark, path)
+    if not fs.exists(where):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(where) if s.isFile()]
+    return sorted(n for n in names if n[0] not in "._")
+
+
+def write_small(spark: SparkSession, path: str, lines: list[str]) -> None:
+    fs, where = _fs(spark, path)
+    out = fs.create(where, True)
+    out.write(bytearray("\n".join(lines).encode()))
+    out.close()
+
+
+def read_small(spark: SparkSession, path: str) -> list[str]:
+    fs, where = _fs(spark, path)
+    source = fs.open(where)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    source.close()
+    return text.split("\n") if text else []
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     fs, where = _fs(spark, path)
     return fs.delete(where, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegraph.model import OBSERVATIONS
+from tidegraph.session import stage
 
 # Fixed values -------------------------------------------------------------
 CSV_COLUMNS = ("hostname", "ip", "zone", "service", "port", "owner")
@@ -41,12 +42,31 @@ def _attributes(**columns: Column | str) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Inventory lists with free column order and case; cells trimmed, empty cells NULL."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    named = {c.strip().lower(): c for c in raw.columns}
-    return raw.select(*[
-        (F.nullif(F.trim(F.col(f"`{named[c]}`")), F.lit("")) if c in named else F.lit(None).cast("string")).alias(c) for c in CSV_COLUMNS
-    ])
+    """Inventory lists, each file with a header of its own in any column order and case; cells trimmed, empty cells NULL.
+
+    A file's header is its first line that is not blank; further copies of that line are no data. Of columns with one name the
+    first counts, and cells beyond the header are ignored. Records are single lines.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select("value", *place).where(F.trim("value") != "")
+    lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    first = lines.where(F.col("block") == 0).withColumn("n", F.monotonically_increasing_id())  # ascending within a file
+    headers = stage(first.groupBy("file").agg(F.min_by("value", "n").alias("header")), "headers")
+    width = headers.agg(F.max(F.size(F.split("header", ","))).alias("n")).first()["n"] or 1
+    cells = lambda line: F.array(*[F.from_csv(line, _row(width))[f"c{i}"] for i in range(width)])
+    named = headers.select("file", "header", F.transform(cells(F.col("header")), lambda c: F.lower(F.trim(c))).alias("names"))
+    rows = lines.join(named, "file").where(F.col("value") != F.col("header")).withColumn("cells", F.from_csv("value", _row(width)))
+    found = F.array(*[F.col(f"cells.c{i}") for i in range(width)])
+    return rows.select(*[F.nullif(F.trim(F.get(found, F.nullif(F.array_position("names", c), F.lit(0)).cast("int") - 1)), F.lit("")).alias(c) for c in CSV_COLUMNS])
+
+
+def _row(width: int) -> str:
+    return ", ".join(f"c{i} string" for i in range(width))
+
+
+def _port() -> Column:
+    """Port of a row; NULL if it does not read as one or does not fit."""
+    return F.when(F.col("port").rlike("^[0-9]+$"), F.col("port").try_cast("int"))
 
 
 def csv_observations(rows: DataFrame, observed_at: float, context: str = "default") -> DataFrame:
@@ -58,17 +78,17 @@ def csv_observations(rows: DataFrame, observed_at: float, context: str = "defaul
                    evidence=F.array(F.concat(F.lit("csv:zone:"), "zone")))
     assets = shaped(usable, kind="asset", source="csv", hostname=F.col("hostname"), ip=F.col("ip"), observed_at=at, context=where,
                     evidence=F.array(F.concat(F.lit("csv:asset:"), host)), attributes_json=_attributes(owner=F.col("owner")))
-    digits = F.col("service").isNotNull() & F.coalesce(F.col("port").rlike("^[0-9]+$"), F.lit(False))
-    services = shaped(usable.where(digits), kind="service", source="csv", host_hostname=F.col("hostname"), host_ip=F.col("ip"), observed_at=at, context=where,
-                      port=F.col("port").cast("int"), evidence=F.array(F.concat_ws(":", F.lit("csv:service"), host, F.col("port").cast("int").cast("string"))),
+    services = shaped(usable.where(F.col("service").isNotNull() & _port().isNotNull()), kind="service", source="csv", host_hostname=F.col("hostname"), host_ip=F.col("ip"), observed_at=at, context=where,
+                      port=_port(), evidence=F.array(F.concat_ws(":", F.lit("csv:service"), host, _port().cast("string"))),
                       metadata_json=_attributes(name=F.col("service")))
     return zones.unionByName(assets).unionByName(services)
 
 
 def csv_counts(rows: DataFrame) -> DataFrame:
-    """parsed_rows and skipped_rows."""
+    """parsed_rows, skipped_rows, and skipped_services: parsed rows that name a service without a usable port."""
     usable = F.coalesce("hostname", "ip").isNotNull()
-    return rows.agg(F.count_if(usable).alias("parsed_rows"), F.count_if(~usable).alias("skipped_rows"))
+    return rows.agg(F.count_if(usable).alias("parsed_rows"), F.count_if(~usable).alias("skipped_rows"),
+                    F.count_if(usable & F.col("service").isNotNull() & _port().isNull()).alias("skipped_services"))
 
 
 def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
