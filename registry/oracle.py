@@ -13,16 +13,8 @@ NOW, EARLIER, YEAR, MID = 959817600.0, 915148800.0, 31536000.0, 1705276800.0
 
 PIECES: dict[str, str] = {}
 
-PIECES["ends"] = """
-SELECT l_orderkey,
-  first(l_suppkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS a,
-  first(l_suppkey ORDER BY l_linenumber DESC, l_suppkey DESC, l_partkey DESC) AS b
-FROM lineitem GROUP BY 1"""
 PIECES["links"] = """
-SELECT DISTINCT a, b FROM (
-  SELECT a, b, row_number() OVER (PARTITION BY a, o_orderstatus ORDER BY n DESC, b) AS rn
-  FROM (SELECT a, b, o_orderstatus, count(*) AS n FROM ends JOIN orders ON l_orderkey = o_orderkey WHERE a <> b GROUP BY 1, 2, 3)
-) WHERE rn = 1"""
+SELECT DISTINCT a, b FROM (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS b FROM lineitem) WHERE a <> b"""
 PIECES["ohost"] = "SELECT l_orderkey, min(l_suppkey) AS host FROM lineitem GROUP BY 1"
 PIECES["phost"] = "SELECT l_partkey, min(l_suppkey) AS host FROM lineitem GROUP BY 1"
 PIECES["lines"] = """
@@ -193,10 +185,15 @@ PIECES["eval"] = "SELECT *, row_number() OVER (PARTITION BY context, target ORDE
 PIECES["disc"] = """
 SELECT 'e' || lpad(event_id::VARCHAR, 9, '0') AS id, CASE event_type WHEN 'signup' THEN 'IDENTITY_FOUND' WHEN 'error' THEN 'SERVICE_DETECTED' WHEN 'view' THEN 'ASSET_DISCOVERED' ELSE 'RELATIONSHIP_OBSERVED' END AS event_type,
   epoch(ts) AS timestamp, event_type AS source, (event_id % 100) / 100.0::DOUBLE AS confidence, 'ev:' || event_id AS evidence, 'c_' || user_id AS a1, 's_' || floor(value)::INTEGER AS a2, props FROM events"""
-# simple paths of at most six edges from the last supplier
+# shortest paths from the last supplier to the last part that is depended on: levels forwards, then only edges to the level before backwards
+PIECES["walklevel@"] = """
+SELECT max(src) AS node, 0 AS depth FROM le@ WHERE type = 'IN_ZONE'
+UNION SELECT e.dst, w.depth + 1 FROM walklevel@ w JOIN le@ e ON e.src = w.node WHERE w.depth < 40"""
+PIECES["walkdist@"] = "SELECT node, min(depth) AS depth FROM walklevel@ GROUP BY 1"
 PIECES["walk@"] = """
-SELECT dst, [src, dst] AS nodes, [id] AS path, conf AS weakest FROM le@ WHERE src = (SELECT max(src) FROM le@ WHERE type = 'IN_ZONE')
-UNION ALL SELECT e.dst, list_append(w.nodes, e.dst), list_append(w.path, e.id), least(w.weakest, e.conf) FROM walk@ w JOIN le@ e ON e.src = w.dst WHERE len(w.path) < 6 AND NOT list_contains(w.nodes, e.dst)"""
+SELECT node, depth, [node] AS nodes, []::VARCHAR[] AS path, 1.0::DOUBLE AS weakest FROM walkdist@ WHERE node = (SELECT max(dst) FROM le@ WHERE type = 'DEPENDS_ON')
+UNION ALL SELECT d.node, d.depth, list_prepend(d.node, w.nodes), list_prepend(e.id, w.path), least(w.weakest, e.conf)
+FROM walk@ w JOIN le@ e ON e.dst = w.node JOIN walkdist@ d ON d.node = e.src AND d.depth = w.depth - 1"""
 PIECES["und@"] = "SELECT src AS a, dst AS b FROM le@ UNION SELECT dst, src FROM le@"
 
 

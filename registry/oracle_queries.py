@@ -234,9 +234,9 @@ _q("e07_blast_counts", """SELECT id, coalesce(t, 0) AS total_impacted, coalesce(
 SELECT root AS id, count(*) AS t, count(*) FILTER (type = 'ASSET') AS a, count(*) FILTER (type = 'SERVICE') AS s, count(*) FILTER (type = 'DATASTORE') AS d, count(*) FILTER (type = 'IDENTITY') AS i,
 count(*) FILTER (type IN ('ZONE', 'CREDENTIAL')) AS u FROM pairs@ p JOIN (SELECT id AS nid, type FROM ln@) l ON l.nid = p.node GROUP BY 1) USING (id)""")
 _q("e07_blast_radius", "SELECT l.id, l.type, l.name FROM pairs@ p JOIN ln@ l ON l.id = p.node WHERE p.root = 's_5'")
-_q("e08_shortest_path", """SELECT nodes[1] AS source, dst AS target, array_to_string(nodes, ',') AS nodes, array_to_string(path, ',') AS edges, len(path)::INTEGER AS distance,
+_q("e08_shortest_path", """SELECT nodes[1] AS source, nodes[len(nodes)] AS target, array_to_string(nodes, ',') AS nodes, array_to_string(path, ',') AS edges, len(path)::INTEGER AS distance,
 CASE WHEN weakest < 0.5 THEN 'LOW' WHEN weakest < 0.8 THEN 'MEDIUM' WHEN weakest < 0.95 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, floor(weakest * 100)::INTEGER AS score FROM walk@
-WHERE dst = (SELECT max(dst) FROM le@ WHERE type = 'DEPENDS_ON') ORDER BY len(path), path LIMIT 1""")
+WHERE depth = 0 ORDER BY path LIMIT 1""")
 _q("e09_all_paths", """SELECT 'c_2' AS source, nodes[len(nodes)] AS target, array_to_string(nodes, ',') AS nodes, array_to_string(path, ',') AS edges, len(path)::INTEGER AS distance FROM (
 SELECT [src, dst] AS nodes, [id] AS path FROM le@ WHERE src = 'c_2'
 UNION ALL SELECT [a.src, a.dst, b.dst], [a.id, b.id] FROM le@ a JOIN le@ b ON b.src = a.dst WHERE a.src = 'c_2' AND b.dst NOT IN (a.src, a.dst)

@@ -8,7 +8,7 @@ contradicting assertions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidegraph.model import ASSERTIONS
 from tidegraph.plans.view import Graph
@@ -44,16 +44,11 @@ def part_hosts(lineitem: DataFrame) -> DataFrame:
     return lineitem.groupBy("l_partkey").agg(F.min("l_suppkey").alias("host"))
 
 
-def supplier_links(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """Per supplier and order status the supplier most often last in the orders it is first in."""
-    at = F.struct("l_linenumber", "l_suppkey", "l_partkey")
-    ends = lineitem.groupBy("l_orderkey").agg(F.min_by("l_suppkey", at).alias("a"), F.max_by("l_suppkey", at).alias("b"))
-    pairs = (
-        ends.where(F.col("a") != F.col("b")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("a", "b", "o_orderstatus").agg(F.count("*").alias("n"))
-    )
-    best = pairs.groupBy("a", "o_orderstatus").agg(F.min_by("b", F.struct(-F.col("n"), F.col("b"))).alias("b"))
-    return best.select("a", "b").distinct()
+def supplier_links(lineitem: DataFrame) -> DataFrame:
+    """Suppliers of consecutive lines of an order, each pair once."""
+    following = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
+    pairs = lineitem.select(F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(following).alias("b"))
+    return pairs.where(F.col("a") != F.col("b")).distinct()
 
 
 def graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,7 +84,7 @@ def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
         edges(zones, _key("iz_", "s_suppkey"), "IN_ZONE", _key("s_", "s_suppkey"), _key("z_", "n_regionkey"), _edge_confidence("s_suppkey", "n_regionkey"), zero)
         .unionByName(edges(placed, _key("ho_", "l_orderkey"), "HOSTS", _key("s_", "host"), _key("o_", "l_orderkey"), _edge_confidence("host", "l_orderkey"), dated))
         .unionByName(edges(part_hosts(lineitem), _key("hp_", "l_partkey"), "HOSTS", _key("s_", "host"), _key("p_", "l_partkey"), _edge_confidence("host", "l_partkey"), zero))
-        .unionByName(edges(supplier_links(lineitem, orders), F.concat_ws("_", F.lit("ct"), "a", "b"), "CONNECTS_TO", _key("s_", "a"), _key("s_", "b"), _edge_confidence("a", "b"), zero))
+        .unionByName(edges(supplier_links(lineitem), F.concat_ws("_", F.lit("ct"), "a", "b"), "CONNECTS_TO", _key("s_", "a"), _key("s_", "b"), _edge_confidence("a", "b"), zero))
         .unionByName(edges(orders, F.concat_ws("_", F.lit("au"), "o_custkey", "o_orderkey"), "AUTHENTICATES_TO", _key("c_", "o_custkey"), _key("o_", "o_orderkey"), _edge_confidence("o_custkey", "o_orderkey"), dated))
         .unionByName(edges(depends, F.concat_ws("_", F.lit("dp"), "l_orderkey", "l_partkey"), "DEPENDS_ON", _key("o_", "l_orderkey"), _key("p_", "l_partkey"), F.lit(None).cast("double"), dated))
     )
