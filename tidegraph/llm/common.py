@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyarrow import fs
@@ -18,6 +19,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 _counter = itertools.count()
+_held: dict[str, object] = {}
+_owner: list[str] = [""]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -75,6 +78,22 @@ def attempt_name(prefix: str) -> str:
     return f"{prefix}-{uuid.uuid4().hex}"
 
 
+def only(owner: str) -> None:
+    """To be called at the start of a task: a Python worker serves one stage after another, and gives back what operators other
+    than ``owner`` have kept in it."""
+    if _owner[0] != owner:
+        _held.clear()
+        _owner[0] = owner
+
+
+def held(owner: str, key: str, make: Callable[[], object]):
+    """An object that a worker makes once and keeps for later tasks of the same operator."""
+    only(owner)
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest node reachable from each of ``n`` nodes over the links ``a[i] - b[i]``."""
     label = np.arange(n)

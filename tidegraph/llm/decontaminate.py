@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidegraph.llm.common import only
+
 BLOCK_WORDS = 2_000_000
 SHINGLE = 3
 
@@ -155,6 +157,7 @@ def make_block(items: list[tuple[int, str | None]], window: int) -> Block:
 
 def _count(block: Block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of this partition that hold each shingle of the block."""
+    only("decontaminate")
     tokens = block.tokens()
     sums = {w: np.zeros(len(t), np.int64) for w, t in tokens.items()}
     for batch in batches:
@@ -199,6 +202,7 @@ def _join(block: Block, last: bool, batches: Iterator[pa.RecordBatch]) -> Iterat
 
     The last block also drops the text and counts the words that are hit.
     """
+    only("decontaminate")
     for batch in batches:
         texts = batch.schema.get_field_index("text")
         words = words_of(*_text_bytes(batch.column(texts)))

@@ -23,12 +23,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tidegraph.llm.common import drop_folder, free_name, local_roots, staged_at
+from tidegraph.llm.common import drop_folder, free_name, local_roots, only, staged_at
 from tidegraph.llm.components import connected
 
 SEED = 42
 #: Variants that one task makes on average, and that are in memory at once.
-PER_TASK, AT_ONCE = 4 << 20, 2 << 20
+PER_TASK, AT_ONCE = 4 << 20, 1 << 20
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -66,6 +66,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, width: int = 5) -> Data
     """Adds the fingerprint of ``text`` as a signed long. Null and empty texts: 0."""
     @F.pandas_udf(T.LongType())
     def made(texts: pd.Series) -> pd.Series:
+        only("simhash")
         return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
     return df.withColumn(out, made(F.col(text)))
 
@@ -142,6 +143,7 @@ def links(fingerprints: DataFrame, column: str, half: int = 2, per_task: int = P
     )
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        only("simhash")
         values = pdf["value"].to_numpy(np.int64).view(np.uint64)
         used, rows = pdf["used"].to_numpy(np.int64), np.arange(len(pdf))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -226,6 +228,7 @@ def _candidates(nodes: DataFrame, half: int, at_once: int) -> DataFrame:
     )
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        only("simhash")
         pdf = pdf.sort_values("node")
         node, values = pdf["node"].to_numpy(np.int64), pdf["value"].to_numpy(np.int64).view(np.uint64)
         used, rows = pdf["used"].to_numpy(np.int64), np.arange(len(pdf))
@@ -264,6 +267,7 @@ def similar_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5
 
     @F.pandas_udf("signature array<long>, shingles binary, lead long")
     def made(texts: pd.Series) -> pd.DataFrame:
+        only("simhash")
         out = []
         for t in texts:
             hashes = np.unique(shingle_hashes(t, width))

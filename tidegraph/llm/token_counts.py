@@ -18,20 +18,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from tidegraph.llm.common import held
 from tidegraph.llm.tokenization import BYTE_LEVEL, PLAIN, byte_characters, plain_pattern
 
 _ANY, _OF_PLAIN = regex.compile(BYTE_LEVEL), plain_pattern(BYTE_LEVEL)
 #: Distinct pre-tokens a worker remembers; symbols merged in one array; pre-tokens of a long text looked at once.
 KEPT, SYMBOLS, AT_ONCE = 600_000, 1 << 20, 200_000
 _NONE = np.iinfo(np.int32).max
-_tables: dict[str, "Merges"] = {}
 
 
 def merges(path: str) -> "Merges":
     """One per worker and file."""
-    if path not in _tables:
-        _tables[path] = Merges(path)
-    return _tables[path]
+    return held("token_counts", path, lambda: Merges(path))
 
 
 def _split(text: str) -> Pattern:

@@ -17,13 +17,14 @@ from itertools import islice
 
 import numpy as np
 
+from tidegraph.llm.common import held
+
 #: Characters on which normalization, case and character classes are beyond doubt, as ranges.
 _RANGES = [(0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF)]
 _SPACES = re.compile("[\t\n\r ]+")
 #: Pre-tokens of byte-level tokenizers.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT, AT_ONCE = 600_000, 200_000
-_encoders: dict[str, "Encoder"] = {}
+KEPT, AT_ONCE = 500_000, 200_000
 
 
 def _class(codes: list[int]) -> str:
@@ -56,9 +57,7 @@ def byte_characters() -> list[str]:
 
 def encoder(path: str) -> "Encoder":
     """One per worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held("tokenization", path, lambda: Encoder(path))
 
 
 class Encoder:

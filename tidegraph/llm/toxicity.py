@@ -15,6 +15,7 @@ each; of near copies in it one is used, else a copied text's own words would cou
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.llm.common import free_name
+from tidegraph.llm.common import drop_folder, free_name, only, staged_at
 from tidegraph.llm.simhash import shingle_hashes
 
 PER_CLASS, FEATURES, GRADES, STEPS, DECAY = 2000, 300, 4, 400, 1e-3
@@ -139,7 +140,10 @@ def _once(rows: list) -> list:
 
 
 def sample_of(documents: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, per_class: int) -> list[tuple[bool, Counter]]:
-    """Toxic or not, and word counts, of the sample. An id with several labels is toxic if one of them is."""
+    """Toxic or not, and feature counts, of the sample. An id with several labels is toxic if one of them is.
+
+    Only features of enough documents of one side come to the driver; the others cannot be used.
+    """
     marks = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
     marks = marks.groupBy("id").agg((F.max("toxic") > 0).alias("toxic"))
     chosen = [marks.where(F.col("toxic") == side).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(per_class) for side in (True, False)]
@@ -147,12 +151,25 @@ def sample_of(documents: DataFrame, labels: DataFrame, id_column: str, text_colu
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(wanted), "id")
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only("toxicity")
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "toxic": pdf["toxic"], "words": [dict(words_of(t)) for t in pdf["text"]], "signature": [_signature(t) for t in pdf["text"]]})
-
-    shape = f"id {rows.schema['id'].dataType.simpleString()}, toxic boolean, words map<string,long>, signature array<long>"
-    found = rows.dropDuplicates(["id"]).mapInPandas(made, shape).collect()
-    return [(r.toxic, Counter(r.words)) for r in _once(sorted(found, key=lambda r: str(r.id)))]
+            found = [dict(features_of(words_of(t))) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "toxic": pdf["toxic"], "features": found, "signature": [_signature(t) for t in pdf["text"]]})
+
+    shape = f"id {rows.schema['id'].dataType.simpleString()}, toxic boolean, features map<string,long>, signature array<long>"
+    spark = documents.sparkSession
+    sample, path = staged_at(spark, rows.dropDuplicates(["id"]).mapInPandas(made, shape), "toxicity_sample")
+    kept = _once(sorted(sample.select("id", "toxic", "signature").collect(), key=lambda r: str(r.id)))
+    side = {r.id: r.toxic for r in kept}
+    single = sample.join(F.broadcast(spark.createDataFrame([(k,) for k in side], sample.select("id").schema)), "id")
+    each = single.select("id", "toxic", F.explode("features").alias("feature", "n"))
+    sums = each.groupBy("feature").agg(F.count_if("toxic").alias("high"), F.count_if(~F.col("toxic")).alias("low"))
+    n_high = sum(side.values())
+    common = sums.where((F.col("high") >= _least(n_high)) | (F.col("low") >= _least(len(side) - n_high))).select("feature")
+    per = each.join(common, "feature").groupBy("id").agg(F.collect_list("feature").alias("features"), F.collect_list("n").alias("counts"))
+    found = {r.id: Counter(dict(zip(map(sys.intern, r.features), r.counts))) for r in per.toLocalIterator()}
+    drop_folder(spark, path)
+    return [(toxic, found.get(k, Counter())) for k, toxic in side.items()]
 
 
 def _least(documents: int) -> int:
@@ -162,8 +179,8 @@ def _least(documents: int) -> int:
 def marked_words(sample: list[tuple[bool, Counter]]) -> frozenset[str]:
     """Words in enough toxic documents of the sample, and in at least nine times as large a share of them as of the others."""
     toxic, clean = Counter(), Counter()
-    for side, words in sample:
-        (toxic if side else clean).update(words.keys())
+    for side, features in sample:
+        (toxic if side else clean).update(f for f in features if f[0] != "^")
     n_toxic = sum(s for s, _ in sample)
     scale = max(1, n_toxic) / max(1, len(sample) - n_toxic)
     return frozenset(w for w, n in toxic.items() if n >= _least(n_toxic) and n >= 9 * scale * clean[w])
@@ -172,19 +189,19 @@ def marked_words(sample: list[tuple[bool, Counter]]) -> frozenset[str]:
 def graded(sample: list[tuple[bool, Counter]]) -> list[int]:
     """0 for documents that are not toxic, else 1, 2 or 3 by their number of marked words."""
     marked = marked_words(sample)
-    counts = [sum(n for w, n in words.items() if w in marked) for _, words in sample]
+    counts = [sum(n for w, n in features.items() if w in marked) for _, features in sample]
     bounds = np.quantile([c for c, (side, _) in zip(counts, sample) if side] or [0], [1 / 3, 2 / 3])
     return [1 + int((c > bounds).sum()) if side else 0 for c, (side, _) in zip(counts, sample)]
 
 
 def learn(sample: list[tuple[bool, Counter]], grade: list[int] | None = None, grades: int = GRADES, features: int = FEATURES) -> Model:
-    """Fit to (toxic or not, word counts); ``grade`` overrides the derived grades, 0 to ``grades`` - 1.
+    """Fit to (toxic or not, feature counts); ``grade`` overrides the derived grades, 0 to ``grades`` - 1.
 
     The vocabulary are the features of enough documents with the largest difference of document shares between the two
     sides, in units of its deviation. Without a toxic or without another document, nothing is toxic.
     """
     grade = graded(sample) if grade is None else grade
-    rows = [features_of(words) for _, words in sample]
+    rows = [own for _, own in sample]
     high, low = Counter(), Counter()
     for g, own in zip(grade, rows):
         (high if g else low).update(own.keys())
@@ -211,6 +228,7 @@ def learn_from(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id
 def _judged(model: Model):
     @F.pandas_udf("severity double, grade int")
     def judged(texts: pd.Series) -> pd.DataFrame:
+        only("toxicity")
         above = model.above(np.array([model.score(t) for t in texts]))
         return pd.DataFrame({"severity": above.sum(axis=1), "grade": (above >= 0.5).sum(axis=1).astype(np.int32)})
     return judged
