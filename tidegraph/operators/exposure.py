@@ -173,7 +173,8 @@ def exposure_evidence(view: View) -> DataFrame:
         .unionByName(mark(crossing, "ZONE_BOUNDARY_CROSSING"))
         .unionByName(mark(itself(typed("HIGH_CONNECTIVITY_EXPOSED")), "HIGH_CONNECTIVITY_EXPOSED"))
     )
-    return rests.join(view.evidence(), ["target_kind", "target_id"]).select("entity_id", "finding_type", "ref").distinct()
+    refs = view.evidence(wanted=rests.select("target_kind", "target_id"))
+    return rests.join(refs, ["target_kind", "target_id"]).select("entity_id", "finding_type", "ref").distinct()
 
 
 def exposure_magnitude(findings: DataFrame) -> DataFrame:

@@ -177,8 +177,8 @@ def entity_records(view: View, kind: str | None = None) -> DataFrame:
 def entity_evidence(view: View, kind: str | None = None) -> DataFrame:
     """Evidence of live nodes, one row per reference."""
     rows = view.nodes if kind is None else view.of_type(KINDS[kind.upper()])
-    refs = view.evidence().where(F.col("target_kind") == "node").select(F.col("target_id").alias("entity_id"), "ref")
-    return refs.join(rows.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    wanted = rows.select(F.lit("node").alias("target_kind"), F.col("id").alias("target_id"))
+    return view.evidence("node", wanted).select(F.col("target_id").alias("entity_id"), "ref")
 
 
 def _known(kind: str | None, allowed: tuple[str, ...]) -> str | None:
@@ -234,9 +234,11 @@ def resolved_graph(view: View) -> DataFrame:
 
 def resolved_evidence(view: View) -> DataFrame:
     """Evidence of all live nodes and edges, one row per reference: (target_kind, id, ref)."""
-    live = view.nodes.select(F.lit("node").alias("target_kind"), "id").unionByName(view.edges.select(F.lit("edge").alias("target_kind"), "id"))
-    refs = view.evidence().select("target_kind", F.col("target_id").alias("id"), "ref")
-    return refs.join(live, ["target_kind", "id"], "left_semi")
+    def targets(kind: str, rows: DataFrame) -> DataFrame:
+        return rows.select(F.lit(kind).alias("target_kind"), F.col("id").alias("target_id"))
+
+    refs = view.evidence(wanted=targets("node", view.nodes).unionByName(targets("edge", view.edges)))
+    return refs.select("target_kind", F.col("target_id").alias("id"), "ref")
 
 
 def _top_level(value_json: str) -> Column:

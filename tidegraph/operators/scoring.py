@@ -99,8 +99,8 @@ def risk(view: View) -> DataFrame:
 
 def risk_evidence(view: View) -> DataFrame:
     """References behind each node's risk: its own and those of its exposure findings."""
-    own = view.evidence().where(F.col("target_kind") == "node").select(F.col("target_id").alias("entity_id"), "ref")
-    own = own.join(view.nodes.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    live = view.nodes.select(F.lit("node").alias("target_kind"), F.col("id").alias("target_id"))
+    own = view.evidence("node", live).select(F.col("target_id").alias("entity_id"), "ref")
     found = exposure_evidence(view).select("entity_id", "ref")
     found = found.join(view.nodes.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
     return own.unionByName(found).distinct()

@@ -92,7 +92,7 @@ def dependency_metrics(view: View) -> DataFrame:
 def dependency_evidence(view: View) -> DataFrame:
     """Distinct evidence of each node's dependency edges (entity_id, ref)."""
     ends = view.links(*DEPENDENCY_TYPES).select(F.col("id").alias("target_id"), F.explode(F.array("src", "dst")).alias("entity_id"))
-    refs = view.evidence().where(F.col("target_kind") == "edge").select("target_id", "ref")
+    refs = view.evidence("edge", ends.select(F.lit("edge").alias("target_kind"), "target_id")).select("target_id", "ref")
     return ends.distinct().join(refs, "target_id").select("entity_id", "ref").distinct()
 
 

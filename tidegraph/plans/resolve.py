@@ -127,10 +127,15 @@ def contradictions(log: DataFrame, as_of: float | None = None, context: str | No
     )
 
 
-def evidence(log: DataFrame, as_of: float | None = None, context: str | None = None, kind: str | None = None) -> DataFrame:
-    """Distinct evidence references of the applicable assertions, one row each."""
-    refs = applicable(log, as_of, context, kind).select(*TARGET, F.explode("evidence").alias("ref"))
-    return refs.distinct()
+def evidence(log: DataFrame, as_of: float | None = None, context: str | None = None, kind: str | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """Distinct evidence references of the applicable assertions, one row each.
+
+    ``wanted`` (target_kind, target_id) keeps the assertions of these targets before their references are listed.
+    """
+    rows = applicable(log, as_of, context, kind).select(*TARGET, "evidence")
+    if wanted is not None:
+        rows = rows.join(wanted.select("target_kind", "target_id"), ["target_kind", "target_id"], "left_semi")
+    return rows.select(*TARGET, F.explode("evidence").alias("ref")).distinct()
 
 
 def inferred(log: DataFrame, as_of: float | None = None, context: str | None = None) -> DataFrame:

@@ -76,9 +76,9 @@ class View:
             .select(F.col("src").alias("consumer"), F.col("dst").alias("provider")).distinct()
         ))
 
-    def evidence(self) -> DataFrame:
-        """Distinct (target_kind, target_id, ref) of everything that applies in the view."""
-        return evidence(self.log, self.as_of, self.context).drop("context")
+    def evidence(self, kind: str | None = None, wanted: DataFrame | None = None) -> DataFrame:
+        """Distinct (target_kind, target_id, ref) of what applies in the view, of one kind or of the ``wanted`` targets only."""
+        return evidence(self.log, self.as_of, self.context, kind, wanted).drop("context")
 
     def attributes(self) -> DataFrame:
         """One parsed row per live node, so that JSON is read once per view."""
