@@ -105,10 +105,14 @@ def learn(labelled: DataFrame, text_column: str = "text", label_column: str = "l
     """Learn from rows with a label and a letter; others are passed over. The sample is at most ``per_language`` texts a language."""
     rows = labelled.select(F.col(text_column).alias("text"), F.col(label_column).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    # each task keeps its own smallest hashes before anything is moved; equal texts share a rank, so copies count once
-    ranked = rows.select("lang", "hash").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("r") <= per_language)
-    wanted = ranked.select("lang", "hash").distinct()
-    texts = rows.join(wanted, ["lang", "hash"], "left_semi")
+    # copies share a hash and count once; the smallest hashes are found among those below a bound that about four times as
+    # many as wanted fall under, so that no task gets all rows of a language
+    single = rows.select("lang", "hash").distinct()
+    sizes = single.groupBy("lang").agg(F.count("*").alias("n"))
+    low = single.join(F.broadcast(sizes), "lang").where(F.col("hash") / 2.0**64 + 0.5 <= 4.0 * per_language / F.col("n"))
+    ranked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("r") <= per_language)
+    wanted = ranked.select("lang", "hash")  # at most ``per_language`` rows a language
+    texts = rows.join(F.broadcast(wanted), ["lang", "hash"], "left_semi")
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
