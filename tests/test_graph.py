@@ -184,3 +184,12 @@ def test_skewed_join_is_split(spark):
     finally:
         for k, x in before.items():
             spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+
+
+@pytest.mark.parametrize("weights, scale", [({1: 1.0, 2: 0.9, 3: 0.8}, 3.0), ({1: 0.3, 2: 0.3, 3: 0.1}, 2.0), ({1: 2.0, 2: 0.25, 3: 0.5}, 7.0)])
+def test_impact_scores_with_other_weights(spark, monkeypatch, weights, scale):
+    monkeypatch.setattr(tp, "IMPACT_WEIGHTS", weights)
+    monkeypatch.setattr(tp, "IMPACT_SCALE", scale)
+    v = open_view(random_graph(4).graph(spark), 150.0)
+    want = {r.entity_id: r.impact_score for r in tp.impact_of(v).collect()}
+    assert {r.entity_id: r.impact_score for r in tp.impact_scores(v).collect()} == want

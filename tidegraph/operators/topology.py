@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegraph.functions.bands import path_severity
@@ -131,22 +133,24 @@ def _impact_score(n1: Column, n2: Column, n3: Column) -> Column:
 def impact_scores(view: View) -> DataFrame:
     """Impact score of every live node in time linear in the graph, whatever its hubs.
 
-    The score is full at 5 weighted nodes, so a root with 5 dependents is done. Of the others (at most
-    4 dependents) one whose dependent alone has 15 dependents is done as well: 15 less the at most 5
-    known ones is 10 new ones, worth 5. The rest have at most 9 nodes at depth 2, and one of those
-    with 34 dependents adds at least 20 new ones at depth 3. Only what remains is expanded, hence no
-    expansion exceeds 4*14 or 9*33 rows per root, and every score is exact.
+    Let ``n1``, ``n2`` and ``n3`` nodes of a depth be enough for a full score (5, 10 and 20 by the present weights). A root with
+    n1 dependents is done. Of the others one whose dependent alone has n1 + n2 dependents is done as well: less the at
+    most n1 known ones (the root among them) that is n2 new ones. The rest have fewer than n2 nodes at depth 2, and one of
+    those with n1 + n2 - 1 + n3 dependents adds at least n3 new ones at depth 3. Only what remains is expanded, hence
+    the rows per root are bounded by these numbers, and every score is exact.
     """
+    n1, n2, n3 = (math.ceil(IMPACT_SCALE / IMPACT_WEIGHTS[d] - 1e-9) for d in (1, 2, 3))
+    wide, wide_2 = n1 + n2, n1 + n2 - 1 + n3
     links = _dependent_links(view).where(F.col("node") != F.col("next"))
     fan = links.groupBy("node").agg(F.count("*").alias("fan"))
 
-    few = fan.where(F.col("fan") < 5).select(F.col("node").alias("root"))
+    few = fan.where(F.col("fan") < n1).select(F.col("node").alias("root"))
     first = stage(
         links.withColumnRenamed("node", "root").join(few, "root", "left_semi")
         .join(fan.select(F.col("node").alias("next"), "fan"), "next", "left").na.fill(0, ["fan"]), "impact_1",
     )
     one = first.groupBy("root").agg(F.count("*").alias("n1"), F.max("fan").alias("widest"))
-    open_1 = one.where(F.col("widest") < 15).select("root")
+    open_1 = one.where(F.col("widest") < wide).select("root")
     step = first.join(open_1, "root", "left_semi").select("root", F.col("next").alias("node")).join(links, "node")
     known = first.select("root", "next")
     second = stage(
@@ -155,7 +159,8 @@ def impact_scores(view: View) -> DataFrame:
     )
     two = second.groupBy("root").agg(F.count("*").alias("n2"), F.max("fan").alias("widest_2"))
     sums = one.join(two, "root", "left").na.fill(0, ["n2", "widest_2"])
-    unsettled = (F.col("n1") + F.col("n2") * 0.5 < 5.0) & (F.col("widest") < 15) & (F.col("widest_2") < 34)
+    weighted = F.col("n1") * IMPACT_WEIGHTS[1] + F.col("n2") * IMPACT_WEIGHTS[2]
+    unsettled = (weighted < IMPACT_SCALE) & (F.col("widest") < wide) & (F.col("widest_2") < wide_2)
     open_2 = sums.where(unsettled).select("root")
     step = second.join(open_2, "root", "left_semi").select("root", F.col("next").alias("node")).join(links, "node")
     known = known.union(second.select("root", "next"))
@@ -165,10 +170,10 @@ def impact_scores(view: View) -> DataFrame:
     )
     small = sums.join(third, "root", "left").na.fill(0, ["n3"]).select(
         F.col("root").alias("id"),
-        F.when((F.col("widest") >= 15) | (F.col("widest_2") >= 34), 100)
+        F.when((F.col("widest") >= wide) | (F.col("widest_2") >= wide_2), 100)
         .otherwise(_impact_score(F.col("n1"), F.col("n2"), F.col("n3"))).alias("score"),
     )
-    full = fan.where(F.col("fan") >= 5).select(F.col("node").alias("id"), F.lit(100).alias("score"))
+    full = fan.where(F.col("fan") >= n1).select(F.col("node").alias("id"), F.lit(100).alias("score"))
     return view.nodes.select("id").join(small.unionByName(full), "id", "left").select(
         F.col("id").alias("entity_id"), F.coalesce("score", F.lit(0)).alias("impact_score")
     )
