@@ -16,12 +16,13 @@ finds candidates in several shorter fingerprints, in the same way, and verifies
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidegraph.llm.common import drop_folder, free_name, local_roots, only, staged_at
 from tidegraph.llm.components import connected
@@ -91,8 +92,8 @@ def _binomial(n: int, k: int) -> int:
     return out
 
 
-def _meetings(values: np.ndarray, rows: np.ndarray, used: np.ndarray, bits: int, half: int, at_once: int, ahead: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that share a variant of the lowest ``bits`` bits: each row with the ``ahead`` next ones of the variant.
+def _meetings(values: np.ndarray, rows: np.ndarray, used: np.ndarray, bits: int, half: int, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that share a variant of the lowest ``bits`` bits: each row with the next one of the variant.
 
     ``used``: flips already spent on the bits above. Variants are made in slices by their next bit, so that at most about
     ``at_once`` are in memory.
@@ -103,7 +104,7 @@ def _meetings(values: np.ndarray, rows: np.ndarray, used: np.ndarray, bits: int,
         for bit in (0, 1):
             spent = used + (top ^ bit)
             keep = spent <= half
-            yield from _meetings(values[keep], rows[keep], spent[keep], bits - 1, half, at_once, ahead)
+            yield from _meetings(values[keep], rows[keep], spent[keep], bits - 1, half, at_once)
         return
     low = np.uint64((1 << bits) - 1)
     made, owners = [], []
@@ -120,11 +121,10 @@ def _meetings(values: np.ndarray, rows: np.ndarray, used: np.ndarray, bits: int,
     variants, owner = variants[met], owner[met]
     order = np.lexsort((owner, variants))
     variants, owner = variants[order], owner[order]
-    for step in range(1, ahead + 1):
-        same = np.flatnonzero(variants[step:] == variants[:-step])
-        if len(same):
-            pairs = np.unique(owner[same] * np.int64(rows.max() + 1) + owner[same + step])
-            yield pairs // (rows.max() + 1), pairs % (rows.max() + 1)
+    same = np.flatnonzero(variants[1:] == variants[:-1])
+    if len(same):
+        pairs = np.unique(owner[same] * np.int64(rows.max() + 1) + owner[same + 1])
+        yield pairs // (rows.max() + 1), pairs % (rows.max() + 1)
 
 
 def links(fingerprints: DataFrame, column: str, half: int = 2, per_task: int = PER_TASK, at_once: int = AT_ONCE) -> DataFrame:
@@ -191,8 +191,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, half: int = 2, id_colu
 
 #: Independent fingerprints of a text for the search by similarity, and the bits of each.
 TABLES, BITS = 12, 40
-#: Members of a variant that each member is compared with, in the order of the texts' least shingle.
-AHEAD = 3
+#: Orders of the texts, each by their least shingle under another hash, that bring near copies side by side; the texts that each
+#: text is compared with in such an order; variants that one task makes on average.
+ORDERS, BESIDE, PER_SEARCH = 4, 4, 64 << 20
+
+
+_ORDER_FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def signature(shingles: np.ndarray, tables: int = TABLES, bits: int = BITS) -> list[int]:
@@ -216,44 +220,65 @@ def overlap(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the links that make up a forest of the least total weight; of equal ones, those between closer numbers."""
+    parent = list(range(n))
+    kept = []
+    order = np.lexsort((np.abs(b - a), weight))
+    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
 def _candidates(nodes: DataFrame, half: int, at_once: int) -> DataFrame:
-    """Distinct (a, b) of nodes, a < b, with a fingerprint within ``2 * half`` bits of each other; ``nodes``: node, signature."""
-    prefix_bits = min(16, max(4, int(np.ceil(np.log2(max(1, nodes.count() * _ball_size(BITS, half) / (4 * PER_TASK)))))))
+    """(a, b) of nodes, a < b, with a fingerprint within ``2 * half`` bits of each other; ``nodes``: node, signature.
+
+    Of the pairs that meet for one fingerprint and prefix, a spanning forest by their distance is kept: what it connects stays
+    connected, and a group of which all pairs come near each other gives rows in proportion to its members.
+    """
+    prefix_bits = max(0, int(np.ceil(np.log2(max(1, nodes.count() * _ball_size(BITS, half) / PER_SEARCH)))))
     rest = BITS - prefix_bits
-    masks = [(int(m), int(bin(int(m)).count("1"))) for m in _ball(prefix_bits, half)]
-    reach = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(u).alias("used")) for m, u in masks])
-    visits = (
-        nodes.select("node", F.posexplode("signature").alias("part", "value")).select("node", "part", "value", F.explode(reach).alias("r"))
-        .select("node", "part", F.shiftrightunsigned("value", rest).bitwiseXOR(F.col("r.mask")).alias("prefix"), "value", F.col("r.used").cast("byte").alias("used"))
-    )
+    masks = F.array(*[F.lit(int(m)).cast("long") for m in _ball(prefix_bits, half)])
+    visits = nodes.select("node", F.posexplode("signature").alias("part", "value")).select("node", "part", "value", F.explode(masks).alias("mask"))
+    visits = visits.select((F.col("part").cast("long") * (1 << prefix_bits) + F.shiftrightunsigned("value", rest).bitwiseXOR(F.col("mask"))).alias("key"), "node", "value")
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         only("simhash")
         pdf = pdf.sort_values("node")
         node, values = pdf["node"].to_numpy(np.int64), pdf["value"].to_numpy(np.int64).view(np.uint64)
-        used, rows = pdf["used"].to_numpy(np.int64), np.arange(len(pdf))
-        codes, fresh, kept = np.zeros(0, np.int64), [], 0
-        for x, y in _meetings(values, rows, used, rest, half, at_once, AHEAD):
+        prefix = np.uint64(int(key[0]) % (1 << prefix_bits))
+        used, rows = np.bitwise_count((values >> np.uint64(rest)) ^ prefix).astype(np.int64), np.arange(len(pdf))
+        codes, fresh, size = np.zeros(0, np.int64), [], 0
+        for x, y in _meetings(values, rows, used, rest, half, at_once):
             near = np.bitwise_count(values[x] ^ values[y]) <= 2 * half
             fresh.append(x[near] * len(rows) + y[near])
-            kept += len(x)
-            if kept > at_once:
-                codes, fresh, kept = np.unique(np.concatenate([codes, *fresh])), [], 0
+            size += len(x)
+            if size > at_once:
+                codes, fresh, size = np.unique(np.concatenate([codes, *fresh])), [], 0
         codes = np.unique(np.concatenate([codes, *fresh]))
-        return pd.DataFrame({"a": node[codes // len(rows)], "b": node[codes % len(rows)]})
+        x, y = codes // len(rows), codes % len(rows)
+        kept = spanning(len(rows), x, y, np.bitwise_count(values[x] ^ values[y]))
+        return pd.DataFrame({"a": node[x[kept]], "b": node[y[kept]]})
 
-    return visits.groupBy("part", "prefix").applyInPandas(meet, "a long, b long").distinct()
+    return visits.groupBy("key").applyInPandas(meet, "a long, b long")
 
 
 def similar_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5, half: int = 2, text_column: str = "text", at_once: int = AT_ONCE) -> DataFrame:
     """(digest, component) of every distinct text, digest its SHA-256; texts linked, over others too, share a component.
 
     A link is a Jaccard similarity of at least ``similarity`` of the sets of ``width``-word shingles (fewer words: all of them
-    are one shingle), verified exactly. Candidates are pairs that agree within ``2 * half`` bits in one of ``TABLES``
-    independent fingerprints of ``BITS`` bits, so a pair of similarity 0.8 is found with a probability of about 0.97 and one
-    of 0.85 with 0.999; in a variant that more than ``AHEAD`` texts share, each is compared with the next ones, in an order that has
-    near copies side by side. Of the candidates, each round verifies the most promising few of every text and
-    drops those that lie within a component by then. Null is the empty text. An empty table gives no rows.
+    are one shingle), verified exactly. Candidates are found in two ways. Texts are put in the order of their least
+    shingle, which has most near copies side by side, and each is compared with the next ``BESIDE`` that share its least
+    one; ``ORDERS`` times, by different hashes. And texts that agree within ``2 * half`` bits in one of ``TABLES`` independent
+    fingerprints of ``BITS`` bits are: at a similarity of 0.8 two do with a probability of 0.97, at 0.85 with 0.999. For each
+    fingerprint and prefix of the variants a forest of these pairs is kept, so a large group of
+    texts that are all a little alike does not give all its pairs. Null is the empty text. An empty table gives no rows.
     """
     spark = documents.sparkSession
     folders: list[str] = []
@@ -265,63 +290,69 @@ def similar_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5
 
     text = F.coalesce(F.col(text_column), F.lit(""))
 
-    @F.pandas_udf("signature array<long>, shingles binary, lead long")
+    @F.pandas_udf("signature array<long>, shingles binary, lead array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
         only("simhash")
         out = []
         for t in texts:
             hashes = np.unique(shingle_hashes(t, width))
-            out.append((signature(hashes), np.unique(hashes.astype("<u4")).tobytes(), int(hashes[0].view(np.int64)) if len(hashes) else 0))
+            out.append((signature(hashes), np.unique(hashes.astype("<u4")).tobytes(), least_shingles(hashes)))
         return pd.DataFrame(out, columns=["signature", "shingles", "lead"])
 
     rows = documents.select(F.sha2(text.cast("binary"), 256).alias("digest"), made(text).alias("m")).select("digest", "m.signature", "m.shingles", "m.lead")
     rows = hold(rows, "signatures")
     single = rows.groupBy("digest").agg(F.first("signature").alias("signature"), F.first("lead").alias("lead"))
-    # numbers in the order of the least shingle, which near copies mostly share
-    numbered = single.repartitionByRange("lead", "digest").sortWithinPartitions("lead", "digest").withColumn("node", F.monotonically_increasing_id())
-    nodes = hold(numbered.select("node", "digest", "signature"), "texts")
-    pairs = hold(_candidates(nodes.select("node", "signature"), half, at_once), "candidates")
+    # numbers in the order of the least shingles, which near copies mostly share
+    nodes = hold(_in_order(single, ["lead", "digest"], "node").select("node", "digest", "signature", "lead"), "texts")
+
+    @F.pandas_udf("double")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([overlap(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    orders = []
+    for k in range(ORDERS):
+        leads = nodes.select("node", F.get("lead", F.lit(k)).alias("lead")).where(F.col("lead").isNotNull())
+        orders.append(_beside(hold(_in_order(leads, ["lead", "node"], "place"), "order")))
+    met = _candidates(nodes.select("node", "signature"), half, at_once)
+    pairs = hold(reduce(DataFrame.union, [*orders, met]).distinct(), "candidates")
 
     # the fingerprints' distance over all tables says which candidates are promising; far ones cannot have the similarity
     side = nodes.select("node", "signature")
     placed = pairs.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b")
     distance = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
-    edges = hold(placed.select("a", "b", distance.alias("distance")).where(F.col("distance") <= _farthest(similarity)), "edges")
+    edges = hold(placed.where(distance <= _farthest(similarity)).select("a", "b"), "edges")
     sets = hold(_sets(rows, nodes, edges), "sets")
-
-    @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([overlap(p, q) for p, q in zip(x, y)], dtype="float64")
-
-    groups, most, proved = None, 1, None
-    while not edges.isEmpty():
-        ends = edges.select("a", "b", "distance", F.col("a").alias("end")).union(edges.select("a", "b", "distance", F.col("b").alias("end")))
-        first = Window.partitionBy("end").orderBy("distance", "a", "b")
-        tried = ends.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).select("a", "b").distinct()
-        checked = tried.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b").select("a", "b", alike("p", "q").alias("jaccard"))
-        checked = hold(checked, "checked")
-        good = checked.where(F.col("jaccard") >= similarity).select("a", "b")
-        proved = good if proved is None else proved.union(good)
-        groups = hold(connected(proved), "groups")
-        of = lambda name, out: groups.select(F.col("node").alias(name), F.col("component").alias(out))
-        rest = edges.join(checked.select("a", "b"), ["a", "b"], "left_anti").join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
-        rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "distance")
-        edges = hold(rest, "edges")
-        most *= 8
-    found = nodes.select("digest", F.col("node").alias("component"))
-    if groups is not None:
-        found = nodes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    proved = edges.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b").where(alike("p", "q") >= similarity).select("a", "b")
+    groups = hold(connected(hold(proved, "proved")), "groups")
+    found = nodes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     found, _ = staged_at(spark, found, "near_copies")
     for path in folders:
         drop_folder(spark, path)
     return found
 
 
+def least_shingles(hashes: np.ndarray) -> list[int]:
+    """The least hash under four different orders; nothing without shingles."""
+    return [int((hashes * np.uint64(m) ^ hashes >> np.uint64(31)).min().view(np.int64)) for m in _ORDER_FACTORS] if len(hashes) else []
+
+
+def _in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds numbers that ascend with ``order``, by one within each task's range; to be staged before it is read twice."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+
+
+def _beside(placed: DataFrame) -> DataFrame:
+    """(a, b): texts with one lead, at most ``BESIDE`` places apart."""
+    own = [placed.select((F.col("place") + k).alias("place"), F.col("node").alias("x"), F.col("lead").alias("x_lead")) for k in range(1, BESIDE + 1)]
+    met = reduce(DataFrame.union, own).join(placed, "place").where(F.col("lead") == F.col("x_lead"))
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+
+
 def _farthest(similarity: float) -> int:
-    """Distance over all tables that a pair of this similarity exceeds with a probability below 1e-4."""
+    """Distance over all tables that a pair of this similarity exceeds with a probability of about 0.001."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     n = TABLES * BITS
-    return int(n * p + 4 * np.sqrt(n * p * (1 - p)))
+    return int(n * p + 3 * np.sqrt(n * p * (1 - p)))
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

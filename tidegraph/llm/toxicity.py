@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidegraph.llm.common import drop_folder, free_name, only, staged_at
-from tidegraph.llm.simhash import shingle_hashes
+from tidegraph.llm.simhash import least_shingles, shingle_hashes
 
 PER_CLASS, FEATURES, GRADES, STEPS, DECAY = 2000, 300, 4, 400, 1e-3
 #: A feature must be in so many documents of one side of the sample, and in this share of them.
@@ -122,9 +122,8 @@ def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarra
 
 
 def _signature(text: str | None) -> list[int]:
-    """Four minima of hashed five-word shingles: near copies share one."""
-    hashes = shingle_hashes(text, 5)
-    return [int((hashes * np.uint64(k) ^ hashes >> np.uint64(29)).min().view(np.int64)) for k in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)] if len(hashes) else []
+    """Minima of hashed five-word shingles: near copies share one."""
+    return least_shingles(shingle_hashes(text, 5))
 
 
 def _once(rows: list) -> list:
