@@ -9,8 +9,8 @@ where they meet. The prefix grows with the number of distinct fingerprints, so a
 All members of one variant lie within the radius of each other, so links between neighbours in the sorted variants
 suffice: a group of a million near copies gives a chain, not 10^12 pairs. Every link is checked by its distance.
 
-``near_duplicates`` links by the distance of one fingerprint. ``similar_groups`` links by the similarity of shingle sets: it
-finds candidates in several shorter fingerprints, in the same way, and verifies them exactly.
+``near_duplicates`` links by the distance of one fingerprint. ``similar_groups`` links by the similarity of shingle sets, by
+a prefix-filtered set join that loses no pair.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidegraph.llm.common import drop_folder, free_name, local_roots, only, staged_at
 from tidegraph.llm.components import connected
@@ -189,11 +189,15 @@ def near_duplicates(documents: DataFrame, width: int = 5, half: int = 2, id_colu
     return rows.join(ids, "value").select(F.col("id").alias(id_column), F.col("value").alias("fingerprint"), "component_id")
 
 
-#: Independent fingerprints of a text for the search by similarity, and the bits of each.
+#: Independent fingerprints of a text in ``signature``, and the bits of each.
 TABLES, BITS = 12, 40
 #: Orders of the texts, each by their least shingle under another hash, that bring near copies side by side; the texts that each
-#: text is compared with in such an order; variants that one task makes on average.
-ORDERS, BESIDE, PER_SEARCH = 4, 4, 64 << 20
+#: text is first compared with in such an order, if they share so many of their least shingles.
+ORDERS, BESIDE, SHARED = 4, 4, 3
+#: Texts in the sample that tells which shingles are common, and how many of these are told.
+SAMPLE, COMMON = 4096, 1 << 16
+#: Bits of the bitmap of texts that have a candidate.
+BITMAP = 1 << 24
 
 
 _ORDER_FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -211,74 +215,78 @@ def signature(shingles: np.ndarray, tables: int = TABLES, bits: int = BITS) -> l
     return (set_[:tables * bits].reshape(tables, bits) @ weights).tolist()
 
 
-def overlap(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sorted sets of 32-bit hashes; two empty sets are equal."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+def overlap(a: bytes, b: bytes, kind: str = "<u4") -> float:
+    """Jaccard similarity of two sorted sets of hashes of type ``kind``; two empty sets are equal."""
+    x, y = np.frombuffer(a, kind), np.frombuffer(b, kind)
     if not len(x) and not len(y):
         return 1.0
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Places of the links that make up a forest of the least total weight; of equal ones, those between closer numbers."""
-    parent = list(range(n))
-    kept = []
-    order = np.lexsort((np.abs(b - a), weight))
-    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append(k)
-    return np.array(kept, np.int64)
+def prefix_of(shingles: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of (how common, hash), so many that two sets of this similarity share one.
 
+    Sets of a similarity s share at least s times the size of either, so all but that number, and one more. ``common``: sorted
+    hashes, and in ``times`` how common each is; all others count as rare. Without shingles: a 0.
+    """
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.uint64)
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, times[at], 0)
+    return shingles[np.lexsort((shingles, rank))][:n - int(np.ceil(similarity * n - 1e-6)) + 1]
+
+
+def _common(texts: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the ``most`` commonest shingles in a sample of the texts; they only order the shingles."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only("simhash")
+        for pdf in batches:
+            for t in pdf["text"]:
+                yield pd.DataFrame({"shingle": np.unique(shingle_hashes(t, width)).view(np.int64)})
 
-def _candidates(nodes: DataFrame, half: int, at_once: int) -> DataFrame:
-    """(a, b) of nodes, a < b, with a fingerprint within ``2 * half`` bits of each other; ``nodes``: node, signature.
+    counts = sample.mapInPandas(each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    found = sorted((r.shingle % (1 << 64), r.n) for r in counts.orderBy(F.desc("n"), "shingle").limit(most).collect())
+    return np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
 
-    Of the pairs that meet for one fingerprint and prefix, a spanning forest by their distance is kept: what it connects stays
-    connected, and a group of which all pairs come near each other gives rows in proportion to its members.
-    """
-    prefix_bits = max(0, int(np.ceil(np.log2(max(1, nodes.count() * _ball_size(BITS, half) / PER_SEARCH)))))
-    rest = BITS - prefix_bits
-    masks = F.array(*[F.lit(int(m)).cast("long") for m in _ball(prefix_bits, half)])
-    visits = nodes.select("node", F.posexplode("signature").alias("part", "value")).select("node", "part", "value", F.explode(masks).alias("mask"))
-    visits = visits.select((F.col("part").cast("long") * (1 << prefix_bits) + F.shiftrightunsigned("value", rest).bitwiseXOR(F.col("mask"))).alias("key"), "node", "value")
 
-    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        only("simhash")
-        pdf = pdf.sort_values("node")
-        node, values = pdf["node"].to_numpy(np.int64), pdf["value"].to_numpy(np.int64).view(np.uint64)
-        prefix = np.uint64(int(key[0]) % (1 << prefix_bits))
-        used, rows = np.bitwise_count((values >> np.uint64(rest)) ^ prefix).astype(np.int64), np.arange(len(pdf))
-        codes, fresh, size = np.zeros(0, np.int64), [], 0
-        for x, y in _meetings(values, rows, used, rest, half, at_once):
-            near = np.bitwise_count(values[x] ^ values[y]) <= 2 * half
-            fresh.append(x[near] * len(rows) + y[near])
-            size += len(x)
-            if size > at_once:
-                codes, fresh, size = np.unique(np.concatenate([codes, *fresh])), [], 0
-        codes = np.unique(np.concatenate([codes, *fresh]))
-        x, y = codes // len(rows), codes % len(rows)
-        kept = spanning(len(rows), x, y, np.bitwise_count(values[x] ^ values[y]))
-        return pd.DataFrame({"a": node[x[kept]], "b": node[y[kept]]})
+def _meeting(texts: DataFrame) -> DataFrame:
+    """(node, size, group, place, shingle) of the prefix shingles that texts of several groups have; ``texts``: node, size, prefix, group."""
+    visits = texts.select("node", "size", "group", F.posexplode("prefix").alias("place", "shingle"))
+    whole = Window.partitionBy("shingle")
+    visits = visits.withColumns({"low": F.min("group").over(whole), "high": F.max("group").over(whole)})
+    return visits.where("low <> high").drop("low", "high")
 
-    return visits.groupBy("key").applyInPandas(meet, "a long, b long")
 
+def _pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b, of the texts of different groups that meet in ``met`` and can have the similarity.
 
-def similar_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5, half: int = 2, text_column: str = "text", at_once: int = AT_ONCE) -> DataFrame:
+    The sizes, and the places of the first shingle that two texts share, bound what they can have in common.
+    """
+    x, y = (met.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "group", "place")]) for side in "ab")
+    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    most = 1 + F.least(F.col("size_a") - 1 - F.col("place_a"), F.col("size_b") - 1 - F.col("place_b"))
+    can = (small >= similarity * large - 1e-6) & (most >= similarity / (1 + similarity) * (small + large) - 1e-6)
+    both = x.join(y, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & can)
+    return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def similar_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5, text_column: str = "text", at_once: int = COMMON) -> DataFrame:
     """(digest, component) of every distinct text, digest its SHA-256; texts linked, over others too, share a component.
 
     A link is a Jaccard similarity of at least ``similarity`` of the sets of ``width``-word shingles (fewer words: all of them
-    are one shingle), verified exactly. Candidates are found in two ways. Texts are put in the order of their least
-    shingle, which has most near copies side by side, and each is compared with the next ``BESIDE`` that share its least
-    one; ``ORDERS`` times, by different hashes. And texts that agree within ``2 * half`` bits in one of ``TABLES`` independent
-    fingerprints of ``BITS`` bits are: at a similarity of 0.8 two do with a probability of 0.97, at 0.85 with 0.999. For each
-    fingerprint and prefix of the variants a forest of these pairs is kept, so a large group of
-    texts that are all a little alike does not give all its pairs. Null is the empty text. An empty table gives no rows.
+    are one shingle), compared as 64-bit hashes. All pairs of that similarity share a component. First, texts are put in
+    the order of their least shingle, which has most near copies side by side, and each is compared with the next few;
+    ``ORDERS`` times, by different hashes. What this proves makes groups. Then a set join completes them: two texts of this
+    similarity share a shingle of their prefixes, the rarest ones of each, and all such pairs of different groups are
+    compared. So a large group of near copies does not give all its pairs, and no pair is left out. A task knows the
+    ``at_once`` commonest shingles; only the work depends on them. Null is the empty text. An empty table gives no rows.
     """
     spark = documents.sparkSession
     folders: list[str] = []
@@ -290,40 +298,42 @@ def similar_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5
 
     text = F.coalesce(F.col(text_column), F.lit(""))
 
-    @F.pandas_udf("signature array<long>, shingles binary, lead array<long>")
+    common, times = _common(documents.select(text.alias("text")), width, at_once)
+
+    @F.pandas_udf("shingles binary, lead array<long>, size int, prefix array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
         only("simhash")
-        out = []
-        for t in texts:
-            hashes = np.unique(shingle_hashes(t, width))
-            out.append((signature(hashes), np.unique(hashes.astype("<u4")).tobytes(), least_shingles(hashes)))
-        return pd.DataFrame(out, columns=["signature", "shingles", "lead"])
-
-    rows = documents.select(F.sha2(text.cast("binary"), 256).alias("digest"), made(text).alias("m")).select("digest", "m.signature", "m.shingles", "m.lead")
-    rows = hold(rows, "signatures")
-    single = rows.groupBy("digest").agg(F.first("signature").alias("signature"), F.first("lead").alias("lead"))
-    # numbers in the order of the least shingles, which near copies mostly share
-    nodes = hold(_in_order(single, ["lead", "digest"], "node").select("node", "digest", "signature", "lead"), "texts")
+        sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+        out = [(s.astype("<u8").tobytes(), least_shingles(s) or [0] * ORDERS, len(s), prefix_of(s, similarity, common, times).view(np.int64)) for s in sets]
+        return pd.DataFrame(out, columns=["shingles", "lead", "size", "prefix"])
+
+    rows = documents.select(F.sha2(text.cast("binary"), 256).alias("digest"), made(text).alias("m")).select("digest", "m.*")
+    rows = hold(rows, "shingles")
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([overlap(p, q) for p, q in zip(x, y)], dtype="float64")
+        return pd.Series([overlap(p, q, "<u8") for p, q in zip(x, y)], dtype="float64")
+
+    # numbers in the order of the least shingles, which near copies mostly share
+    single = rows.groupBy("digest").agg(F.first("lead").alias("lead"))
+    nodes = hold(_in_order(single, ["lead", "digest"], "node"), "texts")
+
+    def proved(pairs: DataFrame) -> DataFrame:
+        edges = hold(pairs, "candidates")
+        sets = hold(_sets(rows, nodes, edges), "sets")
+        return hold(edges.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b").where(alike("p", "q") >= similarity).select("a", "b"), "proved")
 
     orders = []
     for k in range(ORDERS):
-        leads = nodes.select("node", F.get("lead", F.lit(k)).alias("lead")).where(F.col("lead").isNotNull())
-        orders.append(_beside(hold(_in_order(leads, ["lead", "node"], "place"), "order")))
-    met = _candidates(nodes.select("node", "signature"), half, at_once)
-    pairs = hold(reduce(DataFrame.union, [*orders, met]).distinct(), "candidates")
-
-    # the fingerprints' distance over all tables says which candidates are promising; far ones cannot have the similarity
-    side = nodes.select("node", "signature")
-    placed = pairs.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b")
-    distance = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
-    edges = hold(placed.where(distance <= _farthest(similarity)).select("a", "b"), "edges")
-    sets = hold(_sets(rows, nodes, edges), "sets")
-    proved = edges.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b").where(alike("p", "q") >= similarity).select("a", "b")
-    groups = hold(connected(hold(proved, "proved")), "groups")
+        turned = nodes.select("node", "lead", F.xxhash64("node", F.lit(k)).alias("turn"), F.get("lead", F.lit(k)).alias("least"))
+        orders.append(_beside(hold(_in_order(turned, ["least", "turn"], "place"), "order")))
+    quick = proved(reduce(DataFrame.union, orders).distinct())
+    groups = hold(connected(quick), "groups")
+
+    grouped = nodes.select("node", "digest").join(groups, "node", "left").select("node", "digest", F.coalesce("component", "node").alias("group"))
+    prefixes = rows.groupBy("digest").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    met = hold(_meeting(prefixes.join(grouped, "digest")), "meeting")
+    groups = hold(connected(quick.union(proved(_pairs(met, similarity)))), "groups")
     found = nodes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     found, _ = staged_at(spark, found, "near_copies")
     for path in folders:
@@ -342,24 +352,34 @@ def _in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def _beside(placed: DataFrame) -> DataFrame:
-    """(a, b): texts with one lead, at most ``BESIDE`` places apart."""
-    own = [placed.select((F.col("place") + k).alias("place"), F.col("node").alias("x"), F.col("lead").alias("x_lead")) for k in range(1, BESIDE + 1)]
-    met = reduce(DataFrame.union, own).join(placed, "place").where(F.col("lead") == F.col("x_lead"))
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-
-
-def _farthest(similarity: float) -> int:
-    """Distance over all tables that a pair of this similarity exceeds with a probability of about 0.001."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    n = TABLES * BITS
-    return int(n * p + 3 * np.sqrt(n * p * (1 - p)))
+    """(a, b): texts with one least shingle and ``SHARED`` of all, at most ``BESIDE`` places apart."""
+    own = [placed.select((F.col("place") + k).alias("place"), F.col("node").alias("x"), F.col("least").alias("x_least"), F.col("lead").alias("x_lead")) for k in range(1, BESIDE + 1)]
+    met = reduce(DataFrame.union, own).join(placed, "place").where(F.col("least") == F.col("x_least"))
+    shared = sum((F.get("lead", F.lit(k)) == F.get("x_lead", F.lit(k))).cast("int") for k in range(ORDERS))
+    return met.where(shared >= SHARED).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, shingles) of all texts that have a candidate."""
+    """(node, shingles) of all texts that have a candidate.
+
+    A bitmap of their hashed digests, of the same size whatever their number, keeps most other sets from being moved.
+    """
     some = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     wanted = nodes.select("node", "digest").join(some, "node")
-    return rows.select("digest", "shingles").join(wanted, "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    bit = F.pmod(F.xxhash64("digest"), F.lit(BITMAP)) + 1
+    parts = wanted.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    marks = np.zeros(BITMAP // 8, np.uint8)
+    for r in parts.collect():  # at most BITMAP / 32768 of 4 KB
+        marks[(r.part - 1) * 4096:r.part * 4096] = np.frombuffer(r.bits, np.uint8)
+
+    @F.pandas_udf("boolean")
+    def marked(bits: pd.Series) -> pd.Series:
+        only("simhash")
+        at = bits.to_numpy(np.int64) - 1
+        return pd.Series((marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    near = rows.select("digest", "shingles").where(marked(bit))
+    return near.join(wanted, "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def without_near_copies(documents: DataFrame, similarity: float = 0.8, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
