@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegraph.llm import decontaminate, embedding_dedup, language, packing, secret_scan, simhash, token_counts, token_shards, toxicity, warc
+from tidegraph.llm import (
+    decontaminate, embedding_dedup, filter_audit, language, packing, secret_scan, simhash, token_counts, token_shards, toxicity, url_templates, vector_codes, warc,
+)
 from tidegraph.llm.common import own_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +124,69 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op11_dual_tree_codes(spark, folder):
+    found, books = vector_codes.compressed(table(spark, folder, "embeddings"), parts=8, entries=16, rounds=6)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """The same rounds, each by the distances of all parts to all entries."""
+    steps = [f"""
+WITH ok AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+p AS MATERIALIZED (SELECT r, part, [CAST(floor(4096 * x) AS HUGEINT) FOR x IN e[part * (len(e) // {parts}) + 1:(part + 1) * (len(e) // {parts})]] AS v FROM ok, range({parts}) t(part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS k, v FROM p WHERE r <= {entries})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (SELECT r, part, min({{'d': d, 'k': k}}) AS near FROM (
+  SELECT p.r, p.part, k, list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(p.v, b{n}.v)]) AS d FROM p JOIN b{n} USING (part)) GROUP BY ALL)""")
+        if n < rounds:
+            steps.append(f"""
+b{n + 1} AS MATERIALIZED (SELECT part, k, coalesce(m.v, b{n}.v) AS v FROM b{n} LEFT JOIN (
+  SELECT part, k, list(f ORDER BY i) AS v FROM (
+    SELECT part, near.k AS k, i, CAST(floor(sum(v[i]) / count(*)) AS HUGEINT) AS f FROM a{n} JOIN p USING (r, part), LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i) GROUP BY ALL
+  ) GROUP BY ALL) m USING (part, k))""")
+    return ",".join(steps) + f""",
+c AS (SELECT r, string_agg(printf('%02x', CAST(near.k AS INT)), '' ORDER BY part) AS code, CAST(sum(near.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM ok JOIN c USING (r), h
+"""
+
+
+ORACLE["op11_dual_tree_codes"] = _codes_sql(8, 16, 6)
+
+
+@query
+def op12_path_templates(spark, folder):
+    rules = [
+        url_templates.Rule("allow", "com", "/"), url_templates.Rule("block", "example.com", "/en/"), url_templates.Rule("allow", "www.example.com", "/en/"),
+        url_templates.Rule("block", "net", "/es/"), url_templates.Rule("block", "net", "/fr/"),
+    ]
+    return url_templates.judged(table(spark, folder, "pages"), rules, ["page_id"])
+
+
+@query
+def op13_filter_audit(spark, folder):
+    cells = filter_audit.mask_cells(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return filter_audit.audited(cells, "ABCDE")
+
+
+ORACLE["op13_filter_audit"] = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(CAST(lang AS VARCHAR), '') AS part, coalesce(text, '') AS s FROM documents),
+w AS (SELECT doc_id, part, s, regexp_extract_all(s, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY s) AS first FROM t),
+d AS (SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(s, '[^A-Z]', '', 'g')) > 3 * length(s),
+    regexp_matches(s, '[#$%&*|]'), coalesce(first < doc_id, first IS NOT NULL)] AS fails,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND toxic = 1) AS toxic FROM w),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+orders(o) AS (SELECT '' UNION ALL SELECT o || l FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE NOT contains(o, l)),
+steps AS (SELECT o AS filter_order, step, ascii(o[step]) - 64 AS f, [ascii(x) - 64 FOR x IN string_split(o[1:step - 1], '') IF x <> ''] AS before FROM orders, range(1, 6) r(step) WHERE length(o) = 5),
+m AS (SELECT part, filter_order, step, f, fails[f] AS here, len(list_filter(before, lambda b: fails[b])) > 0 AS gone, len(list_filter(fails, lambda x: x)) = 1 AS single, n, good, toxic FROM c, steps),
+g AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT here AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0) AS removed,
+  coalesce(sum(n) FILTER (here AND gone), 0) AS redundant, coalesce(sum(n) FILTER (here AND single), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (here AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (here AND NOT gone), 0) AS toxic_lost FROM m GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g
+"""
