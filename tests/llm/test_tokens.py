@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tidegraph.llm import token_counts, token_shards
+from tidegraph.llm import token_counts, token_shards, tokenization
 from tidegraph.llm.common import own_folder, prepare
 from tidegraph.llm.token_counts import Merges
+from tidegraph.llm.tokenization import Encoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 HARD = ["a<|endoftext|>b<|endoftext|><|endoftext|>", "ẞ ﬁ ́e", "  \n\n x y\x1cz", "İSTANBUL", "日本語 text", "", None, "a\r\n\tb   ", "x" * 3000, "aaaaaaa aaa!!!!!!!!! ===== \n\n\n\n", "one two " * 500]
@@ -26,6 +27,27 @@ def test_merging_counts_as_the_library(monkeypatch):
     assert small.count_all(texts) == want and [small.count(t) for t in texts] == want
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_all_plain_characters(name):
+    path = public_tokenizers.path(name)
+    library, own = Tokenizer.from_file(path), Encoder(path)
+    rng = random.Random(11)
+    every = [chr(c) for a, z in tokenization._RANGES for c in range(a, z + 1)]
+    texts = every + [f"{c}b" for c in every] + [f"a{c} {c}{c}" for c in every] + ["".join(rng.choices(every, k=40)) for _ in range(1500)]
+    plain = "".join(c for c in every if tokenization.PLAIN.fullmatch(c))
+    texts += ["".join(rng.choices(plain, k=40)) for _ in range(1500)]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == want.ids, text
+
+
+def test_read_needs_the_index():
+    keys = np.array([3, 3, 9, 12], "<i8")
+    index = token_shards.Index.build(keys, np.zeros(4, bool), np.array([0, 5, 6, 9, 11], "<i8"))
+    again = token_shards.Index.from_bytes(index.to_bytes())
+    assert [x.tolist() for x in again.find(np.array([12, 3, 9, 4]))] == [[3, 0, 2, again.find(np.array([4]))[0][0]], [1, 2, 1, 0]]
+    assert not {"keys", "null"} & set(again.arrays)
+
+
 def test_counts_of_a_table(spark):
     prepare(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")

@@ -1,15 +1,16 @@
 """Token ids in binary shards, with a minimal perfect hash index for keyed access.
 
-``write`` puts documents in key order into shards. A shard is two files below the store's folder: ``.bin`` holds nothing
-but ids (16 bits each if the vocabulary allows, else 32, little-endian), ``.idx`` holds the arrays
+``write`` puts documents in key order into shards. A shard is three files below the store's folder: ``.bin`` holds nothing
+but ids (16 bits each if the vocabulary allows, else 32, little-endian), ``.key`` the keys of all documents that have one (64
+bits each), and ``.idx`` the arrays
 
-* ``keys``, ``null`` and ``offset``: per document its key, whether the key is null, and its first id in ``.bin``;
+* ``offset`` and ``nulls``: each document's first id in ``.bin``, and how many documents, the first ones, have a null key;
 * ``level_size``, ``level_bits``, ``level_rank``: the minimal perfect hash of the shard's distinct keys;
 * ``slot_print``, ``slot_first``, ``slot_rows``: per hash value a 32-bit fingerprint of its key, the first document with
   that key and how many follow (documents with one key lie side by side).
 
-A lookup hashes the key, compares the fingerprint, and reads the ids at the stored place: constant time for each key, and
-an unknown key passes with a probability of 2^-32 (the stored key then rules it out). The ``shards`` table, one row per shard
+A lookup hashes the key, compares the fingerprint, and reads the ids at the stored place: constant time for each key. An
+unknown key passes with a probability of 2^-32; ``fetch`` rules that out by the key at that place of ``.key``. The ``shards`` table, one row per shard
 with its key range and the number of ids before it, is the directory; only files it names are part of the
 store, so what a failed attempt has left behind is never read.
 """
@@ -95,30 +96,29 @@ class Index:
 
     def __init__(self, arrays: dict[str, np.ndarray]) -> None:
         self.arrays = arrays
-        self.keys, self.null, self.offset = arrays["keys"], arrays["null"], arrays["offset"]
+        self.offset, self.nulls = arrays["offset"], int(arrays["nulls"])
         self.hash = PerfectHash(arrays["level_size"], arrays["level_bits"], arrays["level_rank"])
 
     @staticmethod
     def build(keys: np.ndarray, null: np.ndarray, offset: np.ndarray) -> "Index":
-        """Equal keys must be neighbours."""
+        """Equal keys must be neighbours, and null ones come first."""
         real = np.flatnonzero(~null)
         first = real[np.concatenate([[True], keys[real][1:] != keys[real][:-1]])] if len(real) else real
         rows = np.diff(np.append(first, len(keys))).astype(np.int64)
         made = PerfectHash.build(keys[first])
         slot = made.find(keys[first])
-        arrays = {"keys": keys, "null": null, "offset": offset, "level_size": made.size, "level_bits": made.bits, "level_rank": made.rank}
+        arrays = {"offset": offset, "nulls": null.sum(), "level_size": made.size, "level_bits": made.bits, "level_rank": made.rank}
         for name, values, kind in (("slot_print", _fingerprints(keys[first]), "<u4"), ("slot_first", first, "<i8"), ("slot_rows", rows, "<i8")):
             arrays[name] = np.zeros(len(first), kind)
             arrays[name][slot] = values
         return Index(arrays)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First document and number of documents of each key; 0 documents if it is not here."""
+        """First document and number of documents of each key; 0 documents if no key here has its fingerprint."""
         slot = self.hash.find(keys)
         known = slot >= 0
         known[known] = self.arrays["slot_print"][slot[known]] == _fingerprints(keys[known])
         first = np.where(known, self.arrays["slot_first"][np.where(known, slot, 0)] if len(self.arrays["slot_first"]) else 0, 0)
-        known[known] = self.keys[first[known]] == keys[known]
         rows = np.zeros(len(keys), np.int64)
         rows[known] = self.arrays["slot_rows"][slot[known]]
         return first, rows
@@ -169,10 +169,11 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
             return
         out.close()
         offset = np.concatenate([[0], np.cumsum(length)]).astype("<i8")
-        index = Index.build(np.concatenate(keys), np.concatenate(null), offset)
-        with store.open_output_stream(f"{path}/{name}.idx", compression=None) as f:
-            f.write(index.to_bytes())
-        real = index.keys[~index.null]
+        all_keys, all_null = np.concatenate(keys), np.concatenate(null)
+        real = all_keys[~all_null]
+        for end_of_name, raw in ((".idx", Index.build(all_keys, all_null, offset).to_bytes()), (".key", real.tobytes())):
+            with store.open_output_stream(f"{path}/{name}{end_of_name}", compression=None) as f:
+                f.write(raw)
         row = (part, name, codes.id_type, len(length), int(offset[-1]), int(real[0]) if len(real) else None, int(real[-1]) if len(real) else None)
         yield pa.RecordBatch.from_pylist([dict(zip(_SHARD.names, row))], schema=_SHARD)
 
@@ -197,6 +198,14 @@ class Shard:
         with store.open_input_file(f"{path}/{name}.idx") as f:
             self.index = Index.from_bytes(f.read())
         self.payload, self.id_type = store.open_input_file(f"{path}/{name}.bin"), np.dtype(id_type)
+        self.stored = store.open_input_file(f"{path}/{name}.key")
+
+    def keys(self) -> np.ndarray:
+        """Of all documents that have one, in their order."""
+        return np.frombuffer(self.stored.read_at(self.stored.size(), 0), "<i8")
+
+    def key(self, document: int) -> int:
+        return int(np.frombuffer(self.stored.read_at(8, 8 * (document - self.index.nulls)), "<i8")[0])
 
     def ids(self, document: int) -> np.ndarray:
         a, z = self.index.offset[document:document + 2].tolist()
@@ -206,6 +215,8 @@ class Shard:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every stored document, read back from the files through the index.
 
+    Each key is looked up, and the index says which documents it has and where their ids lie; documents with a null key are
+    the first ones of their shard.
     ``start`` counts the ids of all documents before it. The CRC-32 is that of the ids as little-endian 32-bit integers.
     """
     shards = directory(spark, folder).select("shard", "name", "id_type", "base")
@@ -215,16 +226,18 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for pdf in tables:
             for row in pdf.itertuples():
                 shard = Shard(folder, row.name, row.id_type)
-                index, n = shard.index, len(shard.index.keys)
-                place, copies = index.find(index.keys)
-                lost = ~index.null & ((copies == 0) | (place > np.arange(n)) | (place + copies <= np.arange(n)))
-                if lost.any():
-                    raise ValueError(f"{row.name}: the index does not find {int(lost.sum())} documents")
-                for k in range(0, n, 4096):
-                    some = np.arange(k, min(n, k + 4096))
+                index, keys = shard.index, shard.keys()
+                keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+                first, copies = index.find(keys)
+                if not copies.all():
+                    raise ValueError(f"{row.name}: the index does not find {int((copies == 0).sum())} keys")
+                documents = np.repeat(first - np.cumsum(copies) + copies, copies) + np.arange(copies.sum())
+                documents = np.concatenate([np.arange(index.nulls), documents])
+                keys = pd.arrays.IntegerArray(np.concatenate([np.zeros(index.nulls, np.int64), np.repeat(keys, copies)]), np.arange(len(documents)) < index.nulls)
+                for k in range(0, len(documents), 4096):
+                    some = documents[k:k + 4096]
                     yield pd.DataFrame({
-                        "key": pd.array(index.keys[some], "Int64").copy() if not index.null[some].any() else pd.arrays.IntegerArray(index.keys[some].copy(), index.null[some].copy()),
-                        "start": index.offset[some] + row.base, "n_tokens": index.offset[some + 1] - index.offset[some],
+                        "key": keys[k:k + 4096], "start": index.offset[some] + row.base, "n_tokens": index.offset[some + 1] - index.offset[some],
                         "ids_crc32": [zlib.crc32(shard.ids(d).tobytes()) for d in some.tolist()],
                     })
 
@@ -256,7 +269,7 @@ def fetch(keys: DataFrame, folder: str, column: str) -> DataFrame:
                     held = (place, Shard(folder, names[place], kind[place]))
                 asked = group["key"].to_numpy(np.int64)
                 first, rows = held[1].index.find(asked)
-                out = [(key, held[1].ids(d).astype(np.int64)) for key, f, n in zip(asked.tolist(), first.tolist(), rows.tolist()) for d in range(f, f + n)]
+                out = [(key, held[1].ids(d).astype(np.int64)) for key, f, n in zip(asked.tolist(), first.tolist(), rows.tolist()) if n and held[1].key(f) == key for d in range(f, f + n)]
                 yield pd.DataFrame(out, columns=["key", "ids"])
 
     wanted = keys.select(F.col(column).cast("long").alias("key")).where(F.col(column).isNotNull()).distinct()

@@ -33,7 +33,14 @@ def _class(codes: list[int]) -> str:
     return "".join(rf"\u{codes[a]:04x}-\u{codes[z - 1]:04x}" for a, z in zip(edges, [*edges[1:], len(codes)]))
 
 
-_CODES = [c for a, z in _RANGES for c in range(a, z + 1)]
+def _codes() -> list[int]:
+    """The characters of the ranges whose small letters lie within them too: a folded text has no others."""
+    every = [c for a, z in _RANGES for c in range(a, z + 1)]
+    inside = set(every)
+    return [c for c in every if inside.issuperset(map(ord, chr(c).lower()))]
+
+
+_CODES = _codes()
 PLAIN = re.compile(f"[{_class(_CODES)}]*")
 
 
