@@ -30,7 +30,11 @@ UNDETERMINED = "und"
 
 def grams(text: str | None, most: int = MOST) -> np.ndarray:
     """Distinct n-grams of a text as sorted 64-bit numbers (21 bits a character); empty if it has no letter."""
-    folded = _OTHER.sub(" ", (text or "").lower()).strip()
+    folded = _OTHER.sub(" ", (text or "").lower())
+    numerals = [c for c in set(folded) if c != " " and not c.isalpha()]  # such as fractions and Roman numerals
+    if numerals:
+        folded = re.sub(f"[ {re.escape(''.join(numerals))}]+", " ", folded)
+    folded = folded.strip()
     if not folded:
         return np.zeros(0, np.int64)
     folded = f" {folded} "
@@ -64,7 +68,10 @@ class Model:
         return (here @ self.presence.T) / np.sqrt(sizes[:, None] * self.sizes[None, :])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score (0 to 1) of each text; ``und`` and 0 for texts without a letter or if nothing was learnt."""
+        """Language and score (0 to 1) of each text; ``und`` and 0 for texts without a letter or if nothing was learnt.
+
+        Letters are what ``str.isalpha`` says; marks and numerals are none. Of languages with equal scores, the first by name.
+        """
         names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         known = [grams(t) for t in texts]
         able = [k for k, g in enumerate(known) if len(g)] if self.languages else []
