@@ -1,11 +1,13 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
 from tidegraph.llm import decontaminate
 from tidegraph.llm.common import prepare
+from tidegraph.llm.queries import ORACLE, QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -21,12 +23,12 @@ def brute(docs, items, window):
         for item, t in items:
             b = words(t)
             n = min(len(b), window)
-            grams = {tuple(b[i:i + n]) for i in range(len(b) - n + 1)} if n and item is not None else set()
+            grams = {tuple(b[i:i + n]) for i in range(len(b) - n + 1)} if n else set()
             for i in range(len(w) - n + 1):
                 if tuple(w[i:i + n]) in grams:
                     hit.update(range(i, i + n))
                     found.add(item)
-        out.append((doc, len(w), len(hit), sorted(found)))
+        out.append((doc, len(w), len(hit), sorted((str(i) for i in found if i is not None)) + [None] * (None in found)))
     return out
 
 
@@ -67,4 +69,24 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(4, "b c")], "item_id long, text string")
     assert decontaminate.contamination(docs.limit(0), some).collect() == []
     kept = decontaminate.contamination(docs.selectExpr("*", "'k' AS source"), some, keep=("source",)).first()
-    assert (kept.source, kept.n_hit, list(kept["items"]), list(kept.spans)) == ("k", 2, [4], [1, 3])
+    assert (kept.source, kept.n_hit, list(kept["items"]), list(kept.spans)) == ("k", 2, ["4"], [1, 3])
+    named = spark.createDataFrame([("x-1", "b c"), (None, "a b"), (None, "a b")], "item_id string, text string")
+    assert [tuple(r) for r in decontaminate.contamination(docs, named).collect()] == [(1, 3, 3, ["x-1", None], [0, 3])]
+
+
+def test_query_and_its_sql_agree_on_null_ids(spark, tmp_path):
+    prepare(spark)
+    rng = random.Random(5)
+    passages = [" ".join(rng.choices(["a", "b", "c", "d"], k=14)) for _ in range(4)]
+    docs = [(k, f"x {rng.choice(passages)} y" if k % 2 else "nothing here") for k in range(20)] + [(49, passages[1]), (50, None), (51, "")]
+    items = [(1, passages[0]), (None, passages[1]), (None, passages[2]), (2, passages[2]), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    base = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        base.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = base.execute(f"SELECT {', '.join(names)} FROM ({ORACLE['op10_benchmark_windows']})").fetchall()
+    got = QUERIES["op10_benchmark_windows"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert [(r.n_hit, r.n_items, r.contaminated) for r in got if r.doc_id == 49] == [(14, 1, True)]

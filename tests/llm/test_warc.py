@@ -8,6 +8,7 @@ import pytest
 
 from tidegraph.llm import warc
 from tidegraph.llm.common import open_store, own_folder, prepare
+from tidegraph.llm.queries import QUERIES
 from tidegraph.llm.warc import Gap, Record
 
 
@@ -105,3 +106,13 @@ def test_pages_round_trip(spark):
     gaps = [r for r in again if r.reason is not None]
     assert len(again) == len(rows) and [(g.archive, g.start) for g in gaps] == [(name, 0)] and gaps[0].key is None
     assert warc.archived(spark, df.limit(0), own_folder(spark, "test_warc")).collect() == []
+
+
+def test_query_with_null_and_repeated_rows(spark, tmp_path):
+    prepare(spark)
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in QUERIES["op6_warc_salvage"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(PAGES) and (None, 100, "response", None) in got and (5, 100, "revisit", 3) in got and (7, 0, "response", None) in got
+    assert got.count((12, 300, "response", None)) == 2 and (13, 300, "revisit", 12) in got
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert QUERIES["op6_warc_salvage"](spark, f"{tmp_path}/none").collect() == []

@@ -123,7 +123,7 @@ class Block:
     length: np.ndarray         # in words
     width: np.ndarray          # of its shingles, in words
     shingle: list[np.ndarray]  # of each window, by position
-    items: list[list[int]]     # items of each window
+    items: list[list[str | None]]  # items of each window
     key: np.ndarray | None = None    # hash of the chosen shingle
     place: np.ndarray | None = None  # its position in the window
 
@@ -138,8 +138,12 @@ class Block:
         self.key = np.array([own[p] for own, p in zip(self.shingle, self.place)], np.uint64)
 
 
-def make_block(items: list[tuple[int, str | None]], window: int) -> Block:
-    found: dict[bytes, tuple[np.ndarray, set[int]]] = {}
+def _sorted(ids: set[str | None]) -> list[str | None]:
+    return sorted(ids, key=lambda i: (i is None, i or ""))
+
+
+def make_block(items: list[tuple[str | None, str | None]], window: int) -> Block:
+    found: dict[bytes, tuple[np.ndarray, set[str | None]]] = {}
     for item, text in items:
         raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
         words = words_of(raw, np.array([0, len(raw)]))
@@ -152,7 +156,7 @@ def make_block(items: list[tuple[int, str | None]], window: int) -> Block:
             found[key][1].add(item)
     length = np.array([len(h) for h, _ in found.values()], np.int64)
     width = np.minimum(length, SHINGLE)
-    return Block(list(found), length, width, [shingles(h, w) for (h, _), w in zip(found.values(), width.tolist())], [sorted(s) for _, s in found.values()])
+    return Block(list(found), length, width, [shingles(h, w) for (h, _), w in zip(found.values(), width.tolist())], [_sorted(s) for _, s in found.values()])
 
 
 def _count(block: Block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,11 +216,11 @@ def _join(block: Block, last: bool, batches: Iterator[pa.RecordBatch]) -> Iterat
         base = words.first[text]
         n = batch.num_rows
         spans: list[list[int]] = [list(s or ()) for s in batch.column("spans").to_pylist()]
-        items: list[set[int]] = [set(s or ()) for s in batch.column("items").to_pylist()]
+        items: list[set[str | None]] = [set(s or ()) for s in batch.column("items").to_pylist()]
         for t, s, e, k in zip(text.tolist(), (begin - base).tolist(), (end - base).tolist(), window.tolist()):
             spans[t] += (s, e)
             items[t].update(block.items[k])
-        columns = {"spans": pa.array([_merged(s) for s in spans], pa.list_(pa.int64())), "items": pa.array([sorted(s) for s in items], pa.list_(pa.int64()))}
+        columns = {"spans": pa.array([_merged(s) for s in spans], pa.list_(pa.int64())), "items": pa.array([_sorted(s) for s in items], pa.list_(pa.string()))}
         out = {f.name: columns.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)}
         if last:
             out.pop("text")
@@ -236,9 +240,9 @@ def _merged(spans: list[int]) -> list[int]:
 
 
 def _blocks(benchmark: DataFrame, item_column: str, text_column: str, window: int, block_words: int) -> Iterator[Block]:
-    """Items by blocks of bounded size, read one by one from the cluster. Items without an id are left out."""
-    rows = benchmark.select(F.col(item_column).cast("long").alias("item"), F.col(text_column).alias("text")).where(F.col("item").isNotNull())
-    block: list[tuple[int, str | None]] = []
+    """Items by blocks of bounded size, read one by one from the cluster."""
+    rows = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(text_column).alias("text"))
+    block: list[tuple[str | None, str | None]] = []
     size = 0
     for row in rows.toLocalIterator():
         n = len(row.text or "") // 2 + 1
@@ -254,18 +258,18 @@ def contamination(
     documents: DataFrame, benchmark: DataFrame, window: int = 10, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text_column: str = "text", block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row of ``documents``: id, n_words, n_hit, items (sorted ids of items with an occurring window), spans.
+    """Per row of ``documents``: id, n_words, n_hit, items (ids of items with an occurring window, sorted as strings), spans.
 
     ``spans`` are merged hit ranges as first word, one past the last, in turn. Words are runs of ASCII digits, lower-cased
     ASCII letters and all other non-ASCII characters. A null or empty text has no words; such an item has no window.
-    Items with a null id are left out; an item id that comes several times has the windows of all its rows. Repeated
+    Item ids are carried as strings; items with a null id hit words like any other and are one null in ``items``. An id that comes several times has the windows of all its rows. Repeated
     documents and null ids are kept as they are. An empty benchmark hits nothing. ``keep`` names further columns of
     ``documents`` to carry along; others, also with clashing names, are not looked at.
     """
     kept = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), *kept)
     texts = rows.select("text")
-    current = rows.withColumn("spans", F.array().cast("array<bigint>")).withColumn("items", F.array().cast("array<bigint>"))
+    current = rows.withColumn("spans", F.array().cast("array<bigint>")).withColumn("items", F.array().cast("array<string>"))
     narrow = current.drop("text").schema.simpleString()[7:-1]
     wide = current.schema.simpleString()[7:-1]
     blocks = _blocks(benchmark, item_column, item_text_column, window, block_words)

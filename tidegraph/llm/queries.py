@@ -69,7 +69,7 @@ def op5_simhash_groups(spark, folder):
 @query
 def op6_warc_salvage(spark, folder):
     found = warc.archived(spark, table(spark, folder, "pages"), own_folder(spark, "warc")).where(F.col("reason").isNull())
-    return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+    return found.select(F.col("key").try_cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
 
 
 ORACLE["op6_warc_salvage"] = """
@@ -103,7 +103,7 @@ def op9_rank_synchronous_counts(spark, folder):
 @query
 def op10_benchmark_windows(spark, folder):
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10)
-    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    names = F.array_join("items", ",")
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
