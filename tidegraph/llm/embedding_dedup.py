@@ -15,6 +15,7 @@ further apart than r along the first direction are not compared. Exact copies ar
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,9 +26,10 @@ from tidegraph.llm.components import connected
 from tidegraph.plans.ranking import numbered
 
 DIRECTIONS, MISSES, SLAB, SEED = 48, 13, 2048, 7
-_AT_ONCE = 1 << 18
+_AT_ONCE, _ROWS = 1 << 18, 256
 
 
+@lru_cache(maxsize=64)
 def directions(dimension: int, count: int = DIRECTIONS, seed: int = SEED) -> np.ndarray:
     """Orthonormal columns; no more than the dimension has."""
     q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((dimension, min(count, dimension))))
@@ -43,12 +45,16 @@ def window(cosine: float, count: int, misses: int = MISSES) -> tuple[float, int]
 def collisions(query: np.ndarray, other: np.ndarray, width: float) -> np.ndarray:
     """Number of directions along which each of ``other`` falls into the window around each query (rows: queries)."""
     counts = np.zeros((len(query), len(other)), np.uint8)
+    kind = np.uint16 if len(other) < 1 << 16 else np.uint32
+    rank = np.empty(len(other), kind)
     for k in range(query.shape[1]):
         order = np.argsort(other[:, k])
         line = other[order, k]
-        low, high = np.searchsorted(line, query[:, k] - width, "left"), np.searchsorted(line, query[:, k] + width, "right")
-        for q, (a, z) in enumerate(zip(low.tolist(), high.tolist())):
-            counts[q, order[a:z]] += 1
+        rank[order] = np.arange(len(other), dtype=kind)
+        low, high = (np.searchsorted(line, query[:, k] + move, side).astype(kind) for move, side in ((-width, "left"), (width, "right")))
+        for a in range(0, len(query), _ROWS):  # a rank before the window wraps around to a large number
+            some = slice(a, a + _ROWS)
+            counts[some] += (rank[None, :] - low[some, None]) < (high - low)[some, None]
     return counts
 
 
@@ -82,6 +88,7 @@ def _compare(cosine: float):
     """(place, links, root) of the vectors of two slabs, or of one with itself, that have a link."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, _, i, j = key
+        pdf = pdf.sort_values("place")  # so a root is the smallest place of its tree
         weight, place = pdf["weight"].to_numpy(np.int64), pdf["place"].to_numpy(np.int64)
         mine = pdf["slab"].to_numpy() == i
         a, b = np.flatnonzero(mine), np.flatnonzero(~mine) if i != j else np.flatnonzero(mine)
