@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -175,12 +176,21 @@ def test_short_texts_with_a_word_more(spark):
     assert len(set(found.values())) == len(pairs)
 
 
-def test_signatures():
-    hashes = simhash.shingle_hashes("some words to be hashed into many bits of a signature " * 40, 5)
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        shared, n, m = (int(x) for x in rng.integers(0, 400, 3))
+        h = np.unique(rng.integers(0, 2**64, shared + n + m, dtype=np.uint64))
+        x, y = np.sort(h[:shared + n]), np.sort(np.concatenate([h[:shared], h[shared + n:]]))
+        own = len(np.setxor1d(x, y))
+        assert simhash.difference(simhash.parities(x), simhash.parities(y)) <= own
+        assert simhash.difference(simhash.parities(x), simhash.parities(x)) == 0
+    x, y = (np.unique(rng.integers(0, 2**64, 900, dtype=np.uint64)) for _ in range(2))
+    assert simhash.difference(simhash.parities(x), simhash.parities(y)) > 600
+
+
+def test_fingerprint_and_overlap():
     assert simhash.fingerprint("x y z", 2) % 2**64 == sum(1 << b for b in range(64) if all(xxhash.xxh64_intdigest(p, 42) >> b & 1 for p in (b"x y", b"y z")))
-    own = simhash.signature(hashes)
-    assert len(own) == simhash.TABLES and all(0 <= v < 1 << simhash.BITS for v in own) and len(set(own)) == simhash.TABLES
-    assert simhash.signature(hashes[:0]) == [0] * simhash.TABLES
     assert simhash.overlap(b"", b"") == 1.0 and simhash.overlap(b"", b"aaaa") == 0.0
 
 

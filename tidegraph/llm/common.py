@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegraph.session import staging_root, tune
 
@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Tasks that the rows of a hot key are dealt over; a key is hot if it has more than one of so many of all rows.
+SALTS = 64
 _counter = itertools.count()
 _held: dict[str, object] = {}
 _owner: list[str] = [""]
@@ -61,6 +63,25 @@ def staged_at(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame,
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def hot_keys(counted: DataFrame, keys: list[str], count: str, total: int) -> list[int]:
+    """Hashes of the keys with more than a ``SALTS``-th of ``total`` rows, so fewer than ``SALTS``; ``counted`` has each key once."""
+    return [r.h for r in counted.where(F.col(count) * SALTS > total).select(F.xxhash64(*keys).alias("h")).collect()]
+
+
+def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], hot: list[int], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``values``, which has each key once; rows of a hot key are dealt by a salt and its values are repeated.
+
+    The salt is a hash of the row, so that a task that runs again deals its rows alike; equal rows stay together.
+    """
+    if not hot:
+        return rows.join(values, keys, how)
+    is_hot, salt = F.xxhash64(*keys).isin(hot), free_name(rows, "salt")
+    told = [f"`{c}`" for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = rows.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(*told), F.lit(SALTS).cast("long"))).otherwise(F.lit(0).cast("long")))
+    salts = F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return dealt.join(values.withColumn(salt, F.explode(salts)), [*keys, salt], how).drop(salt)
+
+
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
     """File system and plain path of a shared folder or file, for reads and writes inside tasks."""
     for scheme, other in (("s3a://", "s3://"), ("s3n://", "s3://")):

@@ -9,8 +9,8 @@ where they meet. The prefix grows with the number of distinct fingerprints, so a
 All members of one variant lie within the radius of each other, so links between neighbours in the sorted variants
 suffice: a group of a million near copies gives a chain, not 10^12 pairs. Every link is checked by its distance.
 
-``near_duplicates`` links by the distance of one fingerprint. ``similar_groups`` links by the similarity of shingle sets, by
-a prefix-filtered set join that loses no pair.
+``near_duplicates`` links by the distance of one fingerprint. ``similar_groups`` takes such links as candidates, links by the
+similarity of shingle sets, and completes them by a prefix-filtered set join that loses no pair.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidegraph.llm.common import drop_folder, free_name, local_roots, only, staged_at
 from tidegraph.llm.components import connected
@@ -48,13 +49,16 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int) -> int:
     """64 bits; a bit is set if it is set in more than half of the shingle hashes. No words: 0."""
-    hashes = shingle_hashes(text, width)
+    return _fingerprint_of(shingle_hashes(text, width))
+
+
+def _fingerprint_of(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * _ones(hashes[:, None]) > len(hashes)).tobytes(), "big", signed=True)
 
 
 def _ones(hashes: np.ndarray) -> np.ndarray:
-    """Rows (of 64 bits a column) in which each bit is set, the highest bit of the first column first."""
-    total = np.zeros(64 * hashes.shape[1], np.int64)
+    """Hashes (one column of 64 bits) in which each bit is set, the highest bit first."""
+    total = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 250 * 64):
         bits = np.unpackbits(hashes[k:k + 250 * 64].astype(">u8").view(np.uint8), axis=1)
         whole = len(bits) // 250 * 250  # sums of up to 255 bits fit a byte
@@ -72,7 +76,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, width: int = 5) -> Data
     return df.withColumn(out, made(F.col(text)))
 
 
-def hex_of(column: str):
+def hex_of(column: str) -> Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
@@ -130,7 +134,7 @@ def _meetings(values: np.ndarray, rows: np.ndarray, used: np.ndarray, bits: int,
 def links(fingerprints: DataFrame, column: str, half: int = 2, per_task: int = PER_TASK, at_once: int = AT_ONCE) -> DataFrame:
     """(high, low): links that connect all distinct values of ``column`` within ``2 * half`` bits of each other.
 
-    ``fingerprints`` holds each value once. The links of each task form a forest, each tree named by its first member.
+    ``fingerprints`` holds each value once. The links of each task form a forest, each tree named by its smallest member.
     """
     count = fingerprints.count()
     prefix_bits = min(20, max(4, int(np.ceil(np.log2(max(1, count * _ball_size(64, half) / per_task))))))
@@ -144,6 +148,7 @@ def links(fingerprints: DataFrame, column: str, half: int = 2, per_task: int = P
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         only("simhash")
+        pdf = pdf.sort_values("value")  # so a tree is named by its smallest member, and no large one is the end of many links
         values = pdf["value"].to_numpy(np.int64).view(np.uint64)
         used, rows = pdf["used"].to_numpy(np.int64), np.arange(len(pdf))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -189,8 +194,6 @@ def near_duplicates(documents: DataFrame, width: int = 5, half: int = 2, id_colu
     return rows.join(ids, "value").select(F.col("id").alias(id_column), F.col("value").alias("fingerprint"), "component_id")
 
 
-#: Independent fingerprints of a text in ``signature``, and the bits of each.
-TABLES, BITS = 12, 40
 #: Orders of the texts, each by their least shingle under another hash, that bring near copies side by side; the texts that each
 #: text is first compared with in such an order, if they share so many of their least shingles.
 ORDERS, BESIDE, SHARED = 4, 4, 3
@@ -203,18 +206,6 @@ BITMAP = 1 << 24
 _ORDER_FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def signature(shingles: np.ndarray, tables: int = TABLES, bits: int = BITS) -> list[int]:
-    """``tables`` fingerprints of ``bits`` bits of a set of shingle hashes."""
-    columns = -(-tables * bits // 64)
-    seeds = np.arange(1, columns + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h = shingles[:, None] ^ seeds[None, :]
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    set_ = 2 * _ones(h ^ (h >> np.uint64(31))) > len(shingles)
-    weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
-    return (set_[:tables * bits].reshape(tables, bits) @ weights).tolist()
-
-
 def overlap(a: bytes, b: bytes, kind: str = "<u4") -> float:
     """Jaccard similarity of two sorted sets of hashes of type ``kind``; two empty sets are equal."""
     x, y = np.frombuffer(a, kind), np.frombuffer(b, kind)
@@ -240,6 +231,26 @@ def prefix_of(shingles: np.ndarray, similarity: float, common: np.ndarray, times
     return shingles[np.lexsort((shingles, rank))][:n - int(np.ceil(similarity * n - 1e-6)) + 1]
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes, set if an odd number of them has it; at least twice as many bits as hashes, a power of two."""
+    size = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def difference(x: bytes, y: bytes) -> int:
+    """A lower bound on the number of hashes that only one of two sets has, from their parities.
+
+    A bit that differs needs at least one of them. The longer array is folded to the length of the other one.
+    """
+    if len(x) < len(y):
+        x, y = y, x
+    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _common(texts: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts) of the ``most`` commonest shingles in a sample of the texts; they only order the shingles."""
     share = min(1.0, SAMPLE / max(1, texts.count()))
@@ -256,88 +267,162 @@ def _common(texts: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.nda
     return np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
 
 
-def _meeting(texts: DataFrame) -> DataFrame:
-    """(node, size, group, place, shingle) of the prefix shingles that texts of several groups have; ``texts``: node, size, prefix, group."""
-    visits = texts.select("node", "size", "group", F.posexplode("prefix").alias("place", "shingle"))
-    whole = Window.partitionBy("shingle")
-    visits = visits.withColumns({"low": F.min("group").over(whole), "high": F.max("group").over(whole)})
-    return visits.where("low <> high").drop("low", "high")
+def _binary_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def _pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b, of the texts of different groups that meet in ``met`` and can have the similarity.
+class _Search:
+    """The set join of ``similar_groups``, whose tables are dropped as soon as their last reader has run."""
 
-    The sizes, and the places of the first shingle that two texts share, bound what they can have in common.
-    """
-    x, y = (met.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "group", "place")]) for side in "ab")
-    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    most = 1 + F.least(F.col("size_a") - 1 - F.col("place_a"), F.col("size_b") - 1 - F.col("place_b"))
-    can = (small >= similarity * large - 1e-6) & (most >= similarity / (1 + similarity) * (small + large) - 1e-6)
-    both = x.join(y, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & can)
-    return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    def __init__(self, texts: DataFrame, similarity: float, width: int, at_once: int):
+        self.spark, self.texts, self.similarity, self.width = texts.sparkSession, texts, similarity, width
+        self.paths: dict[int, str] = {}
+        self.sketches = self.hold(self._sketches(*_common(texts, width, at_once)), "sketches")
 
+    def hold(self, df: DataFrame, name: str) -> DataFrame:
+        stored, path = staged_at(self.spark, df, name)
+        self.paths[id(stored)] = path
+        return stored
 
-def similar_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5, text_column: str = "text", at_once: int = COMMON) -> DataFrame:
+    def drop(self, *stored: DataFrame) -> None:
+        for df in stored:
+            drop_folder(self.spark, self.paths.pop(id(df)))
+
+    def _sketches(self, common: np.ndarray, times: np.ndarray) -> DataFrame:
+        """(node, digest, lead, fingerprint, size, prefix, bits) of each distinct text; no shingle set is stored.
+
+        The prefix holds 32 bits of each shingle: two that are equal in them only add a candidate.
+        """
+        similarity, width = self.similarity, self.width
+
+        @F.pandas_udf("lead array<long>, fingerprint long, size int, prefix array<int>, bits binary")
+        def made(texts: pd.Series) -> pd.DataFrame:
+            only("simhash")
+            out = []
+            for t in texts:
+                all_of_it = shingle_hashes(t, width)
+                s = np.unique(all_of_it)
+                prefix = prefix_of(s, similarity, common, times)
+                out.append((least_shingles(s) or [0] * ORDERS, _fingerprint_of(all_of_it), len(s), (prefix >> np.uint64(32)).astype(np.uint32).view(np.int32), parities(s)))
+            return pd.DataFrame(out, columns=["lead", "fingerprint", "size", "prefix", "bits"])
+
+        rows = self.texts.select(_binary_digest(F.col("text")).alias("digest"), made("text").alias("m"))
+        single = rows.groupBy("digest").agg(F.first("m").alias("m"))
+        return single.select(F.monotonically_increasing_id().alias("node"), "digest", "m.*")
+
+    def _sets(self, edges: DataFrame) -> DataFrame:
+        """(node, shingles) of all texts that have a candidate, made again from the texts.
+
+        A bitmap of their hashed digests, of the same size whatever their number, spares most other texts.
+        """
+        some = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        wanted = self.hold(self.sketches.select("node", "digest").join(some, "node"), "wanted")
+        bit = F.pmod(F.xxhash64("digest"), F.lit(BITMAP)) + 1
+        parts = wanted.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+        marks = np.zeros(BITMAP // 8, np.uint8)
+        for r in parts.collect():  # at most BITMAP / 32768 of 4 KB
+            marks[(r.part - 1) * 4096:r.part * 4096] = np.frombuffer(r.bits, np.uint8)
+        width = self.width
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            only("simhash")
+            for batch in batches:
+                at = batch.column("bit").to_numpy() - 1
+                batch = batch.filter(pa.array((marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+                sets = [np.unique(shingle_hashes(t.as_py(), width)).astype("<u8").tobytes() for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(sets, pa.binary())], names=["digest", "shingles"])
+
+        near = self.texts.select(_binary_digest(F.col("text")).alias("digest"), "text").withColumn("bit", bit).mapInArrow(made, "digest binary, shingles binary")
+        found = self.hold(near.join(wanted, "digest").groupBy("digest", "node").agg(F.first("shingles").alias("shingles")).drop("digest"), "sets")
+        self.drop(wanted)
+        return found
+
+    def proved(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) that have the similarity.
+
+        Sets of a similarity s differ in at most (1 - s) / (1 + s) of both sizes together. The parities of two texts bound their
+        difference from below, which rules out most pairs; the others are compared by their whole sets.
+        """
+        @F.pandas_udf("long")
+        def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series([difference(p, q) for p, q in zip(x, y)], dtype="int64")
+
+        @F.pandas_udf("double")
+        def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series([overlap(p, q, "<u8") for p, q in zip(x, y)], dtype="float64")
+
+        s, told = self.similarity, self.sketches.select("node", "size", "bits")
+        both = pairs.join(told.toDF("a", "m", "p"), "a").join(told.toDF("b", "n", "q"), "b")
+        edges = self.hold(both.where(apart("p", "q") <= (1 - s) / (1 + s) * (F.col("m") + F.col("n")) + 1e-6).select("a", "b"), "candidates")
+        sets = self._sets(edges)
+        both = edges.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b")
+        found = self.hold(both.where(alike("p", "q") >= s).select("a", "b"), "proved")
+        self.drop(edges, sets)
+        return found
+
+    def by_fingerprint(self, half: int) -> DataFrame:
+        """(a, b): texts of one fingerprint, each with the first of them, and first texts of fingerprints that are linked."""
+        rows = self.sketches.select("node", "fingerprint")
+        first = self.hold(rows.groupBy("fingerprint").agg(F.min("node").alias("first")), "fingerprints")
+        same = rows.join(first, "fingerprint").where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        linked = links(first.select("fingerprint"), "fingerprint", half)
+        ends = linked.join(first.toDF("high", "x"), "high").join(first.toDF("low", "y"), "low")
+        out = self.hold(same.union(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), "by_fingerprint")
+        self.drop(first)
+        return out
+
+    def by_order(self) -> DataFrame:
+        """(a, b): texts side by side in the orders of their least shingles, which near copies mostly share."""
+        found = []
+        for k in range(ORDERS):
+            turned = self.sketches.select("node", "lead", F.xxhash64("node", F.lit(k)).alias("turn"), F.get("lead", F.lit(k)).alias("least"))
+            placed = self.hold(_in_order(turned, ["least", "turn"], "place"), "order")
+            found.append(self.hold(_beside(placed), "beside"))
+            self.drop(placed)
+        return self.hold(reduce(DataFrame.union, found), "by_order")
+
+    def by_prefix(self, groups: DataFrame) -> DataFrame:
+        """(a, b), a < b, of the texts of different ``groups`` that share a prefix shingle and can have the similarity.
+
+        The sizes, and the places of the first shingle that two texts share, bound what they can have in common. First the
+        shingles that several groups have are found, by two numbers for each; only their visits are moved and joined.
+        """
+        texts = self.sketches.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        ends = texts.select("group", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+        several = self.hold(ends.where("low <> high").select("shingle"), "several")
+        visits = texts.select("node", "size", "group", F.posexplode("prefix").alias("place", "shingle"))
+        met = self.hold(visits.join(several, "shingle", "left_semi"), "meeting")
+        x, y = (met.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "group", "place")]) for side in "ab")
+        small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+        most = 1 + F.least(F.col("size_a") - 1 - F.col("place_a"), F.col("size_b") - 1 - F.col("place_b"))
+        s = self.similarity
+        can = (small >= s * large - 1e-6) & (most >= s / (1 + s) * (small + large) - 1e-6)
+        both = x.join(y, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & can)
+        out = self.hold(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "by_prefix")
+        self.drop(several, met)
+        return out
+
+
+def similar_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5, text_column: str = "text", at_once: int = COMMON, half: int = 2) -> DataFrame:
     """(digest, component) of every distinct text, digest its SHA-256; texts linked, over others too, share a component.
 
     A link is a Jaccard similarity of at least ``similarity`` of the sets of ``width``-word shingles (fewer words: all of them
-    are one shingle), compared as 64-bit hashes. All pairs of that similarity share a component. First, texts are put in
-    the order of their least shingle, which has most near copies side by side, and each is compared with the next few;
-    ``ORDERS`` times, by different hashes. What this proves makes groups. Then a set join completes them: two texts of this
+    are one shingle), compared as 64-bit hashes. All pairs of that similarity share a component. First come the texts whose
+    fingerprints meet in the middle, ``2 * half`` bits apart at most, and those side by side in ``ORDERS`` orders by their least
+    shingle. What a comparison of their sets proves makes groups. Then a set join completes them: two texts of this
     similarity share a shingle of their prefixes, the rarest ones of each, and all such pairs of different groups are
     compared. So a large group of near copies does not give all its pairs, and no pair is left out. A task knows the
     ``at_once`` commonest shingles; only the work depends on them. Null is the empty text. An empty table gives no rows.
     """
-    spark = documents.sparkSession
-    folders: list[str] = []
-
-    def hold(df: DataFrame, name: str) -> DataFrame:
-        stored, path = staged_at(spark, df, name)
-        folders.append(path)
-        return stored
-
-    text = F.coalesce(F.col(text_column), F.lit(""))
-
-    common, times = _common(documents.select(text.alias("text")), width, at_once)
-
-    @F.pandas_udf("shingles binary, lead array<long>, size int, prefix array<long>")
-    def made(texts: pd.Series) -> pd.DataFrame:
-        only("simhash")
-        sets = [np.unique(shingle_hashes(t, width)) for t in texts]
-        out = [(s.astype("<u8").tobytes(), least_shingles(s) or [0] * ORDERS, len(s), prefix_of(s, similarity, common, times).view(np.int64)) for s in sets]
-        return pd.DataFrame(out, columns=["shingles", "lead", "size", "prefix"])
-
-    rows = documents.select(F.sha2(text.cast("binary"), 256).alias("digest"), made(text).alias("m")).select("digest", "m.*")
-    rows = hold(rows, "shingles")
-
-    @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([overlap(p, q, "<u8") for p, q in zip(x, y)], dtype="float64")
-
-    # numbers in the order of the least shingles, which near copies mostly share
-    single = rows.groupBy("digest").agg(F.first("lead").alias("lead"))
-    nodes = hold(_in_order(single, ["lead", "digest"], "node"), "texts")
-
-    def proved(pairs: DataFrame) -> DataFrame:
-        edges = hold(pairs, "candidates")
-        sets = hold(_sets(rows, nodes, edges), "sets")
-        return hold(edges.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b").where(alike("p", "q") >= similarity).select("a", "b"), "proved")
-
-    orders = []
-    for k in range(ORDERS):
-        turned = nodes.select("node", "lead", F.xxhash64("node", F.lit(k)).alias("turn"), F.get("lead", F.lit(k)).alias("least"))
-        orders.append(_beside(hold(_in_order(turned, ["least", "turn"], "place"), "order")))
-    quick = proved(reduce(DataFrame.union, orders).distinct())
-    groups = hold(connected(quick), "groups")
-
-    grouped = nodes.select("node", "digest").join(groups, "node", "left").select("node", "digest", F.coalesce("component", "node").alias("group"))
-    prefixes = rows.groupBy("digest").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    met = hold(_meeting(prefixes.join(grouped, "digest")), "meeting")
-    groups = hold(connected(quick.union(proved(_pairs(met, similarity)))), "groups")
-    found = nodes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    found, _ = staged_at(spark, found, "near_copies")
-    for path in folders:
-        drop_folder(spark, path)
+    search = _Search(documents.select(F.coalesce(F.col(text_column), F.lit("")).alias("text")), similarity, width, at_once)
+    first = [search.by_fingerprint(half), search.by_order()]
+    quick = search.proved(reduce(DataFrame.union, first).distinct())
+    groups = search.hold(connected(quick), "groups")
+    groups = search.hold(connected(quick.union(search.proved(search.by_prefix(groups)))), "groups")
+    found = search.sketches.select("node", "digest").join(groups, "node", "left").select(F.lower(F.hex("digest")).alias("digest"), F.coalesce("component", "node").alias("component"))
+    found, _ = staged_at(documents.sparkSession, found, "near_copies")
+    for path in search.paths.values():
+        drop_folder(documents.sparkSession, path)
     return found
 
 
@@ -359,29 +444,6 @@ def _beside(placed: DataFrame) -> DataFrame:
     return met.where(shared >= SHARED).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
 
 
-def _sets(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, shingles) of all texts that have a candidate.
-
-    A bitmap of their hashed digests, of the same size whatever their number, keeps most other sets from being moved.
-    """
-    some = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    wanted = nodes.select("node", "digest").join(some, "node")
-    bit = F.pmod(F.xxhash64("digest"), F.lit(BITMAP)) + 1
-    parts = wanted.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
-    marks = np.zeros(BITMAP // 8, np.uint8)
-    for r in parts.collect():  # at most BITMAP / 32768 of 4 KB
-        marks[(r.part - 1) * 4096:r.part * 4096] = np.frombuffer(r.bits, np.uint8)
-
-    @F.pandas_udf("boolean")
-    def marked(bits: pd.Series) -> pd.Series:
-        only("simhash")
-        at = bits.to_numpy(np.int64) - 1
-        return pd.Series((marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-
-    near = rows.select("digest", "shingles").where(marked(bit))
-    return near.join(wanted, "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
-
-
 def without_near_copies(documents: DataFrame, similarity: float = 0.8, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``documents`` that stay if of each group of near copies one does: that with the smallest id, null last.
 

@@ -1,6 +1,6 @@
 """URL filters: fixed rules by host and path, and a tree of path templates for the URLs that no rule fits.
 
-All of it is column expressions, joins and groupings. The URLs that a rule fits are the labelled samples. Per host, paths are
+All of it is column expressions, joins and groupings; rows of a host or template that holds a good part of all are dealt by a salt. The URLs that a rule fits are the labelled samples. Per host, paths are
 turned into templates segment by segment: below each template, a segment that holds a fair share of the URLs stays as it is and
 all others become a wildcard; then branches whose URLs are blocked, allowed and unlabelled in about the same shares are merged,
 so that they share all that follows. A template is rejected if its smoothed share of blocked samples is high.
@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegraph.llm.common import drop_folder, staged_at
+from tidegraph.llm.common import drop_folder, hot_keys, looked_up, staged_at
 
 #: Segments of a path that are told apart; what follows is one wildcard.
 DEPTH = 4
@@ -43,21 +43,19 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def _fitting(spark: SparkSession, hosts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(host, rules: those that fit the host, first the longest): as many as there are rules at most."""
-    made = spark.createDataFrame([tuple(r) for r in rules], "verdict string, rule_host string, rule_path string").distinct()
-    most = max((r.host.count(".") + 1 for r in rules), default=0)
-    labels = F.split("host", r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(most))), lambda k: F.array_join(F.slice("labels", -k, k), "."))
-    each = hosts.withColumn("labels", labels).select("host", F.explode(ends).alias("rule_host")) if rules else hosts.select("host", F.lit("").alias("rule_host")).limit(0)
-    name = F.concat("rule_host", "rule_path")
-    # the longest first; of equal ones that of the longer host, then a blocking one
-    order = F.struct((-F.length(name)).alias("a"), (-F.length("rule_host")).alias("b"), F.when(F.col("verdict") == "block", 0).otherwise(1).alias("c"), "rule_path", name.alias("rule"), "verdict")
-    return each.join(made, "rule_host").groupBy("host").agg(F.array_sort(F.collect_list(order)).alias("rules"))
+def _fitting(rules: list[Rule]) -> Column:
+    """(rule, verdict) of the first rule in the order of preference that fits ``host`` and ``path``; null if none does."""
+    if not rules:
+        return F.lit(None).cast("struct<rule:string,verdict:string>")
+    order = sorted(set(rules), key=lambda r: (-len(r.host + r.path), -len(r.host), r.verdict != "block", r.path, r.host))
+    made = F.array(*[F.struct(F.lit(r.host).alias("host"), F.lit(r.path).alias("path"), F.lit(r.host + r.path).alias("rule"), F.lit(r.verdict).alias("verdict")) for r in order])
+    below = lambda r: (F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))
+    first = F.get(F.filter(made, lambda r: below(r) & F.startswith(F.col("path"), r["path"])), F.lit(0))
+    return F.when(first.isNotNull(), F.struct(first["rule"].alias("rule"), first["verdict"].alias("verdict")))
 
 
-def _level(rows: DataFrame) -> tuple[DataFrame, str]:
-    """``rows`` (at, rest and others), staged, and their folder, with the next segment of ``rest`` moved to the template ``at``."""
+def _level(rows: DataFrame, count: int) -> tuple[DataFrame, str]:
+    """The ``count`` ``rows`` (at, rest and others), staged, and their folder, with the next segment of ``rest`` moved to the template ``at``."""
     spark = rows.sparkSession
     first = F.get("rest", F.lit(0))
     wild = F.when(F.col("segment").rlike("^[0-9]+$"), "{n}").otherwise("*")
@@ -66,6 +64,7 @@ def _level(rows: DataFrame) -> tuple[DataFrame, str]:
         F.count("*").alias("n"), F.count(F.when(F.col("label") == "block", 1)).alias("blocked"), F.count(F.when(F.col("label") == "allow", 1)).alias("allowed"))
     children, path = staged_at(spark, children, "children")
     total = children.groupBy("host", "at").agg(F.sum("n").alias("total"))
+    hot = hot_keys(total, ["host", "at"], "total", count)
     # segments that stay are few for each template, so what is joined to the totals is small
     common = children.where(F.col("n") >= SUPPORT).join(total, ["host", "at"]).where(F.col("n") * SHARE >= F.col("total"))
     stays = common.select("host", "at", "segment", F.lit(True).alias("stays"))
@@ -90,7 +89,7 @@ def _level(rows: DataFrame) -> tuple[DataFrame, str]:
     quoted = F.concat(F.lit("'"), F.col("segment"))
     name = F.coalesce(F.get(F.filter(F.map_entries("names"), lambda e: e["key"] == quoted), F.lit(0))["value"], F.get(F.filter(F.map_entries("names"), lambda e: e["key"] == wild), F.lit(0))["value"])
     names, names_path = staged_at(spark, names, "branches")
-    joined = rows.withColumn("segment", first).join(names, ["host", "at"], "left")
+    joined = looked_up(rows.withColumn("segment", first), names, ["host", "at"], hot, "left")
     moved = joined.withColumns({"at": F.when(F.size("rest") > 0, F.concat("at", F.lit("/"), name)).otherwise(F.col("at")), "rest": F.when(F.size("rest") > 0, F.expr("slice(rest, 2, size(rest))")).otherwise(F.col("rest"))})
     out = staged_at(spark, moved.select(*rows.columns), "templates")
     drop_folder(spark, path)
@@ -104,7 +103,7 @@ def judged(pages: DataFrame, rules: list[Rule], keep: list[str], url_column: str
     ``rule``: host and path of the longest rule that fits (equal lengths: of the longer host, then a blocking one), else null;
     a rule fits its host and all subdomains if the path starts with the rule's. ``template`` and its ``purity``, the smoothed
     share of blocked URLs among those with a rule, are the method's. ``verdict``: the rule's; without one ``block`` if the purity
-    is at least ``REJECT``, else ``allow``. ``rules`` is a configuration list; those that fit one host are held in a row.
+    is at least ``REJECT``, else ``allow``. ``rules`` is a configuration list: each row compares it in order.
 
     A null URL, or one without ``://``, has an empty host and path and shares the template of all such URLs. An empty segment is
     a segment like others. Repeated rows are kept and counted. No rule, or none that fits: all are allowed. An empty table gives
@@ -112,26 +111,23 @@ def judged(pages: DataFrame, rules: list[Rule], keep: list[str], url_column: str
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url_column))
-    rows = pages.select(*[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)], host.alias("host"), path.alias("path"))
-    rows, rows_path = staged_at(spark, rows, "urls")
-    fitting = _fitting(spark, rows.select("host").distinct(), rules)
-    fit = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"])), F.lit(0))
-    rows = rows.join(fitting, "host", "left").withColumn("fit", fit)
+    rows = pages.select(*[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)], host.alias("host"), path.alias("path")).withColumn("fit", _fitting(rules))
     segments = F.split(F.regexp_replace("path", "^/", ""), "/")
     some = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.slice(segments, 1, DEPTH))
     deeper = F.when(F.size(segments) > DEPTH, "/**").otherwise("")
     rows = rows.select(
-        *[c for c in rows.columns if c not in ("rules", "fit")], F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("label"),
+        *[c for c in rows.columns if c != "fit"], F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("label"),
         F.lit("").alias("at"), some.alias("rest"), deeper.alias("deeper"),
     )
     rows, at = staged_at(spark, rows, "labelled")
-    drop_folder(spark, rows_path)
-    for _ in range(rows.agg(F.max(F.size("rest"))).first()[0] or 0):
+    count, levels = rows.agg(F.count("*"), F.max(F.size("rest"))).first()
+    for _ in range(levels or 0):
         before = at
-        rows, at = _level(rows)
+        rows, at = _level(rows, count)
         drop_folder(spark, before)
     rows = rows.withColumn("template", F.concat("host", "at", "deeper"))
     blocked, labelled = F.count(F.when(F.col("label") == "block", 1)), F.count("label")
-    leaves = rows.groupBy("template").agg(((blocked + WEIGHT / 2) / (labelled + WEIGHT)).alias("purity"))
+    leaves, _ = staged_at(spark, rows.groupBy("template").agg(((blocked + WEIGHT / 2) / (labelled + WEIGHT)).alias("purity"), F.count("*").alias("n")), "leaves")
+    hot = hot_keys(leaves, ["template"], "n", count)
     verdict = F.coalesce("label", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
-    return rows.join(leaves, "template").select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)], "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
+    return looked_up(rows, leaves.drop("n"), ["template"], hot).select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)], "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
