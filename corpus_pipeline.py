@@ -22,7 +22,10 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more.
+
+    Fingerprints that meet in the middle find most candidates; a set join finds what they miss, and shingle sets decide.
+    """
     prepare(spark)
     return simhash.without_near_copies(docs, similarity=0.8, width=5)
 
@@ -49,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", clean), ("near_duplicates", distinct), ("decontamination", unleaked), ("secrets", redacted), ("packing", packed),
 ]
 
-#: The stages learn models, compare shingle sets found by fingerprints and encode with a tokenizer: SQL can't express them.
+#: The stages learn models, link by shingle sets and encode with a tokenizer: SQL can't express them.
 ORACLE_SQL = None
 
 
