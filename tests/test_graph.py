@@ -8,7 +8,7 @@ from tests.small import Maker, eight_nodes, rows
 from tidegraph.operators import exposure as ex
 from tidegraph.operators import scoring as sc
 from tidegraph.operators import topology as tp
-from tidegraph.plans import components, expand
+from tidegraph.plans import components, contract, expand
 from tidegraph.plans.view import open_view
 
 
@@ -149,6 +149,78 @@ def test_no_cycle_no_components(spark):
     assert components.cyclic_components(spark.createDataFrame([("a", "b"), ("b", "c")], "node string, next string")) is None
 
 
+def number_links(pairs, spark):
+    return spark.createDataFrame([(f"n{a:05d}", f"n{b:05d}") for a, b in pairs], "node string, next string")
+
+
+@pytest.fixture
+def staged(monkeypatch):
+    """Names of the tables that components and contraction stage."""
+    names = []
+    for module in (components, contract, expand):
+        monkeypatch.setattr(module, "stage", lambda df, name, real=module.stage: names.append(name) or real(df, name))
+    return names
+
+
+def test_a_long_chain_takes_a_logarithm_of_rounds(spark, staged):
+    n = 2000
+    links = number_links([(k, k + 1) for k in range(n)], spark)
+    _, turns, rounds = contract.shrunk(links)
+    assert sum(t.runs.count() for t in turns if t.runs is not None) == n - 3 and rounds <= 20
+    assert components.cyclic_components(links) is None
+    ids = links.select("node").union(links.select("next")).distinct()
+    counts = {r.node: r.total for r in components.reach_counts(links, ids.withColumn("total", F.lit(1)), ids, None).collect()}
+    assert counts == {f"n{k:05d}": n - k for k in range(n)}
+    assert len(staged) < 120
+
+
+def test_a_long_ring_takes_a_logarithm_of_rounds(spark, staged):
+    n = 2000
+    links = number_links([(k, (k + 1) % n) for k in range(n)] + [(5, n), (n, n + 1)], spark)
+    found = components.cyclic_components(links).collect()
+    assert len(found) == n and len({r.component for r in found}) == 1
+    ids = links.select("node").union(links.select("next")).distinct()
+    counts = {r.node: r.total for r in components.reach_counts(links, ids.withColumn("total", F.lit(1)), ids, components.cyclic_components(links)).collect()}
+    assert counts == {**{f"n{k:05d}": n + 2 for k in range(n)}, f"n{n:05d}": 1}
+    assert len(staged) < 220
+
+
+def strong_components(pairs):
+    nodes = sorted({x for p in pairs for x in p})
+    reach = {a: {a} for a in nodes}
+    while True:
+        more = {a: r | {y for x, y in pairs if x in r} for a, r in reach.items()}
+        if more == reach:
+            break
+        reach = more
+    groups = {frozenset(b for b in reach[a] if a in reach[b]) for a in nodes}
+    return {g for g in groups if len(g) > 1}, {a: {y for x, y in pairs if x in reach[a]} for a in nodes}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_rings_and_branches_against_brute_force(spark, seed):
+    """Sparse graphs: cycles of runs, runs that leave and come back, chords, loops and doubled links."""
+    rng = random.Random(seed)
+    pairs, top = set(), 0
+    for _ in range(6):  # runs from one known node to another one
+        length, a, b = rng.randint(1, 7), rng.randint(0, top), rng.randint(0, top)
+        way = [a, *range(top + 1, top + length + 1), b]
+        pairs |= set(zip(way, way[1:]))
+        top += length
+    pairs |= {(rng.randint(0, top), rng.randint(0, top)) for _ in range(rng.randint(0, 4))}
+    links = number_links(sorted(pairs), spark)
+    groups, reach = strong_components(pairs)
+    found = components.cyclic_components(links)
+    got = {}
+    for r in found.collect() if found is not None else []:
+        got.setdefault(r.component, set()).add(int(r.node[1:]))
+    assert set(map(frozenset, got.values())) == groups
+    ids = links.select("node").union(links.select("next")).distinct()
+    for at_once in (components.ROOTS, 2):
+        counts = components.reach_counts(links, ids.withColumn("total", F.lit(1)), ids, found, at_once)
+        assert {int(r.node[1:]): r.total for r in counts.collect()} == {a: len(r) for a, r in reach.items() if r}
+
+
 def test_split_hubs_give_the_same_expansion(spark):
     """A third of all links leave one node; its links are spread over slices."""
     links = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hub").otherwise(F.concat(F.lit("n"), "id")).alias("node"), F.concat(F.lit("m"), "id").alias("next"))

@@ -10,7 +10,7 @@ from tidegraph.functions.bands import path_severity
 from tidegraph.functions.ids import finding_id
 from tidegraph.model import DEPENDENCY_TYPES
 from tidegraph.plans.components import cyclic_components, reach_counts
-from tidegraph.plans.expand import Links, Seen, both_ways, closure, levels, make_links, reached
+from tidegraph.plans.expand import Links, Seen, both_ways, closure, levels, make_links, reached, with_ends
 from tidegraph.plans.view import View
 from tidegraph.session import stage
 
@@ -108,7 +108,7 @@ def impact_paths(view: View, roots: DataFrame | None = None) -> DataFrame:
     ``roots`` has one column ``id``; all live nodes by default. Depth 1 is directly affected.
     """
     starts = (view.nodes if roots is None else roots).select(F.col("id").alias("root"))
-    pairs = closure(starts, _dependent_links(view), IMPACT_DEPTH)
+    pairs, _ = closure(starts, make_links(with_ends(_dependent_links(view))), IMPACT_DEPTH)
     return pairs.where(F.col("root") != F.col("node")).select(
         F.col("root").alias("entity_id"), F.col("node").alias("affected_id"), "depth"
     )

@@ -8,26 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.plans.expand import Seen, closure, make_links, reached, union
-from tidegraph.session import stage, together
+from tidegraph.plans.contract import doubled, shrunk
+from tidegraph.plans.expand import Seen, closure, make_links, reached, union, with_ends
+from tidegraph.session import stage, together, unstage
 
-
-def core(links: DataFrame, enough: float = 1.0) -> DataFrame:
-    """Links that can lie on a cycle: peel nodes without a predecessor or without a successor.
-
-    Peeling ends when a round keeps everything, or at least the share ``enough``; what is kept too much
-    does not matter for components, it only makes their search look at more links.
-    """
-    rows = links.select("node", "next").where(F.col("node") != F.col("next"))
-    before = None
-    while True:
-        entered = rows.select(F.col("next").alias("node")).distinct()
-        left = rows.select(F.col("node").alias("next")).distinct()
-        rows = stage(rows.join(entered, "node", "left_semi").join(left, "next", "left_semi"), "core")
-        now = rows.count()
-        if now == 0 or (before is not None and now >= before * enough):
-            return rows.select("node", "next")
-        before = now
+ROOTS = 100_000  # roots whose reachable pairs are held at once
 
 
 def turned(links: DataFrame) -> DataFrame:
@@ -85,24 +70,38 @@ def _by_color(links: DataFrame) -> DataFrame:
 
 
 def cyclic_components(links: DataFrame) -> DataFrame | None:
-    """(node, component) of every node on a cycle of two or more nodes; None if there is none."""
-    rest, parts = core(links, enough=0.9), []
+    """(node, component) of every node on a cycle of two or more nodes; None if there is none.
+
+    Trees and runs are taken away first and after each find, so the searches walk what branches both ways. A node of a run lies
+    on a cycle if both of its ends lie in one component, or are one node; runs are put back in the reverse order.
+    """
+    rest, turns, _ = shrunk(links)
+    parts = []
     while not rest.isEmpty():
         find = _by_color if parts else _around_busiest
         done = stage(find(rest), "component")
         parts.append(done)
-        rest = core(
+        rest, more, _ = shrunk(
             rest.join(done.select("node"), "node", "left_anti")
             .join(done.select(F.col("node").alias("next")), "next", "left_anti")
         )
+        turns += more
+    parts += [t.rings for t in turns]
     if not parts:
         return None
     found = union(parts)
+    for turn in reversed(turns):
+        loose = turn.loops.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+        found = stage(found.unionByName(loose), "component")
+        of_start, of_end = found.toDF("start", "component"), found.toDF("end", "other")
+        inside = turn.runs.join(of_start, "start").join(of_end, "end").where("component = other").select("node", "component")
+        found = stage(found.unionByName(inside), "component")
     several = found.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    return stage(found.join(several.select("component"), "component", "left_semi").select("node", "component"), "cyclic")
+    found = stage(found.join(several.select("component"), "component", "left_semi").select("node", "component"), "cyclic")
+    return None if found.isEmpty() else found
 
 
-def reach_counts(links: DataFrame, weights: DataFrame, roots: DataFrame, components: DataFrame | None) -> DataFrame:
+def reach_counts(links: DataFrame, weights: DataFrame, roots: DataFrame, components: DataFrame | None, roots_at_once: int = ROOTS) -> DataFrame:
     """Number of nodes each root reaches over one or more links, per weight column.
 
     ``links``: distinct (node, next); ``weights``: node and numeric columns (a 1 and kind flags);
@@ -126,13 +125,56 @@ def reach_counts(links: DataFrame, weights: DataFrame, roots: DataFrame, compone
         ).withColumnRenamed("component", "node")
         wanted = component_of(roots.select("node"), "node", "component")
         own = components.select("component").union(loops.select(F.col("node").alias("component"))).distinct()
-    flat = flat.where(F.col("node") != F.col("next"))
-    wanted = stage(wanted, "wanted")
-    pairs = closure(wanted.select(F.col("component").alias("root")).distinct(), flat).select("root", "node")
-    itself = own.join(wanted.select("component").distinct(), "component", "left_semi").select(
-        F.col("component").alias("root"), F.col("component").alias("node")
-    )
-    sums = pairs.unionByName(itself).join(tagged, "node").groupBy(F.col("root").alias("component")).agg(
-        *[F.sum(c).alias(c) for c in names]
-    )
+    flat, tagged, wanted = together([
+        lambda: stage(flat.where(F.col("node") != F.col("next")), "flat"), lambda: stage(tagged, "tagged"), lambda: stage(wanted, "wanted")])
+    asked = wanted.select(F.col("component").alias("node")).distinct()
+    counted = acyclic_reach(flat, tagged, asked, roots_at_once)
+    itself = own.join(asked.withColumnRenamed("node", "component"), "component", "left_semi").select(F.col("component").alias("node"))
+    sums = counted.unionByName(itself.join(tagged, "node")).groupBy(F.col("node").alias("component")).agg(*[F.sum(c).alias(c) for c in names])
     return wanted.join(sums, "component").select("node", *names)
+
+
+def acyclic_reach(links: DataFrame, weights: DataFrame, roots: DataFrame, roots_at_once: int = ROOTS) -> DataFrame:
+    """Sums of the weight columns over what each root (column ``node``) reaches in a graph without cycles; staged.
+
+    A node with one successor reaches that and what it reaches: its sums come by pointer doubling, up to the first node that
+    branches. Only for those, pairs are listed, over a graph in which runs of nodes with one predecessor and one successor
+    are one node, and for ``roots_at_once`` roots at a time, whose pairs are summed and dropped before the next ones.
+    Roots that reach nothing are left out.
+    """
+    names = [c for c in weights.columns if c != "node"]
+    degree = links.groupBy("node").agg(F.count("*").alias("n"), F.min("next").alias("next"))
+    single = degree.where("n = 1").select("node", "next")
+    stretch = single.join(weights.withColumnRenamed("node", "next"), "next").select("node", "next", *names)
+    ends, _ = doubled(stretch, {c: lambda a, b: a + b for c in names})
+    mine = stage(roots.join(ends.drop("open").withColumnRenamed("next", "end"), "node", "left"), "on_the_way")
+    # what branches: asked for itself, or at the end of a way that is
+    branching = degree.where("n > 1").select(F.col("node").alias("root"))
+    sought = mine.select(F.coalesce("end", "node").alias("root")).distinct().join(branching, "root", "left_semi")
+    sought = stage(sought.withColumn("turn", F.xxhash64("root")), "sought")
+    count = sought.count()
+    totals = None
+    if count:
+        before = links.groupBy(F.col("next").alias("node")).agg(F.count("*").alias("n")).where("n = 1").select("node")
+        inner = stage(single.join(before, "node", "left_semi"), "inner")
+        # a run is named by its last node
+        last, _ = doubled(inner.join(inner.select(F.col("node").alias("next")), "next", "left_semi").select("node", "next"))
+        named = last.select("node", F.col("next").alias("name"))
+        place = lambda df, column: df.join(named.toDF(column, "name"), column, "left").withColumn(column, F.coalesce("name", column)).drop("name")
+        short = place(place(links, "node"), "next").where("node <> next").select("node", "next").distinct()
+        ways = make_links(with_ends(short))
+        heavy = stage(place(weights, "node").groupBy("node").agg(*[F.sum(c).alias(c) for c in names]), "run_weights")
+        parts, turns = [], -(-count // roots_at_once)
+        for turn in range(turns):
+            some = sought.where(F.pmod("turn", F.lit(turns)) == turn).select("root")
+            pairs, tables = closure(some, ways)
+            sums = pairs.select("root", "node").join(heavy, "node").groupBy(F.col("root").alias("node")).agg(*[F.sum(c).alias(c) for c in names])
+            parts.append(stage(sums, "reach"))
+            unstage(*tables)
+        totals = union(parts)
+    else:
+        totals = weights.where(F.lit(False))
+    more = totals.select(F.col("node").alias("_at"), *[F.col(c).alias(f"_{c}") for c in names])
+    out = mine.withColumn("_at", F.coalesce("end", "node")).join(more, "_at", "left")
+    out = out.where(F.col("end").isNotNull() | F.col(f"_{names[0]}").isNotNull())
+    return stage(out.select("node", *[(F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in names]), "reach_counts")

@@ -149,12 +149,11 @@ def with_ends(links: DataFrame) -> DataFrame:
     return links.join(starts, "next", "left").select("node", "next", F.coalesce("open", F.lit(False)).alias("open"))
 
 
-def closure(roots: DataFrame, links: DataFrame, depth: int | None = None) -> DataFrame:
-    """Reachable pairs (``root``, ``node``, ``depth``) over one or more links, all roots at once.
+def closure(roots: DataFrame, ways: Links, depth: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Reachable pairs (``root``, ``node``, ``depth``) over one or more links, all roots at once; and the staged tables they are in.
 
-    A root on a cycle reaches itself. ``roots`` has one column, ``root``; ``links`` are (node, next).
+    A root on a cycle reaches itself. ``roots`` has one column, ``root``; ``ways`` are links with ``open`` (``with_ends``).
     """
-    ways = make_links(with_ends(links))
     frontier = roots.select("root", F.col("root").alias("node"))
     seen = Seen(["root", "node"])
     level = 0
@@ -169,4 +168,4 @@ def closure(roots: DataFrame, links: DataFrame, depth: int | None = None) -> Dat
         frontier = fresh.where("open").select("root", "node")
         if frontier.isEmpty():
             break
-    return seen.all().drop("open")
+    return seen.all().drop("open"), seen.parts
