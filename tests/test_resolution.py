@@ -7,7 +7,7 @@ from tests.small import Maker, rows
 from tidegraph.functions import bands
 from tidegraph.plans import resolve as rs
 from tidegraph.plans.ranking import numbered, page
-from tidegraph.plans.view import open_view
+from tidegraph.plans.view import open_view, open_views
 
 
 def log_of(spark, claims):
@@ -135,3 +135,53 @@ def test_pages(spark):
     assert page(df, [F.col("id").asc()], 29990, None).count() == 10
     with pytest.raises(ValueError):
         page(df, [F.col("id").asc()], -1, None)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_views_at_fifty_times(spark, seed):
+    """Targets with one and with many assertions, expiring ones, gaps and unknown winners: every view as one opened alone."""
+    rng = random.Random(seed)
+    m = Maker()
+    for k in range(12):
+        name = m.node(f"n{k}", "ASSET")
+        for _ in range(rng.choice([1, 1, 2, 8])):
+            at = rng.randint(0, 100)
+            m.claim("node", name, {"v": rng.randint(0, 3)}, at=at, until=rng.choice([None, at + rng.randint(0, 30)]), provenance=rng.randint(0, 3), confidence=rng.choice([0.2, 0.9]),
+                    observed=rng.randint(0, 3), ttl=rng.choice([None, None, 20]))
+    for k in range(10):
+        m.edge("DEPENDS_ON", f"n{k}", f"n{k + 1}", at=rng.randint(0, 100), until=rng.choice([None, 105]))
+    g = m.graph(spark)
+    times = [float(t) for t in range(0, 125, 25)] + [rng.uniform(0, 120) for _ in range(45)]
+    views = open_views(g, times)
+    columns = ["id", "winner", "value_json", "provenance", "valid_from", "valid_to", "contributors"]
+    log = [dict(zip(g.assertions.columns, r)) for r in g.assertions.collect()]
+    for v, t in zip(views, times):
+        best = {}
+        for a in log:
+            end = min([x for x in (a["valid_to"], None if a["ttl"] is None else a["valid_from"] + a["ttl"]) if x is not None], default=None)
+            if a["valid_from"] <= t and (end is None or t < end):
+                best.setdefault((a["target_kind"], a["target_id"]), []).append(((-a["provenance"], -a["confidence"], -a["observed_at"], a["id"]), a, end))
+        live = {k: (min(x)[1], min(x)[2], len(x)) for k, x in best.items() if min(x)[1]["provenance"] > 0}
+        nodes = {i for kind, i in live if kind == "node"}
+        want = sorted((i, a["id"], a["value_json"], a["provenance"], a["valid_from"], end, n) for (kind, i), (a, end, n) in live.items() if kind == "node")
+        assert rows(v.nodes, *columns) == want
+        edges = {i for kind, i in live if kind == "edge" and set(m.edges[i][2:4]) <= nodes}
+        assert {r.id for r in v.edges.collect()} == edges
+        assert {r.id: r.changes for r in v.nodes.collect()} == {i: sum(a["target_id"] == i and a["target_kind"] == "node" for a in log) for i in nodes}
+
+
+def test_a_view_reads_what_begins_by_its_time(spark, tmp_path):
+    """The time reaches the scan, and nothing sorts the log."""
+    path = str(tmp_path / "log")
+    m = Maker()
+    for k in range(6):
+        m.node(f"n{k}", "ASSET", {"v": k}, at=k * 10)
+    g = m.graph(spark)
+    g.assertions.write.parquet(path)
+    log = spark.read.schema(g.assertions.schema).parquet(path)
+    states = rs.States(log, [25.0], "default", "node")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    plan = states.at(0)._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "LessThanOrEqual(valid_from,25.0)" in plan and "SortAggregate" not in plan and states.best is None
+    assert sorted(r.target_id for r in states.at(0).collect()) == ["n0", "n1", "n2"]

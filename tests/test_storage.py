@@ -5,13 +5,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.small import eight_nodes, rows
-from tidegraph.model import EVENTS, OBSERVATIONS
+from tidegraph.model import ASSERTIONS, EVENTS, OBSERVATIONS
 from tidegraph.operators import quality as qu
+from tidegraph.operators import query as qy
 from tidegraph.plans import build as bd
+from tidegraph.plans import resolve as rs
 from tidegraph.plans.view import Graph, open_view
 from tidegraph.sources import event_log as el
 from tidegraph.sources import graph_tables as gt
 from tidegraph.sources import inventory as iv
+from tidegraph.session import stage
+from tidegraph.sources.levels import Levels
 from tidegraph.streaming import ingest as sg
 
 
@@ -186,6 +190,80 @@ def test_snapshots_and_checkpoints(spark, tmp_path):
     assert gt.read_graph(spark, f"{root}/nowhere").nodes.count() == 0
 
 
+def leaves(plan):
+    """Scan nodes of an executed plan."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return leaves(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return leaves(plan.plan())
+    below = [plan.children().apply(k) for k in range(plan.children().size())]
+    return [x for c in below for x in leaves(c)] if below else [plan]
+
+
+def rows_scanned(df):
+    """Rows that the file scans of a collected query gave out: those of the row groups that were read."""
+    assert df.collect() is not None
+    return sum(x.metrics().apply("numOutputRows").value() for x in leaves(df._jdf.queryExecution().executedPlan()) if "Scan" in x.nodeName())
+
+
+def many_targets(spark, n, first=0):
+    g = eight_nodes().graph(spark)
+    ids = spark.range(first, first + n)
+    log = ids.select(F.format_string("l%07d", "id").alias("id"), F.lit("node").alias("target_kind"), F.format_string("t%07d", F.pmod(F.col("id") * 7919, F.lit(100_000))).alias("target_id"),
+                     F.lit("{}").alias("value_json"), F.lit(3).alias("provenance"), F.lit(0.5).alias("confidence"), F.lit("s").alias("source"), F.lit("default").alias("context"),
+                     F.col("id").cast("double").alias("valid_from"), F.lit(None).cast("double").alias("valid_to"), F.lit(1.0).alias("observed_at"),
+                     F.array(F.lit("e")).alias("evidence"), F.lit(0).alias("inferred_depth"), F.lit(None).cast("double").alias("ttl"))
+    nodes = ids.select(F.format_string("t%07d", "id").alias("id"), F.lit("ASSET").alias("type"), F.lit("{}").alias("key_json"))
+    return Graph(nodes, g.edges.limit(0), log)
+
+
+def test_point_reads_look_at_few_row_groups(spark, tmp_path):
+    """One target of a hundred thousand, also after merges whose files cover all targets again."""
+    path = str(tmp_path / "g")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    hadoop.set("parquet.block.size", str(1 << 16))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        gt.write_graph(many_targets(spark, 100_000), path)
+        for k in range(1, 4):
+            gt.merge_graph(spark, path, many_targets(spark, 30_000, k * 100_000)).collect()
+        g = gt.read_graph(spark, path)
+        total = g.assertions.count()
+        assert total == 190_000 and g.by_target.count() == total
+        identity, state, log = qy.node_detail(g, "t0007919", as_of=1e9)
+        assert rows(log, "id") == [("l0000001",), ("l0100001",), ("l0200001",), ("l0300001",)]
+        assert rows_scanned(log) < total / 8 and rows_scanned(state) < total / 8 and rows_scanned(identity) < 100_000 / 8
+        assert rows(log, "id") == rows(rs.history(g.assertions, "t0007919"), "id")
+        assert rows(identity, "id") == [("t0007919",)]
+        assert rows_scanned(qy.node_detail(g, "nothing", as_of=1e9)[2]) < total / 8
+        counts = g.changes("default", "node")
+        assert rows(counts, "target_id", "changes") == rows(rs.change_counts(g.assertions, "default"), "target_id", "changes")
+    finally:
+        hadoop.unset("parquet.block.size")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_graph_can_be_stored_where_it_was_read(spark, tmp_path, monkeypatch):
+    path, g = str(tmp_path / "g"), eight_nodes().graph(spark)
+    digest = gt.write_graph(g, path)
+    assert gt.write_graph(gt.read_graph(spark, path), path) == digest
+    fewer = Graph(g.nodes.where("id <> 'late'"), g.edges, g.assertions)
+    move, calls = gt.files.move, []
+
+    def lost(*args):
+        calls.append(args)
+        if len(calls) == 3:
+            raise RuntimeError("driver lost")
+        move(*args)
+    monkeypatch.setattr(gt.files, "move", lost)
+    with pytest.raises(RuntimeError):
+        gt.write_graph(fewer, path)
+    monkeypatch.setattr(gt.files, "move", move)
+    assert qu.differences(gt.read_graph(spark, path), fewer).isEmpty()
+
+
 def test_graph_document(spark, tmp_path):
     doc = {"nodes": [{"id": "n", "type": "ASSET", "key": {"ip": "1"}}], "edges": [],
            "assertions": [{"id": "a", "target_kind": "node", "target_id": "n", "value": {"exists": True}, "provenance": "VERIFIED", "confidence": 0.5, "source": "s", "context": "default",
@@ -225,6 +303,94 @@ def test_late_events_are_kept(spark, tmp_path):
     assert got.count() == 60 and got.select("id").distinct().count() == 60
 
 
+def test_a_known_id_is_skipped_whatever_its_day(spark, tmp_path):
+    """One batch or two, the earlier day first or last: an id is stored once."""
+    source, event = tmp_path / "in", lambda t: events_of(spark, [t], prefix="").withColumn("id", F.lit("e1"))
+    source.mkdir()
+    for k, day in enumerate((5, 9, 2)):
+        (source / f"{k}.json").write_text("\n".join(r.value for r in el.to_lines(event(day * 86400).unionByName(events_of(spark, [day]))).collect()))
+        sg.ingest_events(sg.event_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "s")).awaitTermination()
+    got = spark.read.schema(EVENTS).parquet(str(tmp_path / "out"))
+    assert rows(got, "id", "timestamp") == [("e1", 5 * 86400.0), ("e2", 2.0), ("e5", 5.0), ("e9", 9.0)]
+    log = str(tmp_path / "log")
+    for day in (5, 9, 2):
+        el.append_events(spark, log, event(day * 86400))
+    assert rows(el.read_events(spark, log), "timestamp") == [(5 * 86400.0,)]
+
+
+def test_the_index_follows_the_files(spark, tmp_path):
+    """Lines that others append are known, and ids whose file is gone are not."""
+    log = str(tmp_path / "log")
+    el.append_events(spark, log, events_of(spark, [1, 2]))
+    el.to_lines(events_of(spark, [3])).write.mode("append").text(log)
+    el.append_events(spark, log, events_of(spark, [2, 3, 4]))
+    assert rows(el.read_events(spark, log), "id") == [("e1",), ("e2",), ("e3",), ("e4",)]
+    for name in gt.files.data_files(spark, log):
+        if "e3" in (tmp_path / "log" / name).read_text():
+            (tmp_path / "log" / name).unlink()
+    el.append_events(spark, log, events_of(spark, [3, 4]))
+    assert rows(el.read_events(spark, log), "id") == [("e1",), ("e2",), ("e3",), ("e4",)]
+
+
+def keyed(spark, ids):
+    return stage(spark.createDataFrame([(f"k{k}", k) for k in ids], "id string, n long"), "keyed")
+
+
+def test_levels_open_few_files(spark, tmp_path):
+    store = Levels(spark, str(tmp_path / "s"), ["id"], file_rows=50)
+    for k in range(30):
+        store.add(keyed(spark, range(40 * k, 40 * k + 40)), tag=str(k))
+        assert len(store.parts()) <= 3 * 4
+    assert store.read().count() == 1200 and sum(p.rows for p in store.parts()) == 1200
+    folders = sum(p.slices for p in store.parts())
+    assert folders >= 16
+    for ids in ([7], [7, 1199], [600]):
+        assert len(ids) <= len(store.candidates(keyed(spark, ids))) <= len(ids) + 2
+        assert rows(store.holding(keyed(spark, ids)), "n") == [(k,) for k in sorted(ids)]
+    assert len(store.candidates(keyed(spark, range(5000, 5010)))) <= 3
+    assert store.holding(keyed(spark, [])) is None
+    # files of the version before are still there, older ones are not
+    names = {p.name for p in store.parts()}
+    assert names <= set(gt.files.folders(spark, str(tmp_path / "s" / "parts"))) and len(gt.files.folders(spark, str(tmp_path / "s" / "parts"))) <= len(names) + 8
+
+
+def test_many_batches_of_states(spark, tmp_path):
+    """After thirty batches: few files, few of them opened by a batch, and the states of one resolution."""
+    from tests.small import Maker
+    rng, m, batches = random.Random(4), Maker(), []
+    for k in range(30):
+        before = len(m.log)
+        for _ in range(6):
+            m.claim("node", f"n{rng.randrange(60)}", {"v": rng.random()}, at=k, confidence=rng.random(), until=rng.choice([None, None, 20]))
+        batches.append(m.log[before:])
+    source, out = str(tmp_path / "in"), str(tmp_path)
+    for part in batches:
+        spark.createDataFrame(part, ASSERTIONS).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(ASSERTIONS).option("maxFilesPerTrigger", 1).parquet(source)
+    sg.keep_states(stream, f"{out}/log", f"{out}/states", f"{out}/state", as_of=25.0, file_rows=40).awaitTermination()
+    whole = spark.createDataFrame(m.log, ASSERTIONS)
+    assert rows(sg.current_states(spark, f"{out}/states"), "target_id", "winner", "contributors") == rows(rs.resolve(whole, 25.0), "target_id", "winner", "contributors")
+    log, states = Levels(spark, f"{out}/log", rs.TARGET), Levels(spark, f"{out}/states", rs.TARGET)
+    assert len(log.parts()) <= 9 and len(states.parts()) <= 9
+    assert sum(p.rows for p in log.parts()) == len(m.log) and sum(p.rows for p in states.parts()) <= 60 * 4
+    one = stage(whole.where("target_id = 'n7'"), "one")
+    assert len(log.candidates(one)) <= len(log.parts()) + 2
+
+
+def test_merges_read_few_ids_and_keep_the_layout(spark, tmp_path):
+    path = str(tmp_path / "g")
+    gt.write_graph(many_targets(spark, 5000), path)
+    for k in (1, 2):
+        added = {r.table: r.added for r in gt.merge_graph(spark, path, many_targets(spark, 200, k * 4900)).collect()}
+        assert added == {"nodes": 100 if k == 1 else 200, "edges": 0, "assertions": 100 if k == 1 else 200}
+    g = gt.read_graph(spark, path)
+    assert g.assertions.count() == g.by_target.count() == 5300 and g.nodes.select("id").distinct().count() == g.nodes.count() == 5300
+    # each file of the log lies in the order of its time
+    for f in (tmp_path / "g" / "assertions").rglob("part-*.parquet"):
+        times = [r.valid_from for r in spark.read.parquet(str(f)).collect()]
+        assert times == sorted(times)
+
+
 def test_staged_tables_do_not_pile_up(spark, tmp_path):
     from tidegraph.session import staging_root
     from tidegraph.sources import files
@@ -263,5 +429,5 @@ def test_expired_winner_gives_way(spark, tmp_path):
     for t, winner in ((5.0, "a0000"), (15.0, "a0001")):
         base = str(tmp_path / str(t))
         stream = spark.readStream.schema(log.schema).parquet(source)
-        sg.keep_states(stream, f"{base}/log", f"{base}/states", f"{base}/state", as_of=t, buckets=4).awaitTermination()
+        sg.keep_states(stream, f"{base}/log", f"{base}/states", f"{base}/state", as_of=t).awaitTermination()
         assert rows(sg.current_states(spark, f"{base}/states"), "winner") == [(winner,)]

@@ -205,18 +205,18 @@ def list_edges(view: View, edge_type: str | None = None, offset: int = 0, limit:
 
 def node_detail(graph: Graph, node_id: str, context: str = "default", as_of: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Identity, resolved state and assertion history of one node."""
-    return graph.nodes.where(F.col("id") == node_id), point_lookup(graph.assertions, node_id, context, as_of, "node"), history(graph.assertions, node_id, context, "node")
+    return graph.nodes.where(F.col("id") == node_id), point_lookup(graph.points(), node_id, context, as_of, "node"), history(graph.points(), node_id, context, "node")
 
 
 def edge_detail(graph: Graph, edge_id: str, context: str = "default", as_of: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Identity, resolved state and assertion history of one edge."""
-    return graph.edges.where(F.col("id") == edge_id), point_lookup(graph.assertions, edge_id, context, as_of, "edge"), history(graph.assertions, edge_id, context, "edge")
+    return graph.edges.where(F.col("id") == edge_id), point_lookup(graph.points(), edge_id, context, as_of, "edge"), history(graph.points(), edge_id, context, "edge")
 
 
 def edge_trace(view: View, edge_id: str) -> DataFrame:
     """Where an edge comes from: ends, confidence, tier, and per row one source with one reference."""
     from tidegraph.plans.resolve import applicable
-    rows = applicable(view.log.where(F.col("target_id") == edge_id), view.as_of, view.context, "edge")
+    rows = applicable(view.points.where(F.col("target_id") == edge_id), view.as_of, view.context, "edge")
     refs = rows.select(F.col("target_id").alias("id"), F.col("source").alias("from_source"), F.explode_outer("evidence").alias("ref")).distinct()
     return view.edges.where(F.col("id") == edge_id).join(refs, "id").select(
         "id", F.col("src").alias("source"), F.col("dst").alias("target"), "confidence", provenance_name(F.col("provenance")).alias("tier"),

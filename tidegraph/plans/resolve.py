@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegraph.functions.bands import provenance_name
 from tidegraph.model import INFERRED, UNKNOWN
 from tidegraph.plans.ranking import numbered
+from tidegraph.session import stage
 
 TARGET = ["context", "target_kind", "target_id"]
 LATEST = float("inf")
@@ -80,20 +81,35 @@ def computable(log: DataFrame, as_of: float | None = None, context: str | None =
     return resolve(log, as_of, context, kind).where(~F.col("is_unknown")).drop("is_unknown")
 
 
-def resolve_many(log: DataFrame, times: list[float | None], context: str) -> DataFrame:
-    """States at several times from one pass over the log.
+class States:
+    """Winning states of the targets of one kind and context at several times, from one look at the log.
 
-    One column group ``at0``, ``at1``, .. per time (NULL where nothing applies) and ``changes``, the
-    number of assertions of the target in the context, whatever their time.
+    Most targets have a single assertion that applies at any of the times; these rows are states as they are. A narrow count finds
+    the others, and only their rows meet in an arg-min, once for all times. Both passes read what begins by the latest
+    time only. The contested targets are a staged table, so the planner knows whether it is small.
     """
-    winners = []
-    for n, t in enumerate(times):
-        valid = applies_at(moment(t))
-        winners.append(F.min_by(winner_fields(), F.when(valid, rank_key())).alias(f"at{n}"))
-        winners.append(F.count_if(valid).alias(f"contributors{n}"))
-    return in_scope(log, context, None).groupBy("target_kind", "target_id").agg(
-        F.count("*").alias("changes"), *winners
-    )
+
+    def __init__(self, log: DataFrame, times: list[float | None], context: str, kind: str):
+        self.times = [moment(t) for t in times]
+        some = applies_at(self.times[0])
+        for t in self.times[1:]:
+            some = some | applies_at(t)
+        rows = in_scope(log, context, kind).where((F.col("valid_from") <= max(self.times)) & some)
+        several = rows.groupBy("target_id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+        contested = stage(several.select("target_id"), "contested")
+        self.alone, self.best = rows, None
+        if not contested.isEmpty():
+            self.alone = rows.join(contested, "target_id", "left_anti")
+            valid = F.array_compact(F.array(*[F.when(applies_at(t), F.lit(n)) for n, t in enumerate(self.times)]))
+            met = rows.join(contested, "target_id", "left_semi").withColumn("n", F.explode(valid))
+            best = met.groupBy("target_id", "n").agg(F.min_by(winner_fields(), rank_key()).alias("w"), F.count("*").alias("contributors"))
+            self.best = stage(best.select("target_id", "n", "w.*", "contributors"), "best")
+
+    def at(self, n: int) -> DataFrame:
+        """The states at the ``n``-th time: target_id, the winner's fields and contributors; UNKNOWN winners included."""
+        alone = self.alone.where(applies_at(self.times[n])).select("target_id", winner_fields().alias("w"), F.lit(1).cast("long").alias("contributors"))
+        alone = alone.select("target_id", "w.*", "contributors")
+        return alone if self.best is None else alone.unionByName(self.best.where(F.col("n") == n).drop("n"))
 
 
 def change_counts(log: DataFrame, context: str | None = None) -> DataFrame:

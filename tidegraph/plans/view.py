@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegraph.functions import attributes as A
 from tidegraph.model import DEFAULT_CONTEXT, DEPENDENCY_TYPES, INFERRED, UNKNOWN
-from tidegraph.plans.resolve import evidence, moment, resolve_many
+from tidegraph.plans.resolve import States, change_counts, evidence, in_scope, moment
 from tidegraph.session import stage, together
 
 T = TypeVar("T")
@@ -19,11 +19,27 @@ T = TypeVar("T")
 
 @dataclass
 class Graph:
-    """Registered identities and the assertion log."""
+    """Registered identities and the assertion log.
+
+    A stored graph also has ``by_target``, the log in an order for reads of one target, and ``counts``, numbers of assertions per
+    target (context, target_kind, target_id, changes; rows of one target add up).
+    """
 
     nodes: DataFrame
     edges: DataFrame
     assertions: DataFrame
+    by_target: DataFrame | None = None
+    counts: DataFrame | None = None
+
+    def points(self) -> DataFrame:
+        """The log for reads of one target."""
+        return self.assertions if self.by_target is None else self.by_target
+
+    def changes(self, context: str, kind: str) -> DataFrame:
+        """(target_id, changes): assertions of each target whatever their time; from the stored counts where there are any."""
+        if self.counts is None:
+            return change_counts(in_scope(self.assertions, context, kind)).select("target_id", "changes")
+        return in_scope(self.counts, context, kind).groupBy("target_id").agg(F.sum("changes").alias("changes"))
 
 
 @dataclass
@@ -31,7 +47,8 @@ class View:
     """Live nodes and edges at ``(context, as_of)``.
 
     ``nodes``: id, type, key_json, value_json, provenance, confidence, source, valid_from, valid_to,
-    winner, contributors, changes. ``edges``: the same with type, src, dst instead of a key.
+    winner, contributors, changes. ``edges``: the same with type, src, dst instead of a key, and without changes.
+    ``log``: the assertions; ``points``: the same for reads of one target.
     """
 
     context: str
@@ -39,6 +56,7 @@ class View:
     nodes: DataFrame
     edges: DataFrame
     log: DataFrame
+    points: DataFrame
     _kept: dict[str, object] = field(default_factory=dict)
     _locks: dict[str, Lock] = field(default_factory=dict)
 
@@ -135,39 +153,32 @@ class View:
         )
 
 
-def _states(log: DataFrame, n: int, kind: str) -> DataFrame:
-    at = f"at{n}"
-    return (
-        log.where((F.col("target_kind") == kind) & (F.col(f"{at}.provenance") > UNKNOWN))
-        .select(F.col("target_id").alias("id"), f"{at}.*", F.col(f"contributors{n}").alias("contributors"), "changes")
-    )
-
-
 def open_views(graph: Graph, times: list[float | None], context: str | None = None) -> list[View]:
-    """Views at several times; the log is read and resolved once for all of them."""
+    """Views at several times; which targets are contested, and who wins them, is found once for all of them."""
     context = context or DEFAULT_CONTEXT
-    states = stage(resolve_many(graph.assertions, times, context), "states")
-    return together([lambda n=n, t=t: _view(graph, states, states, n, moment(t), context) for n, t in enumerate(times)])
+    nodes, edges = together([lambda k=k: States(graph.assertions, times, context, k) for k in ("node", "edge")])
+    counts = graph.changes(context, "node")
+    if len(times) > 1:
+        counts = stage(counts, "change_counts")
+    return together([lambda n=n, t=t: _view(graph, nodes.at(n), edges.at(n), counts, moment(t), context) for n, t in enumerate(times)])
+
 
+def _view(graph: Graph, node_states: DataFrame, edge_states: DataFrame, counts: DataFrame, as_of: float, context: str) -> View:
+    def known(states: DataFrame) -> DataFrame:
+        return states.where(F.col("provenance") > UNKNOWN).withColumnRenamed("target_id", "id")
 
-def _view(graph: Graph, node_states: DataFrame, edge_states: DataFrame, n: int, as_of: float, context: str) -> View:
-    nodes = stage(graph.nodes.join(_states(node_states, n, "node"), "id"), "live_nodes")
+    nodes = stage(graph.nodes.join(known(node_states), "id").join(counts.withColumnRenamed("target_id", "id"), "id"), "live_nodes")
     alive = nodes.select("id")
     edges = (
-        graph.edges.drop("context").join(_states(edge_states, n, "edge"), "id")
+        graph.edges.drop("context").join(known(edge_states), "id")
         .join(alive.withColumnRenamed("id", "src"), "src", "left_semi")
         .join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi")
         .select("id", "type", "src", "dst", "value_json", "provenance", "confidence", "source",
-                "valid_from", "valid_to", "winner", "contributors", "changes")
+                "valid_from", "valid_to", "winner", "contributors")
     )
-    return View(context, as_of, nodes, stage(edges, "live_edges"), graph.assertions)
+    return View(context, as_of, nodes, stage(edges, "live_edges"), graph.assertions, graph.points())
 
 
 def open_view(graph: Graph, as_of: float | None = None, context: str | None = None) -> View:
-    """The view at one time; ``as_of=None`` is the latest state.
-
-    Node and edge assertions are disjoint parts of the log, so each is resolved where it is joined.
-    """
-    context = context or DEFAULT_CONTEXT
-    parts = [resolve_many(graph.assertions.where(F.col("target_kind") == kind), [as_of], context) for kind in ("node", "edge")]
-    return _view(graph, *parts, 0, moment(as_of), context)
+    """The view at one time; ``as_of=None`` is the latest state."""
+    return open_views(graph, [as_of], context)[0]

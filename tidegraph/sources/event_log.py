@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidegraph.model import EVENTS
 from tidegraph.plans.ranking import page
+from tidegraph.session import stage, unstage
 from tidegraph.sources import files
+from tidegraph.sources.levels import KnownIds
 
 # on disk the metadata is a JSON object under "metadata"
 STORED = T.StructType([f if f.name != "metadata_json" else T.StructField("metadata", T.StringType()) for f in EVENTS.fields])
@@ -27,9 +29,14 @@ def to_lines(events: DataFrame) -> DataFrame:
 
 
 def append_events(spark: SparkSession, path: str, events: DataFrame) -> None:
-    """Append the events whose id the log does not have yet."""
-    fresh = events.dropDuplicates(["id"]).join(read_events(spark, path).select("id"), "id", "left_anti")
-    to_lines(fresh.select(*[f.name for f in EVENTS.fields])).write.mode("append").text(path)
+    """Append the events whose id the log does not have yet, whatever their time.
+
+    The ids are in an index beside the log that follows its files, so only new files are parsed.
+    """
+    batch = stage(events.dropDuplicates(["id"]).where(F.col("id").isNotNull()), "batch")
+    known = KnownIds(spark, f"{path.rstrip('/')}/_ids", path, lambda paths: spark.read.schema(STORED).option("mode", "DROPMALFORMED").json(paths))
+    to_lines(known.without(batch).select(*[f.name for f in EVENTS.fields])).write.mode("append").text(path)
+    unstage(batch)
 
 
 def replay(events: DataFrame) -> DataFrame:

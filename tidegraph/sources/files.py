@@ -32,6 +32,20 @@ def data_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in names if n[0] not in "._")
 
 
+def below(spark: SparkSession, path: str) -> list[str]:
+    """Data files at any depth below a path, as paths relative to it, sorted; markers and hidden files and folders are left out."""
+    fs, where = _fs(spark, path)
+    if not fs.exists(where):
+        return []
+    root = fs.getFileStatus(where).getPath().toString().rstrip("/")
+    found, listed = [], fs.listFiles(where, True)
+    while listed.hasNext():
+        name = listed.next().getPath().toString()[len(root) + 1:]
+        if not any(step[0] in "._" for step in name.split("/")):
+            found.append(name)
+    return sorted(found)
+
+
 def write_small(spark: SparkSession, path: str, lines: list[str]) -> None:
     fs, where = _fs(spark, path)
     out = fs.create(where, True)

@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegraph.functions.ids import canonical_json
 from tidegraph.model import ASSERTIONS, EDGES, NODES, PROVENANCE_NAMES, SCHEMA_VERSION, SNAPSHOT_META
+from tidegraph.plans.resolve import change_counts
 from tidegraph.plans.view import Graph
-from tidegraph.session import stage
+from tidegraph.session import stage, together
 from tidegraph.sources import files
+from tidegraph.sources.levels import KnownIds
 
 TABLES = {"nodes": NODES, "edges": EDGES, "assertions": ASSERTIONS}
+#: Further tables that a stored graph keeps of its log: its rows by target, and their number for each target.
+BY_TARGET, COUNTS = "by_target", "change_counts"
+COUNTED = "context string, target_kind string, target_id string, changes long"
 NAME = re.compile(r"[A-Za-z0-9_-]+")
 
 
@@ -26,11 +31,17 @@ def empty_graph(spark: SparkSession) -> Graph:
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
     """The graph stored at a path; a missing table is empty."""
+    _finish(spark, path)
+
     def table(name: str) -> DataFrame:
         if not files.exists(spark, f"{path}/{name}"):
             return spark.createDataFrame([], TABLES[name])
         return _typed(spark.read.schema(TABLES[name]).parquet(f"{path}/{name}"), name)
-    return Graph(*[table(name) for name in TABLES])
+    more = [
+        spark.read.schema(schema).parquet(f"{path}/{name}") if files.exists(spark, f"{path}/{name}") else None
+        for name, schema in ((BY_TARGET, ASSERTIONS), (COUNTS, COUNTED))
+    ]
+    return Graph(*[table(name) for name in TABLES], *more)
 
 
 def read_graph_json(spark: SparkSession, path: str) -> Graph:
@@ -48,20 +59,64 @@ def read_graph_json(spark: SparkSession, path: str) -> Graph:
     return Graph(_typed(nodes, "nodes"), _typed(pages.select(F.inline("edges")), "edges"), _typed(log, "assertions"))
 
 
-def _write(graph: Graph, path: str, mode: str) -> None:
-    """The log is laid out by context, kind and time, so that a read as of a time skips the row groups after it."""
-    for name in TABLES:
-        rows = _typed(getattr(graph, name), name)
-        if name == "assertions":
-            rows.repartitionByRange("context", "target_kind", "valid_from", "id").sortWithinPartitions("context", "target_kind", "valid_from").write.mode(mode).partitionBy("context").parquet(f"{path}/{name}")
-        else:
-            rows.write.mode(mode).parquet(f"{path}/{name}")
+def write_graph_json(graph: Graph, path: str) -> None:
+    """The graph as JSON lines that ``read_graph_json`` reads: one node, edge or assertion a line, so that no line grows with it."""
+    names = F.array(*[F.lit(x) for x in PROVENANCE_NAMES])
+    nodes = graph.nodes.select(F.struct("id", "type", F.parse_json("key_json").alias("key")).alias("nodes"))
+    edges = graph.edges.select(F.struct(*[f.name for f in EDGES.fields]).alias("edges"))
+    log = _typed(graph.assertions, "assertions").withColumns({"value": F.parse_json("value_json"), "provenance": F.get(names, F.col("provenance"))})
+    log = log.select(F.struct(*["value" if f.name == "value_json" else f.name for f in ASSERTIONS.fields]).alias("assertions"))
+    for rows in (nodes, edges, log):
+        rows.select(F.to_json(F.struct(*[F.array(c).alias(c) for c in rows.columns])).alias("value")).write.mode("append").text(path)
+
+
+def _put(rows: DataFrame, where: str, mode: str, order: list[str], bloom: str | None = None, by: str | None = None) -> None:
+    """Store rows in an order, so that each file and row group has a narrow range of it; ``bloom``: a column to look values up in.
+
+    The Bloom filters tell which of the files of later merges, whose ranges overlap, cannot hold a value.
+    """
+    writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode)
+    if bloom is not None:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+    (writer if by is None else writer.partitionBy(by)).parquet(where)
+
+
+def _write(graph: Graph, path: str, mode: str, points: bool = False) -> None:
+    """Nodes and edges lie by id. The log lies by context, kind and time, so that a read as of a time skips the row groups after
+    it; with ``points`` also by target, with Bloom filters, and the numbers of assertions per target are kept."""
+    log = _typed(graph.assertions, "assertions")
+    jobs = [lambda name=name: _put(_typed(getattr(graph, name), name), f"{path}/{name}", mode, ["id"], "id") for name in ("nodes", "edges")]
+    jobs.append(lambda: _put(log, f"{path}/assertions", mode, ["context", "target_kind", "valid_from", "id"], by="context"))
+    if points:
+        jobs.append(lambda: _put(log, f"{path}/{BY_TARGET}", mode, ["target_id", "id"], "target_id"))
+        jobs.append(lambda: change_counts(log).write.mode(mode).parquet(f"{path}/{COUNTS}"))
+    together(jobs)
+
+
+def _finish(spark: SparkSession, path: str) -> None:
+    """Put the tables that are complete beside a stored graph in the place of its own; can be repeated at any point."""
+    side = f"{path}/_next"
+    if not files.exists(spark, f"{side}/_complete"):
+        return
+    for name in files.folders(spark, side):
+        files.delete(spark, f"{path}/{name}")
+        files.move(spark, f"{side}/{name}", f"{path}/{name}")
+    files.delete(spark, side)
 
 
 def write_graph(graph: Graph, path: str) -> str:
-    """Store the graph and return its content digest."""
-    _write(graph, path, "overwrite")
-    return content_digest(read_graph(graph.nodes.sparkSession, path)).first()["digest"]
+    """Store the graph in the place of what is there and return its content digest.
+
+    The tables are complete beside the old ones before the first of those goes, so a graph may be stored where it was read
+    from, and a reader after a failure finds the old graph or the new one.
+    """
+    spark = graph.nodes.sparkSession
+    _finish(spark, path)
+    files.delete(spark, f"{path}/_next")
+    _write(graph, f"{path}/_next", "errorifexists", points=True)
+    files.write_small(spark, f"{path}/_next/_complete", [])
+    _finish(spark, path)
+    return content_digest(read_graph(spark, path)).first()["digest"]
 
 
 def content_digest(graph: Graph) -> DataFrame:
@@ -80,17 +135,20 @@ def content_digest(graph: Graph) -> DataFrame:
 def merge_graph(spark: SparkSession, path: str, new: Graph) -> DataFrame:
     """Append what the stored graph does not have yet; per table the number of rows added.
 
-    Rows are compared by id only, and the existing ones stay as they are. The new rows are staged
-    before the append, as they are computed from the tables appended to.
+    Rows are compared by id only, and the existing ones stay as they are; the known ids are in an index beside the tables, of
+    which a merge opens the files that can hold its ids. The new rows are staged
+    before the append, as they are computed from the tables appended to. They are laid out as ``write_graph`` does.
     """
-    stored = read_graph(spark, path)
-    counts = []
-    for name in TABLES:
-        fresh = _typed(getattr(new, name), name).dropDuplicates(["id"]).join(getattr(stored, name).select("id"), "id", "left_anti")
-        fresh = stage(_typed(fresh, name), f"fresh_{name}")
-        writer = fresh.write.mode("append")
-        (writer.partitionBy("context") if name == "assertions" else writer).parquet(f"{path}/{name}")
-        counts.append(fresh.agg(F.lit(name).alias("table"), F.count("*").alias("added")))
+    _finish(spark, path)
+
+    def fresh(name: str) -> DataFrame:
+        rows = stage(_typed(getattr(new, name), name).dropDuplicates(["id"]), f"new_{name}")
+        known = KnownIds(spark, f"{path}/_ids/{name}", f"{path}/{name}", lambda paths: spark.read.schema("id string").parquet(*paths))
+        return stage(_typed(known.without(rows), name), f"fresh_{name}")
+
+    added = Graph(*together([lambda name=name: fresh(name) for name in TABLES]))
+    _write(added, path, "append", points=True)
+    counts = [getattr(added, name).agg(F.lit(name).alias("table"), F.count("*").alias("added")) for name in TABLES]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
