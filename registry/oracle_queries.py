@@ -60,6 +60,10 @@ SELECT 'asset' AS kind, 'host' || l_suppkey AS hostname, '10.1.0.' || l_suppkey
 UNION ALL SELECT 'service', NULL, NULL, 'host' || l_suppkey, l_linenumber * 100, 'socket:connect:' || (l_linenumber * 100), count(*), min(epoch(l_shipdate)) FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey, l_linenumber""")
 _q("a07_graph_read", """
 SELECT id, kind AS target_kind, target AS target_id, prov AS provenance, conf AS confidence, src AS source, 'default' AS context, vf AS valid_from, vt AS valid_to, obs AS observed_at, array_to_string(list_sort(ev), ',') AS evidence, ttl FROM asr""")
+_CONTENTS = """SELECT 'nodes' AS "table", id, type AS kind, key_json AS a, '' AS b FROM regd UNION ALL SELECT 'edges', id, type, src, dst FROM edges
+UNION ALL SELECT 'assertions', id, kind, target, src || '/' || prov FROM asr"""
+_q("a07_graph_contents", _CONTENTS)
+_q("a07_graph_document", _CONTENTS)
 _COUNTS = "SELECT 'nodes' AS \"table\", count(*) AS rows FROM regd UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'assertions', count(*) FROM asr"
 _q("a08_graph_digest", f"{_COUNTS} UNION ALL SELECT 'equal digests', 1")
 _LOG = "(SELECT * FROM disc UNION ALL SELECT * FROM disc WHERE source = 'signup')"
@@ -75,10 +79,9 @@ UNION ALL SELECT 'edges', count(*) FILTER (type <> 'HOSTS'), 0 FROM edges UNION
 UNION ALL SELECT 'assertions', count(*) FILTER (src <> 'flow'), 0 FROM asr UNION ALL SELECT 'assertions', count(*) FILTER (src = 'flow'), 1 FROM asr UNION ALL SELECT 'assertions', 0, 2""")
 _SIZES = "(SELECT count(*) FROM regd) AS node_count, (SELECT count(*) FROM edges) AS edge_count, (SELECT count(*) FROM asr) AS assertion_count"
 _q("a13_snapshot", f"SELECT 'weekly' AS name, {NOW}::DOUBLE AS created_at, {_SIZES}, 1 AS schema_version")
-_ZONED = "(SELECT count(*) FROM edges WHERE type = 'IN_ZONE')"
-_q("a14_snapshot_list", f"""SELECT 'full' AS name, {NOW}::DOUBLE AS created_at, {_SIZES}, NULL::BIGINT AS loaded_edges
-UNION ALL SELECT 'zones', {EARLIER}::DOUBLE, (SELECT count(*) FROM regd), {_ZONED}, (SELECT count(*) FROM asr), {_ZONED}""")
-_q("a15_checkpoint", "SELECT kind AS target_kind, src AS source, count(*) AS n FROM asr GROUP BY 1, 2")
+_q("a14_snapshot_list", f"""SELECT 'full' AS name, {NOW}::DOUBLE AS created_at, {_SIZES}, NULL::BIGINT AS loaded_rows
+UNION ALL SELECT 'again', {EARLIER}::DOUBLE, {_SIZES}, (SELECT count(*) FROM regd) + (SELECT count(*) FROM edges) + (SELECT count(*) FROM asr)""")
+_q("a15_checkpoint", _CONTENTS)
 _q("a16_report_csv", "SELECT id, level AS criticality, score FROM asm@ WHERE level IN ('High', 'Critical')")
 _q("a16_report_json", "SELECT id, severity, title, target_name AS target, action, category FROM gov@")
 
@@ -233,6 +236,10 @@ _q("e06_impact_scores", f"SELECT entity_id, impact_score FROM ({_FOUND})")
 _q("e07_blast_counts", """SELECT id, coalesce(t, 0) AS total_impacted, coalesce(a, 0) AS asset, coalesce(s, 0) AS service, coalesce(d, 0) AS datastore, coalesce(i, 0) AS identity, coalesce(u, 0) AS unknown FROM (SELECT id FROM ln@) LEFT JOIN (
 SELECT root AS id, count(*) AS t, count(*) FILTER (type = 'ASSET') AS a, count(*) FILTER (type = 'SERVICE') AS s, count(*) FILTER (type = 'DATASTORE') AS d, count(*) FILTER (type = 'IDENTITY') AS i,
 count(*) FILTER (type IN ('ZONE', 'CREDENTIAL')) AS u FROM pairs@ p JOIN (SELECT id AS nid, type FROM ln@) l ON l.nid = p.node GROUP BY 1) USING (id)""")
+_q("e07_chain_counts", """WITH c AS (SELECT 'c_' || c_custkey AS id, c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) - 1 AS after FROM customer),
+sizes AS (SELECT nation, max(after) + 1 AS n FROM c GROUP BY nation)
+SELECT id, after AS total_impacted FROM c UNION ALL
+SELECT 's_' || s_suppkey, CAST(count(*) OVER (PARTITION BY s_nationkey) + coalesce(n, 0) AS BIGINT) FROM supplier LEFT JOIN sizes ON nation = s_nationkey""")
 _q("e07_blast_radius", "SELECT l.id, l.type, l.name FROM pairs@ p JOIN ln@ l ON l.id = p.node WHERE p.root = 's_5'")
 _q("e08_shortest_path", """SELECT nodes[1] AS source, nodes[len(nodes)] AS target, array_to_string(nodes, ',') AS nodes, array_to_string(path, ',') AS edges, len(path)::INTEGER AS distance,
 CASE WHEN weakest < 0.5 THEN 'LOW' WHEN weakest < 0.8 THEN 'MEDIUM' WHEN weakest < 0.95 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, floor(weakest * 100)::INTEGER AS score FROM walk@
@@ -383,7 +390,7 @@ _q("k04_streaming_states", "SELECT context, target AS target_id, id AS winner, p
 _CUT = MID + 3 * 86400.0
 _q("l01_event_retention", f"""SELECT CASE WHEN timestamp < {_CUT} THEN 'archived' ELSE 'kept' END AS part, source, count(*) AS n FROM {_LOG} GROUP BY 1, 2
 UNION ALL SELECT 'kept', NULL, count(*) FROM disc WHERE source = 'purchase'""")
-_q("l02_snapshot_retention", "SELECT 'young' AS name, (SELECT count(*) FROM region) AS node_count, (SELECT count(*) FROM edges WHERE type = 'IN_ZONE') AS edge_count, (SELECT count(*) FROM region) AS assertion_count")
+_q("l02_snapshot_retention", f"SELECT 'young' AS name, {_SIZES}")
 _q("l03_event_log_issues", """SELECT 'issue' AS level, 'invalid JSON' AS problem, 1::BIGINT AS reported, count(*) AS lines FROM disc WHERE source = 'purchase'
 UNION ALL SELECT 'warning', 'duplicate event id', count(*), count(*) FROM disc WHERE source = 'signup'""")
 _q("l04_graph_round_trip", "SELECT true AS valid, 0 AS issues")

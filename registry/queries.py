@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidegraph.functions import bands
 from tidegraph.functions.ids import canonical_map_context
@@ -25,6 +25,7 @@ from tidegraph.operators import scoring as sc
 from tidegraph.operators import topology as tp
 from tidegraph.plans import build as bd
 from tidegraph.plans import resolve as rs
+from tidegraph.plans.components import cyclic_components, reach_counts
 from tidegraph.plans.view import Graph, View, open_view, open_views
 from tidegraph.session import stage, staging_root, tune
 from tidegraph.sources import event_log as el
@@ -61,8 +62,13 @@ def _stored(spark: SparkSession, folder: str, what: object, make: Callable[[], o
     return _STORE[key]
 
 
+def derived(spark: SparkSession, folder: str) -> Graph:
+    return _stored(spark, folder, "derived", lambda: st.derive_graph(spark, folder))
+
+
 def graph(spark: SparkSession, folder: str) -> Graph:
-    return _stored(spark, folder, "graph", lambda: st.derive_graph(spark, folder))
+    """The derived graph as a store gives it back."""
+    return _stored(spark, folder, "graph", lambda: gt.read_graph(spark, _stored_graph(spark, folder)))
 
 
 def view(spark: SparkSession, folder: str, as_of: float = NOW) -> View:
@@ -206,11 +212,32 @@ def scan_results(spark, folder):
 def _stored_graph(spark: SparkSession, folder: str) -> str:
     def make() -> str:
         path = scratch(spark, "graph")
-        gt.write_graph(graph(spark, folder), path)
+        gt.write_graph(derived(spark, folder), path)
         return path
     return _stored(spark, folder, "stored_graph", make)
 
 
+def _contents(g: Graph) -> DataFrame:
+    """What a graph holds, one row per node, edge and assertion: (table, id, kind, a, b)."""
+    nodes = g.nodes.select(F.lit("nodes").alias("table"), "id", F.col("type").alias("kind"), F.col("key_json").alias("a"), F.lit("").alias("b"))
+    edges = g.edges.select(F.lit("edges").alias("table"), "id", F.col("type").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    log = g.assertions.select(F.lit("assertions").alias("table"), "id", F.col("target_kind").alias("kind"), F.col("target_id").alias("a"), F.concat_ws("/", "source", "provenance").alias("b"))
+    return nodes.unionByName(edges).unionByName(log)
+
+
+@query("a07_graph_contents")
+def graph_contents(spark, folder):
+    return _contents(gt.read_graph(spark, _stored_graph(spark, folder)))
+
+
+@query("a07_graph_document")
+def graph_document(spark, folder):
+    """The graph as a JSON document of many lines, and read back."""
+    path = scratch(spark, "document")
+    gt.write_graph_json(graph(spark, folder), path)
+    return _contents(gt.read_graph_json(spark, path))
+
+
 @query("a07_graph_read")
 def graph_read(spark, folder):
     g = gt.read_graph(spark, _stored_graph(spark, folder))
@@ -221,7 +248,7 @@ def graph_read(spark, folder):
 def graph_digest(spark, folder):
     stored = gt.read_graph(spark, _stored_graph(spark, folder))
     other = gt.content_digest(Graph(*[getattr(stored, t).repartition(5) for t in gt.TABLES])).withColumnRenamed("digest", "d2")
-    same = gt.content_digest(graph(spark, folder)).join(other, F.col("digest") == F.col("d2"))
+    same = gt.content_digest(derived(spark, folder)).join(other, F.col("digest") == F.col("d2"))
     counts = None
     for t in gt.TABLES:
         c = getattr(stored, t).agg(F.lit(t).alias("table"), F.count("*").alias("rows"))
@@ -316,21 +343,20 @@ def snapshot_list(spark, folder):
     root = scratch(spark, "snapshots")
     g = graph(spark, folder)
     gt.save_snapshot(g, root, "full", NOW)
-    gt.save_snapshot(Graph(g.nodes, g.edges.where(F.col("type") == "IN_ZONE"), g.assertions), root, "zones", EARLIER)
+    gt.save_snapshot(g, root, "again", EARLIER)
     gt.save_snapshot(g, root, "doomed", NOW)
     gt.delete_snapshot(spark, root, "doomed")
-    loaded = gt.load_snapshot(spark, root, "zones").edges.groupBy(F.lit("zones").alias("name")).agg(F.count("*").alias("loaded_edges"))
-    return gt.list_snapshots(spark, root).join(loaded, "name", "left").select("name", "created_at", "node_count", "edge_count", "assertion_count", "loaded_edges")
+    loaded = _contents(gt.load_snapshot(spark, root, "again")).groupBy(F.lit("again").alias("name")).agg(F.count("*").alias("loaded_rows"))
+    return gt.list_snapshots(spark, root).join(loaded, "name", "left").select("name", "created_at", "node_count", "edge_count", "assertion_count", "loaded_rows")
 
 
 @query("a15_checkpoint")
 def checkpoint(spark, folder):
+    """Saved, restored, and saved again under the name that is being read."""
     root = scratch(spark, "checkpoints")
-    g = graph(spark, folder)
-    gt.save_checkpoint(Graph(g.nodes, g.edges, g.assertions.where(F.col("source") == "probe")), root, "work")
-    gt.save_checkpoint(g, root, "work")
-    back = gt.restore_checkpoint(spark, root, "work")
-    return back.assertions.groupBy("target_kind", "source").agg(F.count("*").alias("n"))
+    gt.save_checkpoint(graph(spark, folder), root, "work")
+    gt.save_checkpoint(gt.restore_checkpoint(spark, root, "work"), root, "work")
+    return _contents(gt.restore_checkpoint(spark, root, "work"))
 
 
 @query("a16_report_csv")
@@ -509,14 +535,23 @@ def inference_decay(spark, folder):
     return rows.groupBy("l_discount", "depth", "decayed", "admissible").agg(F.count("*").alias("n"))
 
 
+def _event_points(spark: SparkSession, folder: str) -> DataFrame:
+    """The event assertions as stored for reads of one target."""
+    def make() -> DataFrame:
+        path, none = scratch(spark, "event_graph"), gt.empty_graph(spark)
+        gt.write_graph(Graph(none.nodes, none.edges, _log(spark, folder)), path)
+        return gt.read_graph(spark, path).points()
+    return _stored(spark, folder, "event_points", make)
+
+
 @query("c17_target_history")
 def target_history(spark, folder):
-    return rs.history(_log(spark, folder), "u_7", "default").select("id", "value_json", "provenance", "confidence", "valid_from")
+    return rs.history(_event_points(spark, folder), "u_7", "default").select("id", "value_json", "provenance", "confidence", "valid_from")
 
 
 @query("c17_point_lookup")
 def point_lookup(spark, folder):
-    return rs.point_lookup(_log(spark, folder), "u_7", "default", MID).select("target_id", "winner", "provenance", "is_unknown")
+    return rs.point_lookup(_event_points(spark, folder), "u_7", "default", MID).select("target_id", "winner", "provenance", "is_unknown")
 
 
 @query("c18_edge_trace")
@@ -749,6 +784,28 @@ def blast_counts(spark, folder):
     return tp.blast_counts(view(spark, folder))
 
 
+def _long_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers of a nation as one chain, its suppliers as one ring, and a link from the ring to the chain."""
+    def ordered(name: str, prefix: str, key: str, nation: str) -> DataFrame:
+        nth = Window.partitionBy(nation).orderBy(key)
+        own = F.concat(F.lit(prefix), F.col(key))
+        return table(spark, folder, name).select(F.col(nation).alias("nation"), own.alias("node"), F.lead(own).over(nth).alias("next"), F.row_number().over(nth).alias("nth"))
+
+    chain, ring = ordered("customer", "c_", "c_custkey", "c_nationkey"), ordered("supplier", "s_", "s_suppkey", "s_nationkey")
+    heads = chain.where("nth = 1").select("nation", F.col("node").alias("head"))
+    first = ring.where("nth = 1").select("nation", F.col("node").alias("first"))
+    closed = ring.join(first, "nation").select("node", F.coalesce("next", "first").alias("next"))
+    return chain.where("next IS NOT NULL").select("node", "next").union(closed).union(first.join(heads, "nation").select(F.col("first").alias("node"), F.col("head").alias("next")))
+
+
+@query("e07_chain_counts")
+def chain_counts(spark, folder):
+    links = stage(_long_chains(spark, folder), "chains")
+    ids = stage(links.select("node").union(links.select("next")).distinct(), "chain_nodes")
+    counts = reach_counts(links, ids.withColumn("total", F.lit(1)), ids, cyclic_components(links))
+    return ids.join(counts, "node", "left").select(F.col("node").alias("id"), F.coalesce("total", F.lit(0)).cast("long").alias("total_impacted"))
+
+
 @query("e07_blast_radius")
 def blast_radius(spark, folder):
     return tp.blast_radius(view(spark, folder), "s_5").select("id", "type", "name")
@@ -1109,9 +1166,8 @@ def event_retention(spark, folder):
 def snapshot_retention(spark, folder):
     root = scratch(spark, "snapshots")
     g = graph(spark, folder)
-    small = Graph(g.nodes.where(F.col("type") == "ZONE"), g.edges.where(F.col("type") == "IN_ZONE"), g.assertions.where(F.col("source") == "atlas"))
     for name, at in (("old", NOW - 40 * 86400.0), ("young", NOW - 86400.0)):
-        gt.save_snapshot(small, root, name, at)
+        gt.save_snapshot(g, root, name, at)
     qu.apply_snapshot_retention(spark, root, qu.DAYS_30, NOW)
     return gt.list_snapshots(spark, root).select("name", "node_count", "edge_count", "assertion_count")
 

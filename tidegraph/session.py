@@ -8,7 +8,6 @@ executor, and gives the planner true sizes, so a side is broadcast only when it
 from __future__ import annotations
 
 import itertools
-import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _counter = itertools.count()
 _roots: dict[str, str] = {}
+_given: dict[str, str] = {}
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
 RUNTIME_SETTINGS = {
@@ -39,15 +39,18 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def share_folder(spark: SparkSession, path: str) -> None:
+    """Name the folder that all executors share, for a session that has no ``spark.checkpoint.dir``."""
+    _given[spark.sparkContext.applicationId] = path
+
+
 def staging_root(spark: SparkSession) -> str:
     """Folder for this application's staged tables, below the cluster's checkpoint folder."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None) or _given.get(app)
         if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            base = tempfile.mkdtemp(prefix="tidegraph-")
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share, or name one by share_folder")
         root = f"{base.rstrip('/')}/tidegraph-{app}-{uuid.uuid4().hex[:8]}"
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())
