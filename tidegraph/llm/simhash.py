@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidegraph.llm.common import drop_folder, free_name, local_roots, only, staged_at
@@ -196,9 +197,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, half: int = 2, id_colu
 
 #: Orders of the texts, each by their least shingle under another hash, that bring near copies side by side; the texts that each
 #: text is first compared with in such an order, if they share so many of their least shingles.
-ORDERS, BESIDE, SHARED = 4, 4, 3
-#: Texts in the sample that tells which shingles are common, and how many of these are told.
-SAMPLE, COMMON = 4096, 1 << 16
+ORDERS, BESIDE, SHARED = 4, 2, 3
+#: Counters of the sketch that tells how common shingles are, and the share of the hashes it counts: prefixes are taken from these
+#: first, and are a fifth of a set at a similarity of 0.8.
+COUNTERS, COUNTED = 1 << 21, 0.3
+#: Rows that a sketch is cut into, and sums of sketches that are added up at once.
+CHUNKS, TOGETHER = 64, 64
 #: Bits of the bitmap of texts that have a candidate.
 BITMAP = 1 << 24
 
@@ -215,22 +219,27 @@ def overlap(a: bytes, b: bytes, kind: str = "<u4") -> float:
     return both / (len(x) + len(y) - both)
 
 
-def prefix_of(shingles: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order of (how common, hash), so many that two sets of this similarity share one.
+def prefix_of(shingles: np.ndarray, similarity: float, times: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in an order of all shingles, so many that two sets of this similarity share one.
 
-    Sets of a similarity s share at least s times the size of either, so all but that number, and one more. ``common``: sorted
-    hashes, and in ``times`` how common each is; all others count as rare. Without shingles: a 0.
+    Sets of a similarity s share at least s times the size of either, so all but that number, and one more. Counted hashes
+    come first, by how common the sketch ``times`` says they are, then the others; ties by the hash. Without shingles: a 0.
     """
     n = len(shingles)
     if not n:
         return np.zeros(1, np.uint64)
-    rank = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        rank = np.where(common[at] == shingles, times[at], 0)
+    rank = np.where(_is_counted(shingles), times[_counter_of(shingles, len(times))].astype(np.int64), 1 << 40)
     return shingles[np.lexsort((shingles, rank))][:n - int(np.ceil(similarity * n - 1e-6)) + 1]
 
 
+def _is_counted(shingles: np.ndarray) -> np.ndarray:
+    return shingles < np.uint64(int(COUNTED * 2**64))
+
+
+def _counter_of(shingles: np.ndarray, counters: int) -> np.ndarray:
+    return (shingles & np.uint64(counters - 1)).astype(np.int64)
+
+
 def parities(shingles: np.ndarray) -> bytes:
     """A bit for each residue of the hashes, set if an odd number of them has it; at least twice as many bits as hashes, a power of two."""
     size = max(64, 1 << (2 * len(shingles) - 1).bit_length())
@@ -251,20 +260,37 @@ def difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _common(texts: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the ``most`` commonest shingles in a sample of the texts; they only order the shingles."""
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+def _frequencies(texts: DataFrame, width: int, counters: int) -> np.ndarray:
+    """A sketch of how many texts have each shingle, over all texts; of a fixed size, by sums of hashed counters up to 65,535.
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        only("simhash")
-        for pdf in batches:
-            for t in pdf["text"]:
-                yield pd.DataFrame({"shingle": np.unique(shingle_hashes(t, width)).view(np.int64)})
+    A task counts its texts in one array. The arrays are added up in two steps, a few at a time, and only order the shingles.
+    """
+    most = np.iinfo(np.uint16).max
 
-    counts = sample.mapInPandas(each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
-    found = sorted((r.shingle % (1 << 64), r.n) for r in counts.orderBy(F.desc("n"), "shingle").limit(most).collect())
-    return np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("simhash")
+        total = np.zeros(counters, np.uint32)
+        for batch in batches:
+            for t in batch.column(0):
+                own = np.unique(shingle_hashes(t.as_py(), width))
+                np.add.at(total, _counter_of(own[_is_counted(own)], counters), 1)
+        if total.any():
+            parts = np.minimum(total, most).astype("<u2").reshape(CHUNKS, -1)
+            part = TaskContext.get().partitionId() // TOGETHER
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS), pa.int32()), pa.array(np.full(CHUNKS, part), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "part", "counts"])
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(counters // CHUNKS, np.uint32)
+        for counts in pdf["counts"]:
+            total = np.minimum(total + np.frombuffer(counts, "<u2"), most)
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "part": [pdf["part"].iloc[0]], "counts": [total.astype("<u2").tobytes()]})
+
+    shape = "chunk int, part int, counts binary"
+    sums = texts.mapInArrow(count, shape).groupBy("chunk", "part").applyInPandas(add, shape).groupBy("chunk").applyInPandas(add, shape)
+    found = np.zeros(counters, np.uint16)
+    for r in sums.collect():  # CHUNKS rows, four megabytes in all
+        found[r.chunk * (counters // CHUNKS):(r.chunk + 1) * (counters // CHUNKS)] = np.frombuffer(r.counts, "<u2")
+    return found
 
 
 def _binary_digest(text: Column) -> Column:
@@ -274,10 +300,10 @@ def _binary_digest(text: Column) -> Column:
 class _Search:
     """The set join of ``similar_groups``, whose tables are dropped as soon as their last reader has run."""
 
-    def __init__(self, texts: DataFrame, similarity: float, width: int, at_once: int):
+    def __init__(self, texts: DataFrame, similarity: float, width: int, counters: int):
         self.spark, self.texts, self.similarity, self.width = texts.sparkSession, texts, similarity, width
         self.paths: dict[int, str] = {}
-        self.sketches = self.hold(self._sketches(*_common(texts, width, at_once)), "sketches")
+        self.sketches = self.hold(self._sketches(_frequencies(texts, width, counters)), "sketches")
 
     def hold(self, df: DataFrame, name: str) -> DataFrame:
         stored, path = staged_at(self.spark, df, name)
@@ -288,7 +314,7 @@ class _Search:
         for df in stored:
             drop_folder(self.spark, self.paths.pop(id(df)))
 
-    def _sketches(self, common: np.ndarray, times: np.ndarray) -> DataFrame:
+    def _sketches(self, times: np.ndarray) -> DataFrame:
         """(node, digest, lead, fingerprint, size, prefix, bits) of each distinct text; no shingle set is stored.
 
         The prefix holds 32 bits of each shingle: two that are equal in them only add a candidate.
@@ -302,7 +328,7 @@ class _Search:
             for t in texts:
                 all_of_it = shingle_hashes(t, width)
                 s = np.unique(all_of_it)
-                prefix = prefix_of(s, similarity, common, times)
+                prefix = prefix_of(s, similarity, times)
                 out.append((least_shingles(s) or [0] * ORDERS, _fingerprint_of(all_of_it), len(s), (prefix >> np.uint64(32)).astype(np.uint32).view(np.int32), parities(s)))
             return pd.DataFrame(out, columns=["lead", "fingerprint", "size", "prefix", "bits"])
 
@@ -329,11 +355,13 @@ class _Search:
             for batch in batches:
                 at = batch.column("bit").to_numpy() - 1
                 batch = batch.filter(pa.array((marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-                sets = [np.unique(shingle_hashes(t.as_py(), width)).astype("<u8").tobytes() for t in batch.column("text")]
-                yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(sets, pa.binary())], names=["digest", "shingles"])
+                once = dict(zip(batch.column("digest").to_pylist(), batch.column("text")))
+                sets = [np.unique(shingle_hashes(t.as_py(), width)).astype("<u8").tobytes() for t in once.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
         near = self.texts.select(_binary_digest(F.col("text")).alias("digest"), "text").withColumn("bit", bit).mapInArrow(made, "digest binary, shingles binary")
-        found = self.hold(near.join(wanted, "digest").groupBy("digest", "node").agg(F.first("shingles").alias("shingles")).drop("digest"), "sets")
+        single = near.groupBy("digest").agg(F.first("shingles").alias("shingles"))  # copies of a text meet once for each task
+        found = self.hold(single.join(wanted, "digest").select("node", "shingles"), "sets")
         self.drop(wanted)
         return found
 
@@ -403,7 +431,7 @@ class _Search:
         return out
 
 
-def similar_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5, text_column: str = "text", at_once: int = COMMON, half: int = 2) -> DataFrame:
+def similar_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5, text_column: str = "text", half: int = 2, counters: int = COUNTERS) -> DataFrame:
     """(digest, component) of every distinct text, digest its SHA-256; texts linked, over others too, share a component.
 
     A link is a Jaccard similarity of at least ``similarity`` of the sets of ``width``-word shingles (fewer words: all of them
@@ -411,10 +439,10 @@ def similar_groups(documents: DataFrame, similarity: float = 0.8, width: int = 5
     fingerprints meet in the middle, ``2 * half`` bits apart at most, and those side by side in ``ORDERS`` orders by their least
     shingle. What a comparison of their sets proves makes groups. Then a set join completes them: two texts of this
     similarity share a shingle of their prefixes, the rarest ones of each, and all such pairs of different groups are
-    compared. So a large group of near copies does not give all its pairs, and no pair is left out. A task knows the
-    ``at_once`` commonest shingles; only the work depends on them. Null is the empty text. An empty table gives no rows.
+    compared. So a large group of near copies does not give all its pairs, and no pair is left out. How common shingles are
+    comes from a sketch of ``counters`` numbers (a power of two, ``CHUNKS`` at least) over all texts; only the work depends on it. Null is the empty text. An empty table gives no rows.
     """
-    search = _Search(documents.select(F.coalesce(F.col(text_column), F.lit("")).alias("text")), similarity, width, at_once)
+    search = _Search(documents.select(F.coalesce(F.col(text_column), F.lit("")).alias("text")), similarity, width, counters)
     first = [search.by_fingerprint(half), search.by_order()]
     quick = search.proved(reduce(DataFrame.union, first).distinct())
     groups = search.hold(connected(quick), "groups")
