@@ -1133,14 +1133,15 @@ def streaming_winners(spark, folder):
 
     writer = sg.latest_states(_assertion_stream(spark, folder)).writeStream.outputMode("update").foreachBatch(keep)
     writer.option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    return sg.current_states(spark, out).select("context", "target_id", "winner", "provenance")
+    rows = spark.read.option("basePath", out).parquet(f"{out}/*").groupBy("context", "target_kind", "target_id")
+    return rows.agg(F.max_by(F.struct("winner", "provenance"), "batch").alias("s")).select("context", "target_id", "s.*")
 
 
 @query("k04_streaming_states")
 def streaming_states(spark, folder):
     """Finite validity too: touched targets are resolved again from the log."""
     log, out = scratch(spark, "log"), scratch(spark, "states")
-    sg.keep_states(_assertion_stream(spark, folder), log, out, scratch(spark, "state"), as_of=MID, buckets=4).awaitTermination()
+    sg.keep_states(_assertion_stream(spark, folder), log, out, scratch(spark, "state"), as_of=MID).awaitTermination()
     return sg.current_states(spark, out).select("context", "target_id", "winner", "provenance", "contributors")
 
 
