@@ -264,6 +264,22 @@ def test_a_graph_can_be_stored_where_it_was_read(spark, tmp_path, monkeypatch):
     assert qu.differences(gt.read_graph(spark, path), fewer).isEmpty()
 
 
+def test_the_hash_tree_tells_which_rows_differ(spark):
+    """Two rows that both come twice are seen, and only the leaves they lie in are compared."""
+    g = many_targets(spark, 3000)
+    twice = Graph(g.nodes.unionByName(g.nodes.where("id IN ('t0000005', 't0000017')")), g.edges, g.assertions)
+    digest = lambda x: gt.content_digest(x).first()["digest"]
+    assert digest(g) == digest(Graph(g.nodes.repartition(3), g.edges, g.assertions)) != digest(twice)
+    found = qu.unequal_buckets(g, twice)
+    assert 1 <= len(found) <= 2 and {t for t, _ in found} == {"nodes"}
+    assert [(r.table, r.side, json.loads(r.row)["id"]) for r in qu.differences(g, twice).orderBy("row").collect()] == [("nodes", "right", "t0000005"), ("nodes", "right", "t0000017")]
+    changed = Graph(g.nodes, g.edges, g.assertions.withColumn("confidence", F.when(F.col("id") == "l0000123", 0.75).otherwise(F.col("confidence"))))
+    assert [(r.table, r.side) for r in qu.differences(g, changed).orderBy("side").collect()] == [("assertions", "left"), ("assertions", "right")]
+    assert qu.differences(g, g).collect() == [] and len(qu.unequal_buckets(g, changed)) == 1
+    empty = gt.empty_graph(spark)
+    assert digest(empty) == digest(empty) and qu.differences(empty, empty).collect() == []
+
+
 def test_graph_document(spark, tmp_path):
     doc = {"nodes": [{"id": "n", "type": "ASSET", "key": {"ip": "1"}}], "edges": [],
            "assertions": [{"id": "a", "target_kind": "node", "target_id": "n", "value": {"exists": True}, "provenance": "VERIFIED", "confidence": 0.5, "source": "s", "context": "default",

@@ -11,7 +11,7 @@ from tidegraph.model import DAY, SCHEMA_VERSION
 from tidegraph.plans.view import Graph
 from tidegraph.session import stage, unstage
 from tidegraph.sources import files
-from tidegraph.sources.graph_tables import TABLES, content_digest, list_snapshots, read_graph, snapshot_metadata, write_graph
+from tidegraph.sources.graph_tables import bucket_digests, content_digest, in_bucket, list_snapshots, read_graph, row_sums, snapshot_metadata, write_graph
 
 # Days kept, 0 keeps everything --------------------------------
 DAYS_7, DAYS_30, DAYS_90, DAYS_365, FOREVER = 7, 30, 90, 365, 0
@@ -113,9 +113,9 @@ def event_issues(lines: DataFrame) -> DataFrame:
 
 
 def lines_digest(lines: DataFrame) -> DataFrame:
-    """Order-free hash of a text table."""
-    h, k = F.xxhash64("value"), F.xxhash64("value", F.lit(7))
-    return lines.agg(F.sha2(F.concat_ws("|", F.count("*"), F.bit_xor(h), F.bit_xor(k), F.sum(F.pmod(h, F.lit(1 << 31)))), 256).alias("digest"))
+    """Order-free hash of a text table; repeated lines count."""
+    sums = lines.agg(F.count("*").alias("n"), *row_sums(F.col("value")))
+    return sums.select(F.sha2(F.concat_ws("|", "n", *[F.coalesce(c, F.lit(0)) for c in ("s0", "s1", "s2", "s3")]).cast("binary"), 256).alias("digest"))
 
 
 def unknown_entities(graph: Graph, events: DataFrame) -> DataFrame:
@@ -129,16 +129,27 @@ def is_consistent(graph: Graph, events: DataFrame) -> bool:
     return unknown_entities(graph, events).isEmpty()
 
 
+def unequal_buckets(a: Graph, b: Graph) -> list[tuple[str, int]]:
+    """Leaves of the two graphs' hash trees that differ: (table, bucket)."""
+    left, right = bucket_digests(a), bucket_digests(b).withColumnRenamed("digest", "other")
+    both = left.join(right, ["table", "bucket"], "full_outer").where(~F.col("digest").eqNullSafe(F.col("other")))
+    return sorted((r["table"], r["bucket"]) for r in both.collect())  # one row per leaf at most
+
+
 def differences(a: Graph, b: Graph) -> DataFrame:
-    """Rows that one graph has and the other has not: (table, side, row)."""
+    """Rows that one graph has, or has more often, and the other has not: (table, side, row).
+
+    The hash trees are compared first; only rows of leaves that differ are compared one by one.
+    """
+    found = unequal_buckets(a, b)
     out = None
-    for name, schema in TABLES.items():
-        def rows(g: Graph) -> DataFrame:
-            return getattr(g, name).select(F.to_json(F.struct(*[F.col(f.name) for f in schema.fields])).alias("row"))
-        for side, x, y in (("left", a, b), ("right", b, a)):
-            part = rows(x).exceptAll(rows(y)).select(F.lit(name).alias("table"), F.lit(side).alias("side"), "row")
+    for name in sorted({t for t, _ in found}):
+        buckets = [k for t, k in found if t == name]
+        x, y = (in_bucket(g, name).where(F.col("bucket").isin(buckets)).select("row") for g in (a, b))
+        for side, p, q in (("left", x, y), ("right", y, x)):
+            part = p.exceptAll(q).select(F.lit(name).alias("table"), F.lit(side).alias("side"), "row")
             out = part if out is None else out.unionByName(part)
-    return out
+    return a.nodes.sparkSession.createDataFrame([], "table string, side string, row string") if out is None else out
 
 
 def _report(spark: SparkSession, issues: list[str], digest: str | None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegraph.functions.ids import canonical_json
 from tidegraph.model import ASSERTIONS, EDGES, NODES, PROVENANCE_NAMES, SCHEMA_VERSION, SNAPSHOT_META
@@ -17,6 +17,8 @@ from tidegraph.sources.levels import KnownIds
 TABLES = {"nodes": NODES, "edges": EDGES, "assertions": ASSERTIONS}
 #: Further tables that a stored graph keeps of its log: its rows by target, and their number for each target.
 BY_TARGET, COUNTS = "by_target", "change_counts"
+#: Leaves of the hash tree of each table.
+BUCKETS = 256
 COUNTED = "context string, target_kind string, target_id string, changes long"
 NAME = re.compile(r"[A-Za-z0-9_-]+")
 
@@ -119,17 +121,30 @@ def write_graph(graph: Graph, path: str) -> str:
     return content_digest(read_graph(spark, path)).first()["digest"]
 
 
+def row_sums(row: Column) -> list[Column]:
+    """Sums of the four quarters of the rows' SHA-256, as decimals: equal rows do not cancel, and order does not matter."""
+    digest = F.sha2(row.cast("binary"), 256)
+    return [F.sum(F.conv(F.substring(digest, 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)")).alias(f"s{k}") for k in range(4)]
+
+
+def in_bucket(graph: Graph, name: str) -> DataFrame:
+    """(bucket, row) of a table: the row as JSON, and a bucket by its id."""
+    rows = _typed(getattr(graph, name), name)
+    return rows.select(F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket"), F.to_json(F.struct(*rows.columns)).alias("row"))
+
+
+def bucket_digests(graph: Graph) -> DataFrame:
+    """(table, bucket, digest): the lower level of the hash tree, one row per table and bucket that has rows."""
+    parts = [in_bucket(graph, name).withColumn("table", F.lit(name)) for name in TABLES]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sums = rows.groupBy("table", "bucket").agg(F.count("*").alias("n"), *row_sums(F.col("row")))
+    return sums.select("table", "bucket", F.sha2(F.concat_ws("|", "n", "s0", "s1", "s2", "s3").cast("binary"), 256).alias("digest"))
+
+
 def content_digest(graph: Graph) -> DataFrame:
-    """One row ``digest``: a hash of all rows that does not depend on their order or partitioning."""
-    parts = None
-    for name in TABLES:
-        row = F.to_json(F.struct(*[f.name for f in TABLES[name].fields]))
-        rows = _typed(getattr(graph, name), name).select(F.concat(F.lit(name), row).alias("r"))
-        parts = rows if parts is None else parts.unionByName(rows)
-    hashed = parts.select(F.xxhash64("r").alias("h"), F.xxhash64("r", F.lit(7)).alias("k"))
-    sums = hashed.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("x"), F.coalesce(F.bit_xor("k"), F.lit(0)).alias("y"),
-                      F.coalesce(F.sum(F.pmod("h", F.lit(1 << 31))), F.lit(0)).alias("s"))
-    return sums.select(F.sha2(F.concat_ws("|", "n", "x", "y", "s"), 256).alias("digest"))
+    """One row ``digest``: the top of the hash tree, which does not depend on the rows' order or partitioning."""
+    leaves = F.array_sort(F.collect_list(F.concat_ws(":", "table", "bucket", "digest")))  # BUCKETS for each table at most
+    return bucket_digests(graph).agg(F.sha2(F.array_join(leaves, ",").cast("binary"), 256).alias("digest"))
 
 
 def merge_graph(spark: SparkSession, path: str, new: Graph) -> DataFrame:
