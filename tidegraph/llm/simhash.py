@@ -198,9 +198,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, half: int = 2, id_colu
 #: Orders of the texts, each by their least shingle under another hash, that bring near copies side by side; the texts that each
 #: text is first compared with in such an order, if they share so many of their least shingles.
 ORDERS, BESIDE, SHARED = 4, 2, 3
-#: Counters of the sketch that tells how common shingles are, and the share of the hashes it counts: prefixes are taken from these
-#: first, and are a fifth of a set at a similarity of 0.8.
-COUNTERS, COUNTED = 1 << 21, 0.3
+#: Counters of the sketch that tells how common shingles are.
+COUNTERS = 1 << 21
 #: Rows that a sketch is cut into, and sums of sketches that are added up at once.
 CHUNKS, TOGETHER = 64, 64
 #: Bits of the bitmap of texts that have a candidate.
@@ -222,18 +221,13 @@ def overlap(a: bytes, b: bytes, kind: str = "<u4") -> float:
 def prefix_of(shingles: np.ndarray, similarity: float, times: np.ndarray) -> np.ndarray:
     """The first shingles of a set in an order of all shingles, so many that two sets of this similarity share one.
 
-    Sets of a similarity s share at least s times the size of either, so all but that number, and one more. Counted hashes
-    come first, by how common the sketch ``times`` says they are, then the others; ties by the hash. Without shingles: a 0.
+    Sets of a similarity s share at least s times the size of either, so all but that number, and one more. The order is by how
+    common the sketch ``times`` says they are, then by the hash. Without shingles: a 0.
     """
     n = len(shingles)
     if not n:
         return np.zeros(1, np.uint64)
-    rank = np.where(_is_counted(shingles), times[_counter_of(shingles, len(times))].astype(np.int64), 1 << 40)
-    return shingles[np.lexsort((shingles, rank))][:n - int(np.ceil(similarity * n - 1e-6)) + 1]
-
-
-def _is_counted(shingles: np.ndarray) -> np.ndarray:
-    return shingles < np.uint64(int(COUNTED * 2**64))
+    return shingles[np.lexsort((shingles, times[_counter_of(shingles, len(times))]))][:n - int(np.ceil(similarity * n - 1e-6)) + 1]
 
 
 def _counter_of(shingles: np.ndarray, counters: int) -> np.ndarray:
@@ -273,7 +267,7 @@ def _frequencies(texts: DataFrame, width: int, counters: int) -> np.ndarray:
         for batch in batches:
             for t in batch.column(0):
                 own = np.unique(shingle_hashes(t.as_py(), width))
-                np.add.at(total, _counter_of(own[_is_counted(own)], counters), 1)
+                np.add.at(total, _counter_of(own, counters), 1)
         if total.any():
             parts = np.minimum(total, most).astype("<u2").reshape(CHUNKS, -1)
             part = TaskContext.get().partitionId() // TOGETHER
