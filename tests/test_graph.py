@@ -238,6 +238,83 @@ def test_neighbourhood_and_subgraph(spark, view):
     assert rows(edges, "id") == [("web-CONNECTS_TO-app",), ("web-DEPENDS_ON-app",), ("web-HOSTS-svc",), ("web-IN_ZONE-zi",)]
 
 
+def all_simple(edges, source, most):
+    """(nodes, edge ids) of the simple paths with at most ``most`` nodes, by depth-first search."""
+    out, todo = [], [((source,), ())]
+    while todo:
+        nodes, used = todo.pop()
+        if used:
+            out.append((nodes, used))
+        if len(nodes) < most:
+            todo += [((*nodes, b), (*used, e)) for e, a, b in edges if a == nodes[-1] and b not in nodes]
+    return out
+
+
+@pytest.mark.parametrize("listed", [1000, 3])
+def test_paths_on_random_graphs(spark, listed):
+    """Short lists and staged tables give the same rows as plain searches."""
+    v = open_view(random_graph(11, 18, 40).graph(spark), 150.0)
+    edges = [tuple(r) for r in v.edges.select("id", "src", "dst").collect()]
+    names = sorted({x for _, a, b in edges for x in (a, b)})
+    source = max(names, key=lambda n: len(all_simple(edges, n, 4)))
+    every = all_simple(edges, source, 6)
+    assert {(tuple(r.nodes), tuple(r.edges)) for r in tp.all_paths(v, source, 4).collect()} == {p for p in every if len(p[0]) <= 4}
+    ends = sorted({p[0][-1] for p in every}, key=lambda n: -min(len(p[1]) for p in every if p[0][-1] == n))
+    for target, most in [(ends[0], 6), *([(ends[-1], 5), (source, 3), ("nowhere", 2)] if listed > 3 else [])]:
+        to = [p for p in every if p[0][-1] == target]
+        if listed > 3 or most > 5:
+            got = tp.all_paths(v, source, most, target, listed).collect()
+            assert sorted((tuple(r.nodes), tuple(r.edges)) for r in got) == sorted(p for p in to if len(p[0]) <= most)
+        if to:
+            best = min(to, key=lambda p: (len(p[1]), p[1]))
+            got = tp.shortest_path(v, source, target, listed).first()
+            assert (tuple(got.nodes), tuple(got.edges), got.distance) == (*best, len(best[1]))
+    near = {source: 0}
+    for d in (1, 2):
+        near |= {y: d for _, a, b in edges for x, y in ((a, b), (b, a)) if near.get(x) == d - 1 and y not in near}
+    want = sorted((n, d) for n, d in near.items() if d)
+    assert rows(tp.connected_to(v, source, 2, listed), "id", "depth") == want
+    nodes, found = tp.subgraph(v, source, 2, 7, listed)
+    kept = sorted(near.items(), key=lambda x: (x[1], x[0]))
+    # the second level is not looked at once seven nodes are known
+    first = [x for x in kept if x[1] < 2]
+    kept = (first if len(first) >= 7 else kept)[:7]
+    assert rows(nodes, "id", "depth") == sorted(kept)
+    inner = {n for n, d in kept if d < 2}
+    assert rows(found, "id", "src", "dst") == sorted(e for e in edges if inner & {e[1], e[2]})
+
+
+def test_long_path_and_pruned_paths(spark):
+    """A path of 40 edges with wrong turns; paths to a target do not list what leads elsewhere."""
+    m = Maker()
+    for k in range(41):
+        m.node(f"n{k:02}", "ASSET", {"name": str(k)})
+    for k in range(40):
+        m.edge("CONNECTS_TO", f"n{k:02}", f"n{k + 1:02}", confidence=0.5 + k / 100)
+        m.edge("DEPENDS_ON", f"n{k:02}", f"n{k + 1:02}", confidence=0.4)
+    for k in range(60):
+        m.node(f"x{k:02}", "ASSET", {"name": str(k)})
+        m.edge("CONNECTS_TO", "n01", f"x{k:02}")
+        m.edge("CONNECTS_TO", f"x{k:02}", "n00")
+    v = open_view(m.graph(spark), 150.0)
+    got = tp.shortest_path(v, "n00", "n40").first()
+    assert (got.distance, got.nodes, got.score) == (40, [f"n{k:02}" for k in range(41)], 50) and got.edges[3] == "n03-CONNECTS_TO-n04"
+    staged = []
+    keep = tp.stage
+    try:
+        tp.stage = lambda df, name: staged.append(keep(df, name)) or staged[-1]
+        assert tp.all_paths(v, "n00", 5, "n04").count() == 16
+    finally:
+        tp.stage = keep
+    assert sum(t.count() for t in staged) <= 2 * 16
+
+
+def test_near_reads_are_pushed_down(spark, view):
+    ball = tp._around(view, "svc", 1, None, 1000)
+    plan = ball.last.of(tp._adjacent(view))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(node" in plan or "PushedFilters: [IsNotNull(node), EqualTo(node" in plan or "PushedFilters: [EqualTo(node" in plan or "Or(EqualTo(node" in plan, plan
+
+
 def test_skewed_join_is_split(spark):
     """The membership test of edges against live nodes splits a hot endpoint at run time."""
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",

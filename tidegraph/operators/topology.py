@@ -10,7 +10,8 @@ from tidegraph.functions.bands import path_severity
 from tidegraph.functions.ids import finding_id
 from tidegraph.model import DEPENDENCY_TYPES
 from tidegraph.plans.components import cyclic_components, reach_counts
-from tidegraph.plans.expand import Links, Seen, both_ways, closure, levels, make_links, reached, with_ends
+from tidegraph.plans.expand import closure, make_links, reached, union, with_ends
+from tidegraph.plans.near import LISTED, Ball, adjacent, gather, path
 from tidegraph.plans.view import View
 from tidegraph.session import stage
 
@@ -214,75 +215,108 @@ def _blast(view: View, roots: DataFrame) -> DataFrame:
     return starts.withColumnRenamed("node", "id").join(counts, "id", "left").na.fill(0)
 
 
-def connected_to(view: View, node_id: str, depth: int = 1) -> DataFrame:
+def connected_to(view: View, node_id: str, depth: int = 1, listed: int = LISTED) -> DataFrame:
     """Ids within ``depth`` undirected steps of a node, without the node itself."""
-    found = levels(
-        view.nodes.where(F.col("id") == node_id).select(F.col("id").alias("node")),
-        view_undirected(view), depth,
-    )
-    return found.where(F.col("depth") > 0).select(F.col("node").alias("id"), "depth")
+    ball = _around(view, node_id, depth, None, listed)
+    return _levels(ball).where(F.col("depth") > 0).select(F.col("node").alias("id"), "depth")
+
+
+def _adjacent(view: View) -> DataFrame:
+    return view.once("adjacent", lambda: adjacent(view.edges))
+
+
+def _here(view: View, node_id: str) -> DataFrame:
+    return view.nodes.where(F.col("id") == node_id).select(F.col("id").alias("node"))
 
 
-def view_undirected(view: View) -> Links:
-    return view.once("undirected", lambda: make_links(both_ways(view.edges)))
+def _around(view: View, center: str, depth: int, enough: int | None, listed: int) -> Ball:
+    """Undirected levels around a node: ``depth`` of them, or fewer once ``enough`` nodes are known or nothing is new."""
+    ball = Ball(_adjacent(view), None, listed).begin(_here(view, center))
+    while len(ball.levels) <= depth and ball.last.size and (enough is None or ball.size < enough):
+        ball.grow()
+    return ball
 
 
-def subgraph(view: View, center: str, depth: int = 1, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+def _levels(ball: Ball) -> DataFrame:
+    return union([s.table.select("node", F.lit(k).alias("depth")) for k, s in enumerate(ball.levels)])
+
+
+def subgraph(view: View, center: str, depth: int = 1, limit: int = 100, listed: int = LISTED) -> tuple[DataFrame, DataFrame]:
     """At most ``limit`` nodes within ``depth`` undirected steps, nearest first, and the edges touching
     a node that was expanded (one nearer than ``depth``)."""
-    start = view.nodes.where(F.col("id") == center).select(F.col("id").alias("node"))
-    found = levels(start, view_undirected(view), depth, enough=limit)
-    kept = stage(found.orderBy("depth", "node").limit(limit), "subgraph")
-    nodes = view.nodes.join(kept.select(F.col("node").alias("id"), "depth"), "id").select("id", "type", "value_json", "depth")
-    inner = kept.where(F.col("depth") < depth).select("node")
-    edges = view.edges.select("id", "type", "src", "dst")
-    touched = edges.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").unionByName(
-        edges.join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    found = _levels(_around(view, center, depth, limit, listed))
+    kept = gather(found.orderBy("depth", "node").limit(limit), listed)
+    nodes = view.nodes.join(kept.table.withColumnRenamed("node", "id"), "id").select("id", "type", "value_json", "depth")
+    inner = gather(kept.table.where(F.col("depth") < depth), listed)
+    touched = inner.of(_adjacent(view))
+    out = F.col("way") == "out"
+    edges = touched.select(
+        F.col("edge_id").alias("id"), F.col("edge_type").alias("type"),
+        F.when(out, F.col("node")).otherwise(F.col("next")).alias("src"), F.when(out, F.col("next")).otherwise(F.col("node")).alias("dst"),
     ).distinct()
-    return nodes, touched
+    return nodes, edges
 
 
-def shortest_path(view: View, source: str, target: str) -> DataFrame:
+def shortest_path(view: View, source: str, target: str, listed: int = LISTED) -> DataFrame:
     """The shortest directed path, ties by the edge ids along it; no row if there is none.
 
     Columns source, target, nodes, edges, distance, severity, score.
     """
-    reachable = not view.nodes.where(F.col("id") == target).isEmpty()
-    here = view.nodes.where((F.col("id") == source) & F.lit(reachable))
-    frontier = stage(here.select(
-        F.col("id").alias("node"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edges"),
-        F.lit(1.0).alias("weakest"),
-    ), "frontier")
-    ways = make_links(view.edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("id").alias("edge_id"), "confidence"))
-    seen = Seen(["node"])
-    while True:
-        hit = frontier.where(F.col("node") == target)
-        if not hit.isEmpty() or frontier.isEmpty():
-            break
-        seen.add(frontier.select("node"))
-        steps = ways.expand(frontier).select(
-            F.col("next").alias("node"), F.array_append("nodes", F.col("next")).alias("nodes"),
-            F.array_append("edges", F.col("edge_id")).alias("edges"), F.least("weakest", "confidence").alias("weakest"),
-        )
-        best = steps.groupBy("node").agg(F.min_by(F.struct("nodes", "edges", "weakest"), F.col("edges")).alias("p"))
-        frontier = stage(seen.without(best.select("node", "p.*")), "frontier")
-    return hit.select(
+    found = path(_adjacent(view), _here(view, source), _here(view, target), listed)
+    row = view.nodes.sparkSession.createDataFrame([] if found is None else [found], "nodes array<string>, edges array<string>, weakest double")
+    return row.select(
         F.lit(source).alias("source"), F.lit(target).alias("target"), "nodes", "edges",
         F.size("edges").alias("distance"), path_severity(F.col("weakest")).alias("severity"),
         F.floor(F.col("weakest") * 100).cast("int").alias("score"),
     )
 
 
-def all_paths(view: View, source: str, max_nodes: int = 5) -> DataFrame:
-    """Every simple directed path from the source with at most ``max_nodes`` nodes, parallel edges apart."""
-    steps = view.edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("id").alias("edge_id"))
+def all_paths(view: View, source: str, max_nodes: int = 5, target: str | None = None, listed: int = LISTED) -> DataFrame:
+    """Every simple directed path of one edge or more from the source with at most ``max_nodes`` nodes, parallel edges apart; to
+    one ``target``, or to all nodes.
+
+    Without a target each path found is a result, and so is each of its beginnings. With one, beginnings and ends of half the
+    length are met in the middle, and neither leaves the nodes that are near enough to the other end.
+    """
+    links, most = _adjacent(view), max_nodes - 1
+    begun = _here(view, source)
+    if target is None:
+        out = _walks(links, begun, "out", most, None, None)
+    else:
+        half = (most + 1) // 2
+        ahead, back = Ball(links, "out", listed).begin(begun), Ball(links, "in", listed).begin(_here(view, target))
+        for ball in (ahead, back):
+            while len(ball.levels) <= most and ball.last.size:
+                ball.grow()
+        first = _walks(links, begun, "out", half, _within(back, most), target)
+        last = _walks(links, _here(view, target), "in", most - half, _within(ahead, most), source)
+        out = first.where(F.col("node") == target)
+        ends = last.select(
+            "node", F.reverse(F.slice("nodes", 1, F.size("nodes") - 1)).alias("rest"), F.reverse("edges").alias("more"))
+        met = first.where((F.size("edges") == half) & (F.col("node") != target)).join(ends, "node").where(~F.arrays_overlap("nodes", "rest"))
+        out = out.unionByName(met.select(F.lit(target).alias("node"), F.concat("nodes", "rest").alias("nodes"), F.concat("edges", "more").alias("edges")))
+    return out.select(F.lit(source).alias("source"), F.col("node").alias("target"), "nodes", "edges", F.size("edges").alias("distance"))
+
+
+def _within(ball: Ball, most: int) -> DataFrame:
+    """(next, left): nodes of a ball, and the most edges a path may have used up when it gets to them."""
+    return union([s.table.select(F.col("node").alias("next"), F.lit(most - k).alias("left")) for k, s in enumerate(ball.levels)])
+
+
+def _walks(links: DataFrame, start: DataFrame, way: str, most: int, near: DataFrame | None, end: str | None) -> DataFrame:
+    """Simple paths of 1 to ``most`` edges from ``start``: node, nodes, edges. A path stops at ``end``, and goes only to nodes
+    of ``near`` in time."""
+    steps = links.where(F.col("way") == way).select("node", "next", "edge_id")
+    if near is not None and most > 0:
+        steps = steps.join(near, "next")
     ways = make_links(steps)
-    paths = view.nodes.where(F.col("id") == source).select(
-        F.col("id").alias("node"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edges")
-    )
-    found = []
-    for _ in range(max_nodes - 1):
-        longer = ways.expand(paths).where(~F.array_contains("nodes", F.col("next")))
+    paths = start.select("node", F.array("node").alias("nodes"), F.array().cast("array<string>").alias("edges"))
+    found = [stage(paths.where(F.lit(False)), "paths")]
+    for used in range(1, most + 1):
+        open_paths = paths if end is None else paths.where(F.col("node") != end)
+        longer = ways.expand(open_paths).where(~F.array_contains("nodes", F.col("next")))
+        if near is not None:
+            longer = longer.where(F.col("left") >= used)
         paths = stage(longer.select(
             F.col("next").alias("node"), F.array_append("nodes", F.col("next")).alias("nodes"),
             F.array_append("edges", F.col("edge_id")).alias("edges"),
@@ -290,7 +324,4 @@ def all_paths(view: View, source: str, max_nodes: int = 5) -> DataFrame:
         if paths.isEmpty():
             break
         found.append(paths)
-    out = found[0] if found else paths.where(F.lit(False))
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.select(F.lit(source).alias("source"), F.col("node").alias("target"), "nodes", "edges", F.size("edges").alias("distance"))
+    return union(found)

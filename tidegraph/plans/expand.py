@@ -100,33 +100,6 @@ class Seen:
         return union(self.parts)
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """Undirected links of directed edges."""
-    there = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
-    return there.unionByName(back).where(F.col("node") != F.col("next")).distinct()
-
-
-def levels(start: DataFrame, links: Links, depth: int | None = None, enough: int | None = None) -> DataFrame:
-    """Breadth-first levels (``node``, ``depth``) from the start nodes, depth 0 included.
-
-    Stops at ``depth`` levels, when nothing new is found, or once ``enough`` nodes are known.
-    """
-    frontier = stage(start.select("node").distinct().withColumn("depth", F.lit(0)), "level")
-    seen = Seen(["node"])
-    seen.add(frontier)
-    level = 0
-    while depth is None or level < depth:
-        if enough is not None and seen.size >= enough:
-            break
-        level += 1
-        found = links.expand(frontier.select("node")).select(F.col("next").alias("node")).distinct()
-        frontier = stage(seen.without(found).withColumn("depth", F.lit(level)), "level")
-        if seen.add(frontier) == 0:
-            break
-    return seen.all()
-
-
 def reached(start: DataFrame, links: Links) -> DataFrame:
     """Nodes reachable from the start nodes (column ``node``), those included.
 

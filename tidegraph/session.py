@@ -29,6 +29,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.sources.fileCompressionFactor": "5.0",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    # a list of nodes reaches the scan as single values, not as the range from the least to the greatest
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }
 
 
