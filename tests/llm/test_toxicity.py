@@ -86,3 +86,24 @@ def test_near_copies_are_used_once():
     base = " ".join(f"w{k}" for k in range(200))
     rows = [Row(base), Row(base + " tail"), Row("quite another text of some words"), Row(None), Row("")]
     assert [r.text for r in tx._once(rows)] == [base, "quite another text of some words", None, ""]
+
+
+def test_rare_words_count():
+    """A hundred toxic words, each in 15 of 2000 toxic documents and most such documents with one of them only; more features than 300."""
+    rng = np.random.default_rng(3)
+    neutral = [f"w{chr(97 + k % 20)}{chr(97 + k // 20)}" for k in range(400)]
+    tail = [f"vile{chr(97 + k // 10)}{chr(97 + k % 10)}x" for k in range(100)]
+
+    def texts(n, bad):
+        return [" ".join([*rng.choice(neutral, 15), *([bad[k % len(bad)]] if bad else [])]) for k in range(n)]
+    bad, good = texts(1500, tail) + texts(500, ["crude"]), texts(2000, [])
+    found = [tx.features_of(tx.words_of(t)) for t in bad + good]
+    names = sorted(set().union(*found))
+    place = {f: k for k, f in enumerate(names)}
+    row, column, count = (np.array(x) for x in zip(*[(r, place[f], n) for r, own in enumerate(found) for f, n in own.items()]))
+    model = tx.learn(tx.Sample(names, np.arange(4000) < 2000, row, column, count))
+    assert all(w in model.vocabulary for w in tail)
+
+    def caught(some):
+        return (model.above(np.array([model.score(t) for t in some]))[:, 0] >= 0.5).mean()
+    assert caught(texts(500, tail)) > 0.9 and caught(texts(100, ["crude"])) > 0.9 and caught(texts(500, [])) < 0.1

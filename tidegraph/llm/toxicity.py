@@ -8,14 +8,14 @@ Where labels say toxic or not but give no grade, ``graded`` derives one: a toxic
 of marked words, words that the sample holds mainly in toxic documents, with the sample's terciles as bounds.
 
 The model is fitted to a bounded sample: of toxic and other labelled documents the ``per_class`` with the smallest hash of their id
-each; of near copies in it one is used, else a copied text's own words would count as evidence. The vocabulary is at most
-``features`` of the sample's features. Everything is scored.
+each; of near copies in it one is used, else a copied text's own words would count as evidence. Every feature has a weight whose
+shares of the two sides differ by more than ``SIGMAS`` deviations, however rare it is and however many there are; what is left of
+chance the ridge penalty keeps small. Everything is scored.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, functions as F
 from tidegraph.llm.common import drop_folder, free_name, only, staged_at
 from tidegraph.llm.simhash import least_shingles, shingle_hashes
 
-PER_CLASS, FEATURES, GRADES, STEPS, DECAY = 2000, 300, 4, 400, 1e-3
-#: A feature must be in so many documents of one side of the sample, and in this share of them.
-LEAST, LEAST_SHARE = 3, 0.01
+PER_CLASS, GRADES, STEPS, DECAY = 2000, 4, 400, 1e-3
+#: A feature must be in so many documents of one side of the sample: fewer are no evidence.
+LEAST = 3
+#: Deviations by which a feature's share must differ between the sides.
+SIGMAS = 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 _PIECE = 1 << 20
 
@@ -138,10 +140,21 @@ def _once(rows: list) -> list:
     return out
 
 
-def sample_of(documents: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, per_class: int) -> list[tuple[bool, Counter]]:
-    """Toxic or not, and feature counts, of the sample. An id with several labels is toxic if one of them is.
+@dataclass
+class Sample:
+    """Labelled documents as a sparse matrix: ``count[i]`` of feature ``names[column[i]]`` in document ``row[i]``."""
+
+    names: list[str]
+    toxic: np.ndarray
+    row: np.ndarray
+    column: np.ndarray
+    count: np.ndarray
+
 
-    Only features of enough documents of one side come to the driver; the others cannot be used.
+def sample_of(documents: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, per_class: int) -> Sample:
+    """The sample's documents in the order of their ids. An id with several labels is toxic if one of them is.
+
+    Only features of enough documents of one side come to the driver, by a hash of 64 bits; the others cannot be used.
     """
     marks = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
     marks = marks.groupBy("id").agg((F.max("toxic") > 0).alias("toxic"))
@@ -163,61 +176,59 @@ def sample_of(documents: DataFrame, labels: DataFrame, id_column: str, text_colu
     single = sample.join(F.broadcast(spark.createDataFrame([(k,) for k in side], sample.select("id").schema)), "id")
     each = single.select("id", "toxic", F.explode("features").alias("feature", "n"))
     sums = each.groupBy("feature").agg(F.count_if("toxic").alias("high"), F.count_if(~F.col("toxic")).alias("low"))
-    n_high = sum(side.values())
-    common = sums.where((F.col("high") >= _least(n_high)) | (F.col("low") >= _least(len(side) - n_high))).select("feature")
-    per = each.join(common, "feature").groupBy("id").agg(F.collect_list("feature").alias("features"), F.collect_list("n").alias("counts"))
-    found = {r.id: Counter(dict(zip(map(sys.intern, r.features), r.counts))) for r in per.toLocalIterator()}
+    common, kept_at = staged_at(spark, sums.where((F.col("high") >= LEAST) | (F.col("low") >= LEAST)).select("feature", F.xxhash64("feature").alias("h")), "toxicity_features")
+    known = common.orderBy("h", "feature").toArrow()
+    names, hashes = known["feature"].to_pylist(), known["h"].to_numpy()
+    per = each.join(common, "feature").groupBy("id").agg(F.collect_list("h").alias("h"), F.collect_list("n").alias("n"))
+    at = {k: i for i, k in enumerate(side)}
+    row, column, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r in per.toLocalIterator():
+        column.append(np.searchsorted(hashes, np.array(r.h, np.int64)))
+        count.append(np.array(r.n, np.int64))
+        row.append(np.full(len(r.h), at[r.id]))
     drop_folder(spark, path)
-    return [(toxic, found.get(k, Counter())) for k, toxic in side.items()]
-
+    drop_folder(spark, kept_at)
+    row, column, count = np.concatenate(row), np.concatenate(column), np.concatenate(count)
+    order = np.lexsort((column, row))
+    return Sample(names, np.array(list(side.values()), bool), row[order], column[order], count[order])
 
-def _least(documents: int) -> int:
-    return max(LEAST, int(LEAST_SHARE * documents))
 
+def sides(sample: Sample) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic and other documents that hold each feature."""
+    toxic = sample.toxic[sample.row]
+    return np.bincount(sample.column[toxic], minlength=len(sample.names)), np.bincount(sample.column[~toxic], minlength=len(sample.names))
 
-def marked_words(sample: list[tuple[bool, Counter]]) -> frozenset[str]:
-    """Words in enough toxic documents of the sample, and in at least nine times as large a share of them as of the others."""
-    toxic, clean = Counter(), Counter()
-    for side, features in sample:
-        (toxic if side else clean).update(f for f in features if f[0] != "^")
-    n_toxic = sum(s for s, _ in sample)
-    scale = max(1, n_toxic) / max(1, len(sample) - n_toxic)
-    return frozenset(w for w, n in toxic.items() if n >= _least(n_toxic) and n >= 9 * scale * clean[w])
 
+def graded(sample: Sample) -> np.ndarray:
+    """0 for documents that are not toxic, else 1, 2 or 3 by their number of marked words.
 
-def graded(sample: list[tuple[bool, Counter]]) -> list[int]:
-    """0 for documents that are not toxic, else 1, 2 or 3 by their number of marked words."""
-    marked = marked_words(sample)
-    counts = [sum(n for w, n in features.items() if w in marked) for _, features in sample]
-    bounds = np.quantile([c for c, (side, _) in zip(counts, sample) if side] or [0], [1 / 3, 2 / 3])
-    return [1 + int((c > bounds).sum()) if side else 0 for c, (side, _) in zip(counts, sample)]
-
-
-def learn(sample: list[tuple[bool, Counter]], grade: list[int] | None = None, grades: int = GRADES, features: int = FEATURES) -> Model:
-    """Fit to (toxic or not, feature counts); ``grade`` overrides the derived grades, 0 to ``grades`` - 1.
-
-    The vocabulary are the features of enough documents with the largest difference of document shares between the two
-    sides, in units of its deviation. Without a toxic or without another document, nothing is toxic.
+    A word is marked if it is in enough toxic documents of the sample, and in at least nine times as large a share of them as of the
+    others.
     """
+    high, low = sides(sample)
+    n_toxic = int(sample.toxic.sum())
+    scale = max(1, n_toxic) / max(1, len(sample.toxic) - n_toxic)
+    marked = np.array([n[0] != "^" for n in sample.names], bool) & (high >= LEAST) & (high >= 9 * scale * low)
+    own = marked[sample.column]
+    counts = np.bincount(sample.row[own], sample.count[own], len(sample.toxic))
+    bounds = np.quantile(counts[sample.toxic] if n_toxic else [0], [1 / 3, 2 / 3])
+    return np.where(sample.toxic, 1 + (counts[:, None] > bounds).sum(axis=1), 0)
+
+
+def learn(sample: Sample, grade: np.ndarray | None = None, grades: int = GRADES, sigmas: float = SIGMAS) -> Model:
+    """Fit to a sample; ``grade`` overrides the derived grades, 0 to ``grades`` - 1. Without a toxic or without another document,
+    nothing is toxic."""
     grade = graded(sample) if grade is None else grade
-    rows = [own for _, own in sample]
-    high, low = Counter(), Counter()
-    for g, own in zip(grade, rows):
-        (high if g else low).update(own.keys())
-    n_high, n_low = sum(g > 0 for g in grade), sum(g == 0 for g in grade)
+    n_high, n_low = int(sample.toxic.sum()), int((~sample.toxic).sum())
     if not n_high or not n_low:
         return Model({}, np.zeros(0), np.full(grades - 1, 50.0))
-
-    def strength(f: str) -> float:
-        p, q = high[f] / n_high, low[f] / n_low
-        m = (high[f] + low[f]) / (n_high + n_low)
-        return abs(p - q) / np.sqrt(m * (1 - m) * (1 / n_high + 1 / n_low) + 1e-12)
-    common = sorted((f for f in high.keys() | low.keys() if high[f] >= _least(n_high) or low[f] >= _least(n_low)), key=lambda f: (-strength(f), f))
-    vocabulary = {f: k for k, f in enumerate(common[:features])}
-    at = [(k, vocabulary[f], np.log1p(n)) for k, own in enumerate(rows) for f, n in own.items() if f in vocabulary]
-    row, column, value = (np.array(x) for x in zip(*at)) if at else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    weights, thresholds = fit(row.astype(np.int64), column.astype(np.int64), value.astype(np.float64), np.array(grade), len(vocabulary), grades)
-    return Model(vocabulary, weights, thresholds)
+    high, low = sides(sample)
+    m = (high + low) / (n_high + n_low)
+    told = np.abs(high / n_high - low / n_low) > sigmas * np.sqrt(m * (1 - m) * (1 / n_high + 1 / n_low))
+    place = np.cumsum(told) - 1
+    own = told[sample.column]
+    weights, thresholds = fit(sample.row[own], place[sample.column[own]], np.log1p(sample.count[own]), grade, int(told.sum()), grades)
+    return Model({f: int(place[k]) for k, f in enumerate(sample.names) if told[k]}, weights, thresholds)
 
 
 def learn_from(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", per_class: int = PER_CLASS) -> Model:
