@@ -90,3 +90,26 @@ def test_query_and_its_sql_agree_on_null_ids(spark, tmp_path):
     got = QUERIES["op10_benchmark_windows"](spark, str(tmp_path)).select(*names).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert [(r.n_hit, r.n_items, r.contaminated) for r in got if r.doc_id == 49] == [(14, 1, True)]
+
+
+def test_pieces_have_the_windows_of_the_text():
+    text = " ".join(f"W{k % 7}" for k in range(50))
+    whole = [tuple(words(text)[k:k + 5]) for k in range(46)]
+    for most in (1, 7, 45, 46, 100):
+        parts = decontaminate.pieces(text, 5, most)
+        assert [tuple(words(t)[k:k + 5]) for _, t in parts for k in range(len(words(t)) - 4)] == whole
+        assert all(n == len(words(t)) <= most + 4 for n, t in parts)
+    assert decontaminate.pieces("a b", 5, 1) == [(2, "a b")] and decontaminate.pieces(None, 5, 1) == []
+
+
+def test_many_blocks_one_at_a_time(spark, monkeypatch):
+    """A benchmark of fifty times the block size: bounded blocks, and only the last one in the plan."""
+    prepare(spark)
+    items = [(k, " ".join(f"x{k}y{j}" for j in range(20))) for k in range(4)] + [(9, " ".join(f"z{j}" for j in range(120)))]
+    docs = spark.createDataFrame([(k, f"a {items[k % 5][1]} b") for k in range(10)], "doc_id long, text string")
+    sizes, make = [], decontaminate.make_block
+    monkeypatch.setattr(decontaminate, "make_block", lambda rows, window: sizes.append(sum(len(words(t)) for _, t in rows)) or make(rows, window))
+    found = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), window=4, block_words=24)
+    assert len(sizes) > 8 and max(sizes) <= 24 + 3 + 4
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.n_hit, list(r["items"])) for r in found.collect()) == [(k, len(words(items[k % 5][1])), [str(items[k % 5][0])]) for k in range(10)]

@@ -6,8 +6,10 @@ shingle: the rarest over all documents, counted in a first pass. The second pass
 shingle only, places the window by the shingle's position, drops placements that do not fit between the document's
 first and last word (position and length bounds), and verifies the rest word by word.
 
-Documents are never shuffled: the item side is sent to the tasks in blocks of at most ``block_words`` words. A
-larger benchmark takes several blocks, one after the other over the same rows, with the same result.
+Documents are never shuffled: the item side is sent to the tasks in blocks of about ``block_words`` words. A larger
+benchmark takes several blocks, one after the other over the same rows, with the same result: items are cut on the cluster into
+pieces that share all but one word of a window, the driver holds one block at a time, and the rows are written after each block but
+the last, so that no plan and no task has more than one.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.llm.common import only
+from tidegraph.llm.common import drop_folder, only, staged_at
 
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 SHINGLE = 3
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -239,18 +241,38 @@ def _merged(spans: list[int]) -> list[int]:
     return out
 
 
+def pieces(text: str | None, window: int, most: int) -> list[tuple[int, str]]:
+    """(words, text) of parts with at most ``most`` windows of ``window`` words each; together they have the windows of the whole
+    text and no others."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    words = words_of(raw, np.array([0, len(raw)]))
+    n = len(words.start)
+    if n - window < most:
+        return [(n, words.bytes_of(0, n).decode("utf-8", "surrogatepass"))] if n else []
+    parts = [(k, min(k + most + window - 1, n)) for k in range(0, n - window + 1, most)]
+    return [(e - k, words.bytes_of(k, e - k).decode("utf-8", "surrogatepass")) for k, e in parts]
+
+
 def _blocks(benchmark: DataFrame, item_column: str, text_column: str, window: int, block_words: int) -> Iterator[Block]:
-    """Items by blocks of bounded size, read one by one from the cluster."""
+    """Items by blocks of at most ``block_words`` words and one more piece, read one by one from the cluster."""
+    most = max(1, block_words // 8)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("decontaminate")
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for n, part in pieces(text, window, most):
+                    yield pa.RecordBatch.from_pydict({"item": pa.array([item], pa.string()), "n": pa.array([n], pa.int64()), "text": pa.array([part], pa.string())})
+
     rows = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(text_column).alias("text"))
     block: list[tuple[str | None, str | None]] = []
     size = 0
-    for row in rows.toLocalIterator():
-        n = len(row.text or "") // 2 + 1
-        if block and size + n > block_words:
+    for row in rows.mapInArrow(cut, "item string, n long, text string").toLocalIterator():
+        if block and size + row.n > block_words:
             yield make_block(block, window)
             block, size = [], 0
-        block.append((row.item, row.text))
-        size += n
+        block.append((row["item"], row.text))
+        size += row.n
     yield make_block(block, window)
 
 
@@ -274,6 +296,7 @@ def contamination(
     wide = current.schema.simpleString()[7:-1]
     blocks = _blocks(benchmark, item_column, item_text_column, window, block_words)
     block = next(blocks)
+    spark, before = documents.sparkSession, None
     while block is not None:
         following = next(blocks, None)
         counts = {}
@@ -284,6 +307,11 @@ def contamination(
         block.choose(counts)
         last = following is None
         current = current.mapInArrow(lambda b, block=block, last=last: _join(block, last, b), f"{narrow}, n_words bigint, n_hit bigint" if last else wide)
+        if not last:
+            current, path = staged_at(spark, current, "decontaminate")
+            if before is not None:
+                drop_folder(spark, before)
+            before = path
         block = following
     return current.select(F.col("id").alias(id_column), "n_words", "n_hit", "items", "spans", *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
 
