@@ -309,6 +309,12 @@ def test_long_path_and_pruned_paths(spark):
     assert sum(t.count() for t in staged) <= 2 * 16
 
 
+def test_paths_from_few_nodes_do_not_copy_the_links(view, monkeypatch):
+    want = sorted(tuple(r.edges) for r in tp.all_paths(view, "web", listed=1).collect())
+    monkeypatch.setattr(tp, "make_links", lambda rows: pytest.fail("all links are staged"))
+    assert sorted(tuple(r.edges) for r in tp.all_paths(view, "web").collect()) == want != []
+
+
 def test_near_reads_are_pushed_down(spark, view):
     ball = tp._around(view, "svc", 1, None, 1000)
     plan = ball.last.of(tp._adjacent(view))._jdf.queryExecution().executedPlan().toString()

@@ -281,15 +281,15 @@ def all_paths(view: View, source: str, max_nodes: int = 5, target: str | None =
     links, most = _adjacent(view), max_nodes - 1
     begun = _here(view, source)
     if target is None:
-        out = _walks(links, begun, "out", most, None, None)
+        out = _walks(links, begun, "out", most, None, None, listed)
     else:
         half = (most + 1) // 2
         ahead, back = Ball(links, "out", listed).begin(begun), Ball(links, "in", listed).begin(_here(view, target))
         for ball in (ahead, back):
             while len(ball.levels) <= most and ball.last.size:
                 ball.grow()
-        first = _walks(links, begun, "out", half, _within(back, most), target)
-        last = _walks(links, _here(view, target), "in", most - half, _within(ahead, most), source)
+        first = _walks(links, begun, "out", half, _within(back, most), target, listed)
+        last = _walks(links, _here(view, target), "in", most - half, _within(ahead, most), source, listed)
         out = first.where(F.col("node") == target)
         ends = last.select(
             "node", F.reverse(F.slice("nodes", 1, F.size("nodes") - 1)).alias("rest"), F.reverse("edges").alias("more"))
@@ -303,18 +303,23 @@ def _within(ball: Ball, most: int) -> DataFrame:
     return union([s.table.select(F.col("node").alias("next"), F.lit(most - k).alias("left")) for k, s in enumerate(ball.levels)])
 
 
-def _walks(links: DataFrame, start: DataFrame, way: str, most: int, near: DataFrame | None, end: str | None) -> DataFrame:
+def _walks(links: DataFrame, start: DataFrame, way: str, most: int, near: DataFrame | None, end: str | None, listed: int) -> DataFrame:
     """Simple paths of 1 to ``most`` edges from ``start``: node, nodes, edges. A path stops at ``end``, and goes only to nodes
-    of ``near`` in time."""
-    steps = links.where(F.col("way") == way).select("node", "next", "edge_id")
+    of ``near`` in time. All links are staged only for paths that end at more than ``listed`` nodes."""
+    steps, ways = links.where(F.col("way") == way).select("node", "next", "edge_id"), None
     if near is not None and most > 0:
         steps = steps.join(near, "next")
-    ways = make_links(steps)
     paths = start.select("node", F.array("node").alias("nodes"), F.array().cast("array<string>").alias("edges"))
     found = [stage(paths.where(F.lit(False)), "paths")]
     for used in range(1, most + 1):
         open_paths = paths if end is None else paths.where(F.col("node") != end)
-        longer = ways.expand(open_paths).where(~F.array_contains("nodes", F.col("next")))
+        ends = gather(open_paths.select("node").distinct(), listed) if ways is None else None
+        if ends is not None and ends.rows is not None:
+            longer = open_paths.join(ends.of(steps), "node")
+        else:
+            ways = ways or make_links(steps)
+            longer = ways.expand(open_paths)
+        longer = longer.where(~F.array_contains("nodes", F.col("next")))
         if near is not None:
             longer = longer.where(F.col("left") >= used)
         paths = stage(longer.select(
