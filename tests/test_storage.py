@@ -1,5 +1,7 @@
+import hashlib
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -264,6 +266,43 @@ def test_a_graph_can_be_stored_where_it_was_read(spark, tmp_path, monkeypatch):
     assert qu.differences(gt.read_graph(spark, path), fewer).isEmpty()
 
 
+def test_a_graph_stored_without_its_copy_by_target(spark, tmp_path):
+    """Readers take states, histories and counts from the log, also after a merge and in the place of a graph that had the copy."""
+    path, g = str(tmp_path / "g"), many_targets(spark, 200)
+    gt.write_graph(many_targets(spark, 10), path)
+    gt.store_graph(g, path, points=False)
+    gt.merge_graph(spark, path, many_targets(spark, 50, 1000)).collect()
+    stored = gt.read_graph(spark, path)
+    assert stored.by_target is None and stored.counts is None and stored.assertions.count() == 250
+    assert rows(qy.node_detail(stored, "t0007919", as_of=1e9)[2], "id") == rows(rs.history(stored.assertions, "t0007919"), "id") == [("l0000001",)]
+    assert rows(stored.changes("default", "node"), "target_id", "changes") == rows(rs.change_counts(stored.assertions, "default"), "target_id", "changes")
+
+
+def test_digest_sums_are_exact(spark):
+    found = spark.range(1000).select(F.col("id").cast("string").alias("row")).agg(*gt.row_sums(F.col("row"))).first()
+    digests = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(1000)]
+    assert [int(found[f"s{q}"]) for q in range(4)] == [sum(int(d[16 * q:16 * q + 16], 16) for d in digests) for q in range(4)]
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """What a staged table was made of does not stay on the executors' disks."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(disk.getAllFiles().apply(k).getName().startswith("shuffle_") for k in range(disk.getAllFiles().size()))
+    before = shuffled()
+    assert stage(spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).count(), "counts").count() == 5000
+    for _ in range(100):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+
+
+def test_a_large_sort_is_not_bound_to_few_partitions(spark):
+    """The session has 2 shuffle partitions; a table of many MB is sorted in more, so that a task's share stays in memory."""
+    wide = spark.range(400_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("x")).repartitionByRange("x").sortWithinPartitions("x")
+    assert wide.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
 def test_the_hash_tree_tells_which_rows_differ(spark):
     """Two rows that both come twice are seen, and only the leaves they lie in are compared."""
     g = many_targets(spark, 3000)
