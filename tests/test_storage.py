@@ -1,6 +1,8 @@
+import datetime
 import hashlib
 import json
 import random
+import re
 import time
 
 import pytest
@@ -16,6 +18,7 @@ from tidegraph.plans.view import Graph, open_view
 from tidegraph.sources import event_log as el
 from tidegraph.sources import graph_tables as gt
 from tidegraph.sources import inventory as iv
+from tidegraph.sources import star_tables as st
 from tidegraph.session import stage
 from tidegraph.sources.levels import Levels
 from tidegraph.streaming import ingest as sg
@@ -486,3 +489,52 @@ def test_expired_winner_gives_way(spark, tmp_path):
         stream = spark.readStream.schema(log.schema).parquet(source)
         sg.keep_states(stream, f"{base}/log", f"{base}/states", f"{base}/state", as_of=t).awaitTermination()
         assert rows(sg.current_states(spark, f"{base}/states"), "winner") == [(winner,)]
+
+
+def test_a_graph_stored_in_bulk_is_not_shuffled(spark, tmp_path, monkeypatch):
+    """Rows stay in their tasks; a read as of a time skips row groups all the same."""
+    path, g = str(tmp_path / "g"), many_targets(spark, 60_000)
+    spread = g.assertions.repartition(3)
+    monkeypatch.setattr(gt, "GROUP", 1 << 16)
+    gt.store_graph(Graph(g.nodes, g.edges, stage(spread, "spread")), path, points=False)
+    files = list((tmp_path / "g" / "assertions").rglob("part-*.parquet"))
+    assert len(files) == 3
+    for f in files:
+        times = [r.valid_from for r in spark.read.parquet(str(f)).collect()]
+        assert times == sorted(times) and times[0] < 1000 and times[-1] > 59_000
+    log = gt.read_graph(spark, path).assertions
+    assert log.count() == 60_000 and rows_scanned(log.where("valid_from <= 100.0").select("id", "valid_from")) < 30_000
+
+
+def test_a_checkpoint_has_no_copy_by_target(spark, tmp_path):
+    root, g = str(tmp_path), many_targets(spark, 200)
+    digest = gt.save_checkpoint(g, root, "c")
+    kept = gt.restore_checkpoint(spark, root, "c")
+    assert kept.by_target is None and gt.save_checkpoint(kept, root, "c") == digest == gt.content_digest(g).first()["digest"]
+    assert qu.differences(gt.restore_checkpoint(spark, root, "c"), g).isEmpty()
+
+
+def test_a_digest_reads_each_quarter_of_a_hash_once(spark):
+    parts = {p for c in gt.row_sums(F.col("row")) for p in re.findall(r"conv\(substring\(.*?, (\d+, \d+)\), 16, -?10\)", str(c))}
+    assert parts == {"1, 16", "17, 16", "33, 16", "49, 16"}
+
+
+def test_staged_tables_are_compressed_well(spark):
+    assert all(f.split("/")[-1].endswith(".zstd.parquet") for f in stage(spark.range(10), "ten").inputFiles())
+
+
+def test_lines_are_dealt_by_order_once(spark, tmp_path):
+    """For the assertions of dependencies the lines are shuffled by order only, and so are they for the edges."""
+    day, later = datetime.datetime(1995, 1, 1), datetime.datetime(1995, 2, 1)
+    lines = [(o, p, s, n, 0.05, later) for o in (1, 2, None) for n, (p, s) in enumerate([(1, 1), (1, 2), (2, 1), (1, 1)])]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_discount double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7, day), (2, 8, day)], "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 0), (2, 0)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, 0)], "n_nationkey long, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    edges = st.graph_edges(spark, str(tmp_path))
+    log = st.edge_assertions(spark, str(tmp_path), edges)
+    assert rows(edges.where("type = 'DEPENDS_ON'"), "id") == [("dp_1_1",), ("dp_1_2",), ("dp_2_1",), ("dp_2_2",)]
+    assert rows(log.where("source = 'flow'"), "id", "target_id") == [(f"a_dp_{o}_{p}_{s}", f"dp_{o}_{p}") for o in (1, 2) for p, s in ((1, 1), (1, 2), (2, 1))]
+    for df, kind in ((edges.where("type = 'DEPENDS_ON'"), "l_partkey"), (log.where("source = 'flow'"), "l_suppkey")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(rf"hashpartitioning\(l_orderkey[^)]*{kind}", plan), plan
