@@ -538,3 +538,44 @@ def test_lines_are_dealt_by_order_once(spark, tmp_path):
     for df, kind in ((edges.where("type = 'DEPENDS_ON'"), "l_partkey"), (log.where("source = 'flow'"), "l_suppkey")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search(rf"hashpartitioning\(l_orderkey[^)]*{kind}", plan), plan
+
+
+def test_links_and_parts_of_orders_share_a_shuffle(spark, tmp_path):
+    """The lines are dealt by order once for the edges; lines without an order follow each other, but are of no order's parts."""
+    day = datetime.datetime(1995, 1, 1)
+    lines = [(1, 2, 3, 1), (1, 1, 2, 2), (1, 1, 2, 2), (1, None, 4, 3), (2, 1, None, 1), (2, 5, 9, 1), (None, 1, 7, 1), (None, 1, 8, 2), (3, 1, 1, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7, day), (2, 8, day), (2, 8, day)], "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 0)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, 0)], "n_nationkey long, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    edges = st.graph_edges(spark, str(tmp_path))
+    found = sorted((r.type, r.id, r.src or "", r.dst or "") for r in edges.collect() if r.type in ("CONNECTS_TO", "DEPENDS_ON") or (r.id or "").startswith("ho_"))
+    assert found == [
+        ("CONNECTS_TO", "ct_2_4", "s_2", "s_4"), ("CONNECTS_TO", "ct_3_2", "s_3", "s_2"), ("CONNECTS_TO", "ct_7_8", "s_7", "s_8"),
+        ("DEPENDS_ON", "dp_1", "o_1", ""), ("DEPENDS_ON", "dp_1_1", "o_1", "p_1"), ("DEPENDS_ON", "dp_1_2", "o_1", "p_2"),
+        *[("DEPENDS_ON", f"dp_2_{p}", "o_2", f"p_{p}") for p in (1, 1, 5, 5)],
+        ("HOSTS", "ho_1", "s_2", "o_1"), ("HOSTS", "ho_2", "s_9", "o_2"), ("HOSTS", "ho_2", "s_9", "o_2"),
+    ]
+    plan = edges._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [x for x in plan.splitlines() if re.search(r"Exchange hashpartitioning\(l_orderkey", x) and "ReusedExchange" not in x]
+    assert len(dealt) <= 2, plan  # lines of known orders, and those without one
+
+
+def test_edges_that_a_log_is_made_from_are_written_once(spark, tmp_path):
+    """Their further columns stay in the files; readers see the graph's own."""
+    path, g, seen = str(tmp_path / "g"), eight_nodes().graph(spark), []
+
+    def log(edges):
+        seen.extend(edges.inputFiles())
+        assert edges.columns == [*g.edges.columns, "since"]
+        return g.assertions.join(edges.where("since = 5").select(F.col("id").alias("target_id")), "target_id", "left_semi")
+
+    for _ in range(2):  # also in the place of an earlier graph
+        gt.store_graph(g, path)
+        gt.store_grown(g.nodes, g.edges.withColumn("since", F.lit(5)), log, path)
+    assert seen and all("/g/_next/edges/" in f for f in seen)
+    kept = gt.read_graph(spark, path)
+    wanted = Graph(g.nodes, g.edges, g.assertions.where("target_kind = 'edge'"))
+    assert kept.by_target is None and kept.edges.columns == g.edges.columns and qu.differences(kept, wanted).isEmpty()
+    assert rows(gt.merge_graph(spark, path, g), "table", "added") == [("assertions", g.assertions.where("target_kind = 'node'").count()), ("edges", 0), ("nodes", 0)]
+    assert qu.differences(gt.read_graph(spark, path), g).isEmpty()
