@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import product
 
 import pytest
@@ -348,3 +349,10 @@ def test_impact_scores_with_other_weights(spark, monkeypatch, weights, scale):
     v = open_view(random_graph(4).graph(spark), 150.0)
     want = {r.entity_id: r.impact_score for r in tp.impact_of(v).collect()}
     assert {r.entity_id: r.impact_score for r in tp.impact_scores(v).collect()} == want
+
+
+def test_dependents_are_counted_once_for_impact_scores(spark):
+    """The numbers of dependents are a staged table, not counted again in each step."""
+    v = open_view(random_graph(4).graph(spark), 150.0)
+    plan = tp.impact_scores(v)._jdf.queryExecution().optimizedPlan().toString()
+    assert "impact_score" in plan and not re.search(r"Aggregate \[(node|provider)#", plan), plan

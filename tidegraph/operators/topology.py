@@ -143,7 +143,7 @@ def impact_scores(view: View) -> DataFrame:
     n1, n2, n3 = (math.ceil(IMPACT_SCALE / IMPACT_WEIGHTS[d] - 1e-9) for d in (1, 2, 3))
     wide, wide_2 = n1 + n2, n1 + n2 - 1 + n3
     links = _dependent_links(view).where(F.col("node") != F.col("next"))
-    fan = links.groupBy("node").agg(F.count("*").alias("fan"))
+    fan = stage(links.groupBy("node").agg(F.count("*").alias("fan")), "impact_fan")  # read four times
 
     few = fan.where(F.col("fan") < n1).select(F.col("node").alias("root"))
     first = stage(
