@@ -1,5 +1,8 @@
+import os
 import random
 import re
+import time
+import uuid
 
 import duckdb
 import numpy as np
@@ -113,3 +116,22 @@ def test_many_blocks_one_at_a_time(spark, monkeypatch):
     assert len(sizes) > 8 and max(sizes) <= 24 + 3 + 4
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted((r.doc_id, r.n_hit, list(r["items"])) for r in found.collect()) == [(k, len(words(items[k % 5][1])), [str(items[k % 5][0])]) for k in range(10)]
+
+
+def test_reads_items_after_their_query_has_ended(spark, tmp_path):
+    """Items are read partition by partition, later than Spark takes the query for done: the shuffle before must not be lost and run again."""
+    prepare(spark)
+
+    def seen(batches):
+        for pdf in batches:
+            for item in pdf["item_id"]:
+                open(f"{tmp_path}/{item}-{uuid.uuid4().hex}", "w").close()
+            yield pdf
+    items = [(f"i{k}", f"one two three {k}") for k in range(30)]
+    shape = "item_id string, text string"
+    benchmark = spark.createDataFrame(items, shape).coalesce(1).mapInPandas(seen, shape).repartition(20, "item_id")
+    found = []
+    for block in decontaminate._blocks(benchmark, "item_id", "text", 10, 4):
+        found += block.texts
+        time.sleep(0.2)
+    assert len(found) == 30 and len(os.listdir(tmp_path)) == 30

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import itertools
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from tidegraph.session import staging_root, tune
+from tidegraph.session import FILE_CLEANUP, setting, staging_root, tune
 
 SETTINGS = {
     # texts can be long: a Python worker gets few rows at once, and fewer still if they are large
@@ -63,6 +63,13 @@ def staged_at(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame,
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def local_rows(df: DataFrame) -> Iterator[Row]:
+    """The rows of ``df``, one partition at a time. For Spark this query has ended before its last shuffle is read, so that the files of
+    that shuffle have to stay."""
+    with setting(df.sparkSession, FILE_CLEANUP, "false"):
+        return df.select("*").toLocalIterator()
+
+
 def hot_keys(counted: DataFrame, keys: list[str], count: str, total: int) -> list[int]:
     """Hashes of the keys with more than a ``SALTS``-th of ``total`` rows, so fewer than ``SALTS``; ``counted`` has each key once."""
     return [r.h for r in counted.where(F.col(count) * SALTS > total).select(F.xxhash64(*keys).alias("h")).collect()]

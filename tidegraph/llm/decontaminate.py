@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.llm.common import drop_folder, only, staged_at
+from tidegraph.llm.common import drop_folder, local_rows, only, staged_at
 
 BLOCK_WORDS = 500_000
 SHINGLE = 3
@@ -267,7 +267,7 @@ def _blocks(benchmark: DataFrame, item_column: str, text_column: str, window: in
     rows = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(text_column).alias("text"))
     block: list[tuple[str | None, str | None]] = []
     size = 0
-    for row in rows.mapInArrow(cut, "item string, n long, text string").toLocalIterator():
+    for row in local_rows(rows.mapInArrow(cut, "item string, n long, text string")):
         if block and size + row.n > block_words:
             yield make_block(block, window)
             block, size = [], 0

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.llm.common import drop_folder, free_name, only, staged_at
+from tidegraph.llm.common import drop_folder, free_name, local_rows, only, staged_at
 from tidegraph.llm.simhash import least_shingles, shingle_hashes
 
 PER_CLASS, GRADES, STEPS, DECAY = 2000, 4, 400, 1e-3
@@ -182,7 +182,7 @@ def sample_of(documents: DataFrame, labels: DataFrame, id_column: str, text_colu
     per = each.join(common, "feature").groupBy("id").agg(F.collect_list("h").alias("h"), F.collect_list("n").alias("n"))
     at = {k: i for i, k in enumerate(side)}
     row, column, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for r in per.toLocalIterator():
+    for r in local_rows(per):
         column.append(np.searchsorted(hashes, np.array(r.h, np.int64)))
         count.append(np.array(r.n, np.int64))
         row.append(np.full(len(r.h), at[r.id]))

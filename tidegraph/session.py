@@ -21,6 +21,7 @@ _roots: dict[str, str] = {}
 _given: dict[str, str] = {}
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -31,7 +32,7 @@ RUNTIME_SETTINGS = {
     # enough partitions that a sort of a large table stays in memory; small ones are put together again
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "400",
     # results are staged, so shuffle files are of no use once their query has ended
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    FILE_CLEANUP: "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
     # staged tables and stored graphs take less disk
