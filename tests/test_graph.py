@@ -11,6 +11,7 @@ from tidegraph.operators import scoring as sc
 from tidegraph.operators import topology as tp
 from tidegraph.plans import components, contract, expand
 from tidegraph.plans.view import open_view
+from tidegraph.sources import star_tables as st
 
 
 @pytest.fixture(scope="module")
@@ -356,3 +357,15 @@ def test_dependents_are_counted_once_for_impact_scores(spark):
     v = open_view(random_graph(4).graph(spark), 150.0)
     plan = tp.impact_scores(v)._jdf.queryExecution().optimizedPlan().toString()
     assert "impact_score" in plan and not re.search(r"Aggregate \[(node|provider)#", plan), plan
+
+
+def test_evidence_is_ordered_in_generated_code(spark):
+    """As ``array_sort`` orders it, nulls last, but without its comparator, which is interpreted for each row."""
+    refs = [("a", "b"), ("b", "a"), ("a", "a"), (None, "a"), ("a", None), (None, None)]
+    pairs = spark.createDataFrame([(k, *r) for k, r in enumerate(refs)], "k int, x string, y string")
+    text, zero = F.col("k").cast("string"), F.lit(0.0)
+    log = st._assert(pairs, text, "node", text, text, F.lit(3), F.lit(0.9), "scan", zero, st._refs(F.col("x"), F.col("y")))
+    wanted = pairs.select(F.col("k").cast("string").alias("id"), F.array_sort(F.array("x", "y")).alias("e"))
+    assert {r.id: r.evidence for r in log.collect()} == {r.id: r.e for r in wanted.collect()}
+    assert [r.e for r in pairs.select(st._refs(F.col("x")).alias("e")).orderBy("k").collect()] == [[x] for x, _ in refs]
+    assert "lambda" in wanted._jdf.queryExecution().toString() and "lambda" not in log._jdf.queryExecution().toString()
