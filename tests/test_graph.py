@@ -369,3 +369,26 @@ def test_evidence_is_ordered_in_generated_code(spark):
     assert {r.id: r.evidence for r in log.collect()} == {r.id: r.e for r in wanted.collect()}
     assert [r.e for r in pairs.select(st._refs(F.col("x")).alias("e")).orderBy("k").collect()] == [[x] for x, _ in refs]
     assert "lambda" in wanted._jdf.queryExecution().toString() and "lambda" not in log._jdf.queryExecution().toString()
+
+
+def test_impact_of_roots_with_common_links_takes_a_row_per_word(spark, monkeypatch):
+    """Two hundred nodes that all link to each other and to chains of a node each; pairs, depths and counts as by hand."""
+    from tidegraph.plans import words
+    links = [(f"n{a:03d}", f"n{b:03d}") for a in range(200) for b in range(200) if a != b and (a + b) % 3]
+    links += [(f"n{a:03d}", f"c{a:03d}") for a in range(200)] + [(f"c{a:03d}", f"d{a:03d}") for a in range(200)] + [("n000", "n000"), ("d199", "c199")]
+    after = {}
+    for a, b in links:
+        after.setdefault(a, set()).add(b)
+    want = {}
+    for root in {a for a, _ in links}:
+        level, seen = {root}, {root}
+        for depth in (1, 2, 3):
+            level = {n for k in level for n in after.get(k, ())} - seen
+            seen |= level
+            want |= {(root, n): depth for n in level}
+    table = spark.createDataFrame(links, "node string, next string")
+    found = words.word_levels(table.select("node"), table, 3)
+    assert {(r.root, r.node): r.depth for r in found.pairs().collect()} == want
+    sizes = {(r.node, r.depth): r.n for r in found.sizes().collect()}
+    assert sizes == {(root, d): n for root in after for d in (1, 2, 3) if (n := sum(1 for (r, _), at in want.items() if r == root and at == d))}
+    assert sum(t.count() for t in found.levels) * 4 < len(want)
