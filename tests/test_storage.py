@@ -579,3 +579,12 @@ def test_edges_that_a_log_is_made_from_are_written_once(spark, tmp_path):
     assert kept.by_target is None and kept.edges.columns == g.edges.columns and qu.differences(kept, wanted).isEmpty()
     assert rows(gt.merge_graph(spark, path, g), "table", "added") == [("assertions", g.assertions.where("target_kind = 'node'").count()), ("edges", 0), ("nodes", 0)]
     assert qu.differences(gt.read_graph(spark, path), g).isEmpty()
+
+
+def test_a_graph_document_is_stored_compressed(spark, tmp_path):
+    graph = eight_nodes().graph(spark)
+    gt.write_graph_json(graph, str(tmp_path / "document"))
+    assert {f.name.rsplit(".", 1)[1] for f in (tmp_path / "document").glob("part-*")} == {"gz"}
+    back = gt.read_graph_json(spark, str(tmp_path / "document"))
+    assert rows(back.assertions, "id", "target_id", "provenance") == rows(graph.assertions, "id", "target_id", "provenance")
+    assert rows(back.edges, "id", "src", "dst") == rows(graph.edges, "id", "src", "dst")

@@ -67,14 +67,18 @@ def read_graph_json(spark: SparkSession, path: str) -> Graph:
 
 
 def write_graph_json(graph: Graph, path: str) -> None:
-    """The graph as JSON lines that ``read_graph_json`` reads: one node, edge or assertion a line, so that no line grows with it."""
+    """The graph as JSON lines that ``read_graph_json`` reads: one node, edge or assertion a line, so that no line grows with it.
+
+    The lines are compressed by gzip; a file holds what a task reads of one share of the input, so that it is read by one task again.
+    """
     names = F.array(*[F.lit(x) for x in PROVENANCE_NAMES])
     nodes = graph.nodes.select(F.struct("id", "type", F.parse_json("key_json").alias("key")).alias("nodes"))
     edges = graph.edges.select(F.struct(*[f.name for f in EDGES.fields]).alias("edges"))
     log = _typed(graph.assertions, "assertions").withColumns({"value": F.parse_json("value_json"), "provenance": F.get(names, F.col("provenance"))})
     log = log.select(F.struct(*["value" if f.name == "value_json" else f.name for f in ASSERTIONS.fields]).alias("assertions"))
-    for rows in (nodes, edges, log):
-        rows.select(F.to_json(F.struct(*[F.array(c).alias(c) for c in rows.columns])).alias("value")).write.mode("append").text(path)
+    with setting(log.sparkSession, "spark.sql.files.maxPartitionBytes", str(SHARE)):
+        for rows in (nodes, edges, log):
+            rows.select(F.to_json(F.struct(*[F.array(c).alias(c) for c in rows.columns])).alias("value")).write.mode("append").text(path, compression="gzip")
 
 
 def _put(rows: DataFrame, where: str, mode: str, order: list[str], bloom: str | None = None, by: str | None = None, dealt: bool = True) -> None:
