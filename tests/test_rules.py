@@ -272,3 +272,24 @@ def test_a_wide_blast_radius_is_not_searched_from_its_node(spark, monkeypatch):
     v = open_view(_mixed().graph(spark), 150.0)
     assert tp.blast_of_few(v, spark.createDataFrame([("fan14",)], "id string")) is None
     assert ru.recommendation_by_id(v, "rec-exp-db-fan14").collect()[0].reasons[2] == "Affects 14 downstream dependencies"
+
+
+def test_a_trend_holds_one_view_at_a_time(spark, monkeypatch):
+    """The tables of a view are gone when the next one is made; the ends of edges are looked up in a job of their own."""
+    from tidegraph.plans import view as vw
+    held, most, plans = [], [], {}
+    stage, drop = vw.stage, vw.View.drop
+
+    def counted(df, name):
+        if name == "live_edges":
+            held.append(name)
+            most.append(len(held))
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stage(df, name)
+
+    monkeypatch.setattr(vw, "stage", counted)
+    monkeypatch.setattr(vw.View, "drop", lambda v: (held.pop(), drop(v)))
+    rows_ = {r.label: (r.node_count, r.total_risk) for r in ch.trend(_mixed().graph(spark), 150.0 + 8 * 86400).collect()}
+    assert set(rows_) == {"current", "last_week", "last_month", "last_quarter"} and rows_["current"] == rows_["last_week"] and rows_["last_month"] == (0, 0)
+    assert most == [1, 1, 1, 1]
+    assert "LeftSemi" in plans["live_ends"] and "LeftSemi" not in plans["live_edges"].replace("LeftSemi, (target_id", "")
